@@ -9,7 +9,7 @@ result depends on neither the partitioning nor on any re-run of a task.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil
 
@@ -60,41 +60,42 @@ class _Cut:
         return self.rank < self.before + self.equal
 
 
-def _find_cuts(rows: DataFrame, wanted: Sequence[tuple[object, int]], width: int) -> list[_Cut]:
+def _tally(rows: DataFrame, depth: int) -> dict[tuple, list[tuple[str, int]]]:
+    """Rows per longer prefix, grouped by stratum and the prefix already fixed: map-side sums, few rows out."""
+    prefix = F.substring("h", 1, depth + _DIGITS).alias("p")
+    tallies: dict[tuple, list[tuple[str, int]]] = {}
+    for stratum, p, count in sorted(rows.groupBy("stratum", prefix).count().collect(), key=lambda r: r[1]):
+        tallies.setdefault((stratum, p[:depth]), []).append((p, count))
+    return tallies
+
+
+def _find_cuts(rows: DataFrame, first: dict[tuple, list[tuple[str, int]]], wanted: Sequence[tuple[object, int]],
+               width: int) -> list[_Cut]:
     """Locate each (stratum, rank >= 1) in the frame `stratum, h`; h has `width` hex digits."""
     cuts = [_Cut(s, r) for s, r in wanted]
     done: list[_Cut] = []
-    depth = 0
+    depth, tallies = 0, first
     while cuts:
-        boundary = {(c.stratum, c.hash) for c in cuts}
-        prefix = F.substring("h", 1, depth + _DIGITS).alias("p")
-        counted = _at_prefix(rows, boundary, depth).groupBy("stratum", prefix).count().collect()
-        tallies: dict[tuple, list[tuple[str, int]]] = {}
-        for stratum, p, count in sorted(counted, key=lambda r: r[1]):
-            tallies.setdefault((stratum, p[:depth]), []).append((p, count))
-        sized: list[tuple[_Cut, int]] = []
+        sizes = {}
         for c in cuts:
             for p, count in tallies[(c.stratum, c.hash)]:
                 if c.rank <= c.before + count:
-                    c.hash = p
-                    sized.append((c, count))
+                    c.hash, sizes[id(c)] = p, count
                     break
                 c.before += count
         depth += _DIGITS
         if depth >= width:
-            for c, count in sized:
-                c.equal = count
-                done.append(c)
-            break
-        short = [c for c, count in sized if count <= _COLLECT_ROWS]
-        done += _finish(rows, short, depth)
-        cuts = [c for c, count in sized if count > _COLLECT_ROWS]
+            for c in cuts:
+                c.equal = sizes[id(c)]
+            return done + cuts
+        done += _finish(rows, [c for c in cuts if sizes[id(c)] <= _COLLECT_ROWS], depth)
+        cuts = [c for c in cuts if sizes[id(c)] > _COLLECT_ROWS]
+        if cuts:
+            tallies = _tally(_at_prefix(rows, {(c.stratum, c.hash) for c in cuts}, depth), depth)
     return done
 
 
 def _at_prefix(rows: DataFrame, boundary: set[tuple], depth: int) -> DataFrame:
-    if depth == 0:
-        return rows
     test = F.lit(False)
     for stratum, p in sorted(boundary, key=str):
         test = test | (F.col("stratum").eqNullSafe(F.lit(stratum)) & F.col("h").startswith(p))
@@ -117,29 +118,35 @@ def _finish(rows: DataFrame, cuts: list[_Cut], depth: int) -> list[_Cut]:
     return cuts
 
 
-def assign_parts(df: DataFrame, key: Sequence[str], sizes: Mapping[object, Sequence[int]], seed: int | str,
-                 stratum: Column | None = None, part: str = "part") -> DataFrame:
-    """Adds the integer column `part`: in each stratum the first sizes[0] rows in hash order get 0, and so on.
+Sizes = dict[object, int]
+
 
-    `sizes[stratum]` must add up to the rows of the stratum. Rows with equal keys are
-    ordered by a hash of all their columns. Where a cut runs through rows that are equal
-    in every column, those copies are counted and written out again on both sides of it.
+def assign_parts(df: DataFrame, key: Sequence[str], plan: Callable[[Sizes], Mapping[object, Sequence[int]]],
+                 seed: int | str, stratum: Column | None = None, part: str = "part") -> DataFrame:
+    """Adds the integer column `part`: in each stratum the first rows in hash order get 0, the next 1, and so on.
+
+    `plan` turns the rows per stratum into the part sizes per stratum, which must add up
+    to them. Rows with equal keys are ordered by a hash of all their columns. Where a cut
+    runs through rows that are equal in every column, those copies are counted and
+    written out again on both sides of it.
     """
     stratum = F.lit(0) if stratum is None else stratum
-    by_key = row_hash(key, seed)
-    wanted = []
-    for s, parts in sizes.items():
-        ends, total = [], 0
-        for size in parts[:-1]:
-            total += size
-            ends.append(total)
-        wanted += [(s, e) for e in dict.fromkeys(ends) if e > 0]
-    order, width = by_key, 32
-    cuts = _find_cuts(df.select(stratum.alias("stratum"), order.alias("h")), wanted, width)
+
+    def locate(order: Column, width: int) -> tuple[list[_Cut], Mapping[object, Sequence[int]]]:
+        rows = df.select(stratum.alias("stratum"), order.alias("h"))
+        first = _tally(rows, 0)
+        sizes = plan({s: sum(n for _, n in prefixes) for (s, _), prefixes in first.items()})
+        wanted = []
+        for s, parts in sizes.items():
+            ends = dict.fromkeys(sum(parts[:i]) for i in range(1, len(parts)))
+            wanted += [(s, e) for e in ends if e > 0]
+        return _find_cuts(rows, first, wanted, width), sizes
+
+    order = row_hash(key, seed)
+    cuts, sizes = locate(order, 32)
     if any(c.torn for c in cuts):
-        everything = F.to_json(F.struct(*[col(c) for c in df.columns]))
-        order, width = F.concat(by_key, F.md5(everything)), 64
-        cuts = _find_cuts(df.select(stratum.alias("stratum"), order.alias("h")), wanted, width)
+        order = F.concat(order, F.md5(F.to_json(F.struct(*[col(c) for c in df.columns]))))
+        cuts, sizes = locate(order, 64)
 
     at = {(c.stratum, c.rank): c for c in cuts}
     code = F.lit(None).cast("int")
@@ -189,20 +196,22 @@ def stratified_split(df: DataFrame, label: str, key: Sequence[str], test: float
 
     `label` is a small set of classes (quantile bins). A class with one row stays in train.
     """
-    sizes = {r[0]: r[1] for r in df.groupBy(col(label)).count().collect()}
-    n_test = ceil(round(test * sum(sizes.values()), 9))
-    eligible = {s: n for s, n in sizes.items() if n > 1}
-    shares = largest_remainder(eligible, min(n_test, sum(eligible.values())))
-    parts = {s: [shares.get(s, 0), n - shares.get(s, 0)] for s, n in sizes.items()}
-    assigned = assign_parts(df, key, parts, seed, col(label), "__part")
+    def plan(sizes: Sizes) -> dict[object, list[int]]:
+        n_test = ceil(round(test * sum(sizes.values()), 9))
+        eligible = {s: n for s, n in sizes.items() if n > 1}
+        shares = largest_remainder(eligible, min(n_test, sum(eligible.values())))
+        return {s: [shares.get(s, 0), n - shares.get(s, 0)] for s, n in sizes.items()}
+
+    assigned = assign_parts(df, key, plan, seed, col(label), "__part")
     return assigned.withColumn(split, F.when(F.col("__part") == 0, "test").otherwise("train")).drop("__part")
 
 
 def kfold(df: DataFrame, key: Sequence[str], k: int = 5, seed: int | str = 42, fold: str = "fold") -> DataFrame:
     """Adds `fold` 0..k-1: shuffled by hash, sizes differ by at most one, the larger folds first."""
-    n = df.count()
-    sizes = [n // k + (1 if i < n % k else 0) for i in range(k)]
-    return assign_parts(df, key, {0: sizes}, seed, None, fold)
+    def plan(sizes: Sizes) -> dict[object, list[int]]:
+        return {s: [n // k + (1 if i < n % k else 0) for i in range(k)] for s, n in sizes.items()}
+
+    return assign_parts(df, key, plan, seed, None, fold)
 
 
 def split_summary(df: DataFrame, target: str, split: str = "split") -> DataFrame:

@@ -29,8 +29,8 @@ trips AS (
     s_acctbal AS avg_elevation_m,
     CASE WHEN l_linenumber = 1 THEN NULL ELSE l_tax * 100 END AS elevation_gain_m,
     s_nationkey AS origin_nation, c_nationkey AS dest_nation,
-    s_acctbal / 170 AS origin_lat, s_nationkey * CAST(13.3 AS DOUBLE) - 160 AS origin_lon,
-    c_acctbal / 170 AS dest_lat, c_nationkey * CAST(13.3 AS DOUBLE) - 160 AS dest_lon,
+    s_acctbal / CAST(173.21 AS DOUBLE) AS origin_lat, s_nationkey * CAST(13.3 AS DOUBLE) - 160 AS origin_lon,
+    c_acctbal / CAST(173.21 AS DOUBLE) AS dest_lat, c_nationkey * CAST(13.3 AS DOUBLE) - 160 AS dest_lon,
     l_quantity * 3 + l_discount * 100
       + CAST((l_orderkey * 31 + l_partkey * 17) % 101 AS DOUBLE) / 1010 AS planted_target
   FROM lineitem
@@ -225,16 +225,16 @@ RUNS = """runs AS (
     FROM orders GROUP BY o_custkey)"""
 
 HISTORY = f"""{TRIPS},
-    cents AS (SELECT *, CAST(price_cents AS DOUBLE) AS energy, CAST(epoch(feature_timestamp) AS BIGINT) AS ts FROM trips),
+    scaled AS (SELECT *, price_cents / CAST(9973 AS DOUBLE) AS energy, CAST(epoch(feature_timestamp) AS BIGINT) AS ts FROM trips),
     history AS (SELECT *,
         avg(energy / nullif(distance_km, 0)) OVER w AS eff, avg(energy) OVER w AS energy_mean,
         stddev_samp(energy) OVER w AS energy_std, avg(distance_km) OVER w AS distance_mean, count(*) OVER w AS trips30
-      FROM cents WINDOW w AS (PARTITION BY VehId ORDER BY ts RANGE BETWEEN {30 * 86400} PRECEDING AND 1 PRECEDING))"""
+      FROM scaled WINDOW w AS (PARTITION BY VehId ORDER BY ts RANGE BETWEEN {30 * 86400} PRECEDING AND 1 PRECEDING))"""
 ROUTES = f"""{TRIPS},
-    cents AS (SELECT *, CAST(price_cents AS DOUBLE) AS energy, round(duration_minutes * 100000) AS duration, round(avg_speed_kmh) AS speed FROM trips),
+    scaled AS (SELECT *, price_cents / CAST(9973 AS DOUBLE) AS energy, duration_minutes / CAST(9.973 AS DOUBLE) AS duration, round(avg_speed_kmh) AS speed FROM trips),
     routes AS (SELECT *, avg(energy) OVER w AS e10, avg(duration) OVER w AS d10, avg(speed) OVER w AS s10,
         row_number() OVER (PARTITION BY origin_nation, dest_nation ORDER BY feature_timestamp, {KEY}) - 1 AS before
-      FROM cents WINDOW w AS (PARTITION BY origin_nation, dest_nation ORDER BY feature_timestamp, {KEY}
+      FROM scaled WINDOW w AS (PARTITION BY origin_nation, dest_nation ORDER BY feature_timestamp, {KEY}
         ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING))"""
 
 
@@ -346,9 +346,9 @@ def oracle_sql() -> dict[str, str]:
         {r('max(value)')} AS worst_value, {r('(max(value) - min(value)) / nullif(max(value), 0) * 100')} AS improvement_pct
         FROM trials GROUP BY study"""
     sql["vehicle_history"] = f"""WITH {HISTORY} SELECT {KEY}, {r('eff')} AS vehicle_avg_efficiency_last30, {r('energy_mean')} AS vehicle_avg_energy_last30,
-        {r('energy_std', 2)} AS vehicle_stddev_energy_last30, {r('distance_mean')} AS vehicle_avg_distance_last30,
+        {r('energy_std')} AS vehicle_stddev_energy_last30, {r('distance_mean')} AS vehicle_avg_distance_last30,
         trips30 AS vehicle_trip_count_last30 FROM history"""
-    sql["fleet_ratio"] = f"""WITH {HISTORY}, fleet AS (SELECT avg(energy / nullif(distance_km, 0)) AS f FROM cents)
+    sql["fleet_ratio"] = f"""WITH {HISTORY}, fleet AS (SELECT avg(energy / nullif(distance_km, 0)) AS f FROM scaled)
         SELECT {KEY}, {r('eff / f', 6)} AS vehicle_efficiency_vs_fleet FROM history, fleet"""
     sql["route_history"] = f"""WITH {ROUTES} SELECT {KEY}, {r('e10')} AS route_avg_energy_last10, {r('d10')} AS route_avg_duration_last10,
         {r('s10')} AS route_avg_speed_last10, before AS route_trip_count FROM routes"""

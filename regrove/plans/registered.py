@@ -31,14 +31,20 @@ def rounded(df: DataFrame, digits: int = 4, **special: int) -> DataFrame:
     ])
 
 
-def _row_features(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Trip frame with every row-wise feature. Columns nobody asks for are pruned from the scan."""
-    return features.row_features(nan_to_null(trips(spark, sf_dir)))
+def _row_features(spark: SparkSession, sf_dir: str, target: str | None = None) -> DataFrame:
+    """Trip frame with every row-wise feature, optionally of the rows that have `target`.
+
+    Columns nobody asks for are pruned from the scan; the target filter is applied first,
+    where the reader can use it.
+    """
+    frame = trips(spark, sf_dir)
+    if target:
+        frame = profile.with_target(frame, target)
+    return features.row_features(nan_to_null(frame))
 
 
 def _ranked(spark: SparkSession, sf_dir: str, target: str = TARGET) -> DataFrame:
-    frame = _row_features(spark, sf_dir)
-    return explore.target_correlation(profile.with_target(frame, target), target, NUMERIC_FEATURES)
+    return explore.target_correlation(_row_features(spark, sf_dir, target), target, NUMERIC_FEATURES)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -127,26 +133,26 @@ def _run_columns(runs: DataFrame) -> DataFrame:
     ), test_r2=6)
 
 
-def _cents(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
-    """Energy in integer cents, so sums are exact in either engine."""
+def _scaled(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Energy on a scale whose means are not short decimals, so engines cannot round a tie apart."""
     frame = trips(spark, sf_dir, [*TRIP_KEY, "feature_timestamp", *columns])
-    return frame.withColumn("energy", F.col("price_cents").cast("double"))
+    return frame.withColumn("energy", F.col("price_cents") / F.lit(9973.0))
 
 
 def _vehicle_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _cents(spark, sf_dir, "VehId", "distance_km")
-    out = history.vehicle_history(frame, energy="energy").drop("feature_timestamp", "VehId", "distance_km", "energy")
-    return rounded(out, vehicle_stddev_energy_last30=2)
+    frame = _scaled(spark, sf_dir, "VehId", "distance_km")
+    out = history.vehicle_history(frame, energy="energy")
+    return rounded(out.drop("feature_timestamp", "VehId", "distance_km", "energy"))
 
 
 def _fleet_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = history.vehicle_history(_cents(spark, sf_dir, "VehId", "distance_km"), energy="energy")
+    frame = history.vehicle_history(_scaled(spark, sf_dir, "VehId", "distance_km"), energy="energy")
     return rounded(history.fleet_ratio(frame, energy="energy").select(*TRIP_KEY, "vehicle_efficiency_vs_fleet"), 6)
 
 
 def _route_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _cents(spark, sf_dir, *ROUTE, "duration_minutes", "avg_speed_kmh").withColumns({
-        "duration": F.round(F.col("duration_minutes") * 100000), "speed": F.round("avg_speed_kmh"),
+    frame = _scaled(spark, sf_dir, *ROUTE, "duration_minutes", "avg_speed_kmh").withColumns({
+        "duration": F.col("duration_minutes") / F.lit(9.973), "speed": F.round("avg_speed_kmh"),
     })
     out = history.route_history(frame, ROUTE, TRIP_KEY, energy="energy", duration="duration", speed="speed")
     return rounded(out.select(

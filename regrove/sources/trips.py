@@ -45,9 +45,9 @@ def _expressions() -> dict[str, Column]:
         "elevation_gain_m": F.when(F.col("l_linenumber") == 1, null).otherwise(F.col("l_tax") * 100),
         "origin_nation": F.col("s_nationkey"),
         "dest_nation": F.col("c_nationkey"),
-        "origin_lat": F.col("s_acctbal") / 170,
+        "origin_lat": F.col("s_acctbal") / 173.21,
         "origin_lon": F.col("s_nationkey") * 13.3 - 160,
-        "dest_lat": F.col("c_acctbal") / 170,
+        "dest_lat": F.col("c_acctbal") / 173.21,
         "dest_lon": F.col("c_nationkey") * 13.3 - 160,
         "planted_target": (
             F.col("l_quantity") * 3 + discount * 100
