@@ -96,7 +96,7 @@ def numeric_features(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
 
 
 _PARTIAL = (
-    "i int, j int, n long, mean_x double, mean_y double, m_xx double, m_yy double, m_xy double, "
+    "i int, j int, n long, centre_x double, centre_y double, off_x double, off_y double, m_xx double, m_yy double, m_xy double, "
     "min_x double, max_x double, min_y double, max_y double"
 )
 
@@ -156,7 +156,7 @@ def _partial_moments(columns: Sequence[str], others: Sequence[str], triangle: bo
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(i, pa.int32()), pa.array(j, pa.int32()), pa.array(at.astype(np.int64)),
-                pa.array(c_x + d_x), pa.array(c_y + d_y),
+                pa.array(c_x), pa.array(c_y), pa.array(d_x), pa.array(d_y),
                 pa.array(np.maximum(s_xx[i, j] - at * d_x * d_x, 0.0)),
                 pa.array(np.maximum(s_yy[i, j] - at * d_y * d_y, 0.0)),
                 pa.array(s_xy[i, j] - at * d_x * d_y),
@@ -179,12 +179,12 @@ def pairwise_correlation(df: DataFrame, columns: Sequence[str], others: Sequence
     names, run = _partial_moments(columns, others, triangle)
     wide = df.select(*[clean(df, c).cast("double").alias(f"c{k}") for k, c in enumerate(names)])
     pair = Window.partitionBy("i", "j")  # one row per task
-    # deviations of the task means from the overall mean, measured from one of the task
-    # means so that equal means leave no rounding behind
+    # task means (centre + offset) as deviations from the overall mean, measured from one of
+    # the centres so that a mean far from zero costs no digits
     based = wide.mapInArrow(run, _PARTIAL).withColumns({
         "n_all": F.sum("n").over(pair),
-        "x": F.col("mean_x") - F.max("mean_x").over(pair),
-        "y": F.col("mean_y") - F.max("mean_y").over(pair),
+        "x": F.col("centre_x") - F.max("centre_x").over(pair) + F.col("off_x"),
+        "y": F.col("centre_y") - F.max("centre_y").over(pair) + F.col("off_y"),
     })
     placed = based.withColumns({
         a: F.col(a) - F.sum(F.col("n") * F.col(a)).over(pair) / F.col("n_all") for a in ("x", "y")
