@@ -1,9 +1,9 @@
 """Features from earlier trips: rolling 30 days per vehicle, last 10 trips per route, fleet ratio.
 
-Neither history lets one busy vehicle or route decide the size of a task. The rolling
-window runs over per-second sums cut into window-long tiles. The last-n window runs on
-plain partitions while every route is small by count, and on blocks of fixed row count
-beyond that.
+Neither history lets one busy vehicle or route decide the size of a task. Plain window
+partitions are used while every group is small by count. Beyond that, the rolling window
+runs over per-second sums cut into window-long tiles, and the last-n window over blocks
+of fixed row count.
 """
 
 from __future__ import annotations
@@ -19,6 +19,13 @@ from regrove.functions.times import wall_seconds
 # A window partition is sorted by one task; beyond this many rows it is split.
 PARTITION_ROWS = 5_000_000
 BLOCK_ROWS = 100_000
+# Trips of one vehicle within a window length; beyond this a sliding window costs too much.
+WINDOW_ROWS = 10_000
+
+VEHICLE_COLUMNS = [
+    "vehicle_avg_efficiency_last30", "vehicle_avg_energy_last30", "vehicle_stddev_energy_last30",
+    "vehicle_avg_distance_last30", "vehicle_trip_count_last30",
+]
 
 
 def efficiency(df: DataFrame, energy: str, distance: str) -> Column:
@@ -27,9 +34,36 @@ def efficiency(df: DataFrame, energy: str, distance: str) -> Column:
 
 def vehicle_history(df: DataFrame, vehicle: str = "VehId", ts: str = "feature_timestamp",
                     energy: str = "target_energy_consumption", distance: str = "distance_km",
-                    days: int = 30) -> DataFrame:
+                    days: int = 30, partition_rows: int = PARTITION_ROWS, window_rows: int = WINDOW_ROWS) -> DataFrame:
     """Adds the vehicle's mean efficiency, energy, distance, energy std and trip count of the
-    `days` days before the trip; trips of the same second do not count.
+    `days` days before the trip; trips of the same second do not count. A trip of unknown
+    vehicle or time has no history.
+
+    A plain range window is used while no vehicle is too large for one task and no window
+    holds many trips (its cost is trips x trips per window). Both are counted first.
+    """
+    span = days * 86400
+    keyed = df.withColumn("__t", wall_seconds(col(ts)))
+    per_tile = keyed.groupBy(col(vehicle).alias("v"), F.floor(F.col("__t") / span).alias("tile")).count()
+    per_vehicle = per_tile.groupBy("v").agg(F.max("count").alias("tile_rows"), F.sum("count").alias("rows"))
+    tile_rows, rows = per_vehicle.agg(F.max("tile_rows"), F.max("rows")).first()
+    if (tile_rows or 0) <= window_rows and (rows or 0) <= partition_rows:
+        out = _rolling(keyed, vehicle, span, energy, distance)
+    else:
+        out = _tiled(keyed, vehicle, span, energy, distance)
+    return out.drop("__t")
+
+
+def _rolling(keyed: DataFrame, vehicle: str, span: int, energy: str, distance: str) -> DataFrame:
+    past = Window.partitionBy(col(vehicle)).orderBy("__t").rangeBetween(-span, -1)
+    e, known = clean(keyed, energy), col(vehicle).isNotNull() & F.col("__t").isNotNull()
+    values = [F.avg(efficiency(keyed, energy, distance)), F.avg(e), F.stddev_samp(e), F.avg(clean(keyed, distance)),
+              F.count(F.lit(1))]
+    return keyed.withColumns({name: F.when(known, v.over(past)) for name, v in zip(VEHICLE_COLUMNS, values)})
+
+
+def _tiled(keyed: DataFrame, vehicle: str, span: int, energy: str, distance: str) -> DataFrame:
+    """The same without a bound on a vehicle's trips.
 
     1. Trips are summed per (vehicle, second), map-side first: a window over these rows is
        bounded by time, not by trips.
@@ -38,10 +72,9 @@ def vehicle_history(df: DataFrame, vehicle: str = "VehId", ts: str = "feature_ti
        and both parts are running sums - additions only, linear time, one shuffle.
     3. The sums go back to the trips by an equi-join, which AQE may broadcast or split.
     """
-    span = days * 86400
-    keyed = df.withColumn("__t", wall_seconds(col(ts)))
-    eff, dist, e = efficiency(df, energy, distance), clean(df, distance), clean(df, energy)
-    sums = keyed.where(col(vehicle).isNotNull() & F.col("__t").isNotNull()).groupBy(col(vehicle).alias("v"), F.col("__t").alias("t")).agg(
+    eff, dist, e = efficiency(keyed, energy, distance), clean(keyed, distance), clean(keyed, energy)
+    known = keyed.where(col(vehicle).isNotNull() & F.col("__t").isNotNull())
+    sums = known.groupBy(col(vehicle).alias("v"), F.col("__t").alias("t")).agg(
         F.count(F.lit(1)).alias("trips"),
         F.count(eff).alias("n_eff"), F.sum(eff).alias("s_eff"),
         F.count(dist).alias("n_dist"), F.sum(dist).alias("s_dist"),
@@ -73,14 +106,12 @@ def vehicle_history(df: DataFrame, vehicle: str = "VehId", ts: str = "feature_ti
     )
     past = totals.select(
         "v", "t",
-        F.try_divide("s_eff", "n_eff").alias("vehicle_avg_efficiency_last30"),
-        (F.col("base") + F.try_divide("d_e", "n_e")).alias("vehicle_avg_energy_last30"),
-        F.sqrt(variance).alias("vehicle_stddev_energy_last30"),
-        F.try_divide("s_dist", "n_dist").alias("vehicle_avg_distance_last30"),
-        F.col("trips").alias("vehicle_trip_count_last30"),
+        *[c.alias(name) for name, c in zip(VEHICLE_COLUMNS, (
+            F.try_divide("s_eff", "n_eff"), F.col("base") + F.try_divide("d_e", "n_e"), F.sqrt(variance),
+            F.try_divide("s_dist", "n_dist"), F.col("trips"),
+        ))],
     )
-    joined = keyed.join(past, (col(vehicle) == F.col("v")) & (F.col("__t") == F.col("t")), "left")
-    return joined.drop("v", "t", "__t")
+    return keyed.join(past, (col(vehicle) == F.col("v")) & (F.col("__t") == F.col("t")), "left").drop("v", "t")
 
 
 def _largest(df: DataFrame, *by: Column) -> int:

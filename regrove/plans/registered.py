@@ -88,7 +88,7 @@ def _baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = _side(_split(spark, sf_dir, "distance_km"), "train")
+    train = _side(modelling.spread(_split(spark, sf_dir, "distance_km")), "train")
     return modelling.cross_validate(train, TRIP_KEY, TARGET, _line)
 
 
@@ -186,7 +186,7 @@ def _features(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
 
 # --- fitted trees: compared by rows only, few and small trees -----------------------------------
 
-MODEL_FEATURES = ["distance_km", "avg_speed_kmh", "max_speed_kmh", "elevation_gain_m", "duration_minutes"]
+MODEL_FEATURES = ["distance_km", "avg_speed_kmh", "max_speed_kmh", "elevation_gain_m", "DayNum"]
 PLANTED = "planted_target"
 BASES = {
     "boost_deep": modelling.Base("boost_deep", {"maxIter": 5, "maxDepth": 4, "stepSize": 0.3, "subsamplingRate": 0.8}),
@@ -198,7 +198,7 @@ BASES = {
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = nan_to_null(trips(spark, sf_dir, [*TRIP_KEY, PLANTED, *MODEL_FEATURES]))
     labelled = quantile_label(profile.with_target(base, PLANTED), PLANTED, 4, "label")
-    return split.stratified_split(labelled, "label", TRIP_KEY).persist()
+    return modelling.spread(split.stratified_split(labelled, "label", TRIP_KEY))
 
 
 def _predict(name: str) -> Query:

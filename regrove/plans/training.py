@@ -24,7 +24,7 @@ from regrove.operators.selection import quantile_label
 from regrove.operators.split import kfold, stratified_split
 from regrove.plans import registry
 from regrove.plans.learners import PROFILES, SPACES, Study, search
-from regrove.plans.modelling import VECTOR, Base, cross_validate, fit_single, fit_stack, importance, rmse, vectors
+from regrove.plans.modelling import VECTOR, Base, cross_validate, fit_single, fit_stack, importance, rmse, spread, vectors
 from regrove.session import ensure_checkpoint_dir
 
 # Names the runs are logged and the model is registered under.
@@ -122,7 +122,7 @@ def run_training(df: DataFrame, s: Settings) -> Outcome:
     ensure_checkpoint_dir(spark)
     out = Outcome()
     rows, features = prepare(df, s)
-    rows = rows.withColumn(s.target, F.col(s.target).cast("double")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = spread(rows.withColumn(s.target, F.col(s.target).cast("double")))
     try:
         train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
         out.studies = tune(train, test, features, s)

@@ -26,7 +26,7 @@ def _expressions() -> dict[str, Column]:
         "l_linenumber": F.col("l_linenumber"),
         "l_partkey": F.col("l_partkey"),
         "l_suppkey": F.col("l_suppkey"),
-        "price_cents": F.round(F.col("l_extendedprice") * 100).cast("long"),
+        "price_cents": F.floor(F.col("l_extendedprice") * 100 + 0.5),
         "DayNum": F.unix_date(F.to_date("l_shipdate")).cast("long"),
         "VehId": F.col("l_suppkey"),
         "Trip": F.col("l_orderkey"),

@@ -32,9 +32,11 @@ def close(a, b):
     return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-7)
 
 
-def test_vehicle_history_by_brute_force(spark, journeys):
+@pytest.mark.parametrize("limits", [{}, {"window_rows": 5}, {"partition_rows": 50}])
+def test_vehicle_history_by_brute_force(spark, journeys, limits):
+    """The plain window, and the tiled form beyond either limit."""
     df = spark.createDataFrame(journeys).repartition(6)
-    got = history.vehicle_history(df, ts="ts", energy="energy").toPandas().set_index("id")
+    got = history.vehicle_history(df, ts="ts", energy="energy", **limits).toPandas().set_index("id")
     assert len(got) == len(journeys)
     span = timedelta(days=30)
     for row in journeys.itertuples():
@@ -48,11 +50,12 @@ def test_vehicle_history_by_brute_force(spark, journeys):
         assert close(g.vehicle_avg_distance_last30, past.distance_km.mean())
 
 
-def test_vehicle_history_edges_of_the_window(spark):
+@pytest.mark.parametrize("limits", [{}, {"window_rows": 0}])
+def test_vehicle_history_edges_of_the_window(spark, limits):
     at = [START, START + timedelta(days=30), START + timedelta(days=30, seconds=1), START + timedelta(days=60, seconds=1)]
     df = spark.createDataFrame([(i, 1, t, 10.0, 1.0) for i, t in enumerate(at)] + [(9, None, START, 1.0, 1.0)],
                                "id int, VehId int, ts timestamp, energy double, distance_km double")
-    got = {r.id: r.vehicle_trip_count_last30 for r in history.vehicle_history(df, ts="ts", energy="energy").collect()}
+    got = {r.id: r.vehicle_trip_count_last30 for r in history.vehicle_history(df, ts="ts", energy="energy", **limits).collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 9: None}
 
 
