@@ -91,24 +91,21 @@ def _find_cuts(rows: DataFrame, first: dict[tuple, list[tuple[str, int]]], wante
         done += _finish(rows, [c for c in cuts if sizes[id(c)] <= _COLLECT_ROWS], depth)
         cuts = [c for c in cuts if sizes[id(c)] > _COLLECT_ROWS]
         if cuts:
-            tallies = _tally(_at_prefix(rows, {(c.stratum, c.hash) for c in cuts}, depth), depth)
+            tallies = _tally(_at_prefix(rows, cuts, depth), depth)
     return done
 
 
-def _at_prefix(rows: DataFrame, boundary: set[tuple], depth: int) -> DataFrame:
-    test = F.lit(False)
-    for stratum, p in sorted(boundary, key=str):
-        test = test | (F.col("stratum").eqNullSafe(F.lit(stratum)) & F.col("h").startswith(p))
-    return rows.where(test)
+def _at_prefix(rows: DataFrame, cuts: Sequence[_Cut], depth: int) -> DataFrame:
+    """Rows under any of the cuts' prefixes. One hash per row; rows of other strata do no harm."""
+    return rows.where(F.substring("h", 1, depth).isin(sorted({c.hash for c in cuts})))
 
 
 def _finish(rows: DataFrame, cuts: list[_Cut], depth: int) -> list[_Cut]:
     """Read the few hashes under each remaining prefix and settle the cut."""
     if not cuts:
         return []
-    boundary = {(c.stratum, c.hash) for c in cuts}
     groups: dict[tuple, list[str]] = {}
-    for stratum, h in _at_prefix(rows, boundary, depth).select("stratum", "h").collect():
+    for stratum, h in _at_prefix(rows, cuts, depth).select("stratum", "h").collect():
         groups.setdefault((stratum, h[:depth]), []).append(h)
     for c in cuts:
         hashes = sorted(groups[(c.stratum, c.hash)])
