@@ -1,9 +1,13 @@
-"""Train from a feature table: `python -m regrove --root <shared folder> [--catalog dev] [--table ...]`."""
+"""Profile and train from a feature table.
+
+`python -m regrove --root <shared folder> [--catalog dev] [--table NAME_OR_PATH] [--profile-only]`
+"""
 
 from __future__ import annotations
 
 import argparse
 
+from regrove.plans.exploration import profile_table, write_report
 from regrove.plans.registry import compare_runs, read_runs
 from regrove.plans.training import Settings, run_training
 from regrove.session import get_spark
@@ -21,10 +25,17 @@ def main() -> None:
     parser.add_argument("--folds", type=int, default=5)
     parser.add_argument("--max-trees", type=int, default=None)
     parser.add_argument("--selection", choices=["validation", "test"], default="validation")
+    parser.add_argument("--profile-only", action="store_true")
     args = parser.parse_args()
 
     spark = get_spark()
-    outcome = run_training(load(spark, args.table, args.catalog), Settings(
+    table = load(spark, args.table, args.catalog)
+    report = profile_table(table)
+    write_report(report, f"{args.root.rstrip('/')}/profile")
+    print(f"target: {report.target_status}; suggested exclusions: {report.exclusions}")
+    if args.profile_only or report.target_status != "ok":
+        return
+    outcome = run_training(table, Settings(
         root=args.root, key=args.key.split(","), exclude=[c for c in args.exclude.split(",") if c],
         source_table=args.table if "/" in args.table else f"{args.catalog}.{args.table}",
         trials=args.trials, folds=args.folds, max_trees=args.max_trees, selection=args.selection,

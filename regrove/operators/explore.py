@@ -256,3 +256,15 @@ def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 def leakage_check(ranked: DataFrame, target: str, threshold: float = LEAK_THRESHOLD) -> DataFrame:
     """Features whose |r| with the target exceeds the threshold. Reported, never removed."""
     return ranked.where((F.abs("r") > threshold) & (F.col("feature") != target))
+
+
+def suggested_exclusions(leaks: DataFrame) -> list[str]:
+    """Names from a leakage report, for the caller to exclude or not."""
+    return [r.feature for r in leaks.orderBy("feature").collect()]
+
+
+def target_status(df: DataFrame, target: str) -> str:
+    """'ok', 'no_column' or 'all_null': whether target analyses can say anything. Reads at most one usable row."""
+    if target not in df.columns:
+        return "no_column"
+    return "ok" if df.where(present(df, target)).select(col(target)).limit(1).collect() else "all_null"

@@ -12,7 +12,7 @@ from datetime import date
 
 from pyspark import StorageLevel
 from pyspark.ml import PipelineModel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regrove.catalog import FEATURES, TARGET
@@ -25,6 +25,7 @@ from regrove.operators.split import kfold, stratified_split
 from regrove.plans import registry
 from regrove.plans.learners import PROFILES, SPACES, Study, search
 from regrove.plans.modelling import VECTOR, Base, cross_validate, fit_single, fit_stack, importance, rmse, spread, vectors
+from regrove.plans.trials import param_importance, trial_history, trial_points, trial_summary
 from regrove.session import ensure_checkpoint_dir
 
 # Names the runs are logged and the model is registered under.
@@ -117,6 +118,20 @@ def _log(rows: DataFrame, train: DataFrame, features: Sequence[str], s: Settings
     out.metrics[name], out.run_ids[name] = metrics, run.run_id
 
 
+def _log_study(study: Study, spark: SparkSession, s: Settings) -> None:
+    """Append the trials and the tables their analysis consists of."""
+    root = s.root.rstrip("/")
+    trials = study.frame(spark)
+    trials.coalesce(1).write.mode("append").parquet(f"{root}/trials")
+    depth_points = trial_points(trials, "maxDepth")
+    tables = {"history": trial_history(trials), "importance": param_importance(trials), "depth": depth_points,
+              "summary": trial_summary(trials)}
+    if "stepSize" in SPACES[study.name]:
+        tables["step_size"] = trial_points(trials, "stepSize", "maxDepth")
+    for name, table in tables.items():
+        table.coalesce(1).write.mode("overwrite").parquet(f"{root}/analysis/{study.name}/{name}")
+
+
 def run_training(df: DataFrame, s: Settings) -> Outcome:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
@@ -127,7 +142,7 @@ def run_training(df: DataFrame, s: Settings) -> Outcome:
         train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
         out.studies = tune(train, test, features, s)
         for study in out.studies.values():
-            study.frame(spark).coalesce(1).write.mode("append").parquet(f"{s.root.rstrip('/')}/trials")
+            _log_study(study, spark, s)
 
         bases = {p: Base(p, study.best[2], s.max_trees) for p, study in out.studies.items()}
         for profile, base in bases.items():

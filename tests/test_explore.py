@@ -60,6 +60,9 @@ def test_constant_spread_over_tasks_stays_undefined(spark):
 
 
 def test_guards(spark):
+    assert explore.target_status(spark.createDataFrame([(1.0, NAN), (1.0, None)], "a double, y double"), "y") == "all_null"
+    assert explore.target_status(spark.range(3), "y") == "no_column"
+    assert explore.target_status(spark.range(3), "id") == "ok"
     empty = spark.createDataFrame([(1.0, None), (2.0, NAN)], "a double, y double")
     assert explore.target_correlation(empty, "y").collect() == []
     assert explore.target_correlation(empty, "gone").collect() == []
@@ -85,6 +88,7 @@ def test_leakage_names_but_keeps_target_out(spark):
                                "y double, up double, down double, other double")
     ranked = explore.target_correlation(df, "y")
     assert sorted(r.feature for r in explore.leakage_check(ranked, "y").collect()) == ["down", "up"]
+    assert explore.suggested_exclusions(explore.leakage_check(ranked, "y")) == ["down", "up"]
     assert [r.feature for r in explore.top_correlations(ranked, 2).collect()] == ["up", "y"]
 
 
