@@ -56,8 +56,11 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _split(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
     base = trips(spark, sf_dir, [*TRIP_KEY, TARGET, *columns])
-    labelled = quantile_label(profile.with_target(base, TARGET), TARGET, 4, "label")
-    return split.stratified_split(labelled, "label", TRIP_KEY)
+    return _stratified(profile.with_target(base, TARGET), TARGET)
+
+
+def _stratified(base: DataFrame, target: str) -> DataFrame:
+    return split.stratified_split(quantile_label(base, target, 4, "label"), "label", TRIP_KEY)
 
 
 def _side(rows: DataFrame, side: str) -> DataFrame:
@@ -88,7 +91,8 @@ def _baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    train = _side(modelling.spread(_split(spark, sf_dir, "distance_km")), "train")
+    base = modelling.spread(trips(spark, sf_dir, [*TRIP_KEY, TARGET, "distance_km"]))
+    train = _side(_stratified(profile.with_target(base, TARGET), TARGET), "train")
     return modelling.cross_validate(train, TRIP_KEY, TARGET, _line)
 
 
@@ -196,9 +200,9 @@ BASES = {
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = nan_to_null(trips(spark, sf_dir, [*TRIP_KEY, PLANTED, *MODEL_FEATURES]))
-    labelled = quantile_label(profile.with_target(base, PLANTED), PLANTED, 4, "label")
-    return modelling.spread(split.stratified_split(labelled, "label", TRIP_KEY))
+    """Kept rows of the planted problem; labels and split are row-wise on top of them."""
+    base = profile.with_target(trips(spark, sf_dir, [*TRIP_KEY, PLANTED, *MODEL_FEATURES]), PLANTED)
+    return _stratified(modelling.spread(nan_to_null(base)), PLANTED)
 
 
 def _predict(name: str) -> Query:
