@@ -308,7 +308,7 @@ def oracle_sql() -> dict[str, str]:
         unnest({_list(r(_corr(a, b)) for a, b in pairs)}) AS r FROM feats"""
     sql["leakage_check"] = f"""WITH {FEATS}, {_correlation("planted_target", [*NUMERIC_FEATURES, "planted_target"])}
         SELECT feature, {r('r')} AS r FROM ranked WHERE abs(ranked.r) > {LEAK_THRESHOLD} AND feature <> 'planted_target'"""
-    sql["flagship"] = f"{ranked} SELECT feature, {r('r')} AS r, coalesce(abs(ranked.r) > {LEAK_THRESHOLD}, false) AS suspect FROM ranked ORDER BY ranked.r DESC NULLS LAST, feature LIMIT 15"
+    sql["flagship"] = f"{ranked} SELECT feature, {r('r')} AS r, coalesce(abs(ranked.r) > {LEAK_THRESHOLD} AND feature <> '{Y}', false) AS suspect FROM ranked ORDER BY ranked.r DESC NULLS LAST, feature LIMIT 15"
     sql["with_target"] = f"WITH {TRIPS} SELECT {KEY}, distance_km, avg_speed_kmh FROM trips WHERE avg_speed_kmh IS NOT NULL"
     chosen = [c for c in FEATURES if c in NUMERIC_FEATURES[:9]]
     sql["select_features"] = f"WITH {TRIPS} SELECT {KEY}, {', '.join(chosen)} FROM trips"

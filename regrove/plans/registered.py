@@ -50,7 +50,8 @@ def _ranked(spark: SparkSession, sf_dir: str, target: str = TARGET) -> DataFrame
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which features move with the target, and which look like leaks."""
     top = explore.top_correlations(_ranked(spark, sf_dir), 15)
-    suspect = F.coalesce(F.abs("r") > explore.LEAK_THRESHOLD, F.lit(False)).alias("suspect")
+    leak = (F.abs("r") > explore.LEAK_THRESHOLD) & (F.col("feature") != TARGET)
+    suspect = F.coalesce(leak, F.lit(False)).alias("suspect")
     return top.select("feature", F.round("r", 4).alias("r"), suspect)
 
 
