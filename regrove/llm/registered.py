@@ -7,12 +7,19 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from regrove.llm.decontaminate import OP5_SQL, op5_decontaminate
+from regrove.llm.html_text import op10_html_text
 from regrove.llm.secrets import op6_secrets
+from regrove.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op5_decontaminate": op5_decontaminate, "op6_secrets": op6_secrets}
+    return {
+        "op5_decontaminate": op5_decontaminate,
+        "op6_secrets": op6_secrets,
+        "op8_warc": op8_warc,
+        "op10_html_text": op10_html_text,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL}
+    return {"op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL}
