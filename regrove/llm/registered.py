@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from regrove.llm.decontaminate import OP5_SQL, op5_decontaminate
 from regrove.llm.html_text import op10_html_text
 from regrove.llm.mixing import op3_source_mix
+from regrove.llm.order_minhash import op7_order_minhash
 from regrove.llm.secrets import op6_secrets
 from regrove.llm.simhash import op1_simhash_dedup
 from regrove.llm.warc import OP8_SQL, op8_warc
@@ -20,6 +21,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_source_mix": op3_source_mix,
         "op5_decontaminate": op5_decontaminate,
         "op6_secrets": op6_secrets,
+        "op7_order_minhash": op7_order_minhash,
         "op8_warc": op8_warc,
         "op10_html_text": op10_html_text,
     }
