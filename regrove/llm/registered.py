@@ -12,12 +12,14 @@ from regrove.llm.mixing import op3_source_mix
 from regrove.llm.order_minhash import op7_order_minhash
 from regrove.llm.secrets import op6_secrets
 from regrove.llm.simhash import op1_simhash_dedup
+from regrove.llm.toxicity import op2_toxicity
 from regrove.llm.warc import OP8_SQL, op8_warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_simhash_dedup": op1_simhash_dedup,
+        "op2_toxicity": op2_toxicity,
         "op3_source_mix": op3_source_mix,
         "op5_decontaminate": op5_decontaminate,
         "op6_secrets": op6_secrets,
