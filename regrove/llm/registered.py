@@ -10,6 +10,7 @@ from regrove.llm.decontaminate import OP5_SQL, op5_decontaminate
 from regrove.llm.html_text import op10_html_text
 from regrove.llm.mixing import op3_source_mix
 from regrove.llm.order_minhash import op7_order_minhash
+from regrove.llm.pii import op9_pii
 from regrove.llm.secrets import op6_secrets
 from regrove.llm.simhash import op1_simhash_dedup
 from regrove.llm.toxicity import op2_toxicity
@@ -25,6 +26,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_secrets": op6_secrets,
         "op7_order_minhash": op7_order_minhash,
         "op8_warc": op8_warc,
+        "op9_pii": op9_pii,
         "op10_html_text": op10_html_text,
     }
 
