@@ -18,7 +18,7 @@ table gives an empty mix. Any other column of the input is left out.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regrove.llm.common import pick, table, written
@@ -69,8 +69,7 @@ def ranked(df: DataFrame, column: str) -> DataFrame:
         df.repartitionByRange(F.asc_nulls_last(column)).sortWithinPartitions(F.asc_nulls_last(column)).withColumn("at", F.monotonically_increasing_id()), "ranked")
     part = F.shiftright("at", 33)
     counts = placed.groupBy(part.alias("part")).agg(F.count(F.lit(1)).alias("n"))  # a row per partition
-    before = counts.alias("x").join(counts.alias("y"), F.col("y.part") < F.col("x.part"), "left").groupBy("x.part").agg(
-        F.coalesce(F.sum("y.n"), F.lit(0)).alias("before"))
+    before = counts.select("part", F.coalesce(F.sum("n").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("before"))
     local = F.col("at").bitwiseAND((1 << 33) - 1)
     return placed.withColumn("part", part).join(F.broadcast(before), "part").withColumn("rank", F.col("before") + local).drop("part", "at", "before")
 
