@@ -210,6 +210,7 @@ def labelled(prints: DataFrame, least: str, n_bytes: int, max_bits: int, **index
     reach = linked.groupBy("root").agg(F.min("own").alias("component"))
     reach = linked.join(reach, "root").select("fp", "component", F.lit(True).alias("linked"))
     found = nodes.join(reach, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("own")).alias("component"))
+    found = written(found, "classes")  # so both sides of the next join come straight from a shuffle and a hot fingerprint can be split
     return prints.join(found, "fp")
 
 
