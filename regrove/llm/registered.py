@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from regrove.llm.decontaminate import OP5_SQL, op5_decontaminate
 from regrove.llm.html_text import op10_html_text
+from regrove.llm.lm import op4_lm_score
 from regrove.llm.mixing import op3_source_mix
 from regrove.llm.order_minhash import op7_order_minhash
 from regrove.llm.pii import op9_pii
@@ -22,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_simhash_dedup": op1_simhash_dedup,
         "op2_toxicity": op2_toxicity,
         "op3_source_mix": op3_source_mix,
+        "op4_lm_score": op4_lm_score,
         "op5_decontaminate": op5_decontaminate,
         "op6_secrets": op6_secrets,
         "op7_order_minhash": op7_order_minhash,
