@@ -95,53 +95,53 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"first_word": a, "last_word": b - 1, "start": places[a][0], "end": places[b - 1][1]} for a, b in edges.reshape(-1, 2).tolist()]
 
 
-def _scan(docs: DataFrame, id: str, text: str, patterns: list[str], items: list[list[str]]) -> DataFrame:
+def _scan(docs: DataFrame, keep: tuple[str, ...], text: str, patterns: list[str], items: list[list[str]]) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast((patterns, items))
+    renamed = [f"k{i}" for i in range(len(keep))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         patterns, items = shared.value
         machine = automaton(patterns) if patterns else None
         for part in blocks(batches):
             out: dict[str, list] = {f.name: [] for f in HITS}
-            for value in part.column(1).to_pylist():
+            for value in part.column(len(keep)).to_pylist():
                 n, hit, seen = hits_of(value, machine)
                 out["n_words"].append(n)
                 out["n_hit"].append(int(hit.sum()))
                 out["items"].append(sorted({x for number in seen for x in items[number]}))
                 out["spans"].append(spans_of(value, hit) if seen else [])
             kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([(f.name, pa.int64()) for f in SPAN])))
-            yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], [id, *out])
+            yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], [*renamed, *out])
 
-    picked = pick(docs, id, text)
-    return picked.mapInArrow(scan, T.StructType([picked.schema[id], *HITS]))
+    picked = pick(docs, *keep, text)
+    fields = [T.StructField(n, picked.schema.fields[i].dataType) for i, n in enumerate(renamed)]
+    picked = picked.toDF(*renamed, "scanned")
+    return picked.mapInArrow(scan, T.StructType([*fields, *HITS])).toDF(*keep, *[f.name for f in HITS])
 
 
 def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, id: str = "doc_id", text: str = "text", bench_text: str = "text", bench_id: str = "item_id",
+    docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", bench_text: str = "text", bench_id: str = "item_id",
     window: int = WINDOW, block_windows: int = BLOCK_WINDOWS,
 ) -> DataFrame:
-    """Per document: id, n_words, n_hit, items (ids as text, sorted), spans (runs of hit words).
+    """Per document: the columns `keep`, n_words, n_hit, items (ids as text, sorted), spans (runs of hit words).
 
     The windows are counted first. Up to `block_windows` go to every task; a larger set is dealt into blocks by hash, the
     documents are scanned once per block, and the blocks' spans are merged per document.
     """
-    found = windows(benchmark, bench_text, bench_id, window)
-    found = written(found, "windows")
+    found = written(windows(benchmark, bench_text, bench_id, window), "windows")
     n_blocks = max(1, -(-found.count() // block_windows))
-    named = pick(docs, id, text)
     if n_blocks == 1:
         rows = found.collect()
-        return _scan(named, id, text, [r["pattern"] for r in rows], [r["items"] for r in rows])
-    named = written(named.withColumn("row", F.monotonically_increasing_id()), "numbered")
-    parts = []
+        return _scan(docs, keep, text, [r["pattern"] for r in rows], [r["items"] for r in rows])
+    plain = pick(docs, *keep, text)
+    names = [f"k{i}" for i in range(len(keep))]
+    named = written(plain.toDF(*names, "scanned").withColumn("row", F.monotonically_increasing_id()), "numbered")
+    every = None
     for k in range(n_blocks):
         rows = found.where(F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)) == k).collect()
-        part = _scan(named, "row", text, [r["pattern"] for r in rows], [r["items"] for r in rows])
-        parts.append(part)
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.union(part)
-    # spans of the blocks, sorted, laid over each other: a running union keeps words that two blocks hit once
+        part = _scan(named, ("row",), "scanned", [r["pattern"] for r in rows], [r["items"] for r in rows])
+        every = part if every is None else every.union(part)
+    # the blocks' spans, sorted, laid over each other: words that two blocks hit count once
     merged = every.groupBy("row").agg(
         F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
@@ -151,15 +151,15 @@ def find_contamination(
         "'first_word', element_at(a, -1).first_word, 'last_word', greatest(element_at(a, -1).last_word, s.last_word), "
         "'start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))) else concat(a, array(s)) end)",
     )).withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + s.last_word - s.first_word + 1)"))
-    return named.select("row", id).join(merged, "row").select(id, *[f.name for f in HITS])
+    return named.select("row", *names).join(merged, "row").select(*names, *[f.name for f in HITS]).toDF(*keep, *[f.name for f in HITS])
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:
     found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select(
         "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"), "spans",
-    ).drop("spans")
+        F.sha2(F.concat_ws(",", F.array_sort("items")), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
 
 
 _WORDS_SQL = r"regexp_extract_all({}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"

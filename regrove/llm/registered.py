@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from regrove.llm.decontaminate import OP5_SQL, op5_decontaminate
 from regrove.llm.html_text import op10_html_text
 from regrove.llm.lm import op4_lm_score
@@ -30,8 +31,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_pii": op9_pii,
         "op10_html_text": op10_html_text,
+        "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL}
+    sql = {"op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL}
+    return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})

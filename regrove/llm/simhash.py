@@ -32,6 +32,8 @@ from regrove.llm.graph import components
 SEED = 42
 #: Rows of a posting list that are compared in one piece.
 BLOCK = 4096
+#: Narrow rows (some 20 to 60 bytes) that are broadcast at most; more of them are joined by a shuffle.
+BROADCAST_ROWS = 500_000
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -156,24 +158,27 @@ def forest(cell: np.ndarray, side: np.ndarray, by: np.ndarray, shared: int, max_
     return np.array(left, np.int64), np.array(right, np.int64)
 
 
-def links(nodes: DataFrame, n_bytes: int, max_bits: int, key_bytes: int = 3, shared: int | None = None, guaranteed: int | None = None, block: int = BLOCK) -> DataFrame:
-    """(a, b): links between distinct fingerprints (column fp) within `max_bits`, up to those that others imply.
+def small_or_not(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """A written table, marked for broadcasting if it has at most so many (narrow) rows; else Spark shuffles for it."""
+    return F.broadcast(df) if df.count() <= rows else df
+
+
+def cells(rows: DataFrame, group: str, key: str, block: int) -> DataFrame:
+    """`rows` with lo, hi, side: groups of over `block` rows are dealt by hash into blocks, and each row goes to every cell of two
+    blocks that holds its own. In a cell lo = hi all rows meet (side -1), else rows of side 0 meet those of side 1."""
+    large = written(rows.groupBy(group).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > block), "large-groups")
+    parts = F.coalesce(F.ceil(F.col("n") / F.lit(block)), F.lit(1)).cast("int")
+    dealt = rows.join(small_or_not(large), group, "left").select(*rows.columns, parts.alias("parts"), F.pmod(F.xxhash64(key), parts).cast("int").alias("own"))
+    dealt = dealt.select(*rows.columns, "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other"))
+    return dealt.select(
+        group, F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
+        F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), *[c for c in rows.columns if c != group])
 
-    `guaranteed` is the number of shared positional bytes for which the index is complete (default: n_bytes - max_bits),
-    `shared` the least tally a pair needs (default: the same).
-    """
-    guaranteed = guaranteed or n_bytes - max_bits
-    least = shared or guaranteed
-    sets = key_sets(n_bytes, guaranteed, key_bytes)
-    posted = postings(nodes, sets)
-    busy = posted.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    parts = F.ceil(F.col("n") / F.lit(block)).cast("int")
-    dealt = posted.join(busy, "bucket").select(
-        "bucket", "fp", parts.alias("parts"), F.pmod(F.xxhash64("fp"), parts).cast("int").alias("own"))
-    dealt = dealt.select("bucket", "fp", "own", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select(
-        "bucket", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"),
-        F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), "fp")
-    dealt = dealt.repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
+
+def links(nodes: DataFrame, sets: list[tuple[int, ...]], shared: int, max_bits: int, block: int = BLOCK) -> DataFrame:
+    """(a, b): links between distinct fingerprints (column fp) that meet under a key set, share `shared` positional bytes at least
+    and differ in `max_bits` bits at most, up to those that others imply."""
+    dealt = cells(postings(nodes, sets), "bucket", "fp", block).repartition("bucket", "lo", "hi").sortWithinPartitions("bucket", "lo", "hi")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def work(rows: pa.Table) -> pa.RecordBatch:
@@ -181,7 +186,7 @@ def links(nodes: DataFrame, n_bytes: int, max_bits: int, key_bytes: int = 3, sha
             cell = np.cumsum(np.concatenate(([0], (keys[:, 1:] != keys[:, :-1]).any(0).astype(np.int64))))
             fps = rows.column(4).to_pylist()
             by = np.frombuffer(b"".join(fps), np.uint8).reshape(len(fps), -1)
-            a, b = forest(cell, rows.column(3).to_numpy(), by, least, max_bits)
+            a, b = forest(cell, rows.column(3).to_numpy(), by, shared, max_bits)
             return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in a.tolist()], pa.binary()), pa.array([fps[i] for i in b.tolist()], pa.binary())], ["a", "b"])
 
         held: pa.Table | None = None
@@ -201,25 +206,101 @@ def links(nodes: DataFrame, n_bytes: int, max_bits: int, key_bytes: int = 3, sha
     return dealt.mapInArrow(run, "a binary, b binary")
 
 
-def labelled(prints: DataFrame, least: str, n_bytes: int, max_bits: int, **index) -> DataFrame:
-    """`prints` (written; with fp) and `component`: the least value of column `least` among all that can be reached."""
-    nodes = written(prints.groupBy("fp").agg(F.min(least).alias("own")), "nodes")
-    roots = written(components(links(nodes, n_bytes, max_bits, **index)), "roots")
-    linked = roots.union(roots.select("root", "root").distinct()).withColumnRenamed("node", "fp")
-    linked = linked.join(nodes, "fp")
-    reach = linked.groupBy("root").agg(F.min("own").alias("component"))
-    reach = linked.join(reach, "root").select("fp", "component", F.lit(True).alias("linked"))
-    found = nodes.join(reach, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("own")).alias("component"))
-    found = written(found, "classes")  # so both sides of the next join come straight from a shuffle and a hot fingerprint can be split
-    return prints.join(found, "fp")
+def reach(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(fp, root) of the fingerprints that have a link."""
+    roots = written(components(edges), "roots")
+    return roots.select(F.col("node").alias("fp"), "root").union(roots.select(F.col("root").alias("fp"), "root").distinct())
 
 
-def near_duplicates(
-    docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4, lanes: int = 1, key_bytes: int = 3, **index,
-) -> DataFrame:
-    """Per row of `docs`: id, fp (binary), component (the smallest id reachable over links, its own included)."""
-    prints = written(fingerprints(docs, (id,), text, shingle, lanes), "fingerprints")
-    return labelled(prints, id, 8 * lanes, max_bits, key_bytes=key_bytes, **index).select(id, "fp", "component")
+def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4, key_bytes: int = 3, block: int = BLOCK) -> DataFrame:
+    """Per row of `docs`: id, fp (binary, 64 bits), component (the smallest id reachable over links, its own included).
+
+    The index is complete: two fingerprints within `max_bits` (at most 6) bits share 8 - max_bits positional bytes.
+    """
+    prints = written(fingerprints(docs, (id,), text, shingle), "fingerprints")
+    nodes = written(prints.groupBy("fp").agg(F.min(id).alias("own")), "nodes")
+    linked = reach(nodes, links(nodes, key_sets(8, 8 - max_bits, key_bytes), 8 - max_bits, max_bits, block)).join(nodes, "fp")
+    least = linked.groupBy("root").agg(F.min("own").alias("component"))
+    linked = linked.join(least, "root").select("fp", "component", F.lit(True).alias("linked"))
+    found = nodes.join(linked, "fp", "left").select("fp", F.when(F.col("linked"), F.col("component")).otherwise(F.col("own")).alias("component"))
+    found = written(found, "classes")  # so both sides of the next join come straight from a shuffle and a hot fingerprint can be split
+    return prints.join(found, "fp").select(id, "fp", "component")
+
+
+#: Fingerprints for a similarity of shingle sets: lanes, bytes of a key group, least tally, share of differing bits.
+WIDE_LANES, WIDE_GROUP, WIDE_SHARED, WIDE_BITS = 6, 3, 5, 0.2
+SET_BLOCK = 512
+
+
+def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """For each set the number of the first set of its component, links being a Jaccard similarity of `similarity` or more."""
+    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = count[column] > 1
+    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
+    both = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
+        lo, hi = np.searchsorted(column, (start, start + 4096))
+        part = np.zeros((len(sets), 4096), np.float32)
+        part[owner[lo:hi], column[lo:hi] - start] = 1
+        both += part @ part.T
+    size = np.array([len(x) for x in sets], np.float64)
+    linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
+    np.fill_diagonal(linked, True)
+    label = np.arange(len(sets))
+    while True:  # the least label among the neighbours, until none changes
+        new = np.where(linked, label[None, :], len(sets)).min(1)
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def set_links(rows: DataFrame, similarity: float, block: int = SET_BLOCK) -> DataFrame:
+    """(a, b): links between fingerprints of one coarse component (columns root, fp, hashes: shingle hashes as bytes)."""
+    dealt = cells(rows.select("root", "fp", "hashes"), "root", "fp", block)
+
+    def run(cell: pa.Table) -> pa.Table:
+        fps = cell.column("fp").to_pylist()
+        label = _alike([np.frombuffer(h, np.uint64) for h in cell.column("hashes").to_pylist()], similarity)
+        pairs = [(fps[i], fps[k]) for i, k in enumerate(label.tolist()) if i != k]
+        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
+
+    return dealt.groupBy("root", "lo", "hi").applyInArrow(run, "a binary, b binary")
+
+
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """The rows of `docs` (a table's scan, whose row numbers stay the same when it is read again), one of each group of near-duplicates.
+
+    Near-duplicates have shingle sets of Jaccard similarity `similarity` or more. Fingerprints of 384 bits give candidates: the
+    index posts them under pairs of bytes out of three neighbours, tallies and verifies bits; what hangs together so is compared by
+    its exact sets, in blocks. The smallest id of a group stays (null ids last, then the first row). Texts without words are one
+    group of exact copies.
+    """
+    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("row", F.monotonically_increasing_id())
+    key, value = (f"c{docs.columns.index(c)}" for c in (id, text))
+    prints = written(fingerprints(numbered, ("row", key), value, shingle, WIDE_LANES, distinct=True), "fingerprints")
+    n_bytes = 8 * WIDE_LANES
+    nodes = written(prints.where(F.col("fp") != F.lit(bytes(n_bytes))).groupBy("fp").agg(F.min("row").alias("row")), "nodes")
+    sets = [(*pair,) for start in range(0, n_bytes, WIDE_GROUP) for pair in itertools.combinations(range(start, start + WIDE_GROUP), 2)]
+    coarse = written(reach(nodes, links(nodes, sets, WIDE_SHARED, int(WIDE_BITS * 8 * n_bytes))).join(nodes, "fp"), "coarse")
+    texts = numbered.select("row", value).join(small_or_not(coarse), "row").select("root", "fp", F.col(value).alias("text"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches):
+            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], ["root", "fp", "hashes"])
+
+    hashes = written(texts.mapInArrow(hashed, "root binary, fp binary, hashes binary"), "shingle-sets")
+    groups = written(reach(nodes, set_links(hashes, similarity)).withColumnRenamed("root", "group"), "groups")
+    members = prints.join(groups, "fp", "left").select("row", key, F.coalesce("group", "fp").alias("group"))
+    members = written(members, "members")
+    first = members.groupBy("group").agg(F.min(F.struct(F.isnull(key).alias("n"), F.col(key), F.col("row"))).alias("first"))
+    first = written(first.select("group", F.col("first.row").alias("kept")), "first")
+    dropped = written(members.join(first, "group").where("row <> kept").select("row"), "dropped")
+    return numbered.join(small_or_not(dropped), "row", "left_anti").drop("row").toDF(*docs.columns)
 
 
 def op1_simhash_dedup(spark, sf_dir: str) -> DataFrame:
