@@ -171,7 +171,7 @@ def assemble(records: DataFrame) -> DataFrame:
         F.lit(None).cast("struct<record_id:string,target_uri:string>").alias("request"), member("record_id", "page_id").alias("metadata"))
     grouped = main.union(requests).union(facts).groupBy("capture").agg(
         F.first("response", ignorenulls=True).alias("response"), F.collect_list("request").alias("requests"), F.collect_list("metadata").alias("metadata"))
-    return grouped.select(F.col("capture").alias("record_id"), F.expr("metadata[0].page_id").alias("page_id"), "response", "requests", "metadata")
+    return grouped.select(F.col("capture").alias("record_id"), F.expr("get(metadata, 0).page_id").alias("page_id"), "response", "requests", "metadata")
 
 
 def op8_warc(spark, sf_dir: str) -> DataFrame:
