@@ -81,14 +81,17 @@ class EliasFano:
         end = self._select(high, False) - high
         if first is not None:
             start, end = np.maximum(start, first), np.minimum(end, last)
-        open_ = np.flatnonzero(start < end)
-        at = start[open_]
-        while len(open_):
-            value = self._low(at)
-            want = low[open_]
-            out[open_[value == want]] = at[value == want]
-            go = (value < want) & (at + 1 < end[open_])
-            open_, at = open_[go], at[go] + 1
+        lo, hi = start.copy(), end.copy()
+        open_ = np.flatnonzero(lo < hi)
+        while len(open_):  # values of one high part are sorted by their low bits, and may be many where a context is dense
+            middle = (lo[open_] + hi[open_]) >> 1
+            less = self._low(middle) < low[open_]
+            lo[open_[less]] = middle[less] + 1
+            hi[open_[~less]] = middle[~less]
+            open_ = open_[lo[open_] < hi[open_]]
+        inside = np.flatnonzero(lo < end)
+        hit = inside[self._low(lo[inside]) == low[inside]]
+        out[hit] = lo[hit]
         return out
 
 
@@ -133,14 +136,18 @@ class Trie:
         out = np.zeros(len(keys))
         for start in range(0, len(keys), piece):
             part = keys[start:start + piece]
-            context = self.contexts.find(part >> np.uint64(32))
-            relative = self.names.find(part & np.uint64(2**32 - 1))
-            known = np.flatnonzero((context >= 0) & (relative >= 0))
+            # sorted keys come in runs of one context, which is looked up once
+            wanted, run = np.unique(part >> np.uint64(32), return_inverse=True)
+            context = self.contexts.find(wanted)
+            held = np.maximum(context, 0)
+            first, last = (self.pointers.access(held + k).astype(np.int64) for k in (0, 1))
+            known = np.flatnonzero(context[run] >= 0)
+            relative = self.names.find(part[known] & np.uint64(2**32 - 1))
+            known, relative = known[relative >= 0], relative[relative >= 0]
             if not len(known):
                 continue
-            c, r = context[known], relative[known]
-            first, last = self.pointers.access(c).astype(np.int64), self.pointers.access(c + 1).astype(np.int64)
-            at = self.successors.find((c * self.width + r).astype(np.uint64), first, last)
+            own = run[known]
+            at = self.successors.find((context[own] * self.width + relative).astype(np.uint64), first[own], last[own])
             found = at >= 0
             out[start + known[found]] = 10 ** (self.least + self.codes[at[found]] * self.step)
         return out
