@@ -23,7 +23,6 @@ def main() -> None:
     parser.add_argument("--exclude", default="", help="features to leave out, comma separated")
     parser.add_argument("--trials", type=int, default=25)
     parser.add_argument("--folds", type=int, default=5)
-    parser.add_argument("--max-trees", type=int, default=None)
     parser.add_argument("--selection", choices=["validation", "test"], default="validation")
     parser.add_argument("--profile-only", action="store_true")
     args = parser.parse_args()
@@ -38,9 +37,11 @@ def main() -> None:
     outcome = run_training(table, Settings(
         root=args.root, key=args.key.split(","), exclude=[c for c in args.exclude.split(",") if c],
         source_table=args.table if "/" in args.table else f"{args.catalog}.{args.table}",
-        trials=args.trials, folds=args.folds, max_trees=args.max_trees, selection=args.selection,
+        trials=args.trials, folds=args.folds, selection=args.selection,
     ))
-    compare_runs(read_runs(spark, f"{args.root.rstrip('/')}/log")).show(50, truncate=False)
+    runs = compare_runs(read_runs(spark, f"{args.root.rstrip('/')}/log"))
+    runs.coalesce(1).write.mode("overwrite").parquet(f"{args.root.rstrip('/')}/comparison")
+    runs.show(runs.count(), truncate=False)
     print(outcome.registration)
 
 

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regrove.functions.nulls import NUMERIC, clean, col, present
+from regrove.operators.split import row_hash
 
 LEAK_THRESHOLD = 0.95
 
@@ -84,10 +85,15 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     )
 
 
-def scatter_points(df: DataFrame, x: str, y: str, fraction: float = 1.0, seed: int = 42) -> DataFrame:
-    """Complete (x, y) pairs; `fraction` thins them for a plot with a fixed seed."""
-    points = df.where(_all_present(df, (x, y))).select(col(x), col(y))
-    return points if fraction >= 1.0 else points.sample(fraction=fraction, seed=seed)
+def scatter_points(df: DataFrame, x: str, y: str, fraction: float = 1.0, key: Sequence[str] = (), seed: int = 42) -> DataFrame:
+    """Complete (x, y) pairs. `fraction` thins them for a plot: rows stay whose hashed `key` falls below it, however
+    they are partitioned."""
+    points = df.where(_all_present(df, (x, y)))
+    if fraction < 1.0:
+        if not key:
+            raise ValueError("a sample needs the columns that identify a row")
+        points = points.where(F.substring(row_hash(key, seed), 1, 6) < f"{int(fraction * 16 ** 6):06x}")
+    return points.select(col(x), col(y))
 
 
 def numeric_features(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
@@ -207,13 +213,13 @@ def _name(columns: Sequence[str], index: str) -> Column:
 
 
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Correlation of each numeric column with the target, highest first, undefined last, target included.
+    """Rank and correlation of each numeric column with the target, highest first, undefined last, target included.
 
     Without a target column, or with no target value at all, the result is empty.
     """
     spark = df.sparkSession
     if target not in numeric_features(df):
-        return spark.createDataFrame([], "feature string, r double")
+        return spark.createDataFrame([], "rank int, feature string, r double")
     columns = list(numeric_features(df) if columns is None else columns)
     if target not in columns:
         columns.append(target)
@@ -227,14 +233,14 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None
         listed.join(measured, "feature", "left")
         .withColumn("any_pair", F.max("n").over(every_feature))
         .where(F.col("any_pair").isNotNull())
-        .select("feature", "r")
-        .orderBy(F.col("r").desc_nulls_last(), "feature")
+        .select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("r").desc_nulls_last(), "feature")).alias("rank"), "feature", "r")
+        .orderBy("rank")
     )
 
 
 def top_correlations(ranked: DataFrame, n: int = 15) -> DataFrame:
     """The first n of `target_correlation` (the target's own row counts)."""
-    return ranked.orderBy(F.col("r").desc_nulls_last(), "feature").limit(n)
+    return ranked.where(F.col("rank") <= n).orderBy("rank")
 
 
 def correlation_matrix(df: DataFrame, columns: Sequence[str]) -> DataFrame:

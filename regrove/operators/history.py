@@ -1,9 +1,8 @@
 """Features from earlier trips: rolling 30 days per vehicle, last 10 trips per route, fleet ratio.
 
-Neither history lets one busy vehicle or route decide the size of a task. Plain window
-partitions are used while every group is small by count. Beyond that, the rolling window
-runs over per-second sums cut into window-long tiles, and the last-n window over blocks
-of fixed row count.
+Neither history lets one busy vehicle or route decide the size of a task. The rolling window
+runs over per-second sums cut into window-long tiles, the last-n window over blocks of fixed
+row count cut from one sort by ranges.
 """
 
 from __future__ import annotations
@@ -15,12 +14,10 @@ from pyspark.sql import functions as F
 
 from regrove.functions.nulls import clean, col
 from regrove.functions.times import wall_seconds
+from regrove.session import scratch_path
 
-# A window partition is sorted by one task; beyond this many rows it is split.
-PARTITION_ROWS = 5_000_000
+# Rows of a group that one window partition holds, besides the few repeated ahead of them.
 BLOCK_ROWS = 100_000
-# Trips of one vehicle within a window length; beyond this a sliding window costs too much.
-WINDOW_ROWS = 10_000
 
 VEHICLE_COLUMNS = [
     "vehicle_avg_efficiency_last30", "vehicle_avg_energy_last30", "vehicle_stddev_energy_last30",
@@ -34,36 +31,18 @@ def efficiency(df: DataFrame, energy: str, distance: str) -> Column:
 
 def vehicle_history(df: DataFrame, vehicle: str = "VehId", ts: str = "feature_timestamp",
                     energy: str = "target_energy_consumption", distance: str = "distance_km",
-                    days: int = 30, partition_rows: int = PARTITION_ROWS, window_rows: int = WINDOW_ROWS) -> DataFrame:
+                    days: int = 30) -> DataFrame:
     """Adds the vehicle's mean efficiency, energy, distance, energy std and trip count of the
     `days` days before the trip; trips of the same second do not count. A trip of unknown
     vehicle or time has no history.
-
-    A plain range window is used while no vehicle is too large for one task and no window
-    holds many trips (its cost is trips x trips per window). Both are counted first.
     """
     span = days * 86400
     keyed = df.withColumn("__t", wall_seconds(col(ts)))
-    per_tile = keyed.groupBy(col(vehicle).alias("v"), F.floor(F.col("__t") / span).alias("tile")).count()
-    per_vehicle = per_tile.groupBy("v").agg(F.max("count").alias("tile_rows"), F.sum("count").alias("rows"))
-    tile_rows, rows = per_vehicle.agg(F.max("tile_rows"), F.max("rows")).first()
-    if (tile_rows or 0) <= window_rows and (rows or 0) <= partition_rows:
-        out = _rolling(keyed, vehicle, span, energy, distance)
-    else:
-        out = _tiled(keyed, vehicle, span, energy, distance)
-    return out.drop("__t")
-
-
-def _rolling(keyed: DataFrame, vehicle: str, span: int, energy: str, distance: str) -> DataFrame:
-    past = Window.partitionBy(col(vehicle)).orderBy("__t").rangeBetween(-span, -1)
-    e, known = clean(keyed, energy), col(vehicle).isNotNull() & F.col("__t").isNotNull()
-    values = [F.avg(efficiency(keyed, energy, distance)), F.avg(e), F.stddev_samp(e), F.avg(clean(keyed, distance)),
-              F.count(F.lit(1))]
-    return keyed.withColumns({name: F.when(known, v.over(past)) for name, v in zip(VEHICLE_COLUMNS, values)})
+    return _tiled(keyed, vehicle, span, energy, distance).drop("__t")
 
 
 def _tiled(keyed: DataFrame, vehicle: str, span: int, energy: str, distance: str) -> DataFrame:
-    """The same without a bound on a vehicle's trips.
+    """Window sums without a bound on a vehicle's trips.
 
     1. Trips are summed per (vehicle, second), map-side first: a window over these rows is
        bounded by time, not by trips.
@@ -105,70 +84,46 @@ def _tiled(keyed: DataFrame, vehicle: str, span: int, energy: str, distance: str
         F.when(F.col("n_e") > 1, F.col("n_e") - 1),
     )
     past = totals.select(
-        "v", "t",
+        F.col("v").alias("__v"), F.col("t").alias("__s"),
         *[c.alias(name) for name, c in zip(VEHICLE_COLUMNS, (
             F.try_divide("s_eff", "n_eff"), F.col("base") + F.try_divide("d_e", "n_e"), F.sqrt(variance),
             F.try_divide("s_dist", "n_dist"), F.col("trips"),
         ))],
     )
-    return keyed.join(past, (col(vehicle) == F.col("v")) & (F.col("__t") == F.col("t")), "left").drop("v", "t")
-
-
-def _largest(df: DataFrame, *by: Column) -> int:
-    """Rows of the largest group: counted map-side, one number to the driver."""
-    return df.groupBy(*by).count().agg(F.max("count")).first()[0] or 0
-
-
-def _chunks(df: DataFrame, route: Sequence[str], order: Sequence[str], limit: int) -> tuple[Column, Column]:
-    """Order-preserving pieces of a route, the coarsest whose rows fit one task.
-
-    Days, then hours, minutes and seconds; where even one second is too full, ranges of
-    the first tie-break column inside it.
-    """
-    seconds = wall_seconds(col(order[0]))
-    single = F.lit(0)
-    for width in (86400, 3600, 60, 1):
-        piece = F.floor(seconds / width)
-        if _largest(df, *[col(c) for c in route], piece) <= limit:
-            return piece, single
-    tie = order[1] if len(order) > 1 else None
-    if tie is None or df.schema[tie].dataType.typeName() not in ("byte", "short", "integer", "long"):
-        return seconds, single
-    lo, hi = df.agg(F.min(col(tie)), F.max(col(tie))).first()
-    return seconds, F.floor((col(tie) - F.lit(lo)) / F.lit(max(1, (hi - lo + 1) // 10_000)))
+    return keyed.join(past, (col(vehicle) == F.col("__v")) & (F.col("__t") == F.col("__s")), "left").drop("__v", "__s")
 
 
 def last_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], aggregates: Mapping[str, Column],
-              rows: int, position: str, partition_rows: int = PARTITION_ROWS,
-              block_rows: int = BLOCK_ROWS) -> DataFrame:
+              rows: int, position: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds each aggregate over the `rows` rows before the current one in its group, and the
-    number of all earlier rows as `position`. `order` must start with a timestamp and end in a key.
+    number of all earlier rows as `position`. `order` must end in a key.
+
+    Rows are sorted once by ranges of group and order together, so a busy group, a busy
+    instant or a constant tie-break is cut wherever its rows differ. The sorted rows are
+    written to the shared folder, which fixes their places.
     """
     by = [col(c) for c in group]
     sorting = [col(c) for c in order]
-    if _largest(df, *by) <= partition_rows:
-        w = Window.partitionBy(*by).orderBy(*sorting)
-        recent = w.rowsBetween(-rows, -1)
-        return df.withColumns({
-            **{name: agg.over(recent) for name, agg in aggregates.items()},
-            position: (F.row_number().over(w) - 1).cast("long"),
-        })
-
-    # 1. the global position of every row: position in its chunk + rows of earlier chunks
-    piece, part = _chunks(df, group, order, partition_rows)
-    chunked = df.withColumns({"__c": piece, "__p": part})
-    local = chunked.withColumn("__i", F.row_number().over(Window.partitionBy(*by, "__c", "__p").orderBy(*sorting)) - 1)
-    earlier = Window.partitionBy(*[f"__g{i}" for i in range(len(group))]).orderBy("__c", "__p").rowsBetween(
-        Window.unboundedPreceding, -1)
+
+    # 1. the position of every row: its place in its sorted partition, less the place of its
+    #    group's first row there, plus the group's rows in earlier partitions
+    path = scratch_path(df.sparkSession, "sorted")
+    placed = df.repartitionByRange(*by, *sorting).sortWithinPartitions(*by, *sorting)
+    placed.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
+    placed = df.sparkSession.read.parquet(path).withColumns({
+        "__part": F.shiftright("__at", 33), "__i": F.col("__at").bitwiseAND((1 << 33) - 1),
+    })
+    named = [f"__g{i}" for i in range(len(group))]
+    earlier = Window.partitionBy(*named).orderBy("__op").rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        chunked.groupBy(*[c.alias(f"__g{i}") for i, c in enumerate(by)], "__c", "__p").count()
-        .withColumn("__offset", F.coalesce(F.sum("count").over(earlier), F.lit(0)))
-        .drop("count").withColumnsRenamed({"__c": "__oc", "__p": "__op"})
+        placed.groupBy(*[c.alias(n) for n, c in zip(named, by)], F.col("__part").alias("__op"))
+        .agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__first"))
+        .withColumn("__offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
     )
-    match = F.col("__c").eqNullSafe(F.col("__oc")) & (F.col("__p").eqNullSafe(F.col("__op")))
-    for i, c in enumerate(by):
-        match = match & c.eqNullSafe(F.col(f"__g{i}"))
-    placed = local.join(offsets, match).withColumn(position, F.col("__offset") + F.col("__i"))
+    match = F.col("__part") == F.col("__op")
+    for n, c in zip(named, by):
+        match = match & c.eqNullSafe(F.col(n))
+    placed = placed.join(offsets, match).withColumn(position, F.col("__offset") + F.col("__i") - F.col("__first"))
     placed = placed.select(*[col(c) for c in df.columns], position)
 
     # 2. blocks of fixed size; the last rows of a block are repeated ahead of the next one
@@ -182,8 +137,7 @@ def last_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], aggrega
 
 def route_history(df: DataFrame, route: Sequence[str], key: Sequence[str], ts: str = "feature_timestamp",
                   energy: str = "target_energy_consumption", duration: str = "duration_minutes",
-                  speed: str = "avg_speed_kmh", trips: int = 10, partition_rows: int = PARTITION_ROWS,
-                  block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  speed: str = "avg_speed_kmh", trips: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
     """Adds the route's mean energy, duration and speed over its previous `trips` trips and the
     number of all previous trips. Trips of the same instant are ordered by `key`.
     """
@@ -194,7 +148,7 @@ def route_history(df: DataFrame, route: Sequence[str], key: Sequence[str], ts: s
             "route_avg_duration_last10": F.avg(clean(df, duration)),
             "route_avg_speed_last10": F.avg(clean(df, speed)),
         },
-        trips, "route_trip_count", partition_rows, block_rows,
+        trips, "route_trip_count", block_rows,
     )
 
 

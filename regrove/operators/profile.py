@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regrove.functions.nulls import clean, col, present
@@ -49,15 +49,18 @@ def _percent(part: str, total: str):
 
 
 def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
-    """Columns with missing values: count and percent (2 decimals, half-even), most missing first."""
+    """Columns with missing values: rank, count and percent (2 decimals, half-even), most missing first."""
     columns = list(df.columns if columns is None else [c for c in columns if c in df.columns])
     if not columns:
-        return df.sparkSession.createDataFrame([], "column string, missing_count long, missing_pct double")
+        return df.sparkSession.createDataFrame([], "rank int, column string, missing_count long, missing_pct double")
     return (
         _null_counts(df, columns)
         .where(F.col("missing_count") > 0)
-        .select("column", "missing_count", F.bround(_percent("missing_count", "n_total"), 2).alias("missing_pct"))
-        .orderBy(F.desc("missing_count"), "column")
+        .select(
+            F.row_number().over(Window.orderBy(F.desc("missing_count"), "column")).alias("rank"),  # one row per column
+            "column", "missing_count", F.bround(_percent("missing_count", "n_total"), 2).alias("missing_pct"),
+        )
+        .orderBy("rank")
     )
 
 
@@ -120,21 +123,23 @@ def column_range(df: DataFrame, column: str, approx: bool = False) -> DataFrame:
 def distinct_sample(df: DataFrame, columns: Iterable[str], n: int = 10) -> DataFrame:
     """The first `n` distinct values of each column, ascending, missing last.
 
-    Each column is de-duplicated map-side and cut by a top-n, so no task sorts more than
-    the distinct values of its own input.
+    The columns become (ordinal, value) pairs in one scan, de-duplicated map-side and
+    numbered per column. Values sort as numbers where a column is numeric, else as text.
     """
-    out = None
-    for i, name in enumerate(c for c in columns if c in df.columns):
-        value = clean(df, name)
-        part = (
-            df.select(value.alias("v")).distinct()
-            .orderBy(F.col("v").asc_nulls_last()).limit(n)
-            .select(F.lit(i).alias("ordinal"), F.lit(name).alias("column"), F.col("v").cast("string").alias("value"))
-        )
-        out = part if out is None else out.unionByName(part)
-    if out is None:
+    names = [c for c in columns if c in df.columns]
+    if not names:
         return df.sparkSession.createDataFrame([], "ordinal int, column string, value string")
-    return out
+    numeric = {f.name for f in df.schema.fields if f.dataType.typeName() in ("byte", "short", "integer", "long", "float", "double")}
+    cells = [
+        F.struct(
+            F.lit(i).alias("ordinal"), F.lit(c).alias("column"), clean(df, c).cast("string").alias("value"),
+            (clean(df, c).cast("double") if c in numeric else F.lit(None).cast("double")).alias("number"),
+        )
+        for i, c in enumerate(names)
+    ]
+    distinct = df.select(F.explode(F.array(*cells)).alias("cell")).select("cell.*").distinct()
+    place = F.row_number().over(Window.partitionBy("ordinal").orderBy(F.col("value").isNull(), "number", "value"))
+    return distinct.withColumn("place", place).where(F.col("place") <= n).select("ordinal", "column", "value")
 
 
 def feature_presence(df: DataFrame, expected: Sequence[str]) -> DataFrame:

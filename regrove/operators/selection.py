@@ -4,8 +4,11 @@ Spark's `percentile` keeps every distinct value of a global aggregate in one tas
 each wanted rank is first bracketed by two pivots taken from a mergeable sketch
 (`percentile_approx`, fixed memory), the rows around the pivots are counted exactly, and
 only the open interval holding the rank is looked at again. A pass keeps about
-4 / accuracy of the rows, so a trillion values need two narrowing passes. What remains
-is small by count, and only then is it sorted.
+4 / accuracy of the rows. Below its accuracy the sketch is exact, so brackets shrink to
+single values by themselves.
+
+The column is read twice: once for count, bounds and first pivots, once to count around
+them while the rows between them are kept. Later passes read those rows alone.
 """
 
 from __future__ import annotations
@@ -14,14 +17,15 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from math import ceil, floor
 
-from pyspark.sql import Column, DataFrame
+from pyspark import StorageLevel
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from regrove.functions.nulls import clean
 
-# Values sorted in one task at most (8 bytes each).
-SORT_LIMIT = 1_000_000
 SKETCH_ACCURACY = 10_000
+# Distance of the pivots from a rank, as a share of the rows; the sketch is off by half of it at most.
+SLACK = 2.0 / SKETCH_ACCURACY
 
 
 @dataclass
@@ -39,26 +43,13 @@ def _within(v: Column, b: _Bracket) -> Column:
     return (v >= F.lit(b.lo)) & (v <= F.lit(b.hi))
 
 
-def order_statistics(values: DataFrame, ranks: Sequence[int], n: int, lo: float, hi: float,
-                     sort_limit: int = SORT_LIMIT) -> dict[int, float]:
-    """Value at each 0-based rank of the single non-null column `v`, whose count, min and max are known."""
-    v = F.col("v")
+def order_statistics(values: DataFrame, brackets: Sequence[_Bracket]) -> dict[int, float]:
+    """Value at each bracket's rank of the single non-null column `v`. Only rows inside the brackets are read."""
     found: dict[int, float] = {}
-    open_brackets = [_Bracket(r, lo, hi, 0, n) for r in sorted(set(ranks))]
+    open_brackets = list(brackets)
     while open_brackets:
-        small = [b for b in open_brackets if b.inside <= sort_limit and b.lo < b.hi]
-        for b in open_brackets:
-            if b.lo == b.hi:
-                found[b.rank] = b.lo
-        # brackets with the same bounds share one sorted array
-        for bounds in {(b.lo, b.hi) for b in small}:
-            group = [b for b in small if (b.lo, b.hi) == bounds]
-            ordered = F.sort_array(F.collect_list(v)).alias("s")
-            picked = values.where(_within(v, group[0])).agg(ordered).select(
-                *[F.element_at("s", b.rank - b.below + 1) for b in group]
-            ).first()
-            found.update({b.rank: picked[i] for i, b in enumerate(group)})
-        open_brackets = _narrow(values, [b for b in open_brackets if b.inside > sort_limit and b.lo < b.hi], found)
+        found.update({b.rank: b.lo for b in open_brackets if b.lo == b.hi})
+        open_brackets = _narrow(values, [b for b in open_brackets if b.lo < b.hi], found)
     return found
 
 
@@ -70,8 +61,7 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], found: dict[int, float]
     sketches = []
     for i, b in enumerate(brackets):
         at = (b.rank - b.below + 0.5) / b.inside
-        slack = 2.0 / SKETCH_ACCURACY
-        probs = [max(0.0, at - slack), min(1.0, at + slack)]
+        probs = [max(0.0, at - SLACK), min(1.0, at + SLACK)]
         sketches.append(F.percentile_approx(F.when(_within(v, b), v), probs, SKETCH_ACCURACY).alias(f"p{i}"))
     pivots = values.agg(*sketches).first()
 
@@ -113,17 +103,41 @@ def _narrow(values: DataFrame, brackets: list[_Bracket], found: dict[int, float]
     return rest
 
 
-def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
-                    sort_limit: int = SORT_LIMIT) -> list[float | None]:
+def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float]) -> list[float | None]:
     """Exact quantiles with linear interpolation; missing values are left out. Runs jobs."""
     v = F.col("v")
     values = df.select(clean(df, column).cast("double").alias("v")).where(v.isNotNull())
-    n, lo, hi = values.agg(F.count(v), F.min(v), F.max(v)).first()
+    around = [x for p in probs for x in (max(0.0, p - SLACK), min(1.0, p + SLACK))]
+    n, lo, hi, pivots = values.agg(F.count(v), F.min(v), F.max(v), F.percentile_approx(v, around, SKETCH_ACCURACY)).first()
     if n == 0:
         return [None] * len(probs)
     spots = [p * (n - 1) for p in probs]
-    ranks = {r for s in spots for r in (floor(s), ceil(s))}
-    at = order_statistics(values, sorted(ranks), n, lo, hi, sort_limit)
+    pairs = [(lo if p - SLACK <= 0 else pivots[2 * i], hi if p + SLACK >= 1 else pivots[2 * i + 1]) for i, p in enumerate(probs)]
+
+    # the second read counts around the pivots and keeps the rows between them
+    counts = Observation()
+    seen = values.observe(counts, *[
+        c for i, (a, z) in enumerate(pairs)
+        for c in (F.count_if(v < F.lit(a)).alias(f"below{i}"), F.count_if(v.between(F.lit(a), F.lit(z))).alias(f"inside{i}"))
+    ])
+    between = F.lit(False)
+    for a, z in set(pairs):
+        between = between | v.between(F.lit(a), F.lit(z))
+    kept = seen.where(between).persist(StorageLevel.MEMORY_AND_DISK)
+    try:
+        kept.count()
+        c, inner, outer = counts.get, {}, {}
+        for i, spot in enumerate(spots):
+            for rank in {floor(spot), ceil(spot)}:
+                a, z, below, inside = *pairs[i], c[f"below{i}"], c[f"inside{i}"]
+                if below <= rank < below + inside:
+                    inner[rank] = _Bracket(rank, a, z, below, inside)
+                elif rank not in inner:  # a neighbour of a pivot
+                    outer[rank] = _Bracket(rank, lo, hi, 0, n)
+        at = order_statistics(kept, list(inner.values()))
+        at.update(order_statistics(values, [b for r, b in outer.items() if r not in at]))
+    finally:
+        kept.unpersist()
     out = []
     for s in spots:
         low, high = at[floor(s)], at[ceil(s)]
@@ -131,14 +145,13 @@ def exact_quantiles(df: DataFrame, column: str, probs: Sequence[float],
     return out
 
 
-def quantile_label(df: DataFrame, column: str, q: int = 4, label: str = "label",
-                   sort_limit: int = SORT_LIMIT) -> DataFrame:
+def quantile_label(df: DataFrame, column: str, q: int = 4, label: str = "label") -> DataFrame:
     """Adds the quantile bin 0..q-1: exact edges, right-closed, lowest edge included, equal edges merged.
 
     The edges are literals, so the label itself is a row-wise expression. A constant
     column is one bin; a missing value has no label.
     """
-    edges = exact_quantiles(df, column, [i / q for i in range(q + 1)], sort_limit)
+    edges = exact_quantiles(df, column, [i / q for i in range(q + 1)])
     value = clean(df, column).cast("double")
     if edges[0] is None:
         return df.withColumn(label, F.lit(None).cast("int"))

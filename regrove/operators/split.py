@@ -3,7 +3,8 @@
 Rows are ordered by md5(seed, key). Cutting that order into parts only needs the hash at
 each cut, not the rank of every row. A cut is found by counting hash prefixes (map-side,
 4,096 groups per stratum), keeping the one prefix that holds it, and counting its next
-digits until few rows are left. The part of a row is then a row-wise comparison, so the
+digits until the prefix holds a single hash. The rows are read twice: once for the first
+count, once to keep the rows under the cuts' prefixes, which later counts read alone. The part of a row is then a row-wise comparison, so the
 result depends on neither the partitioning nor on any re-run of a task.
 """
 
@@ -13,13 +14,14 @@ from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 from math import ceil
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from regrove.functions.nulls import clean, col
 
-_DIGITS = 3           # hex digits counted per pass
-_COLLECT_ROWS = 2000  # rows per cut whose hashes may come to the driver
+_DIGITS = 3          # hex digits counted per pass
+MAX_STRATA = 1_000   # classes; 4,096 counts each come to the driver
 
 
 def row_hash(key: Sequence[str], seed: int | str) -> Column:
@@ -60,59 +62,53 @@ class _Cut:
         return self.rank < self.before + self.equal
 
 
-def _tally(rows: DataFrame, depth: int) -> dict[tuple, list[tuple[str, int]]]:
-    """Rows per longer prefix, grouped by stratum and the prefix already fixed: map-side sums, few rows out."""
+_Counts = dict[tuple, list[tuple[str, int, str, str]]]
+
+
+def _tally(rows: DataFrame, depth: int) -> _Counts:
+    """Rows, least and greatest hash per longer prefix, grouped by stratum and the prefix already fixed: map-side sums, few rows out."""
     prefix = F.substring("h", 1, depth + _DIGITS).alias("p")
-    tallies: dict[tuple, list[tuple[str, int]]] = {}
-    for stratum, p, count in sorted(rows.groupBy("stratum", prefix).count().collect(), key=lambda r: r[1]):
-        tallies.setdefault((stratum, p[:depth]), []).append((p, count))
+    counted = rows.groupBy("stratum", prefix).agg(F.count(F.lit(1)), F.min("h"), F.max("h"))
+    limit = MAX_STRATA * 16 ** _DIGITS
+    found = counted.limit(limit + 1).collect()
+    if len(found) > limit:
+        raise ValueError(f"more than {MAX_STRATA} strata: a split needs a label of few classes")
+    tallies: _Counts = {}
+    for stratum, p, *counts in sorted(found, key=lambda r: r[1]):
+        tallies.setdefault((stratum, p[:depth]), []).append((p, *counts))
     return tallies
 
 
-def _find_cuts(rows: DataFrame, first: dict[tuple, list[tuple[str, int]]], wanted: Sequence[tuple[object, int]],
-               width: int) -> list[_Cut]:
-    """Locate each (stratum, rank >= 1) in the frame `stratum, h`; h has `width` hex digits."""
+def _find_cuts(rows: DataFrame, first: _Counts, wanted: Sequence[tuple[object, int]]) -> list[_Cut]:
+    """Locate each (stratum, rank >= 1) in the frame `stratum, h`."""
     cuts = [_Cut(s, r) for s, r in wanted]
     done: list[_Cut] = []
-    depth, tallies = 0, first
-    while cuts:
-        sizes = {}
-        for c in cuts:
-            for p, count in tallies[(c.stratum, c.hash)]:
-                if c.rank <= c.before + count:
-                    c.hash, sizes[id(c)] = p, count
-                    break
-                c.before += count
-        depth += _DIGITS
-        if depth >= width:
+    depth, tallies, kept = 0, first, None
+    try:
+        while True:
+            open_ = []
             for c in cuts:
-                c.equal = sizes[id(c)]
-            return done + cuts
-        done += _finish(rows, [c for c in cuts if sizes[id(c)] <= _COLLECT_ROWS], depth)
-        cuts = [c for c in cuts if sizes[id(c)] > _COLLECT_ROWS]
-        if cuts:
-            tallies = _tally(_at_prefix(rows, cuts, depth), depth)
-    return done
-
-
-def _at_prefix(rows: DataFrame, cuts: Sequence[_Cut], depth: int) -> DataFrame:
-    """Rows under any of the cuts' prefixes. One hash per row; rows of other strata do no harm."""
-    return rows.where(F.substring("h", 1, depth).isin(sorted({c.hash for c in cuts})))
-
-
-def _finish(rows: DataFrame, cuts: list[_Cut], depth: int) -> list[_Cut]:
-    """Read the few hashes under each remaining prefix and settle the cut."""
-    if not cuts:
-        return []
-    groups: dict[tuple, list[str]] = {}
-    for stratum, h in _at_prefix(rows, cuts, depth).select("stratum", "h").collect():
-        groups.setdefault((stratum, h[:depth]), []).append(h)
-    for c in cuts:
-        hashes = sorted(groups[(c.stratum, c.hash)])
-        c.hash = hashes[c.rank - c.before - 1]
-        c.before += sum(h < c.hash for h in hashes)
-        c.equal = hashes.count(c.hash)
-    return cuts
+                for p, count, least, greatest in tallies[(c.stratum, c.hash)]:
+                    if c.rank <= c.before + count:
+                        c.hash = p
+                        if least == greatest:
+                            c.hash, c.equal = least, count
+                            done.append(c)
+                        else:
+                            open_.append(c)
+                        break
+                    c.before += count
+            cuts, depth = open_, depth + _DIGITS
+            if not cuts:
+                return done
+            # one hash per row; rows of other strata under the same prefix do no harm
+            under = (rows if kept is None else kept).where(F.substring("h", 1, depth).isin(sorted({c.hash for c in cuts})))
+            if kept is None:
+                kept = under = under.persist(StorageLevel.MEMORY_AND_DISK)
+            tallies = _tally(under, depth)
+    finally:
+        if kept is not None:
+            kept.unpersist()
 
 
 Sizes = dict[object, int]
@@ -129,21 +125,21 @@ def assign_parts(df: DataFrame, key: Sequence[str], plan: Callable[[Sizes], Mapp
     """
     stratum = F.lit(0) if stratum is None else stratum
 
-    def locate(order: Column, width: int) -> tuple[list[_Cut], Mapping[object, Sequence[int]]]:
+    def locate(order: Column) -> tuple[list[_Cut], Mapping[object, Sequence[int]]]:
         rows = df.select(stratum.alias("stratum"), order.alias("h"))
         first = _tally(rows, 0)
-        sizes = plan({s: sum(n for _, n in prefixes) for (s, _), prefixes in first.items()})
+        sizes = plan({s: sum(p[1] for p in prefixes) for (s, _), prefixes in first.items()})
         wanted = []
         for s, parts in sizes.items():
             ends = dict.fromkeys(sum(parts[:i]) for i in range(1, len(parts)))
             wanted += [(s, e) for e in ends if e > 0]
-        return _find_cuts(rows, first, wanted, width), sizes
+        return _find_cuts(rows, first, wanted), sizes
 
     order = row_hash(key, seed)
-    cuts, sizes = locate(order, 32)
+    cuts, sizes = locate(order)
     if any(c.torn for c in cuts):
         order = F.concat(order, F.md5(F.to_json(F.struct(*[col(c) for c in df.columns]))))
-        cuts, sizes = locate(order, 64)
+        cuts, sizes = locate(order)
 
     at = {(c.stratum, c.rank): c for c in cuts}
     code = F.lit(None).cast("int")

@@ -71,12 +71,15 @@ SPACES: dict[str, dict[str, Int | Float | LogFloat]] = {
 }
 PROFILES = list(SPACES)
 
+# Histogram memory per task: one pass over the rows per level of deep trees.
+MEMORY_MB = 1024
+
 _WHOLE = {"maxIter", "maxDepth", "minInstancesPerNode", "numTrees", "maxBins"}
 
 
 def learner(profile: str, params: Mapping[str, float], label: str, features: str = "features",
-            prediction: str = "prediction", max_trees: int | None = None, seed: int = 42):
-    """A Spark ML estimator of the profile. `max_trees` caps the number of trees (a cost setting)."""
+            prediction: str = "prediction", seed: int = 42):
+    """A Spark ML estimator of the profile, with exactly these parameters."""
     if profile not in SPACES:
         raise ValueError(f"unknown learner profile {profile!r}")
     forest = profile == "forest"
@@ -84,13 +87,13 @@ def learner(profile: str, params: Mapping[str, float], label: str, features: str
     for name, value in params.items():
         if name == "featureSubset":
             settings["featureSubsetStrategy"] = "all" if value >= 1.0 else repr(float(value))
+        elif isinstance(value, bool):
+            settings[name] = value
         else:
             settings[name] = int(value) if name in _WHOLE else float(value)
-    trees = "numTrees" if forest else "maxIter"
-    if max_trees is not None:
-        settings[trees] = min(int(settings.get(trees, max_trees)), max_trees)
     estimator = (RandomForestRegressor if forest else GBTRegressor)(
         labelCol=label, featuresCol=features, predictionCol=prediction, seed=seed, checkpointInterval=10,
+        cacheNodeIds=True, maxMemoryInMB=MEMORY_MB,
     )
     return estimator.setParams(**settings)
 
@@ -113,11 +116,12 @@ class Study:
 
 def in_threads(spark: SparkSession, tasks: list[Callable[[], object]], parallelism: int) -> list:
     """Submit Spark work from several driver threads; results in order."""
-    run = inheritable_thread_target(spark)(lambda task: task())
     if parallelism <= 1 or len(tasks) <= 1:
         return [task() for task in tasks]
+    # wrapped one by one: threads that share one set of local properties lose each other's execution ids
+    own = [inheritable_thread_target(spark)(task) for task in tasks]
     with ThreadPool(min(parallelism, len(tasks))) as pool:
-        return pool.map(run, tasks, chunksize=1)
+        return pool.map(lambda task: task(), own, chunksize=1)
 
 
 def search(spark: SparkSession, name: str, space: Mapping[str, Int | Float | LogFloat],

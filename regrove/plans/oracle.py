@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import math
+import random
+
 from regrove.catalog import FEATURE_GROUPS, FEATURES
 from regrove.operators.explore import LEAK_THRESHOLD
 from regrove.operators.features import COMPLEXITY_WEIGHTS, DISTANCE_CUTS, RUSH_HOURS, SPEED_CUTS
@@ -102,7 +105,6 @@ NUMERIC_FEATURES = [
     "battery_soc_range", "battery_usage_rate", "energy_per_km", "elevation_per_minute", "trip_complexity_score",
     "is_rush_hour", "is_weekend", "hour_sin", "hour_cos", "distance_category", "speed_category",
 ]
-MATRIX_COLUMNS = [Y, *NUMERIC_FEATURES[:9], "speed_squared", "elevation_gradient"]
 PREP_COLUMNS = ["distance_km", "avg_speed_kmh", "max_speed_kmh", "elevation_gain_m"]
 RIDGE_COLUMNS = ["distance_km", "avg_speed_kmh", "max_speed_kmh"]
 
@@ -118,7 +120,7 @@ def _names(columns) -> str:
 def _missing(source: str, columns: list[str]) -> str:
     counts = _list(f"count(*) - count({c})" for c in columns)
     return f"""
-    SELECT "column", missing_count, round_even(missing_count * 100.0 / n_total, 2) AS missing_pct
+    SELECT CAST(row_number() OVER (ORDER BY missing_count DESC, "column") AS INTEGER) AS rank, "column", missing_count, round_even(missing_count * 100.0 / n_total, 2) AS missing_pct
     FROM (SELECT unnest({_names(columns)}) AS "column", unnest({counts}) AS missing_count, count(*) AS n_total FROM {source})
     WHERE missing_count > 0"""
 
@@ -280,8 +282,56 @@ def _scatter(x: str, y: str, bins: int) -> str:
     FROM complete, bounds GROUP BY 1, 2"""
 
 
+# A stump's cell is the high step alone, a tree's cell both steps; a cell predicts the mean of its training rows.
+STEPPED = f"""{SPLIT},
+    stepped AS (SELECT *, distance_km >= 25 AS high, l_linenumber >= 4 AS low,
+      price_cents + CASE WHEN distance_km >= 25 THEN 1000000000 ELSE 0 END + CASE WHEN l_linenumber >= 4 THEN 100000000 ELSE 0 END AS y FROM split_rows),
+    train AS (SELECT * FROM stepped WHERE split = 'train'),
+    stump AS (SELECT high, avg(y) AS p FROM train GROUP BY high),
+    tree AS (SELECT high, low, avg(y) AS p FROM train GROUP BY high, low)"""
+
+
+def _stack() -> str:
+    """Out-of-fold cell means, a ridge blend of the two in closed form (penalty 1), cell means of all training rows."""
+    return f"""WITH {STEPPED}, {_fold("train", "stack-42", 5)},
+    folds AS (SELECT DISTINCT fold FROM folded),
+    stumps AS (SELECT f.fold, t.high, avg(t.y) AS p FROM folds f JOIN folded t ON t.fold <> f.fold GROUP BY ALL),
+    trees AS (SELECT f.fold, t.high, t.low, avg(t.y) AS p FROM folds f JOIN folded t ON t.fold <> f.fold GROUP BY ALL),
+    out AS (SELECT CAST(r.y AS DOUBLE) AS y, s.p AS a, t.p AS b FROM folded r JOIN stumps s ON s.fold = r.fold AND s.high = r.high
+      JOIN trees t ON t.fold = r.fold AND t.high = r.high AND t.low = r.low),
+    m AS (SELECT var_pop(a) * count(*) + 1.0 AS aa, var_pop(b) * count(*) + 1.0 AS bb, covar_pop(a, b) * count(*) AS ab,
+      covar_pop(a, y) * count(*) AS ay, covar_pop(b, y) * count(*) AS by_, avg(a) AS ma, avg(b) AS mb, avg(y) AS my FROM out),
+    w AS (SELECT (ay * bb - by_ * ab) / (aa * bb - ab * ab) AS wa, (aa * by_ - ab * ay) / (aa * bb - ab * ab) AS wb, ma, mb, my FROM m)
+    SELECT {KEY}, split, {r("(my - wa * ma - wb * mb + wa * s.p + wb * t.p) / 1000000")} AS prediction
+    FROM stepped x JOIN stump s ON s.high = x.high JOIN tree t ON t.high = x.high AND t.low = x.low, w"""
+
+
+def _alpha() -> str:
+    """The same seeded draws as literals; one-column ridge in closed form on four folds, judged on the fifth."""
+    rng = random.Random(42)
+    draws = [math.exp(rng.uniform(math.log(1.0), math.log(10_000_000.0))) for _ in range(25)]
+    listed = ", ".join(f"({i}, {d!r})" for i, d in enumerate(draws))
+    return f"""WITH {SPLIT}, train AS (SELECT * FROM split_rows WHERE split = 'train'), {_fold("train", "validation-42", 5)},
+    draws AS (SELECT * FROM (VALUES {listed}) d(number, alpha)),
+    m AS (SELECT var_pop(distance_km) * count(*) AS xx, covar_pop(distance_km, {Y}) * count(*) AS xy, avg(distance_km) AS mx, avg({Y}) AS my
+      FROM folded WHERE fold <> 0),
+    scores AS (SELECT number, sqrt(avg(power({Y} - (my + (distance_km - mx) * xy / (xx + alpha)), 2))) AS value
+      FROM folded, m, draws WHERE fold = 0 GROUP BY number)
+    SELECT CAST(number AS INTEGER) AS number, {r("value")} AS value, {r("min(value) OVER ()")} AS best_value,
+      row_number() OVER (ORDER BY scores.value, number) = 1 AS is_best FROM scores"""
+
+
 def oracle_sql() -> dict[str, str]:
     sql: dict[str, str] = {}
+    in_millions = r("p / 1000000") + " AS prediction"
+    sql["tree_exact"] = f"WITH {STEPPED} SELECT {KEY}, split, {in_millions} FROM stepped JOIN stump USING (high)"
+    sql["forest_exact"] = f"WITH {STEPPED} SELECT {KEY}, split, {in_millions} FROM stepped JOIN tree USING (high, low)"
+    sql["champion_exact"] = sql["forest_exact"]
+    sql["importance_exact"] = "SELECT unnest(['distance_km', 'l_linenumber']) AS feature, unnest([CAST(1 AS DOUBLE), 0]) AS importance"
+    sql["stack_exact"] = _stack()
+    sql["search_alpha"] = _alpha()
+    sampled = f"substr({_hash('42')}, 1, 6) < '{int(0.1 * 16 ** 6):06x}'"
+    sql["scatter_sample"] = f"WITH {TRIPS} SELECT avg_speed_kmh, {Y} FROM trips WHERE avg_speed_kmh IS NOT NULL AND {Y} IS NOT NULL AND {sampled}"
     sql["table_scan"] = "SELECT * FROM lineitem"
     sql["shape"] = "SELECT count(*) AS n_rows, 11 AS n_columns FROM lineitem"
     sql["missing_profile"] = f"WITH {TRIPS} {_missing('trips', [Y, 'distance_km', 'duration_minutes', 'avg_speed_kmh', 'max_speed_kmh', 'avg_battery_soc', 'avg_elevation_m', 'elevation_gain_m'])}"
@@ -301,14 +351,19 @@ def oracle_sql() -> dict[str, str]:
     sql["scatter_elevation"] = _scatter("elevation_gain_m", "price_cents", 50)
     sql["scatter_points"] = f"WITH {TRIPS} SELECT avg_speed_kmh, {Y} FROM trips WHERE avg_speed_kmh IS NOT NULL AND {Y} IS NOT NULL"
     ranked = f"WITH {FEATS}, {_correlation(Y, [*NUMERIC_FEATURES, Y])}"
-    sql["target_correlation"] = f"{ranked} SELECT feature, {r('r')} AS r FROM ranked"
-    sql["correlation_top15"] = f"{ranked} SELECT feature, {r('r')} AS r FROM ranked ORDER BY ranked.r DESC NULLS LAST, feature LIMIT 15"
-    pairs = [(a, b) for a in MATRIX_COLUMNS for b in MATRIX_COLUMNS]
-    sql["correlation_matrix"] = f"""WITH {FEATS} SELECT unnest({_names(a for a, _ in pairs)}) AS a, unnest({_names(b for _, b in pairs)}) AS b,
-        unnest({_list(r(_corr(a, b)) for a, b in pairs)}) AS r FROM feats"""
+    place = "CAST(row_number() OVER (ORDER BY ranked.r DESC NULLS LAST, feature) AS INTEGER) AS rank"
+    sql["target_correlation"] = f"{ranked} SELECT {place}, feature, {r('r')} AS r FROM ranked"
+    sql["correlation_top15"] = f"{ranked} SELECT {place}, feature, {r('r')} AS r FROM ranked ORDER BY ranked.r DESC NULLS LAST, feature LIMIT 15"
+    every = [*NUMERIC_FEATURES, Y]
+    sql["correlation_matrix"] = f"""{ranked},
+        top AS (SELECT feature FROM ranked ORDER BY r DESC NULLS LAST, feature LIMIT 12),
+        long AS (SELECT row_number() OVER () AS i, unnest({_names(every)}) AS feature, unnest({_list(f"CAST({c} AS DOUBLE)" for c in every)}) AS v
+          FROM (SELECT * FROM feats)),
+        cells AS (SELECT p.i, feature, v FROM (SELECT i, feature, v FROM long) p JOIN top USING (feature))
+        SELECT x.feature AS a, y.feature AS b, {r(_corr("x.v", "y.v"))} AS r FROM cells x JOIN cells y ON x.i = y.i GROUP BY ALL"""
     sql["leakage_check"] = f"""WITH {FEATS}, {_correlation("planted_target", [*NUMERIC_FEATURES, "planted_target"])}
-        SELECT feature, {r('r')} AS r FROM ranked WHERE abs(ranked.r) > {LEAK_THRESHOLD} AND feature <> 'planted_target'"""
-    sql["flagship"] = f"{ranked} SELECT feature, {r('r')} AS r, coalesce(abs(ranked.r) > {LEAK_THRESHOLD} AND feature <> '{Y}', false) AS suspect FROM ranked ORDER BY ranked.r DESC NULLS LAST, feature LIMIT 15"
+        SELECT rank, feature, {r('r')} AS r FROM (SELECT {place}, * FROM ranked) ranked WHERE abs(ranked.r) > {LEAK_THRESHOLD} AND feature <> 'planted_target'"""
+    sql["flagship"] = f"{ranked} SELECT {place}, feature, {r('r')} AS r, coalesce(abs(ranked.r) > {LEAK_THRESHOLD} AND feature <> '{Y}', false) AS suspect FROM ranked ORDER BY ranked.r DESC NULLS LAST, feature LIMIT 15"
     sql["with_target"] = f"WITH {TRIPS} SELECT {KEY}, distance_km, avg_speed_kmh FROM trips WHERE avg_speed_kmh IS NOT NULL"
     chosen = [c for c in FEATURES if c in NUMERIC_FEATURES[:9]]
     sql["select_features"] = f"WITH {TRIPS} SELECT {KEY}, {', '.join(chosen)} FROM trips"
@@ -330,7 +385,7 @@ def oracle_sql() -> dict[str, str]:
     sql["cross_validation"] = f"WITH {CV} SELECT fold, {r('rmse')} AS rmse FROM scores"
     sql["cv_summary"] = f"WITH {CV} SELECT count(*) AS folds, {r('avg(rmse)')} AS rmse_mean, {r('stddev_pop(rmse)')} AS rmse_std FROM scores"
     sql["ridge"] = _ridge()
-    sql["search_runs"] = f"WITH {RUNS} SELECT run_id, run_name, {r('test_rmse')} AS test_rmse, {r('test_r2', 6)} AS test_r2 FROM runs"
+    sql["search_runs"] = f"WITH {RUNS} SELECT CAST(row_number() OVER (ORDER BY runs.test_rmse ASC NULLS LAST, run_id) AS INTEGER) AS rank, run_id, run_name, {r('test_rmse')} AS test_rmse, {r('test_r2', 6)} AS test_r2 FROM runs"
     sql["compare_runs"] = f"""WITH {RUNS} SELECT run_id, coalesce(run_name, 'Unknown') AS run_name,
         coalesce({r('test_rmse')}, CAST('inf' AS DOUBLE)) AS test_rmse, coalesce({r('test_r2', 6)}, 0.0) AS test_r2 FROM runs"""
     sql["best_run"] = f"""WITH {RUNS} SELECT run_id, coalesce(run_name, 'Unknown') AS run_name, {r('test_rmse')} AS test_rmse, {r('test_r2', 6)} AS test_r2
@@ -340,8 +395,10 @@ def oracle_sql() -> dict[str, str]:
     importance = ", ".join(f"abs({_corr(p, 'value')})" for p in ("depth", "learning_rate", "random_strength"))
     sql["param_importance"] = f"""WITH {TRIALS}, each_study AS (SELECT study,
         unnest(['depth', 'learning_rate', 'random_strength']) AS param, unnest([{importance}]) AS importance FROM trials GROUP BY study)
-        SELECT study, param, {r('importance')} AS importance FROM each_study"""
-    sql["trial_points"] = f"""WITH {TRIALS} SELECT study, number, {r('learning_rate', 6)} AS x, {r('value')} AS value, {r('random_strength', 6)} AS colour FROM trials"""
+        SELECT study, param, {r('importance')} AS importance,
+        CAST(row_number() OVER (PARTITION BY study ORDER BY round(each_study.importance, 9) DESC NULLS LAST, param) AS INTEGER) AS rank FROM each_study"""
+    sql["trial_points"] = f"""WITH {TRIALS} SELECT study, number, {r('learning_rate', 6)} AS x, {r('value')} AS value, {r('random_strength', 6)} AS colour,
+        row_number() OVER (PARTITION BY study ORDER BY trials.value, number) = 1 AS is_best FROM trials"""
     sql["trial_summary"] = f"""WITH {TRIALS} SELECT study, count(*) AS trials, arg_min(number, value) AS best_number, {r('min(value)')} AS best_value,
         {r('max(value)')} AS worst_value, {r('(max(value) - min(value)) / nullif(max(value), 0) * 100')} AS improvement_pct
         FROM trials GROUP BY study"""

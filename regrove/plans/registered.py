@@ -13,8 +13,7 @@ from regrove.functions.nulls import nan_to_null
 from regrove.operators import explore, features, history, prep, profile, split
 from regrove.operators.metrics import fold_summary, regression_metrics, ridge
 from regrove.operators.selection import quantile_label
-from regrove.plans import modelling, registry, trials as trial_analysis
-from regrove.plans.oracle import MATRIX_COLUMNS, NUMERIC_FEATURES, PREP_COLUMNS, RIDGE_COLUMNS
+from regrove.plans import learners, modelling, registry, trials as trial_analysis
 from regrove.session import scratch_path
 from regrove.sources.feature_table import ROUTE
 from regrove.sources.tables import load
@@ -43,8 +42,16 @@ def _row_features(spark: SparkSession, sf_dir: str, target: str | None = None) -
     return features.row_features(nan_to_null(frame))
 
 
+#: Numbers that identify a trip or its places, or are another target: no features.
+NOT_FEATURES = [*TRIP_KEY, "DayNum", "VehId", "Trip", "start_timestamp_ms", "origin_nation", "dest_nation", "origin_lat", "origin_lon",
+                "dest_lat", "dest_lon", TARGET, "planted_target"]
+PREP_COLUMNS = ["distance_km", "avg_speed_kmh", "max_speed_kmh", "elevation_gain_m"]
+RIDGE_COLUMNS = PREP_COLUMNS[:3]
+
+
 def _ranked(spark: SparkSession, sf_dir: str, target: str = TARGET) -> DataFrame:
-    return explore.target_correlation(_row_features(spark, sf_dir, target), target, NUMERIC_FEATURES)
+    frame = _row_features(spark, sf_dir, target)
+    return explore.target_correlation(frame, target, explore.numeric_features(frame, NOT_FEATURES))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -52,7 +59,7 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = explore.top_correlations(_ranked(spark, sf_dir), 15)
     leak = (F.abs("r") > explore.LEAK_THRESHOLD) & (F.col("feature") != TARGET)
     suspect = F.coalesce(leak, F.lit(False)).alias("suspect")
-    return top.select("feature", F.round("r", 4).alias("r"), suspect)
+    return top.select("rank", "feature", F.round("r", 4).alias("r"), suspect)
 
 
 def _split(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
@@ -92,9 +99,12 @@ def _baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = modelling.spread(trips(spark, sf_dir, [*TRIP_KEY, TARGET, "distance_km"]))
-    train = _side(_stratified(profile.with_target(base, TARGET), TARGET), "train")
-    return modelling.cross_validate(train, TRIP_KEY, TARGET, _line)
+    base = modelling.spread(trips(spark, sf_dir, [*TRIP_KEY, TARGET, "distance_km"]), TRIP_KEY)
+    try:
+        train = _side(_stratified(profile.with_target(base, TARGET), TARGET), "train")
+        return modelling.cross_validate(train, TRIP_KEY, TARGET, _line, parallelism=5)
+    finally:
+        base.unpersist()
 
 
 def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,6 +144,7 @@ def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _run_columns(runs: DataFrame) -> DataFrame:
     return rounded(runs.select(
+        *[c for c in ("rank",) if c in runs.columns],
         "run_id", "run_name", F.col("metrics")["test_rmse"].alias("test_rmse"), F.col("metrics")["test_r2"].alias("test_r2"),
     ), test_r2=6)
 
@@ -203,7 +214,7 @@ BASES = {
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Kept rows of the planted problem; labels and split are row-wise on top of them."""
     base = profile.with_target(trips(spark, sf_dir, [*TRIP_KEY, PLANTED, *MODEL_FEATURES]), PLANTED)
-    return _stratified(modelling.spread(nan_to_null(base)), PLANTED)
+    return _stratified(modelling.spread(nan_to_null(base), TRIP_KEY), PLANTED)
 
 
 def _predict(name: str) -> Query:
@@ -221,7 +232,7 @@ def _importance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stacking(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _planted(spark, sf_dir)
-    model = modelling.fit_stack(_side(rows, "train"), MODEL_FEATURES, PLANTED, TRIP_KEY, BASES, k=3, parallelism=3)
+    model = modelling.fit_stack(_side(rows, "train"), MODEL_FEATURES, PLANTED, TRIP_KEY, BASES, k=5, parallelism=5)
     return model.transform(rows).select(*TRIP_KEY, "split", PLANTED, "prediction")
 
 
@@ -243,16 +254,96 @@ def _score_champion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return models.score("trip-energy", rows).select(*TRIP_KEY, "split", PLANTED, "prediction")
 
 
+# --- trees whose predictions are plain means, so that SQL can check them ----------------------------
+
+STEPPED, STEPS = "stepped", ["distance_km", "l_linenumber"]
+#: One tree over all rows and all features.
+ONE_TREE = {"numTrees": 1, "maxBins": 64, "bootstrap": False, "subsamplingRate": 1.0, "featureSubset": 1.0}
+STUMP_AND_TREE = {
+    "stump": modelling.Base("boost_shallow", {"maxIter": 1, "maxDepth": 1, "maxBins": 64}),
+    "tree": modelling.Base("forest", ONE_TREE | {"maxDepth": 2}),
+}
+
+
+def _stepped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole cents with a high step in one feature and a lower one in another: sums are exact, and no other split is better."""
+    rows = _split(spark, sf_dir, "distance_km")
+    high, low = F.col("distance_km") >= 25, F.col("l_linenumber") >= 4
+    return rows.withColumn(STEPPED, F.col("price_cents") + F.when(high, 1_000_000_000).otherwise(0) + F.when(low, 100_000_000).otherwise(0))
+
+
+def _millions(rows: DataFrame) -> DataFrame:
+    return rounded(rows.select(*TRIP_KEY, "split", (F.col("prediction") / 1_000_000).alias("prediction")))
+
+
+def _one_tree(name: str, params: dict) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = _stepped(spark, sf_dir)
+        return _millions(modelling.fit_single(_side(rows, "train"), STEPS, STEPPED, modelling.Base(name, params)).transform(rows))
+    return run
+
+
+def _importance_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    train = _side(_stepped(spark, sf_dir), "train")
+    model = modelling.fit_single(train, STEPS, STEPPED, modelling.Base("forest", ONE_TREE | {"maxDepth": 1}))
+    return rounded(modelling.importance(model))
+
+
+def _stack_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _stepped(spark, sf_dir)
+    return _millions(modelling.fit_stack(_side(rows, "train"), STEPS, STEPPED, TRIP_KEY, STUMP_AND_TREE, k=5, parallelism=5).transform(rows))
+
+
+def _champion_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both trees are logged, the better one is registered under a schema of its own, and the alias holder scores every row."""
+    rows, root = _stepped(spark, sf_dir), scratch_path(spark, "registry")
+    for name, base in STUMP_AND_TREE.items():
+        train = _side(rows, "train")
+        model = modelling.fit_single(train, STEPS, STEPPED, base)
+        run = registry.Run(name, dict(base.params), {"test_rmse": modelling.rmse(model.transform(_side(rows, "test")), STEPPED)}, {}, STEPS)
+        run.model_path = registry.save_model(model, train, STEPS, f"{root}/runs/{run.run_id}")
+        registry.log_run(spark, f"{root}/log", run)
+    models = registry.Registry(spark, root)
+    outcome = models.promote("dev.ml_models.stepped", registry.best_run(registry.read_runs(spark, f"{root}/log")).first().asDict())
+    if outcome.error:
+        raise RuntimeError(outcome.error)
+    return _millions(models.score("dev.ml_models.stepped", rows))
+
+
+def _search_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """25 seeded draws of a ridge penalty, each judged on a held-out fold of the training rows."""
+    train = _side(_split(spark, sf_dir, "distance_km"), "train")
+    folded = split.kfold(train, TRIP_KEY, 5, "validation-42", "v").select("v", "distance_km", TARGET).persist()
+    fitting, held = folded.where("v <> 0"), folded.where("v = 0")
+
+    def evaluate(params: dict[str, float]) -> float:
+        fit = ridge(fitting, ["distance_km"], TARGET, params["alpha"])
+        return modelling.rmse(held.withColumn("prediction", F.lit(fit.intercept) + F.col("distance_km") * F.lit(fit.coefficients[0])), TARGET)
+
+    try:
+        study = learners.search(spark, "alpha", {"alpha": learners.LogFloat(1.0, 10_000_000.0)}, evaluate, 25, 42, 5)
+    finally:
+        folded.unpersist()
+    history = trial_analysis.trial_history(study.frame(spark))
+    return rounded(history.select("number", "value", "best_value", "is_best"))
+
+
+def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Correlations among the twelve columns that the ranking puts first."""
+    frame = _row_features(spark, sf_dir)
+    top = [r["feature"] for r in explore.top_correlations(_ranked(spark, sf_dir), 12).collect()]
+    return rounded(explore.correlation_matrix(frame, top))
+
+
 def queries() -> dict[str, Query]:
     profiled = [TARGET, "distance_km", "duration_minutes", "avg_speed_kmh", "max_speed_kmh", "avg_battery_soc",
                 "avg_elevation_m", "elevation_gain_m"]
-    row_wise = [c for c in FEATURES if c in NUMERIC_FEATURES]
     return {
         "flagship": flagship,
         "table_scan": lambda s, d: load(s, f"{d}/lineitem.parquet"),
         "shape": lambda s, d: profile.shape(load(s, f"{d}/lineitem.parquet")),
         "missing_profile": lambda s, d: profile.missing_profile(trips(s, d, profiled)),
-        "selected_missing": lambda s, d: profile.missing_profile(profile.select_features(_row_features(s, d), row_wise)),
+        "selected_missing": lambda s, d: profile.missing_profile(profile.select_features(_row_features(s, d), FEATURES)),
         "target_summary": lambda s, d: rounded(profile.describe_target(trips(s, d, [TARGET]), TARGET)),
         "feature_catalog": _catalog,
         "column_range": lambda s, d: profile.column_range(trips(s, d, ["trip_date"]), "trip_date"),
@@ -261,10 +352,12 @@ def queries() -> dict[str, Query]:
         "scatter_bins": _scatter("distance_km"),
         "scatter_speed": _scatter("avg_speed_kmh"),
         "scatter_elevation": _scatter("elevation_gain_m"),
+        "scatter_sample": lambda s, d: explore.scatter_points(
+            trips(s, d, [*TRIP_KEY, "avg_speed_kmh", TARGET]), "avg_speed_kmh", TARGET, 0.1, TRIP_KEY),
         "scatter_points": lambda s, d: explore.scatter_points(trips(s, d, ["avg_speed_kmh", TARGET]), "avg_speed_kmh", TARGET),
         "target_correlation": lambda s, d: rounded(_ranked(s, d)),
         "correlation_top15": lambda s, d: rounded(explore.top_correlations(_ranked(s, d), 15)),
-        "correlation_matrix": lambda s, d: rounded(explore.correlation_matrix(_row_features(s, d), MATRIX_COLUMNS)),
+        "correlation_matrix": _matrix,
         "leakage_check": lambda s, d: rounded(explore.leakage_check(_ranked(s, d, PLANTED), PLANTED)),
         "with_target": lambda s, d: profile.with_target(
             trips(s, d, [*TRIP_KEY, "distance_km", "avg_speed_kmh"]), "avg_speed_kmh"),
@@ -309,4 +402,10 @@ def queries() -> dict[str, Query]:
         "importance": _importance,
         "stacking": _stacking,
         "score_champion": _score_champion,
+        "tree_exact": _one_tree("boost_shallow", {"maxIter": 1, "maxDepth": 1, "maxBins": 64}),
+        "forest_exact": _one_tree("forest", ONE_TREE | {"maxDepth": 2}),
+        "importance_exact": _importance_exact,
+        "stack_exact": _stack_exact,
+        "champion_exact": _champion_exact,
+        "search_alpha": _search_alpha,
     }

@@ -12,7 +12,7 @@ from datetime import datetime, timezone
 
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 RUNS_SCHEMA = (
@@ -70,8 +70,9 @@ def _metric(name: str) -> Column:
 
 
 def search_runs(runs: DataFrame, order: str = "test_rmse") -> DataFrame:
-    """All runs, best metric first, runs without the metric last. Runs of earlier sessions count."""
-    return runs.orderBy(_metric(order).asc_nulls_last(), "run_id")
+    """All runs with their `rank`, best metric first, runs without the metric last. Runs of earlier sessions count."""
+    place = F.row_number().over(Window.orderBy(_metric(order).asc_nulls_last(), "run_id"))  # a log holds few runs
+    return runs.withColumn("rank", place).orderBy("rank")
 
 
 def compare_runs(runs: DataFrame) -> DataFrame:
@@ -85,8 +86,8 @@ def compare_runs(runs: DataFrame) -> DataFrame:
 
 
 def best_run(runs: DataFrame) -> DataFrame:
-    """The first row of `search_runs`: a top-1, no full sort."""
-    return search_runs(runs).limit(1)
+    """The first of `search_runs`: a top-1, no full sort."""
+    return runs.orderBy(_metric("test_rmse").asc_nulls_last(), "run_id").limit(1)
 
 
 @dataclass(frozen=True)
@@ -130,11 +131,12 @@ class Registry:
 
     def promote(self, name: str, run: Mapping, tags: Mapping[str, str] | None = None) -> Registration:
         """Register a run's model and make it champion; a failure is reported, not raised."""
+        version = None
         try:
             version = self.register(name, run["run_id"], run["model_path"], tags)
             self.set_alias(name, CHAMPION, version)
-        except Exception as e:  # the comparison of runs stays valid without a registry
-            return Registration(name, None, str(e).splitlines()[0] if str(e) else type(e).__name__)
+        except Exception as e:  # the comparison of runs stays valid without a registry; a version may exist without its alias
+            return Registration(name, version, str(e).splitlines()[0] if str(e) else type(e).__name__)
         return Registration(name, version)
 
     def load(self, name: str, alias: str = CHAMPION) -> PipelineModel:

@@ -6,7 +6,7 @@ Only metrics, tuned parameters and model files leave the executors.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import date
 
@@ -48,7 +48,8 @@ class Settings:
     folds: int = 5
     alpha: float = 1.0
     parallelism: int = 4
-    max_trees: int | None = None     # cost cap on every learner
+    # search space per profile; a cheaper job passes a smaller one
+    spaces: Mapping[str, Mapping] = field(default_factory=lambda: SPACES)
     profiles: Sequence[str] = tuple(PROFILES)
     # 'validation' tunes on a fold of the training rows; 'test' tunes on the test rows,
     # which makes the reported test error optimistic
@@ -64,12 +65,14 @@ class Outcome:
     registration: registry.Registration | None = None
 
 
-def prepare(df: DataFrame, s: Settings) -> tuple[DataFrame, list[str]]:
-    """Rows with a target, wanted columns only, with a `split` column; and the features present."""
+def prepare(df: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, list[str]]:
+    """Rows with a target and wanted columns only (persisted; the caller releases them), the same with a row-wise
+    `split` column, and the features present."""
     features = [c for c in s.features if c in df.columns and c not in s.exclude and c != s.target]
     rows = select_features(nan_to_null(with_target(df, s.target)), features, [*s.key, s.target])
+    rows = spread(rows.withColumn(s.target, F.col(s.target).cast("double")), s.key)
     labelled = quantile_label(rows, s.target, 4, "__label")
-    return stratified_split(labelled, "__label", s.key, s.test, s.seed).drop("__label"), features
+    return rows, stratified_split(labelled, "__label", s.key, s.test, s.seed).drop("__label"), features
 
 
 def tune(train: DataFrame, test: DataFrame, features: Sequence[str], s: Settings) -> dict[str, Study]:
@@ -88,11 +91,11 @@ def tune(train: DataFrame, test: DataFrame, features: Sequence[str], s: Settings
     try:
         def evaluate(profile: str):
             def run(params: dict[str, float]) -> float:
-                model = Base(profile, params, s.max_trees).estimator(s.target).fit(fitting)
+                model = Base(profile, params).estimator(s.target).fit(fitting)
                 return rmse(model.transform(held).drop(VECTOR), s.target)
             return run
 
-        return {p: search(spark, p, SPACES[p], evaluate(p), s.trials, s.seed, s.parallelism) for p in s.profiles}
+        return {p: search(spark, p, s.spaces[p], evaluate(p), s.trials, s.seed, s.parallelism) for p in s.profiles}
     finally:
         fitting.unpersist()
         held.unpersist()
@@ -136,15 +139,14 @@ def run_training(df: DataFrame, s: Settings) -> Outcome:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     out = Outcome()
-    rows, features = prepare(df, s)
-    rows = spread(rows.withColumn(s.target, F.col(s.target).cast("double")))
+    base, rows, features = prepare(df, s)
     try:
         train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
         out.studies = tune(train, test, features, s)
         for study in out.studies.values():
             _log_study(study, spark, s)
 
-        bases = {p: Base(p, study.best[2], s.max_trees) for p, study in out.studies.items()}
+        bases = {p: Base(p, study.best[2]) for p, study in out.studies.items()}
         for profile, base in bases.items():
             model = fit_single(train, features, s.target, base)
             _log(rows, train, features, s, out, profile, model, {
@@ -156,13 +158,13 @@ def run_training(df: DataFrame, s: Settings) -> Outcome:
             return fit_stack(part, features, s.target, s.key, bases, s.folds, s.alpha, f"stack-{s.seed}", s.parallelism)
 
         scores = cross_validate(
-            train, s.key, s.target, lambda fit, held: stacked(fit).transform(held), s.folds, s.seed)
+            train, s.key, s.target, lambda fit, held: stacked(fit).transform(held), s.folds, s.seed, s.parallelism)
         summary = fold_summary(scores).first()
         _log(rows, train, features, s, out, ENSEMBLE_RUN, stacked(train), {
             "model_type": "stacking", "base_models": "+".join(bases), "meta_learner": "ridge", "cv_folds": s.folds,
         }, {"cv_rmse_mean": summary.rmse_mean, "cv_rmse_std": summary.rmse_std})
     finally:
-        rows.unpersist()
+        base.unpersist()
 
     best = registry.best_run(registry.read_runs(spark, f"{s.root.rstrip('/')}/log")).first()
     out.best = best.asDict()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -34,15 +35,16 @@ def get_spark(app: str = "regrove", master: str | None = None, **conf: str) -> S
 def shared_dir(spark: SparkSession) -> str:
     """Root of the folder every executor can reach.
 
-    The cluster names it in `spark.checkpoint.dir`. Where that is unset (tests, a
-    laptop) a fresh local folder stands in for it.
+    The cluster names it in `spark.checkpoint.dir`. A local master (tests, a laptop) gets a
+    fresh local folder where that is unset; any other master without it is an error, since
+    executors would each write to a disk of their own.
     """
-    configured = spark.conf.get("spark.checkpoint.dir", None)
+    configured = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
-    jvm_dir = spark.sparkContext._jsc.sc().getCheckpointDir()
-    if jvm_dir.isDefined():
-        return jvm_dir.get()
+    master = spark.conf.get("spark.master", "")
+    if not re.fullmatch(r"local(\[[^\]]*\])?", master):
+        raise RuntimeError(f"set spark.checkpoint.dir to a folder that driver and executors share (master {master})")
     local = tempfile.mkdtemp(prefix="regrove-")
     spark.sparkContext.setCheckpointDir(local)
     return local
@@ -50,7 +52,7 @@ def shared_dir(spark: SparkSession) -> str:
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make `checkpoint()` and the tree learners' lineage cutting usable."""
-    if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
+    if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
 
 

@@ -120,5 +120,5 @@ def test_scatter_bins_count_every_complete_row(spark, wild):
     assert {(c.x_bin, c.y_bin): c.n for c in cells} == {
         (i, j): int(counts[i, j]) for i in range(10) for j in range(10) if counts[i, j]}
     assert explore.scatter_points(df, "x", "y").count() == len(complete)
-    thin = explore.scatter_points(df.coalesce(1), "x", "y", 0.5)
+    thin = explore.scatter_points(df.coalesce(1), "x", "y", 0.5, ["x", "y"])
     assert thin.count() == thin.count() < len(complete)

@@ -32,11 +32,9 @@ def close(a, b):
     return math.isclose(a, b, rel_tol=1e-9, abs_tol=1e-7)
 
 
-@pytest.mark.parametrize("limits", [{}, {"window_rows": 5}, {"partition_rows": 50}])
-def test_vehicle_history_by_brute_force(spark, journeys, limits):
-    """The plain window, and the tiled form beyond either limit."""
+def test_vehicle_history_by_brute_force(spark, journeys):
     df = spark.createDataFrame(journeys).repartition(6)
-    got = history.vehicle_history(df, ts="ts", energy="energy", **limits).toPandas().set_index("id")
+    got = history.vehicle_history(df, ts="ts", energy="energy").toPandas().set_index("id")
     assert len(got) == len(journeys)
     span = timedelta(days=30)
     for row in journeys.itertuples():
@@ -50,12 +48,11 @@ def test_vehicle_history_by_brute_force(spark, journeys, limits):
         assert close(g.vehicle_avg_distance_last30, past.distance_km.mean())
 
 
-@pytest.mark.parametrize("limits", [{}, {"window_rows": 0}])
-def test_vehicle_history_edges_of_the_window(spark, limits):
+def test_vehicle_history_edges_of_the_window(spark):
     at = [START, START + timedelta(days=30), START + timedelta(days=30, seconds=1), START + timedelta(days=60, seconds=1)]
     df = spark.createDataFrame([(i, 1, t, 10.0, 1.0) for i, t in enumerate(at)] + [(9, None, START, 1.0, 1.0)],
                                "id int, VehId int, ts timestamp, energy double, distance_km double")
-    got = {r.id: r.vehicle_trip_count_last30 for r in history.vehicle_history(df, ts="ts", energy="energy", **limits).collect()}
+    got = {r.id: r.vehicle_trip_count_last30 for r in history.vehicle_history(df, ts="ts", energy="energy").collect()}
     assert got == {0: 0, 1: 1, 2: 1, 3: 1, 9: None}
 
 
@@ -69,12 +66,10 @@ def route_by_brute_force(journeys):
     return expected
 
 
-@pytest.mark.parametrize("partition_rows,block_rows", [(10_000, 100_000), (50, 40), (2, 12), (1, 10)])
-def test_route_history_by_brute_force(spark, journeys, partition_rows, block_rows):
-    """The plain window and the split form at several limits, down to second-by-key pieces."""
+@pytest.mark.parametrize("block_rows", [100_000, 40, 12, 10])
+def test_route_history_by_brute_force(spark, journeys, block_rows):
     df = spark.createDataFrame(journeys).repartition(6)
-    out = history.route_history(df, ["route"], ["id"], "ts", "energy", "duration", "speed",
-                                partition_rows=partition_rows, block_rows=block_rows)
+    out = history.route_history(df, ["route"], ["id"], "ts", "energy", "duration", "speed", block_rows=block_rows)
     got = {r.id: r for r in out.collect()}
     expected = route_by_brute_force(journeys)
     assert len(got) == out.count() == len(expected)
@@ -85,6 +80,24 @@ def test_route_history_by_brute_force(spark, journeys, partition_rows, block_row
         assert close(r.route_avg_duration_last10, duration)
 
 
+@pytest.mark.parametrize("tie", ["id", None, 5])
+def test_one_route_in_one_second(spark, tie):
+    """Everything hangs on the last key column: positions are still exact and no task holds the route."""
+    rows = [("r", datetime(2024, 1, 1), tie if tie != "id" else i, i, float(i)) for i in range(3000)]
+    df = spark.createDataFrame(rows, "route string, ts timestamp, tie int, id int, energy double").withColumns({"duration": F.col("energy"), "speed": F.col("energy")})
+    out = history.route_history(df.repartition(5), ["route"], ["tie", "id"], "ts", "energy", "duration", "speed", block_rows=100)
+    got = out.orderBy("id").collect()
+    assert [r.route_trip_count for r in got] == list(range(3000))
+    assert got[0].route_avg_energy_last10 is None and all(r.route_avg_energy_last10 == r.id - 5.5 for r in got[10:])
+    assert got[5].route_avg_energy_last10 == 2.0
+
+
+def test_one_busy_vehicle(spark):
+    df = spark.range(60_000).select(F.lit(1).alias("v"), F.timestamp_seconds(F.col("id") * 290).alias("ts"), F.col("id").cast("double").alias("e"), F.lit(2.0).alias("d"))
+    out = history.vehicle_history(df, "v", "ts", "e", "d")
+    assert out.agg(F.max("vehicle_trip_count_last30")).first()[0] == 30 * 86400 // 290
+
+
 def test_fleet_ratio(spark):
     df = spark.createDataFrame([(10.0, 2.0, 5.0), (30.0, 2.0, None)], "e double, d double, vehicle_avg_efficiency_last30 double")
     rows = history.fleet_ratio(df, "e", "d").collect()

@@ -1,6 +1,7 @@
 import math
 
 import pytest
+from pyspark.ml import PipelineModel
 from pyspark.sql import functions as F
 
 from regrove.operators.metrics import regression_metrics
@@ -101,9 +102,9 @@ def test_every_drawn_setting_is_accepted(spark, profile):
     rng = random.Random(0)
     for _ in range(20):
         params = {k: d.draw(rng) for k, d in learners.SPACES[profile].items()}
-        estimator = learners.learner(profile, params, "y", max_trees=7)
+        estimator = learners.learner(profile, params, "y")
         trees = estimator.getNumTrees() if profile == "forest" else estimator.getMaxIter()
-        assert trees == 7
+        assert trees == params["numTrees" if profile == "forest" else "maxIter"]
     with pytest.raises(ValueError):
         learners.learner("nope", {}, "y")
 
@@ -113,13 +114,20 @@ def test_whole_training_job(spark, sf, tmp_path, selection):
     frame = trips(spark, sf, [*TRIP_KEY, TARGET, *FEATURES])
     settings = training.Settings(
         root=str(tmp_path), key=TRIP_KEY, target=TARGET, features=[*FEATURES, "not_there"], trials=2, folds=2,
-        max_trees=2, selection=selection, profiles=["forest", "boost_shallow"], parallelism=2)
+        spaces={p: {k: d for k, d in learners.SPACES[p].items()} | {"numTrees" if p == "forest" else "maxIter": learners.Int(2, 3)} for p in ("forest", "boost_shallow")},
+        selection=selection, profiles=["forest", "boost_shallow"], parallelism=2)
     outcome = training.run_training(frame, settings)
     assert outcome.registration.version == 1 and outcome.registration.error is None
     runs = registry.read_runs(spark, f"{tmp_path}/log")
     assert {r.run_name for r in runs.collect()} == {"forest", "boost_shallow", training.ENSEMBLE_RUN}
     assert outcome.best["metrics"]["test_rmse"] == min(m["test_rmse"] for m in outcome.metrics.values())
     assert "cv_rmse_std" in outcome.metrics[training.ENSEMBLE_RUN]
-    assert spark.read.parquet(f"{tmp_path}/trials").count() == 4
+    trials = spark.read.parquet(f"{tmp_path}/trials").collect()
+    assert len(trials) == 4
+    logged = {r.run_name: r.params for r in runs.collect()}
+    for name, trees in (("forest", "numTrees"), ("boost_shallow", "maxIter")):
+        model = PipelineModel.load(next(r.model_path for r in runs.collect() if r.run_name == name))
+        fitted = next(s for s in model.stages if hasattr(s, "featureImportances"))
+        assert fitted.getNumTrees == float(logged[name][trees])
     scored = registry.Registry(spark, str(tmp_path)).score(settings.model_name, frame)
     assert scored.where("prediction is null").count() == 0 and scored.count() == 6000

@@ -14,9 +14,8 @@ from regrove.operators import selection, split
 SLOW = settings(max_examples=15, deadline=None, suppress_health_check=list(HealthCheck))
 
 
-@pytest.mark.parametrize("limit", [1_000_000, 20])
 @pytest.mark.parametrize("kind", ["normal", "ties", "two", "skewed", "constant"])
-def test_exact_quantiles_match_numpy(spark, kind, limit):
+def test_exact_quantiles_match_numpy(spark, kind):
     rng = np.random.default_rng(3)
     values = {
         "normal": rng.normal(size=3000), "ties": rng.integers(0, 9, 3000).astype(float),
@@ -25,7 +24,7 @@ def test_exact_quantiles_match_numpy(spark, kind, limit):
     }[kind]
     df = spark.createDataFrame(pd.DataFrame({"v": rng.permutation(values)})).repartition(5)
     probs = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
-    got = selection.exact_quantiles(df, "v", probs, sort_limit=limit)
+    got = selection.exact_quantiles(df, "v", probs)
     assert np.allclose(got, np.quantile(values, probs), rtol=1e-12)
 
 
@@ -47,9 +46,7 @@ def hash_order(seed, ids):
     return sorted(ids, key=lambda i: hashlib.md5(f"{seed}|{i}".encode()).hexdigest())
 
 
-@pytest.mark.parametrize("collect_rows", [2000, 1])
-def test_kfold_follows_hash_order(spark, collect_rows, monkeypatch):
-    monkeypatch.setattr(split, "_COLLECT_ROWS", collect_rows)
+def test_kfold_follows_hash_order(spark):
     df = spark.range(0, 1003, 1, 6)
     folds = {r.id: r.fold for r in split.kfold(df, ["id"], 5, 42).collect()}
     expected, start = {}, 0
