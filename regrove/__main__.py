@@ -35,7 +35,7 @@ def main() -> None:
     if args.profile_only or report.target_status != "ok":
         return
     outcome = run_training(table, Settings(
-        root=args.root, key=args.key.split(","), exclude=[c for c in args.exclude.split(",") if c],
+        root=args.root, catalog=args.catalog, key=args.key.split(","), exclude=[c for c in args.exclude.split(",") if c],
         source_table=args.table if "/" in args.table else f"{args.catalog}.{args.table}",
         trials=args.trials, folds=args.folds, selection=args.selection,
     ))

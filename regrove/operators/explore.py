@@ -215,7 +215,8 @@ def _name(columns: Sequence[str], index: str) -> Column:
 def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None = None) -> DataFrame:
     """Rank and correlation of each numeric column with the target, highest first, undefined last, target included.
 
-    Without a target column, or with no target value at all, the result is empty.
+    Values that differ by rounding noise alone (beyond 9 digits) rank by name. Without a
+    target column, or with no target value at all, the result is empty.
     """
     spark = df.sparkSession
     if target not in numeric_features(df):
@@ -233,7 +234,7 @@ def target_correlation(df: DataFrame, target: str, columns: Sequence[str] | None
         listed.join(measured, "feature", "left")
         .withColumn("any_pair", F.max("n").over(every_feature))
         .where(F.col("any_pair").isNotNull())
-        .select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.col("r").desc_nulls_last(), "feature")).alias("rank"), "feature", "r")
+        .select(F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(F.round("r", 9).desc_nulls_last(), "feature")).alias("rank"), "feature", "r")
         .orderBy("rank")
     )
 

@@ -105,6 +105,24 @@ NUMERIC_FEATURES = [
     "battery_soc_range", "battery_usage_rate", "energy_per_km", "elevation_per_minute", "trip_complexity_score",
     "is_rush_hour", "is_weekend", "hour_sin", "hour_cos", "distance_category", "speed_category",
 ]
+WINDOWED = [
+    "vehicle_avg_efficiency_last30", "vehicle_avg_energy_last30", "vehicle_stddev_energy_last30", "vehicle_avg_distance_last30",
+    "vehicle_trip_count_last30", "route_avg_energy_last10", "route_avg_duration_last10", "route_avg_speed_last10", "route_trip_count",
+    "vehicle_efficiency_vs_fleet",
+]
+EVERY_NUMBER = [*NUMERIC_FEATURES, *WINDOWED]
+
+# The whole feature table: row-wise features, both histories, fleet ratio.
+WHOLE = f"""{FEATS},
+timed AS (SELECT *, CAST(epoch(feature_timestamp) AS BIGINT) AS ts, {Y} / nullif(distance_km, 0) AS per_km FROM feats),
+windowed AS (SELECT *, avg(per_km) OVER v AS vehicle_avg_efficiency_last30, avg({Y}) OVER v AS vehicle_avg_energy_last30,
+    stddev_samp({Y}) OVER v AS vehicle_stddev_energy_last30, avg(distance_km) OVER v AS vehicle_avg_distance_last30,
+    count(*) OVER v AS vehicle_trip_count_last30, avg({Y}) OVER w AS route_avg_energy_last10,
+    avg(duration_minutes) OVER w AS route_avg_duration_last10, avg(avg_speed_kmh) OVER w AS route_avg_speed_last10,
+    row_number() OVER (PARTITION BY origin_nation, dest_nation ORDER BY feature_timestamp, {KEY}) - 1 AS route_trip_count
+  FROM timed WINDOW v AS (PARTITION BY VehId ORDER BY ts RANGE BETWEEN {30 * 86400} PRECEDING AND 1 PRECEDING),
+    w AS (PARTITION BY origin_nation, dest_nation ORDER BY feature_timestamp, {KEY} ROWS BETWEEN 10 PRECEDING AND 1 PRECEDING)),
+whole AS (SELECT *, vehicle_avg_efficiency_last30 / (SELECT avg(per_km) FROM timed) AS vehicle_efficiency_vs_fleet FROM windowed)"""
 PREP_COLUMNS = ["distance_km", "avg_speed_kmh", "max_speed_kmh", "elevation_gain_m"]
 RIDGE_COLUMNS = ["distance_km", "avg_speed_kmh", "max_speed_kmh"]
 
@@ -132,7 +150,7 @@ def _corr(a: str, b: str) -> str:
 def _correlation(target: str, columns: list[str]) -> str:
     return f"""ranked AS (
     SELECT unnest({_names(columns)}) AS feature, unnest({_list(_corr(f"CAST({c} AS DOUBLE)", target) for c in columns)}) AS r
-    FROM feats)"""
+    FROM whole)"""
 
 
 def _label(source: str, column: str, q: int, into: str) -> str:
@@ -246,19 +264,16 @@ def _sample(column: str, ordinal: int) -> str:
 
 
 def _catalog() -> str:
-    present = ["DayNum", "VehId", "Trip", Y, "trip_date", "start_timestamp_ms", "feature_timestamp", "distance_km",
-               "duration_minutes", "avg_speed_kmh", "max_speed_kmh", "avg_battery_soc", "min_battery_soc",
-               "max_battery_soc", "avg_elevation_m", "elevation_gain_m"]
-    kinds = {"DayNum": "bigint", "VehId": "bigint", "Trip": "bigint", "trip_date": "date",
-             "start_timestamp_ms": "bigint", "feature_timestamp": "timestamp_ntz"}
-    listed = [(g, c) for g, cols in FEATURE_GROUPS.items() for c in cols if c in present]
+    whole = dict.fromkeys(["DayNum", "VehId", "Trip", "start_timestamp_ms", "vehicle_trip_count_last30", "route_trip_count"], "bigint")
+    kinds = whole | dict.fromkeys(["trip_year", "trip_month", "trip_dayofweek", "trip_hour"], "int") | {"trip_date": "date", "feature_timestamp": "timestamp_ntz"}
+    listed = [(g, c) for g, cols in FEATURE_GROUPS.items() for c in cols]
     columns = [c for _, c in listed]
-    return f"""WITH {TRIPS}
+    return f"""WITH {WHOLE}
     SELECT ordinal, "group", "column", data_type, round_even(missing * 100.0 / n_total, 1) AS null_pct FROM (
       SELECT unnest({_list(f"CAST({i} AS INTEGER)" for i in range(len(listed)))}) AS ordinal,
         unnest({_names(g for g, _ in listed)}) AS "group", unnest({_names(columns)}) AS "column",
-        unnest({_names(kinds.get(c, "double") for c in columns)}) AS data_type,
-        unnest({_list(f"count(*) - count({c})" for c in columns)}) AS missing, count(*) AS n_total FROM trips)"""
+        unnest({_list(f"'{kinds.get(c, 'double')}'" for c in columns)}) AS data_type,
+        unnest({_list(f"count(*) - count({c})" for c in columns)}) AS missing, count(*) AS n_total FROM whole)"""
 
 
 def _histogram(column: str, bins: int) -> str:
@@ -335,7 +350,7 @@ def oracle_sql() -> dict[str, str]:
     sql["table_scan"] = "SELECT * FROM lineitem"
     sql["shape"] = "SELECT count(*) AS n_rows, 11 AS n_columns FROM lineitem"
     sql["missing_profile"] = f"WITH {TRIPS} {_missing('trips', [Y, 'distance_km', 'duration_minutes', 'avg_speed_kmh', 'max_speed_kmh', 'avg_battery_soc', 'avg_elevation_m', 'elevation_gain_m'])}"
-    sql["selected_missing"] = f"WITH {FEATS} {_missing('feats', [c for c in FEATURES if c in NUMERIC_FEATURES])}"
+    sql["selected_missing"] = f"WITH {WHOLE} {_missing('whole', FEATURES)}"
     sql["target_summary"] = f"""WITH {TRIPS} SELECT count({Y}) AS n_present, {r(f"avg({Y})")} AS mean,
         {r(f"quantile_cont({Y}, 0.5)")} AS median, {r(f"stddev_samp({Y})")} AS std,
         {r(f"min({Y})")} AS min, {r(f"max({Y})")} AS max, count({Y}) = 0 AS all_null FROM trips"""
@@ -350,20 +365,20 @@ def oracle_sql() -> dict[str, str]:
     sql["scatter_speed"] = _scatter("avg_speed_kmh", "price_cents", 50)
     sql["scatter_elevation"] = _scatter("elevation_gain_m", "price_cents", 50)
     sql["scatter_points"] = f"WITH {TRIPS} SELECT avg_speed_kmh, {Y} FROM trips WHERE avg_speed_kmh IS NOT NULL AND {Y} IS NOT NULL"
-    ranked = f"WITH {FEATS}, {_correlation(Y, [*NUMERIC_FEATURES, Y])}"
-    place = "CAST(row_number() OVER (ORDER BY ranked.r DESC NULLS LAST, feature) AS INTEGER) AS rank"
+    ranked = f"WITH {WHOLE}, {_correlation(Y, [*EVERY_NUMBER, Y])}"
+    place = "CAST(row_number() OVER (ORDER BY round(ranked.r, 9) DESC NULLS LAST, feature) AS INTEGER) AS rank"
     sql["target_correlation"] = f"{ranked} SELECT {place}, feature, {r('r')} AS r FROM ranked"
-    sql["correlation_top15"] = f"{ranked} SELECT {place}, feature, {r('r')} AS r FROM ranked ORDER BY ranked.r DESC NULLS LAST, feature LIMIT 15"
-    every = [*NUMERIC_FEATURES, Y]
+    sql["correlation_top15"] = f"{ranked} SELECT {place}, feature, {r('r')} AS r FROM ranked ORDER BY round(ranked.r, 9) DESC NULLS LAST, feature LIMIT 15"
+    every = [*EVERY_NUMBER, Y]
     sql["correlation_matrix"] = f"""{ranked},
-        top AS (SELECT feature FROM ranked ORDER BY r DESC NULLS LAST, feature LIMIT 12),
+        top AS (SELECT feature FROM ranked ORDER BY round(r, 9) DESC NULLS LAST, feature LIMIT 12),
         long AS (SELECT row_number() OVER () AS i, unnest({_names(every)}) AS feature, unnest({_list(f"CAST({c} AS DOUBLE)" for c in every)}) AS v
-          FROM (SELECT * FROM feats)),
+          FROM whole),
         cells AS (SELECT p.i, feature, v FROM (SELECT i, feature, v FROM long) p JOIN top USING (feature))
         SELECT x.feature AS a, y.feature AS b, {r(_corr("x.v", "y.v"))} AS r FROM cells x JOIN cells y ON x.i = y.i GROUP BY ALL"""
-    sql["leakage_check"] = f"""WITH {FEATS}, {_correlation("planted_target", [*NUMERIC_FEATURES, "planted_target"])}
+    sql["leakage_check"] = f"""WITH {WHOLE}, {_correlation("planted_target", [*EVERY_NUMBER, "planted_target"])}
         SELECT rank, feature, {r('r')} AS r FROM (SELECT {place}, * FROM ranked) ranked WHERE abs(ranked.r) > {LEAK_THRESHOLD} AND feature <> 'planted_target'"""
-    sql["flagship"] = f"{ranked} SELECT {place}, feature, {r('r')} AS r, coalesce(abs(ranked.r) > {LEAK_THRESHOLD} AND feature <> '{Y}', false) AS suspect FROM ranked ORDER BY ranked.r DESC NULLS LAST, feature LIMIT 15"
+    sql["flagship"] = f"{ranked} SELECT {place}, feature, {r('r')} AS r, coalesce(abs(ranked.r) > {LEAK_THRESHOLD} AND feature <> '{Y}', false) AS suspect FROM ranked ORDER BY round(ranked.r, 9) DESC NULLS LAST, feature LIMIT 15"
     sql["with_target"] = f"WITH {TRIPS} SELECT {KEY}, distance_km, avg_speed_kmh FROM trips WHERE avg_speed_kmh IS NOT NULL"
     chosen = [c for c in FEATURES if c in NUMERIC_FEATURES[:9]]
     sql["select_features"] = f"WITH {TRIPS} SELECT {KEY}, {', '.join(chosen)} FROM trips"

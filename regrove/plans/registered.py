@@ -15,7 +15,7 @@ from regrove.operators.metrics import fold_summary, regression_metrics, ridge
 from regrove.operators.selection import quantile_label
 from regrove.plans import learners, modelling, registry, trials as trial_analysis
 from regrove.session import scratch_path
-from regrove.sources.feature_table import ROUTE
+from regrove.sources.feature_table import ROUTE, feature_table
 from regrove.sources.tables import load
 from regrove.sources.trips import TARGET, TRIP_KEY, trips
 
@@ -50,7 +50,7 @@ RIDGE_COLUMNS = PREP_COLUMNS[:3]
 
 
 def _ranked(spark: SparkSession, sf_dir: str, target: str = TARGET) -> DataFrame:
-    frame = _row_features(spark, sf_dir, target)
+    frame = profile.with_target(feature_table(spark, sf_dir), target)
     return explore.target_correlation(frame, target, explore.numeric_features(frame, NOT_FEATURES))
 
 
@@ -182,7 +182,7 @@ def _time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return profile.feature_catalog(trips(spark, sf_dir), FEATURE_GROUPS)
+    return profile.feature_catalog(feature_table(spark, sf_dir), FEATURE_GROUPS)
 
 
 def _distinct_sample(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -329,9 +329,14 @@ def _search_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlations among the twelve columns that the ranking puts first."""
-    frame = _row_features(spark, sf_dir)
-    top = [r["feature"] for r in explore.top_correlations(_ranked(spark, sf_dir), 12).collect()]
+    """Correlations among the twelve columns that the ranking puts first; the table with its windows is made once."""
+    path = scratch_path(spark, "features")
+    numeric = feature_table(spark, sf_dir)
+    kept = [*explore.numeric_features(numeric, NOT_FEATURES), TARGET]
+    numeric.select(*kept).write.parquet(path)
+    frame = spark.read.parquet(path)
+    ranked = explore.target_correlation(profile.with_target(frame, TARGET), TARGET, kept[:-1])
+    top = [r["feature"] for r in explore.top_correlations(ranked, 12).collect()]
     return rounded(explore.correlation_matrix(frame, top))
 
 
@@ -343,7 +348,7 @@ def queries() -> dict[str, Query]:
         "table_scan": lambda s, d: load(s, f"{d}/lineitem.parquet"),
         "shape": lambda s, d: profile.shape(load(s, f"{d}/lineitem.parquet")),
         "missing_profile": lambda s, d: profile.missing_profile(trips(s, d, profiled)),
-        "selected_missing": lambda s, d: profile.missing_profile(profile.select_features(_row_features(s, d), FEATURES)),
+        "selected_missing": lambda s, d: profile.missing_profile(profile.select_features(feature_table(s, d), FEATURES)),
         "target_summary": lambda s, d: rounded(profile.describe_target(trips(s, d, [TARGET]), TARGET)),
         "feature_catalog": _catalog,
         "column_range": lambda s, d: profile.column_range(trips(s, d, ["trip_date"]), "trip_date"),

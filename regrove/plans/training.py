@@ -27,6 +27,7 @@ from regrove.plans.learners import PROFILES, SPACES, Study, search
 from regrove.plans.modelling import VECTOR, Base, cross_validate, fit_single, fit_stack, importance, rmse, spread, vectors
 from regrove.plans.trials import param_importance, trial_history, trial_points, trial_summary
 from regrove.session import ensure_checkpoint_dir
+from regrove.sources.tables import DEFAULT_CATALOG, MODEL_SCHEMA
 
 # Names the runs are logged and the model is registered under.
 ENSEMBLE_RUN = "Ensemble_Stacking_CV"
@@ -40,6 +41,7 @@ class Settings:
     target: str = TARGET
     features: Sequence[str] = tuple(FEATURES)
     exclude: Sequence[str] = ()      # e.g. what the leakage report suggests
+    catalog: str = DEFAULT_CATALOG   # models of one catalog don't share a name with another's
     model_name: str = MODEL_NAME
     source_table: str = "unknown"
     test: float = 0.2
@@ -139,7 +141,7 @@ def run_training(df: DataFrame, s: Settings) -> Outcome:
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     out = Outcome()
-    base, rows, features = prepare(df, s)
+    kept, rows, features = prepare(df, s)
     try:
         train, test = rows.where(F.col("split") == "train"), rows.where(F.col("split") == "test")
         out.studies = tune(train, test, features, s)
@@ -164,11 +166,11 @@ def run_training(df: DataFrame, s: Settings) -> Outcome:
             "model_type": "stacking", "base_models": "+".join(bases), "meta_learner": "ridge", "cv_folds": s.folds,
         }, {"cv_rmse_mean": summary.rmse_mean, "cv_rmse_std": summary.rmse_std})
     finally:
-        base.unpersist()
+        kept.unpersist()
 
     best = registry.best_run(registry.read_runs(spark, f"{s.root.rstrip('/')}/log")).first()
     out.best = best.asDict()
-    out.registration = registry.Registry(spark, s.root).promote(s.model_name, out.best, {
+    out.registration = registry.Registry(spark, s.root).promote(f"{s.catalog}.{MODEL_SCHEMA}.{s.model_name}", out.best, {
         "model_type": best["run_name"] or "Unknown",
         "test_rmse": str(best["metrics"].get("test_rmse")), "test_r2": str(best["metrics"].get("test_r2")),
         "use_case": MODEL_NAME, "training_date": date.today().isoformat(),

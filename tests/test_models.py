@@ -129,5 +129,5 @@ def test_whole_training_job(spark, sf, tmp_path, selection):
         model = PipelineModel.load(next(r.model_path for r in runs.collect() if r.run_name == name))
         fitted = next(s for s in model.stages if hasattr(s, "featureImportances"))
         assert fitted.getNumTrees == float(logged[name][trees])
-    scored = registry.Registry(spark, str(tmp_path)).score(settings.model_name, frame)
+    scored = registry.Registry(spark, str(tmp_path)).score(f"dev.ml_models.{settings.model_name}", frame)
     assert scored.where("prediction is null").count() == 0 and scored.count() == 6000
