@@ -21,6 +21,13 @@ class Report:
     target_status: str
     tables: dict[str, DataFrame] = field(default_factory=dict)
     exclusions: list[str] = field(default_factory=list)
+    kept: list[DataFrame] = field(default_factory=list)
+
+    def release(self) -> None:
+        """Give up what is persisted for the tables; they can still be computed."""
+        for df in self.kept:
+            df.unpersist()
+        self.kept.clear()
 
 
 def profile_table(df: DataFrame, target: str = TARGET, groups: Mapping[str, Sequence[str]] = FEATURE_GROUPS,
@@ -59,6 +66,7 @@ def profile_table(df: DataFrame, target: str = TARGET, groups: Mapping[str, Sequ
     if target not in numeric:
         return report
     ranked = explore.target_correlation(nan_to_null(usable), target, numeric).persist(StorageLevel.MEMORY_AND_DISK)
+    report.kept.append(ranked)
     t["correlation"] = ranked
     t["correlation_top"] = explore.top_correlations(ranked, 15)
     leaks = explore.leakage_check(ranked, target)
@@ -72,3 +80,4 @@ def profile_table(df: DataFrame, target: str = TARGET, groups: Mapping[str, Sequ
 def write_report(report: Report, path: str) -> None:
     for name, table in report.tables.items():
         table.coalesce(1).write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}")
+    report.release()

@@ -42,6 +42,35 @@ def test_quantile_label_of_nothing(spark):
     assert selection.quantile_label(df, "y").first().label is None
 
 
+def counted(spark, n):
+    """A frame of n rows, and the rows of it that tasks have read so far."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    return spark.range(0, n, 1, 4).mapInArrow(read, "id long"), reads
+
+
+@pytest.mark.parametrize("n", [100, 40_000])
+def test_quantiles_and_cuts_read_their_source_twice(spark, n):
+    df, reads = counted(spark, n)
+    assert selection.exact_quantiles(df, "id", [0.25, 0.5, 0.75]) == [x * (n - 1) for x in (0.25, 0.5, 0.75)]
+    assert reads.value <= 2 * n
+    df, reads = counted(spark, n)
+    folded = split.kfold(df, ["id"], 5, 42)
+    assert reads.value <= 2 * n
+    assert sorted(r["count"] for r in folded.groupBy("fold").count().collect()) == [n // 5] * 5
+
+
+def test_too_many_strata_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(split, "MAX_STRATA", 0)
+    with pytest.raises(ValueError, match="few classes"):
+        split.kfold(spark.range(10), ["id"])
+
+
 def hash_order(seed, ids):
     return sorted(ids, key=lambda i: hashlib.md5(f"{seed}|{i}".encode()).hexdigest())
 
