@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import tempfile
 import uuid
@@ -50,6 +51,18 @@ def shared_dir(spark: SparkSession) -> str:
     return local
 
 
+def let_workers_import(spark: SparkSession) -> None:
+    """Put this package on the path of Python workers started from now on, wherever the session was started.
+
+    On a cluster the package is installed or shipped; there the extra folder does no harm.
+    """
+    environment = spark.sparkContext.environment
+    folder = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    known = [p for p in environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if folder not in known:
+        environment["PYTHONPATH"] = os.pathsep.join([folder, *known])
+
+
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make `checkpoint()` and the tree learners' lineage cutting usable."""
     if not spark.sparkContext.getCheckpointDir():
