@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from regrove.session import scratch_path
+from regrove.session import let_workers_import, scratch_path
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Bytes to bytes: A-Z to a-z. UTF-8 keeps every other character clear of these bytes.
@@ -23,6 +23,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def pick(df: DataFrame, *columns: str) -> DataFrame:
     """Those columns alone, found by their exact names: no extra column can clash with them or with later ones."""
+    let_workers_import(df.sparkSession)
     plain = df.toDF(*[f"c{i}" for i in range(len(df.columns))])
     return plain.select(*[F.col(f"c{df.columns.index(c)}").alias(c) for c in columns])
 
@@ -40,6 +41,7 @@ def words_of(text: str | None) -> list[bytes]:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """`df` as a table in the shared folder: cuts lineage, survives lost executors, is computed once."""
+    let_workers_import(df.sparkSession)
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
