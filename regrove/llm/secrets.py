@@ -2,12 +2,13 @@
 
 Base spans (leftmost, non-overlapping per kind; a match that fails its length is dropped without retry): `assign`, `access`,
 `hex`. The battery looks at every other run of 20 or more characters of `[A-Za-z0-9+/_=-]`, infers its encoding (the smallest
-alphabet that holds it) and asks whether text could have made it. The null hypothesis is text: characters as frequent as in the
-corpus's own candidates-free words, their neighbours alike in class. Three one-sided p-values per token:
+alphabet that holds it) and asks whether text could have made it. The null hypothesis is running text, described by fixed rates
+(given beside each test). Three one-sided p-values per token:
 
-* alphabet: chi-squared distance from uniformity over the inferred alphabet, against its law for text of that length,
-* runs: number of runs of one character class (lower, upper, digit, sign), which keys switch far more often than text does,
-* serial correlation of neighbouring code points, which text has and keys lack.
+* alphabet: the share of equal character pairs, chi-squared against uniformity up to a linear change, with the inferred
+  alphabet's uniform share or that of text, whichever is larger, as its mean,
+* runs: number of changes between character classes (lower, upper, digit, sign), far more in keys than in text,
+* serial correlation of neighbouring code points, negative in text (vowels and consonants alternate) and near 0 in keys.
 
 They are combined by Fisher's method. False discoveries are controlled at `fdr` by the weighted Benjamini-Hochberg procedure
 with weights that grow with length (short tokens have little power): the step-up threshold comes from counts of p-values in
@@ -72,7 +73,7 @@ def _class(c: str) -> int:
 
 
 def _chi_bits(token: str) -> float:
-    """Sum of squared character shares, as a number between 1/length and 1; small for evenly used alphabets."""
+    """Share of equal pairs among all pairs of characters; small for evenly used alphabets."""
     counts: dict[str, int] = {}
     for c in token:
         counts[c] = counts.get(c, 0) + 1
