@@ -2,9 +2,13 @@
 
 A page is cut into blocks (text between block-level tags). Every block has a root-to-leaf path of block-level tags. Per path the
 page's text length, punctuation marks, link text and blocks are added up; the path's ratio is text per block, raised by its
-punctuation and lowered by its links. The ratios are smoothed along the page with a small Gaussian kernel, fused with a prior
-for the path's elements (article and main are content, navigation, notices and the like are not), and thresholded at a share of
-the page's highest value. Paths inside an explicit article stay whole, short headings included.
+punctuation and lowered by its links. The ratios are smoothed along the page with a small Gaussian kernel and fused with a prior
+for the path's elements (navigation, notices and the like are no content).
+
+Containers (sections, divs and the like) hold the summed values of their blocks. From the page's root on, the containers of one
+parent are thresholded by their path (name and class): those below a share of the highest value go, the others are gone into. A
+container with as much text of its own is content and stays whole: headings, lists and tables included, without boilerplate and
+lists of nothing but links. Pages with an explicit article are that article.
 
 Characters are decoded (`html.unescape`), white space inside a block becomes one space, and the kept blocks are joined by one
 space in page order. Nothing is cut off. Broken markup is read as browsers do in the common cases: a new paragraph ends the open
@@ -19,6 +23,7 @@ from __future__ import annotations
 import html as html_lib
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -27,7 +32,7 @@ from pyspark.sql import types as T
 
 from regrove.llm.common import blocks, pick, table
 
-#: Share of the page's highest fused value that a block needs where no article is marked.
+#: Share of the highest value beside it that a container's path needs, and of text outside links that a list needs.
 THRESHOLD = 0.12
 KERNEL = (0.25, 0.5, 0.25)
 
@@ -46,6 +51,14 @@ _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "t
 _SCOPE = {"ul", "ol", "dl", "table", "select", "article", "section", "div", "body", "main", "aside", "nav", "blockquote"}
 _BOILERPLATE = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu", "head", "fieldset", "datalist"}
 _CONTENT = {"article", "main"}
+#: Block-level elements that belong to the container around them.
+_PARTS = {
+    "p", "h1", "h2", "h3", "h4", "h5", "h6", "hgroup", "ul", "ol", "li", "dl", "dt", "dd", "table", "caption", "thead", "tbody", "tfoot", "tr", "td", "th",
+    "pre", "blockquote", "figure", "figcaption", "address", "details", "summary",
+}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6", "hgroup"}
+#: Elements that are left out as a list of links; a heading or paragraph that is a link is text.
+_LISTS = {"ul", "ol", "dl", "table"}
 _BAD_HINT = re.compile(
     r"(?:^|[-_\s])(?:ads?|advert\w*|adslot|sponsor\w*|promo\w*|banner|cookies?|cookiebar|consent|gdpr|notice|notification|popup|modal|overlay|"
     r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|"
@@ -53,8 +66,10 @@ _BAD_HINT = re.compile(
 )
 _COMMENT_HINT = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|replies|reply|disqus|respond|discussion)(?:$|[-_\s])", re.I)
 _GOOD_HINT = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|body|page|wrapper|container|layout)(?:$|[-_\s])", re.I)
+_ROOT_HINT = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story)(?:$|[-_\s])", re.I)
 _HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true""", re.I)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
@@ -70,9 +85,21 @@ def _prior(name: str, attributes: str, in_article: bool) -> int:
     return -1 if _BAD_HINT.search(hints) and not (in_article and "header" in hints.lower()) else 0
 
 
-def page_blocks(page: str) -> list[dict]:
-    """The page's blocks: path, text, link (characters inside links), state (-1 boilerplate, 0 unmarked, 1 inside an article)."""
-    stack: list[tuple[str, int]] = []  # block and inline elements with the state inside them
+class Element(NamedTuple):
+    """A block-level element: number of its parent, name, class, state inside it, whether it is marked as a content root."""
+
+    parent: int
+    name: str
+    group: str
+    state: int
+    root: bool
+
+
+def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
+    """The page's blocks: path, text, link (characters inside links), state (-1 boilerplate, 0 unmarked, 1 inside an article) and
+    element (the number of the block-level one around it); and its block-level elements, parents first, the page itself as 0."""
+    stack: list[tuple[str, int, int]] = []  # block and inline elements with the state inside them and the block-level element
+    elements = [Element(-1, "", "", 0, False)]
     found: list[dict] = []
     buffer: list[str] = []
     linked = 0
@@ -81,8 +108,8 @@ def page_blocks(page: str) -> list[dict]:
         nonlocal linked
         text = " ".join("".join(buffer).split())
         if text:
-            path = "/".join(name for name, _ in stack if name not in _INLINE)
-            found.append({"path": path, "text": text, "link": linked, "state": stack[-1][1] if stack else 0})
+            path = "/".join(name for name, *_ in stack if name not in _INLINE)
+            found.append({"path": path, "text": text, "link": linked, "state": stack[-1][1] if stack else 0, "element": stack[-1][2] if stack else 0})
         buffer.clear()
         linked = 0
 
@@ -91,11 +118,11 @@ def page_blocks(page: str) -> list[dict]:
         if piece:
             text = html_lib.unescape(piece)
             buffer.append(text)
-            if any(name == "a" for name, _ in stack):
+            if any(name == "a" for name, *_ in stack):
                 linked += len(text)
 
     def close(down_to: int) -> None:
-        if any(name not in _INLINE for name, _ in stack[down_to:]):
+        if any(name not in _INLINE for name, *_ in stack[down_to:]):
             flush()
         del stack[down_to:]
 
@@ -139,12 +166,18 @@ def page_blocks(page: str) -> list[dict]:
                 elif stack[k][0] in _SCOPE:
                     break
             flush()
-        outer = stack[-1][1] if stack else 0
+        outer, element = stack[-1][1:] if stack else (0, 0)
         prior = _prior(name, attributes, outer == 1)
-        stack.append((name, outer if outer == -1 else prior or outer))
+        state = outer if outer == -1 else prior or outer
+        if name not in _INLINE:
+            group = next(("".join(m).lower() for m in _CLASS.findall(attributes)), "")
+            hints = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes))
+            elements.append(Element(element, name, group, state, prior == 1 or bool(_ROOT_HINT.search(hints) and name not in _PARTS | {"html", "body"})))
+            element = len(elements) - 1
+        stack.append((name, state, element))
     take(page[at:])
     flush()
-    return found
+    return found, elements
 
 
 def scores(found: list[dict]) -> list[float]:
@@ -163,13 +196,78 @@ def scores(found: list[dict]) -> list[float]:
     return [(s * v) ** 0.5 if b["state"] >= 0 else 0.0 for b, s, v in zip(found, smooth, raw)]
 
 
-def main_text(page: str | None, threshold: float = THRESHOLD) -> tuple[str, int, int]:
-    """Text of the content blocks, number of blocks, number of kept ones."""
-    found = page_blocks(page) if page else []
+def content(found: list[dict], elements: list[Element], threshold: float = THRESHOLD) -> list[bool]:
+    """For each block whether it is content."""
     fused = scores(found)
-    marked = any(b["state"] == 1 for b in found)
+    n = len(elements)
+    holder = list(range(n))  # the container an element belongs to
+    own, mass, length, link = ([0.0] * n for _ in range(4))
+    for e, x in enumerate(elements):
+        if x.name in _PARTS:
+            holder[e] = holder[x.parent]
+    for b, f in zip(found, fused):
+        e = b["element"]
+        if b["state"] >= 0:
+            own[holder[e]] += f
+            mass[e] += f
+            length[e] += len(b["text"])
+            link[e] += b["link"]
+    inner: dict[int, list[int]] = {}
+    for e in range(n - 1, 0, -1):
+        up = elements[e].parent
+        mass[up] += mass[e]
+        length[up] += length[e]
+        link[up] += link[e]
+        if holder[e] == e:
+            inner.setdefault(holder[up], []).append(e)
+    value = mass[:]  # of a container: the mean over those of its path below the same parent
+    for kids in inner.values():
+        paths: dict[tuple[str, str], list[int]] = {}
+        for e in kids:
+            paths.setdefault((elements[e].name, elements[e].group), []).append(e)
+        for same in paths.values():
+            mean = sum(mass[e] for e in same) / len(same)
+            for e in same:
+                value[e] = mean
+    whole, between = set(), set()  # containers that are content, and those on the way to them
+    ahead = [0]
+    while ahead:
+        c = ahead.pop()
+        kids = inner.get(c, [])
+        best = max([own[c], *(value[e] for e in kids)])
+        strong = [e for e in kids if value[e] > 0 and value[e] >= threshold * best]
+        if elements[c].root or not strong or own[c] >= threshold * best:
+            whole.add(c)
+        else:
+            between.add(c)
+            ahead += strong
+    top = [-1] * n  # the content container an element lies in
+    out = [False] * n
+    for e, x in enumerate(elements):
+        top[e] = e if e in whole else top[x.parent] if e else -1
+        bare = (x.name in _LISTS or holder[e] == e) and e not in whole and e not in between and length[e] > 0 and 1 - link[e] / length[e] < threshold
+        out[e] = x.state == -1 or bare or (e > 0 and out[x.parent])
     least = threshold * max(fused, default=0.0)
-    kept = [b["text"] for b, f in zip(found, fused) if b["state"] == 1 or (not marked and b["state"] == 0 and f > 0 and f >= least)]
+
+    def keeps(b: dict, f: float) -> bool:
+        e = b["element"]
+        if b["state"] == -1 or out[e]:
+            return False
+        if top[e] >= 0:
+            return True
+        # on the way to a container: headings, and what a path's own value carries
+        return holder[e] in between and (elements[e].name in _HEADINGS or (f > 0 and f >= least))
+
+    return [keeps(b, f) for b, f in zip(found, fused)]
+
+
+def main_text(page: str | None, threshold: float = THRESHOLD) -> tuple[str, int, int]:
+    """Text of the content blocks, number of blocks, number of kept ones."""
+    found, elements = page_blocks(page) if page else ([], [])
+    if any(b["state"] == 1 for b in found):
+        kept = [b["text"] for b in found if b["state"] == 1]
+    else:
+        kept = [b["text"] for b, is_content in zip(found, content(found, elements, threshold) if found else []) if is_content]
     return " ".join(kept), len(found), len(kept)
 
 

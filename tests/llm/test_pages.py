@@ -25,6 +25,23 @@ def test_paths_decide_where_no_article_is_marked():
     assert text.startswith("Paragraph 0") and text.count("Paragraph") == 5 and "Menu" not in text and "Buy" not in text
 
 
+BODY = "".join(f"<p>Paragraph {i} goes on, and on, with commas, for {'quite some length ' * 20}until it stops.</p>" for i in range(5))
+
+
+@pytest.mark.parametrize("wrap", ["<div>{}</div>", "<div class='text'>{}</div>", "{}", "<div id='content'><div>{}</div></div>", "<table><tr><td>{}</td></tr></table>"])
+def test_short_headings_lists_and_tables_of_the_body_stay(wrap):
+    body = BODY.replace("<p>Paragraph 3", "<h2>Short title</h2><ul><li>one</li><li>two</li></ul><dl><dt>term</dt><dd>it</dd></dl><table><tr><th>h</th><td>7</td></tr></table><p>Paragraph 3")
+    page = f"<body><div><ul><li><a>Menu a</a></li><li><a>Menu b</a></li></ul></div>{wrap.format(body)}<div class='ad'>Buy.</div></body>"
+    text = html_text.main_text(page)[0]
+    assert text.count("Paragraph") == 5 and " Short title one two term it h 7 Paragraph 3" in text and "Menu" not in text and "Buy" not in text
+
+
+def test_parts_in_divs_of_their_own_stay():
+    page = f"<body><h1>Title</h1><div><div><h2>Part</h2></div>{BODY.replace('<p>', '<div><p>').replace('</p>', '</p></div>')}</div><div class='x'>Tiny.</div></body>"
+    text = html_text.main_text(page)[0]
+    assert text.startswith("Title Part Paragraph 0") and text.count("Paragraph") == 5 and "Tiny" not in text
+
+
 @pytest.mark.parametrize("page,text", [
     (None, ""), ("", ""), ("plain  text", "plain text"), ("<p>a</p><p", "a"), ("<nav>x</nav>", ""), ("<p>a &am b &amp c</p>", "a &am b & c"),
     ("<script>never ends", ""), ("</div></p>x", "x"), ("<article><p>don't <a href=x'y>go</a> <</p></article>", "don't go <"), ("<article>" + "<div>" * 3000 + "deep", "deep"),
