@@ -3,12 +3,13 @@
 A page is cut into blocks (text between block-level tags). Every block has a root-to-leaf path of block-level tags. Per path the
 page's text length, punctuation marks, link text and blocks are added up; the path's ratio is text per block, raised by its
 punctuation and lowered by its links. The ratios are smoothed along the page with a small Gaussian kernel and fused with a prior
-for the path's elements (navigation, notices and the like are no content).
+for the path's elements (article and main raise the value, navigation, notices and the like are no content).
 
 Containers (sections, divs and the like) hold the summed values of their blocks. From the page's root on, the containers of one
 parent are thresholded by their path (name and class): those below a share of the highest value go, the others are gone into. A
 container with as much text of its own is content and stays whole: headings, lists and tables included, without boilerplate and
-lists of nothing but links. Pages with an explicit article are that article.
+lists of nothing but links (inside an article those stay too); so does an article or main that gets there. A weak article, such
+as a teaser beside the content or within it, goes like any other path.
 
 Characters are decoded (`html.unescape`), white space inside a block becomes one space, and the kept blocks are joined by one
 space in page order. Nothing is cut off. Broken markup is read as browsers do in the common cases: a new paragraph ends the open
@@ -34,6 +35,8 @@ from regrove.llm.common import blocks, pick, table
 
 #: Share of the highest value beside it that a container's path needs, and of text outside links that a list needs.
 THRESHOLD = 0.12
+#: Factor of a value inside an article or main.
+ARTICLE = 2.0
 KERNEL = (0.25, 0.5, 0.25)
 
 _TAG = re.compile(
@@ -193,7 +196,8 @@ def scores(found: list[dict]) -> list[float]:
     raw = [ratio[b["path"], b["state"]] for b in found]
     padded = [raw[0], *raw, raw[-1]] if raw else []
     smooth = [sum(w * v for w, v in zip(KERNEL, padded[i:i + 3])) for i in range(len(raw))]
-    return [(s * v) ** 0.5 if b["state"] >= 0 else 0.0 for b, s, v in zip(found, smooth, raw)]
+    prior = {-1: 0.0, 0: 1.0, 1: ARTICLE}
+    return [(s * v) ** 0.5 * prior[b["state"]] for b, s, v in zip(found, smooth, raw)]
 
 
 def content(found: list[dict], elements: list[Element], threshold: float = THRESHOLD) -> list[bool]:
@@ -243,11 +247,16 @@ def content(found: list[dict], elements: list[Element], threshold: float = THRES
             ahead += strong
     top = [-1] * n  # the content container an element lies in
     out = [False] * n
+    article = [False] * n
     for e, x in enumerate(elements):
         top[e] = e if e in whole else top[x.parent] if e else -1
-        bare = (x.name in _LISTS or holder[e] == e) and e not in whole and e not in between and length[e] > 0 and 1 - link[e] / length[e] < threshold
-        out[e] = x.state == -1 or bare or (e > 0 and out[x.parent])
+        article[e] = x.name == "article" or (e > 0 and article[x.parent])
+        bare = not article[e] and (x.name in _LISTS or holder[e] == e) and e not in whole and e not in between and length[e] > 0 and 1 - link[e] / length[e] < threshold
+        up = top[x.parent] if e else -1
+        teaser = x.name == "article" and up >= 0 and value[e] < threshold * max(mass[up] - mass[e], 0.0)
+        out[e] = x.state == -1 or bare or teaser or (e > 0 and out[x.parent])
     least = threshold * max(fused, default=0.0)
+    marked = any(elements[e].state == 1 for e in whole)
 
     def keeps(b: dict, f: float) -> bool:
         e = b["element"]
@@ -256,7 +265,7 @@ def content(found: list[dict], elements: list[Element], threshold: float = THRES
         if top[e] >= 0:
             return True
         # on the way to a container: headings, and what a path's own value carries
-        return holder[e] in between and (elements[e].name in _HEADINGS or (f > 0 and f >= least))
+        return holder[e] in between and ((elements[e].name in _HEADINGS and not marked) or (f > 0 and f >= least))
 
     return [keeps(b, f) for b, f in zip(found, fused)]
 
@@ -264,10 +273,7 @@ def content(found: list[dict], elements: list[Element], threshold: float = THRES
 def main_text(page: str | None, threshold: float = THRESHOLD) -> tuple[str, int, int]:
     """Text of the content blocks, number of blocks, number of kept ones."""
     found, elements = page_blocks(page) if page else ([], [])
-    if any(b["state"] == 1 for b in found):
-        kept = [b["text"] for b in found if b["state"] == 1]
-    else:
-        kept = [b["text"] for b, is_content in zip(found, content(found, elements, threshold) if found else []) if is_content]
+    kept = [b["text"] for b, is_content in zip(found, content(found, elements, threshold) if found else []) if is_content]
     return " ".join(kept), len(found), len(kept)
 
 

@@ -36,6 +36,30 @@ def test_short_headings_lists_and_tables_of_the_body_stay(wrap):
     assert text.count("Paragraph") == 5 and " Short title one two term it h 7 Paragraph 3" in text and "Menu" not in text and "Buy" not in text
 
 
+CARD = "<article class='card'><h3>Other story</h3><p>A teaser, short.</p></article>"
+
+
+@pytest.mark.parametrize("page", ["<body><div id=content>{}</div>%s</body>" % CARD, "<body>%s<div>{}</div>%s</body>" % (CARD, CARD), "<main>{}%s</main>" % CARD])
+def test_teaser_articles_are_no_content(page):
+    text = html_text.main_text(page.format(BODY))[0]
+    assert text.startswith("Paragraph 0") and text.count("Paragraph") == 5 and "teaser" not in text and "Other" not in text
+
+
+def test_link_lists_inside_main_go_and_linked_headings_stay():
+    links = "<ul>" + "".join(f"<li><a href=/{i}>Topic {i}</a></li>" for i in range(9)) + "</ul>"
+    text = html_text.main_text(f"<main>{links}<div><h2><a href=#x>Head</a></h2>{BODY}<ul><li>short <a href=y>item</a></li></ul></div></main>")[0]
+    assert text.startswith("Head Paragraph 0") and text.endswith(" short item") and "Topic" not in text
+    assert "Topic 8" in html_text.main_text(f"<article>{BODY}<h2>References</h2>{links}</article>")[0]
+
+
+def test_articles_outweigh_loose_text_and_short_ones_stay_whole():
+    assert html_text.main_text(f"<body><h1>Site</h1><div>Some tagline, with marks. And more.</div><article><h1>T</h1>{BODY}<p>End</p></article></body>")[0].endswith("End")
+    page = "<body><div class='x'>We are a shop.</div><article><h1>T</h1><p>Short text, of a few words, but the only one there is here.</p><p>x</p></article></body>"
+    assert "T Short text" in html_text.main_text(page)[0] and html_text.main_text(page)[0].endswith(" x")
+    posts = "".join(f"<article class=post><h2>Post {i}</h2><p>{'Words, and more words. ' * (1 + 20 * (i % 2))}</p></article>" for i in range(4))
+    assert html_text.main_text(f"<main>{posts}</main>")[0].count("Post") == 4
+
+
 def test_parts_in_divs_of_their_own_stay():
     page = f"<body><h1>Title</h1><div><div><h2>Part</h2></div>{BODY.replace('<p>', '<div><p>').replace('</p>', '</p></div>')}</div><div class='x'>Tiny.</div></body>"
     text = html_text.main_text(page)[0]
