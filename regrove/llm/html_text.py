@@ -9,7 +9,9 @@ Containers (sections, divs and the like) hold the summed values of their blocks.
 parent are thresholded by their path (name and class): those below a share of the highest value go, the others are gone into. A
 container with as much text of its own is content and stays whole: headings, lists and tables included, without boilerplate and
 lists of nothing but links (inside an article those stay too); so does an article or main that gets there. A weak article, such
-as a teaser beside the content or within it, goes like any other path.
+as a teaser beside the content or within it, goes like any other path. Inside an article only unmistakable classes and roles (ads,
+cookie bars, sharing) are boilerplate by themselves; other such words lower a subtree's ratio, and in an id, which may be an
+anchor, they count where links prevail.
 
 Characters are decoded (`html.unescape`), white space inside a block becomes one space, and the kept blocks are joined by one
 space in page order. Nothing is cut off. Broken markup is read as browsers do in the common cases: a new paragraph ends the open
@@ -35,8 +37,8 @@ from regrove.llm.common import blocks, pick, table
 
 #: Share of the highest value beside it that a container's path needs, and of text outside links that a list needs.
 THRESHOLD = 0.12
-#: Factor of a value inside an article or main.
-ARTICLE = 2.0
+#: Factors of a value inside an article or main, and of a ratio under a doubtful class within one.
+ARTICLE, DOUBTFUL = 2.0, 0.25
 KERNEL = (0.25, 0.5, 0.25)
 
 _TAG = re.compile(
@@ -67,35 +69,66 @@ _BAD_HINT = re.compile(
     r"sidebar|side|menu|nav|navbar|navigation|breadcrumbs?|footer|header|masthead|share|sharing|social|related|recommend\w*|newsletter|"
     r"subscribe|signup|login|search|widget|pagination|pager|toolbar|disclaimer|legal|copyright)(?:$|[-_\s])", re.I,
 )
+#: Classes and roles that make a subtree of an article boilerplate whatever its text is like.
+_PLAINLY_BAD = re.compile(
+    r"(?:^|[-_\s])(?:ads?|advert\w*|adslot|sponsor\w*|promo\w*|cookies?|cookiebar|consent|gdpr|popup|modal|navbar|navigation|breadcrumbs?|"
+    r"share|sharing|newsletter|subscribe|signup|login|pagination|pager|toolbar)(?:$|[-_\s])", re.I,
+)
 _COMMENT_HINT = re.compile(r"(?:^|[-_\s])(?:comments?|commentlist|replies|reply|disqus|respond|discussion)(?:$|[-_\s])", re.I)
 _GOOD_HINT = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story|body|page|wrapper|container|layout)(?:$|[-_\s])", re.I)
 _ROOT_HINT = re.compile(r"(?:^|[-_\s])(?:article|main|content|post|entry|story)(?:$|[-_\s])", re.I)
 _HIDDEN = re.compile(r"""display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true""", re.I)
 _ATTRIBUTE = re.compile(r"""(?:^|\s)(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ID = re.compile(r"""(?:^|\s)id\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _CLASS = re.compile(r"""(?:^|\s)class\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，；：！？]")
 
 
-def _prior(name: str, attributes: str, in_article: bool) -> int:
+def _prior_in_article(name: str, attributes: str) -> tuple[int, int]:
+    """As `_prior`, inside an article, and how doubtful the element is: 2 by a class or role, 1 by an id, 0 not at all."""
+    if _HIDDEN.search(attributes) or name in _BOILERPLATE:
+        return -1, 0
+    hints = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes)) if attributes else ""
+    if not hints:
+        return int(name in _CONTENT), 0
+    ids = " ".join(a or b or c for a, b, c in _ID.findall(attributes))
+    kinds = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(_ID.sub(" ", attributes)))
+    anchor = name in _HEADINGS or re.fullmatch(r"discussion|reply|replies|respond", ids, re.I)
+    if _COMMENT_HINT.search(kinds) or (_COMMENT_HINT.search(ids) and not anchor):
+        return -1, 0
+    if name in _CONTENT or hints in ("main", "article"):
+        return 1, 0
+    if _GOOD_HINT.search(hints):
+        return 0, 0
+    if _PLAINLY_BAD.search(kinds):
+        return -1, 0
+    if (_BAD_HINT.search(kinds) and "header" not in kinds.lower()) or (_PLAINLY_BAD.search(ids) and name not in _HEADINGS):
+        return 0, 2
+    return 0, int(bool(_BAD_HINT.search(ids) or _COMMENT_HINT.search(ids)))
+
+
+def _prior(name: str, attributes: str) -> int:
     """-1: whatever is inside is no content; 1: a content root; 0: says nothing."""
     hints = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes)) if attributes else ""
-    if _HIDDEN.search(attributes) or (hints and _COMMENT_HINT.search(hints)) or name in _BOILERPLATE or (name == "header" and not in_article):
+    if _HIDDEN.search(attributes) or (hints and _COMMENT_HINT.search(hints)) or name in _BOILERPLATE or name == "header":
         return -1
     if name in _CONTENT or hints in ("main", "article"):
         return 1
     if name in ("html", "body") or not hints or _GOOD_HINT.search(hints):
         return 0
-    return -1 if _BAD_HINT.search(hints) and not (in_article and "header" in hints.lower()) else 0
+    return -1 if _BAD_HINT.search(hints) else 0
 
 
 class Element(NamedTuple):
-    """A block-level element: number of its parent, name, class, state inside it, whether it is marked as a content root."""
+    """A block-level element: number of its parent, name, class, state inside it, whether it is marked as a content root, and how
+    doubtful it is inside an article (2 by a class, 1 by an id)."""
 
     parent: int
     name: str
     group: str
     state: int
     root: bool
+    doubt: int = 0
 
 
 def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
@@ -170,12 +203,12 @@ def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
                     break
             flush()
         outer, element = stack[-1][1:] if stack else (0, 0)
-        prior = _prior(name, attributes, outer == 1)
+        prior, doubt = _prior_in_article(name, attributes) if outer == 1 else (_prior(name, attributes), 0)
         state = outer if outer == -1 else prior or outer
         if name not in _INLINE:
             group = next(("".join(m).lower() for m in _CLASS.findall(attributes)), "")
             hints = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes))
-            elements.append(Element(element, name, group, state, prior == 1 or bool(_ROOT_HINT.search(hints) and name not in _PARTS | {"html", "body"})))
+            elements.append(Element(element, name, group, state, prior == 1 or bool(_ROOT_HINT.search(hints) and name not in _PARTS | {"html", "body"}), doubt))
             element = len(elements) - 1
         stack.append((name, state, element))
     take(page[at:])
@@ -205,7 +238,7 @@ def content(found: list[dict], elements: list[Element], threshold: float = THRES
     fused = scores(found)
     n = len(elements)
     holder = list(range(n))  # the container an element belongs to
-    own, mass, length, link = ([0.0] * n for _ in range(4))
+    own, mass, length, link, marks, count = ([0.0] * n for _ in range(6))
     for e, x in enumerate(elements):
         if x.name in _PARTS:
             holder[e] = holder[x.parent]
@@ -216,12 +249,16 @@ def content(found: list[dict], elements: list[Element], threshold: float = THRES
             mass[e] += f
             length[e] += len(b["text"])
             link[e] += b["link"]
+            marks[e] += len(_PUNCTUATION.findall(b["text"]))
+            count[e] += 1
     inner: dict[int, list[int]] = {}
     for e in range(n - 1, 0, -1):
         up = elements[e].parent
         mass[up] += mass[e]
         length[up] += length[e]
         link[up] += link[e]
+        marks[up] += marks[e]
+        count[up] += count[e]
         if holder[e] == e:
             inner.setdefault(holder[up], []).append(e)
     value = mass[:]  # of a container: the mean over those of its path below the same parent
@@ -245,6 +282,18 @@ def content(found: list[dict], elements: list[Element], threshold: float = THRES
         else:
             between.add(c)
             ahead += strong
+
+    def ratio(e: int) -> float:
+        return length[e] / count[e] * (1 + marks[e] / count[e]) * max(0.0, 1 - link[e] / length[e]) if length[e] else 0.0
+
+    def outweighed(e: int) -> bool:
+        """Whether a doubtful element's text is too thin to stay in the content container around it."""
+        if not elements[e].doubt or elements[e].name in _HEADINGS or not length[e]:
+            return False
+        if elements[e].doubt == 1 or (elements[e].name in _PARTS and elements[e].name not in _LISTS):
+            return link[e] > length[e] / 2
+        return ratio(e) * DOUBTFUL < threshold * ratio(max(top[e], 0))
+
     top = [-1] * n  # the content container an element lies in
     out = [False] * n
     article = [False] * n
@@ -254,7 +303,7 @@ def content(found: list[dict], elements: list[Element], threshold: float = THRES
         bare = not article[e] and (x.name in _LISTS or holder[e] == e) and e not in whole and e not in between and length[e] > 0 and 1 - link[e] / length[e] < threshold
         up = top[x.parent] if e else -1
         teaser = x.name == "article" and up >= 0 and value[e] < threshold * max(mass[up] - mass[e], 0.0)
-        out[e] = x.state == -1 or bare or teaser or (e > 0 and out[x.parent])
+        out[e] = x.state == -1 or bare or teaser or outweighed(e) or (e > 0 and out[x.parent])
     least = threshold * max(fused, default=0.0)
     marked = any(elements[e].state == 1 for e in whole)
 

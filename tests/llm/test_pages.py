@@ -60,6 +60,27 @@ def test_articles_outweigh_loose_text_and_short_ones_stay_whole():
     assert html_text.main_text(f"<main>{posts}</main>")[0].count("Post") == 4
 
 
+LINES = "<p>Two or three sentences, of the kind that authors write. They go on for a while, and stop.</p>"
+
+
+@pytest.mark.parametrize("part", [
+    f"<section id='related-work'><h2>Kept</h2>{LINES}</section>", "<h2 id='search'>Kept</h2>", "<h2 id='legal'><a href='#legal'>Kept</a></h2>", "<h3 id=comments>Kept</h3>",
+    f"<section id='copyright'><p>Kept</p>{LINES}</section>", f"<div class='side note'><p>Kept</p>{BODY}</div>", f"<section id='discussion'><h2>Kept</h2>{LINES}</section>",
+    "<p id=notice>Kept</p>", f"<div class='legal text'><h2>Kept</h2>{BODY}</div>",
+])
+def test_anchors_inside_an_article_lose_nothing(part):
+    text = html_text.main_text(f"<body><article><h1>T</h1>{BODY}{part}<p>End.</p></article></body>")[0]
+    assert " Kept" in text and text.endswith("End.") and (LINES not in part or "sentences" in text)
+
+
+@pytest.mark.parametrize("part", [
+    f"<div class='ad'>{BODY}</div>", f"<div id='comments'>{BODY}</div>", "<div id='related'><a href=x>Another story, and more</a> <a href=y>One more</a></div>", "<div class='share'>Tell all</div>",
+    "<ul class='social'><li><a href=x>Here</a><li><a href=y>There</a></ul>", "<div class='sidebar'><p>See this.</p></div>", "<div id='ad-slot'>Buy.</div>", "<nav id=toc>x</nav>",
+])
+def test_boilerplate_inside_an_article_goes(part):
+    assert html_text.main_text(f"<article>{BODY}{part}<p>End.</p></article>")[0] == html_text.main_text(f"<article>{BODY}<p>End.</p></article>")[0]
+
+
 def test_parts_in_divs_of_their_own_stay():
     page = f"<body><h1>Title</h1><div><div><h2>Part</h2></div>{BODY.replace('<p>', '<div><p>').replace('</p>', '</p></div>')}</div><div class='x'>Tiny.</div></body>"
     text = html_text.main_text(page)[0]
