@@ -175,6 +175,23 @@ def cells(rows: DataFrame, group: str, key: str, block: int) -> DataFrame:
         F.when(F.col("own") == F.col("other"), -1).when(F.col("own") < F.col("other"), 0).otherwise(1).alias("side"), *[c for c in rows.columns if c != group])
 
 
+def whole_cells(batches: Iterator[pa.RecordBatch], n_keys: int) -> Iterator[pa.Table]:
+    """Rows sorted by their first `n_keys` columns, in pieces that hold all rows of each key in them."""
+    held: pa.Table | None = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
+        keys = np.stack([rows.column(c).to_numpy() for c in range(n_keys)])
+        last = np.flatnonzero((keys != keys[:, -1:]).any(0))
+        cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
+        if cut:
+            yield rows.slice(0, cut)
+        held = rows.slice(cut)
+    if held is not None and held.num_rows:
+        yield held
+
+
 def links(nodes: DataFrame, sets: list[tuple[int, ...]], shared: int, max_bits: int, block: int = BLOCK) -> DataFrame:
     """(a, b): links between distinct fingerprints (column fp) that meet under a key set, share `shared` positional bytes at least
     and differ in `max_bits` bits at most, up to those that others imply."""
@@ -189,19 +206,7 @@ def links(nodes: DataFrame, sets: list[tuple[int, ...]], shared: int, max_bits:
             a, b = forest(cell, rows.column(3).to_numpy(), by, shared, max_bits)
             return pa.RecordBatch.from_arrays([pa.array([fps[i] for i in a.tolist()], pa.binary()), pa.array([fps[i] for i in b.tolist()], pa.binary())], ["a", "b"])
 
-        held: pa.Table | None = None
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            rows = pa.table(batch) if held is None else pa.concat_tables([held, pa.table(batch)])
-            keys = np.stack([rows.column(c).to_numpy() for c in range(3)])
-            last = np.flatnonzero((keys != keys[:, -1:]).any(0))
-            cut = int(last[-1]) + 1 if len(last) else 0  # the last cell may go on in the next batch
-            if cut:
-                yield work(rows.slice(0, cut))
-            held = rows.slice(cut)
-        if held is not None and held.num_rows:
-            yield work(held)
+        yield from map(work, whole_cells(batches, 3))
 
     return dealt.mapInArrow(run, "a binary, b binary")
 
@@ -271,12 +276,108 @@ def set_links(rows: DataFrame, similarity: float, block: int = SET_BLOCK) -> Dat
     return dealt.groupBy("root", "lo", "hi").applyInArrow(run, "a binary, b binary")
 
 
+#: Documents whose shingles are counted to know the common ones, occurrences among them, most shingles known as common.
+SAMPLE, COMMON, MOST_COMMON = 5_000, 3, 50_000
+
+
+def common_shingles(texts: DataFrame, n_rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray, int]:
+    """Hashes (sorted) and counts of the shingles that stand in many texts of a sample (columns row, text), and one text in how many it holds."""
+    every = max(1, n_rows // SAMPLE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches):
+            found = np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, shingle)) for t in part.column(0).to_pylist())])
+            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
+
+    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(run, "hash long")
+    rows = sample.groupBy("hash").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "hash").limit(MOST_COMMON).collect()
+    hashes = np.array([r[0] for r in rows], np.int64).view(np.uint64)
+    order = np.argsort(hashes)
+    return hashes[order], np.array([r[1] for r in rows], np.int64)[order], every
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first of a set's hashes in the order of all (rare ones first, common ones by count) that a set of that similarity must share
+    one of, and their counts as common shingles."""
+    weight = np.zeros(len(hashes), np.int64)
+    if len(common):
+        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
+        weight = np.where(common[at] == hashes, counts[at], 0)
+    order = np.lexsort((hashes, weight))[:len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
+    return hashes[order], weight[order]
+
+
+def prefix_links(texts: DataFrame, common: tuple[np.ndarray, np.ndarray, int], shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
+    """(a, b): labels of texts (columns label, text) of which some may have that similarity: complete, by prefix filtering.
+
+    Two such sets share a shingle among the first of both, and at the first they share sizes and places leave room for the overlap.
+    """
+    known, counts, every = common
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in blocks(batches):
+            out: list[list[np.ndarray]] = [[] for _ in range(5)]
+            for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                hashes = np.unique(shingle_hashes(text, shingle))
+                first, weight = prefix(hashes, similarity, known, counts)
+                place = np.arange(len(first))
+                # lists that the sample shows to be long are dealt like those of `cells`
+                parts = np.where(weight > 0, -(-weight * every // block), 1)
+                cell, side = first.copy(), np.full(len(first), -1)
+                long = np.flatnonzero(parts > 1)
+                extra = [], [], []
+                for i in long.tolist():
+                    own = label % int(parts[i])
+                    others = [k for k in range(int(parts[i])) if k != own]
+                    pair = lambda a, b: first[i:i + 1] ^ _mixed(np.array([a << 32 | b + 1], np.uint64), 1)  # noqa: E731, B023
+                    cell[i] = pair(own, own)[0]
+                    extra[0].extend(int(pair(min(own, k), max(own, k))[0]) for k in others)
+                    extra[1].extend(0 if own < k else 1 for k in others)
+                    extra[2].extend([i] * len(others))
+                cell = np.concatenate([cell, np.array(extra[0], np.uint64)])
+                side = np.concatenate([side, np.array(extra[1], np.int64)])
+                place = np.concatenate([place, np.array(extra[2], np.int64)])
+                for to, v in zip(out, (cell.view(np.int64), side, np.full(len(cell), label), np.full(len(cell), len(hashes)), place), strict=True):
+                    to.append(v)
+            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v]), k) for v, k in zip(out, kinds, strict=True)], ["cell", "side", "label", "size", "place"])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in whole_cells(batches, 1):
+            cell, side, label, size, place = (rows.column(c).to_numpy().astype(np.int64) for c in range(5))
+            found = [np.zeros((0, 2), np.int64)]
+            at, step = np.arange(len(cell)), 1
+            while True:
+                at = at[at + step < len(cell)]
+                at = at[cell[at + step] == cell[at]]
+                if not len(at):
+                    break
+                for start in range(0, len(at), 65_536):
+                    i = at[start:start + 65_536]
+                    i = i[(label[i] != label[i + step]) & ((side[i] < 0) | (side[i] != side[i + step]))]
+                    j = i + step
+                    room = np.minimum(size[i] - place[i], size[j] - place[j])
+                    enough = room * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
+                    i, j = i[enough], j[enough]
+                    if len(i):
+                        found.append(np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], 1), axis=0))
+                step += 1
+                if len(found) > 256:
+                    found = [np.unique(np.concatenate(found), axis=0)]
+            every_pair = np.unique(np.concatenate(found), axis=0)
+            yield pa.RecordBatch.from_arrays([pa.array(every_pair[:, 0]), pa.array(every_pair[:, 1])], ["a", "b"])
+
+    posted = texts.select("label", "text").mapInArrow(post, "cell long, side int, label long, size int, place int")
+    return posted.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs, "a long, b long").distinct()
+
+
 def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
     """The rows of `docs` (a table's scan, whose row numbers stay the same when it is read again), one of each group of near-duplicates.
 
     Near-duplicates have shingle sets of Jaccard similarity `similarity` or more. Fingerprints of 384 bits give candidates: the
-    index posts them under pairs of bytes out of three neighbours, tallies and verifies bits; what hangs together so is compared by
-    its exact sets, in blocks. The smallest id of a group stays (null ids last, then the first row). Texts without words are one
+    index posts them under pairs of bytes out of three neighbours, tallies and verifies bits. Prefix filtering on rare shingles then
+    joins what of that belongs together and was missed, so no pair is lost; what hangs together so is compared by its exact sets,
+    in blocks. The smallest id of a group stays (null ids last, then the first row). Texts without words are one
     group of exact copies.
     """
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("row", F.monotonically_increasing_id())
@@ -285,7 +386,16 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
     n_bytes = 8 * WIDE_LANES
     nodes = written(prints.where(F.col("fp") != F.lit(bytes(n_bytes))).groupBy("fp").agg(F.min("row").alias("row")), "nodes")
     sets = [(*pair,) for start in range(0, n_bytes, WIDE_GROUP) for pair in itertools.combinations(range(start, start + WIDE_GROUP), 2)]
-    coarse = written(reach(nodes, links(nodes, sets, WIDE_SHARED, int(WIDE_BITS * 8 * n_bytes))).join(nodes, "fp"), "coarse")
+    near = reach(nodes, links(nodes, sets, WIDE_SHARED, int(WIDE_BITS * 8 * n_bytes)))
+    near = nodes.join(near, "fp", "left").select("fp", "row", F.xxhash64(F.coalesce("root", "fp")).alias("label"), F.col("root").isNotNull().alias("linked"))
+    near = written(near, "near")
+    named = numbered.select("row", F.col(value).alias("text"))
+    common = common_shingles(named, prints.count(), shingle)
+    more = written(prefix_links(named.join(small_or_not(near.select("row", "label")), "row"), common, shingle, similarity), "prefix-links")
+    joined = written(components(more), "prefix-roots")
+    joined = joined.select(F.col("node").alias("label"), "root").union(joined.select(F.col("root").alias("label"), "root").distinct())
+    coarse = near.join(joined, "label", "left").where("linked or root is not null").select("row", "fp", F.coalesce("root", "label").alias("root"))
+    coarse = written(coarse, "coarse")
     texts = numbered.select("row", value).join(small_or_not(coarse), "row").select("root", "fp", F.col(value).alias("text"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -293,7 +403,7 @@ def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text"
             found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], ["root", "fp", "hashes"])
 
-    hashes = written(texts.mapInArrow(hashed, "root binary, fp binary, hashes binary"), "shingle-sets")
+    hashes = written(texts.mapInArrow(hashed, "root long, fp binary, hashes binary"), "shingle-sets")
     groups = written(reach(nodes, set_links(hashes, similarity)).withColumnRenamed("root", "group"), "groups")
     members = prints.join(groups, "fp", "left").select("row", key, F.coalesce("group", "fp").alias("group"))
     members = written(members, "members")

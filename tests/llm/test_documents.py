@@ -87,6 +87,40 @@ def test_near_copies_leave_one_of_each_group(messy, messy_rows):
     assert sorted((r["doc_id"] is None, r["doc_id"] or 0) for r in kept.select("doc_id").collect()) == sorted(expected)
 
 
+def test_no_pair_of_the_similarity_is_lost(spark, tmp_path):
+    r = random.Random(8)
+    word = lambda: "".join(r.choice("aeinrst") for _ in range(7))
+    rows = []
+    for n in (4, 5, 9, 27, 99):  # shared shingles; at most a quarter more or an eighth each way are not, so similarities begin at 0.8
+        for k in range(60):
+            shared = [word() for _ in range(n + 4)]
+            out = n // 4
+            left = k % (out + 1) if n > 5 else 0
+            rows += [" ".join([word() for _ in range(left)] + shared), " ".join(shared + [word() for _ in range(out - left)])]
+    spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string").coalesce(3).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    assert sorted(x["doc_id"] for x in simhash.drop_near_duplicates(docs).select("doc_id").collect()) == list(range(0, len(rows), 2))
+
+
+@pytest.mark.parametrize("block", [2, 4096])
+def test_prefix_links_are_complete(spark, block):
+    r = random.Random(9)
+    base = [f"w{i}" for i in range(60)]
+    rows = []
+    for _ in range(50):
+        words = list(base)
+        for _ in range(r.randint(0, 3)):
+            words[r.randrange(60)] = f"x{r.random()}"
+        rows.append(" ".join(words[r.randint(0, 4):60 - r.randint(0, 4)]))
+    texts = spark.createDataFrame([(i, i - 25, t) for i, t in enumerate(rows)], "row long, label long, text string").repartition(3)
+    found = {tuple(x) for x in simhash.prefix_links(texts, simhash.common_shingles(texts, 50, 5), 5, 0.8, block).collect()}
+    sets = [set(simhash.shingle_hashes(t, 5).tolist()) for t in rows]
+    alike = {(i - 25, j - 25) for j in range(50) for i in range(j) if len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert len(alike) > 20 and alike <= found
+
+
 def test_exact_set_links_in_small_blocks(spark):
     base = np.arange(200, dtype=np.uint64)
     r = np.random.default_rng(2)
