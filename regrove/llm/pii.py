@@ -8,9 +8,11 @@ and takes linear time on texts of any length.
 
 Bootstrapping: base spans are seeds. The word on either side of a seed is a lexical pattern. Identifier-like tokens (a digit or
 @ in them, 5 digits or an @ at least, 6 to 64 characters) that stand in such contexts are unseen instances. On the graph of
-patterns and distinct instances two scores are passed to and fro: a pattern's is the summed score of its instances over their
-number plus one, an instance's is one minus the product of (1 - score) over its trusted patterns; seeds stay at 1. Patterns are
-trusted from `pattern_score` and a support of `support` on. After `rounds` rounds instances of `instance_score` or more become
+patterns and distinct instances two scores are passed to and fro: a pattern's is the summed score (mass) of its instances over mass,
+instances known to be something else (dates, amounts, web addresses) and one, an instance's is one minus the product of (1 - score)
+over its trusted patterns; seeds stay at 1. Unseen instances are neutral. Patterns are trusted from `pattern_score`, a support of
+`support` and an RlogF of `rlogf` on (mass over all instances times its log to base 2: a word before anything at all is no
+context). After `rounds` rounds instances of `instance_score` or more become
 spans of kind `context`. Patterns and instances are grouped with partial sums; nothing is gathered.
 
 Defined cases: null text counts as empty; texts and tables without a seed give base spans alone; repeated rows count once in the
@@ -34,6 +36,8 @@ IP = "(?<![0-9])[0-9]++\\.[0-9]++\\.[0-9]++\\.[0-9]++"
 CARD = f"[0-9{GAP}]{{2,}}+"
 PHONE = "\\+[0-9][ ().0-9-]+[0-9]"
 IDENTIFIER = "(?<![^\\s])[^\\s0-9@]*+[0-9@][^\\s]*+"
+#: Values (lower-case) that are no identifiers of a person: dates and times, amounts, web addresses.
+SOMETHING_ELSE = "^(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?:t[0-9:.z+-]*)?|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?|[0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]++[.,][0-9]{1,2}|(?:https?://|www\\.).*)$"
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _PLACES = "array<struct<start:int,end:int,value:string>>"
@@ -130,21 +134,23 @@ def _occurrences(text: Column, found: Column, seed: bool) -> Column:
     return F.transform(found, row)
 
 
-def discovered(occurrences: DataFrame, rounds: int = 3, support: float = 5.0, pattern_score: float = 0.8, instance_score: float = 0.8) -> DataFrame:
+def discovered(occurrences: DataFrame, rounds: int = 3, support: float = 5.0, pattern_score: float = 0.8, instance_score: float = 0.8, rlogf: float = 0.4) -> DataFrame:
     """(value): unseen instances that the trusted patterns vouch for. `occurrences` has value, seed, left, right."""
     side = F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right")))
     edges = occurrences.select("value", "seed", side.alias("pattern")).where("pattern is not null").groupBy("pattern", "value").agg(F.max("seed").alias("seed"))
+    edges = edges.withColumn("other", ~F.col("seed") & F.col("value").rlike(SOMETHING_ELSE))
     # a pattern without seeds enough now can only gain by instances that seeded patterns vouch for
     edges = written(edges.withColumn("score", F.col("seed").cast("double")), "pattern-edges")
     found = None
     for _ in range(rounds):
-        patterns = edges.groupBy("pattern").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("n"))
-        trusted = patterns.select("pattern", "mass", (F.col("mass") / (F.col("n") + 1)).alias("trust")).where((F.col("mass") >= support) & (F.col("trust") >= pattern_score))
-        vouched = edges.where("not seed").join(trusted, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))))).alias("now"))
+        patterns = edges.groupBy("pattern").agg(F.sum("score").alias("mass"), F.count(F.lit(1)).alias("n"), F.sum(F.col("other").cast("int")).alias("against"))
+        trust = F.col("mass") / (F.col("mass") + F.col("against") + 1)
+        trusted = patterns.where((F.col("mass") >= support) & (trust >= pattern_score) & (F.col("mass") / F.col("n") * F.log2("mass") >= rlogf)).select("pattern", trust.alias("trust"))
+        vouched = edges.where("not seed and not other").join(trusted, "pattern").groupBy("value").agg((1 - F.exp(F.sum(F.log1p(-F.least("trust", F.lit(0.999)))))).alias("now"))
         found = written(vouched, "instances")
         if found.isEmpty():
             break
-        edges = written(edges.drop("score").join(found, "value", "left").select("pattern", "value", "seed", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("now", F.lit(0.0))).alias("score")), "pattern-edges")
+        edges = written(edges.drop("score").join(found, "value", "left").select("pattern", "value", "seed", "other", F.when(F.col("seed"), 1.0).otherwise(F.coalesce("now", F.lit(0.0))).alias("score")), "pattern-edges")
     return found.where(F.col("now") >= instance_score).select("value")
 
 

@@ -299,6 +299,20 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert got[50] == [("context", at, at + len("77123-456-X"))] and got[51] == []
 
 
+@pytest.mark.parametrize("seeds,unseen", [(100, 40), (12, 40)])
+def test_contexts_with_many_unseen_identifiers_are_trusted(spark, seeds, unseen):
+    from conftest import prose
+
+    rows = [(i, f"{prose(i, 4)} Kontakt: user{i}@mail{i}.example.org {prose(i + 500, 4)}") for i in range(seeds)]
+    rows += [(1000 + i, f"{prose(i + 700, 4)} Kontakt: 77{i:03}-456-X {prose(i + 900, 4)}") for i in range(unseen)]
+    rows += [(2000 + i, f"{prose(i + 1200, 4)} the 88{i:03}-456-X {prose(i + 1300, 4)}") for i in range(300)]
+    rows += [(3000 + i, f"{prose(i + 1600, 4)} the name{i}@mail{i}.example.org {prose(i + 1700, 4)}") for i in range(6)]
+    rows += [(4000 + i, f"{prose(i + 1800, 4)} am {f'a{i}@mail{i}.example.org' if i < 9 else f'2024-01-{i}'} {prose(i + 1900, 4)}") for i in range(20)]
+    got = {r["doc_id"]: [s["kind"] for s in r["pii_spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert all(got[1000 + i] == ["context"] for i in range(unseen))
+    assert not any(got[2000 + i] for i in range(300)) and not any(got[4000 + i] for i in range(9, 20))
+
+
 def test_pii_of_messy_rows(messy, nothing):
     found = pii.find_pii(messy, keep=tuple(c for c in messy.columns if c != "pii_spans"))
     assert found.count() == messy.count() and found.where("size(pii_spans) > 0").select("doc_id").distinct().count() == 1
