@@ -7,7 +7,8 @@ host names and single separators inside digit groups are marked first, so that e
 and takes linear time on texts of any length.
 
 Bootstrapping: base spans are seeds. The word on either side of a seed is a lexical pattern. Identifier-like tokens (a digit or
-@ in them, 5 digits or an @ at least, 6 to 64 characters) that stand in such contexts are unseen instances. On the graph of
+@ in them, of any length; groups of digits and capitals parted by single spaces are one; a label before ':' or '=' is a context, not
+part of it) that stand in such contexts are unseen instances. On the graph of
 patterns and distinct instances two scores are passed to and fro: a pattern's is the summed score (mass) of its instances over mass,
 instances known to be something else (dates, amounts, web addresses) and one, an instance's is one minus the product of (1 - score)
 over its trusted patterns; seeds stay at 1. Unseen instances are neutral. Patterns are trusted from `pattern_score`, a support of
@@ -38,6 +39,9 @@ PHONE = "\\+[0-9][ ().0-9-]+[0-9]"
 IDENTIFIER = "(?<![^\\s])[^\\s0-9@]*+[0-9@][^\\s]*+"
 #: Values (lower-case) that are no identifiers of a person: dates and times, amounts, web addresses.
 SOMETHING_ELSE = "^(?:[0-9]{4}[-/.][0-9]{1,2}[-/.][0-9]{1,2}(?:t[0-9:.z+-]*)?|[0-9]{1,2}[-/.][0-9]{1,2}[-/.][0-9]{2,4}|[0-9]{1,2}:[0-9]{2}(?::[0-9]{2})?|[0-9]{1,3}(?:[.,][0-9]{3})+|[0-9]++[.,][0-9]{1,2}|(?:https?://|www\\.).*)$"
+#: A single space between groups of one identifier: after a digit's group, before another's (digits, capitals, brackets), with at
+#: most one group of up to four capitals between.
+GROUPED = "(?<=[0-9][A-Za-z0-9)-]{0,20})[ ](?=[A-Z(]{0,8}[0-9]|[A-Z]{1,4} [A-Z]{0,4}[0-9])|(?<=[0-9][A-Z0-9)-]{0,20} [A-Z]{1,4})[ ](?=[A-Z]{0,4}[0-9])"
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _PLACES = "array<struct<start:int,end:int,value:string>>"
@@ -98,20 +102,26 @@ def base_spans(text: Column) -> Column:
 
 
 def _candidates(text: Column, spans: Column) -> Column:
-    """Identifier-like tokens, without signs at their edges, that touch no base span."""
+    """Identifier-like tokens or runs of groups, without labels and signs at their edges, that touch no base span."""
     signs = "[^A-Za-z0-9@+]"
-    likely = lambda v: F.contains(v, F.lit("@")) | (F.length(_digits(v)) >= 5)
-    tokens = F.when(text.rlike("[0-9@]"), places(text, IDENTIFIER, lambda v: (F.length(v) >= 6) & likely(v))).otherwise(F.array().cast(_PLACES))
+    plain = F.translate(text, DOT + GAP, OTHER * 2)
+    # base spans are no part of a run
+    plain = F.when(F.size(spans) > 0, F.aggregate(
+        spans, plain, lambda a, s: F.concat(F.substring(a, F.lit(1), s["start"]), F.repeat(F.lit("\n"), s["end"] - s["start"]), F.substring(a, s["end"] + 1, F.length(a))),
+    )).otherwise(plain)
+    grouped = F.regexp_replace(plain, GROUPED, GAP)
+    tokens = F.when(text.rlike("[0-9@]"), places(grouped, IDENTIFIER)).otherwise(F.array().cast(_PLACES))
 
     def trimmed(p: Column) -> Column:
-        headless = F.regexp_replace(p["value"], f"^{signs}++", "")
+        unlabelled = F.regexp_replace(p["value"], "^[^\\s\\p{L}0-9@]{0,4}[\\p{L}_-]{1,40}[:=](?!//)", "")
+        headless = F.regexp_replace(unlabelled, f"^(?:(?!\\(\\+?[0-9]++\\)){signs})++", "")
         value = F.regexp_replace(headless, f"(?<!{signs}){signs}++$", "")
         start = p["end"] - F.length(headless)
         return F.struct(start.alias("start"), (start + F.length(value)).alias("end"), value.alias("value"))
 
     def fits(p: Column) -> Column:
-        clear = ~F.exists(spans, lambda s: (s["start"] < p["end"]) & (p["start"] < s["end"]))
-        return (p["end"] - p["start"]).between(6, 64) & likely(p["value"]) & clear
+        clear = ~F.exists(spans, lambda s: (s["start"] <= p["end"]) & (p["start"] <= s["end"]))
+        return p["value"].rlike("[0-9@]") & clear
 
     return F.filter(F.transform(tokens, trimmed), fits)
 
@@ -129,7 +139,7 @@ def _occurrences(text: Column, found: Column, seed: bool) -> Column:
         after = F.substring(text, p["end"] + 1, F.lit(REACH))
         return F.struct(
             p["start"].alias("start"), p["end"].alias("end"), F.lower(F.substring(text, p["start"] + 1, p["end"] - p["start"])).alias("value"), F.lit(seed).alias("seed"),
-            word(before, "(?:^|\\s)([^\\s]{1,40})\\s{1,4}[^\\s\\p{L}0-9]{0,4}$").alias("left"), word(after, "^[^\\s\\p{L}0-9]{0,4}\\s{1,4}([^\\s]{1,40})(?:\\s|$)").alias("right"))
+            word(before, "(?:^|\\s)([^\\s]{1,40})(?:\\s{1,4}|(?<=[:=]))[^\\s\\p{L}0-9]{0,4}$").alias("left"), word(after, "^[^\\s\\p{L}0-9]{0,4}\\s{1,4}([^\\s]{1,40})(?:\\s|$)").alias("right"))
 
     return F.transform(found, row)
 

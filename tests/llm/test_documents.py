@@ -313,6 +313,21 @@ def test_contexts_with_many_unseen_identifiers_are_trusted(spark, seeds, unseen)
     assert not any(got[2000 + i] for i in range(300)) and not any(got[4000 + i] for i in range(9, 20))
 
 
+def test_identifiers_in_groups_and_behind_labels_are_found_whole(spark):
+    from conftest import prose
+
+    rows = [(i, f"{prose(i, 4)} Kontakt: user{i}@mail{i}.example.org {prose(i + 50, 4)}") for i in range(12)]
+    rows += [(100 + i, f"{prose(i + 200, 4)} id=user{i}@mail{i}.example.org {prose(i + 250, 4)}") for i in range(12)]
+    values = ["(030) 123 4567", "123 45 6789", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19", "AB1234X", "7" * 70, "x1"]
+    rows += [(200 + i, f"{prose(i + 300, 3)} Kontakt: {v} {prose(i + 350, 3)}") for i, v in enumerate(values)]
+    rows += [(300, f"{prose(400, 3)} id=77123456 {prose(401, 3)}"), (301, f"{prose(402, 3)} Kontakt:77123456, {prose(403, 3)}"), (302, f"Kontakt: 123 45 a@b.org {prose(405, 3)}")]
+    found = {r["doc_id"]: r["pii_spans"] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    text = dict(rows)
+    cut = {i: [text[i][s["start"]:s["end"]] for s in spans] for i, spans in found.items()}
+    assert [cut[200 + i] for i in range(len(values))] == [[v] for v in values]
+    assert cut[300] == cut[301] == ["77123456"] and cut[302] == ["a@b.org", "123 45"]
+
+
 def test_pii_of_messy_rows(messy, nothing):
     found = pii.find_pii(messy, keep=tuple(c for c in messy.columns if c != "pii_spans"))
     assert found.count() == messy.count() and found.where("size(pii_spans) > 0").select("doc_id").distinct().count() == 1
