@@ -1,6 +1,6 @@
 """SimHash near-duplicates through an inverted index of byte positions with count filtering.
 
-A fingerprint is `lanes` x 64 bits: bit i is set if it is set in over half of the XXH64 values of the text's word shingles. Two
+A fingerprint has 64 bits: bit i is set if it is set in over half of the XXH64 values of the text's word shingles. Two
 fingerprints within `max_bits` bits differ in at most so many bytes, so they share at least n_bytes - max_bits positional bytes.
 The index posts every distinct fingerprint under sets of `key_bytes` positional bytes, chosen so that any two fingerprints
 sharing the guaranteed number of positional bytes meet under at least one set (Turan's block constructions). Inside a posting
@@ -34,7 +34,6 @@ SEED = 42
 BLOCK = 4096
 #: Narrow rows (some 20 to 60 bytes) that are broadcast at most; more of them are joined by a shuffle.
 BROADCAST_ROWS = 500_000
-_GOLDEN = 0x9E3779B97F4A7C15
 
 
 def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
@@ -51,37 +50,22 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
     return np.array([digest(line[a:b], SEED) for a, b in zip(starts[:len(words) - shingle + 1].tolist(), ends[shingle - 1:].tolist())], np.uint64)
 
 
-def _mixed(hashes: np.ndarray, lane: int) -> np.ndarray:
-    """Further 64 bits of a hash for lanes after the first (the finaliser of SplitMix64)."""
-    if not lane:
-        return hashes
-    x = hashes + np.uint64(lane * _GOLDEN & (2**64 - 1))
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+def fingerprint_of(text: str | None, shingle: int = 4) -> bytes:
+    """The fingerprint, big-endian."""
+    hashes = shingle_hashes(text, shingle)
+    ones = np.zeros(64, np.int64)
+    for start in range(0, len(hashes), 16_384):
+        part = hashes[start:start + 16_384].astype(">u8").view(np.uint8).reshape(-1, 8)
+        ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
+    return np.packbits(ones * 2 > len(hashes)).tobytes()
 
 
-def fingerprint_of(text: str | None, shingle: int = 4, lanes: int = 1, distinct: bool = False) -> bytes:
-    """Big-endian bytes of the fingerprint, lane after lane."""
-    hashes = shingle_hashes(text, shingle)
-    if distinct:
-        hashes = np.unique(hashes)
-    out = b""
-    for lane in range(lanes):
-        ones = np.zeros(64, np.int64)
-        for start in range(0, len(hashes), 16_384):
-            part = _mixed(hashes[start:start + 16_384], lane).astype(">u8").view(np.uint8).reshape(-1, 8)
-            ones += np.unpackbits(part, axis=1).sum(0, dtype=np.int64)
-        out += np.packbits(ones * 2 > len(hashes)).tobytes()
-    return out
-
-
-def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", shingle: int = 4, lanes: int = 1, distinct: bool = False) -> DataFrame:
+def fingerprints(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", shingle: int = 4) -> DataFrame:
     """The columns `keep` and fp (binary)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
-            found = [fingerprint_of(t, shingle, lanes, distinct) for t in part.column(len(keep)).to_pylist()]
+            found = [fingerprint_of(t, shingle) for t in part.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*(part.column(i) for i in range(len(keep))), pa.array(found, pa.binary())], [*keep, "fp"])
 
     picked = pick(docs, *keep, text)
@@ -232,185 +216,19 @@ def near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shi
     return prints.join(found, "fp").select(id, "fp", "component")
 
 
-#: Fingerprints for a similarity of shingle sets: lanes, bytes of a key group, least tally, share of differing bits.
-WIDE_LANES, WIDE_GROUP, WIDE_SHARED, WIDE_BITS = 6, 3, 5, 0.2
-SET_BLOCK = 512
-
-
-def _alike(sets: list[np.ndarray], similarity: float) -> np.ndarray:
-    """For each set the number of the first set of its component, links being a Jaccard similarity of `similarity` or more."""
-    owner = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
-    _, column, count = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = count[column] > 1
-    owner, column = owner[shared], np.unique(column[shared], return_inverse=True)[1]
-    both = np.zeros((len(sets), len(sets)), np.float32)
-    order = np.argsort(column, kind="stable")
-    owner, column = owner[order], column[order]
-    for start in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
-        lo, hi = np.searchsorted(column, (start, start + 4096))
-        part = np.zeros((len(sets), 4096), np.float32)
-        part[owner[lo:hi], column[lo:hi] - start] = 1
-        both += part @ part.T
-    size = np.array([len(x) for x in sets], np.float64)
-    linked = both >= similarity * (size[:, None] + size[None, :] - both) - 1e-9
-    np.fill_diagonal(linked, True)
-    label = np.arange(len(sets))
-    while True:  # the least label among the neighbours, until none changes
-        new = np.where(linked, label[None, :], len(sets)).min(1)
-        new = new[new]
-        if (new == label).all():
-            return label
-        label = new
-
-
-def set_links(rows: DataFrame, similarity: float, block: int = SET_BLOCK) -> DataFrame:
-    """(a, b): links between fingerprints of one coarse component (columns root, fp, hashes: shingle hashes as bytes)."""
-    dealt = cells(rows.select("root", "fp", "hashes"), "root", "fp", block)
-
-    def run(cell: pa.Table) -> pa.Table:
-        fps = cell.column("fp").to_pylist()
-        label = _alike([np.frombuffer(h, np.uint64) for h in cell.column("hashes").to_pylist()], similarity)
-        pairs = [(fps[i], fps[k]) for i, k in enumerate(label.tolist()) if i != k]
-        return pa.table({"a": pa.array([p[0] for p in pairs], pa.binary()), "b": pa.array([p[1] for p in pairs], pa.binary())})
-
-    return dealt.groupBy("root", "lo", "hi").applyInArrow(run, "a binary, b binary")
-
-
-#: Documents whose shingles are counted to know the common ones, occurrences among them, most shingles known as common.
-SAMPLE, COMMON, MOST_COMMON = 5_000, 3, 50_000
-
-
-def common_shingles(texts: DataFrame, n_rows: int, shingle: int) -> tuple[np.ndarray, np.ndarray, int]:
-    """Hashes (sorted) and counts of the shingles that stand in many texts of a sample (columns row, text), and one text in how many it holds."""
-    every = max(1, n_rows // SAMPLE)
+def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 4, max_bits: int = 4) -> DataFrame:
+    """The rows of `docs`, one of each group that `near_duplicates` links: that of the smallest id (null ids last, then the first row).
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
-            found = np.concatenate([np.zeros(0, np.uint64), *(np.unique(shingle_hashes(t, shingle)) for t in part.column(0).to_pylist())])
-            yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64))], ["hash"])
-
-    sample = texts.where(F.pmod(F.xxhash64("row"), F.lit(every)) == 0).select("text").mapInArrow(run, "hash long")
-    rows = sample.groupBy("hash").count().where(F.col("count") >= COMMON).orderBy(F.desc("count"), "hash").limit(MOST_COMMON).collect()
-    hashes = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-    order = np.argsort(hashes)
-    return hashes[order], np.array([r[1] for r in rows], np.int64)[order], every
-
-
-def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The first of a set's hashes in the order of all (rare ones first, common ones by count) that a set of that similarity must share
-    one of, and their counts as common shingles."""
-    weight = np.zeros(len(hashes), np.int64)
-    if len(common):
-        at = np.minimum(np.searchsorted(common, hashes), len(common) - 1)
-        weight = np.where(common[at] == hashes, counts[at], 0)
-    order = np.lexsort((hashes, weight))[:len(hashes) - int(np.ceil(similarity * len(hashes) - 1e-9)) + 1]
-    return hashes[order], weight[order]
-
-
-def prefix_links(texts: DataFrame, common: tuple[np.ndarray, np.ndarray, int], shingle: int, similarity: float, block: int = BLOCK) -> DataFrame:
-    """(a, b): labels of texts (columns label, text) of which some may have that similarity: complete, by prefix filtering.
-
-    Two such sets share a shingle among the first of both, and at the first they share sizes and places leave room for the overlap.
-    """
-    known, counts, every = common
-
-    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
-            out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            for label, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                hashes = np.unique(shingle_hashes(text, shingle))
-                first, weight = prefix(hashes, similarity, known, counts)
-                place = np.arange(len(first))
-                # lists that the sample shows to be long are dealt like those of `cells`
-                parts = np.where(weight > 0, -(-weight * every // block), 1)
-                cell, side = first.copy(), np.full(len(first), -1)
-                long = np.flatnonzero(parts > 1)
-                extra = [], [], []
-                for i in long.tolist():
-                    own = label % int(parts[i])
-                    others = [k for k in range(int(parts[i])) if k != own]
-                    pair = lambda a, b: first[i:i + 1] ^ _mixed(np.array([a << 32 | b + 1], np.uint64), 1)  # noqa: E731, B023
-                    cell[i] = pair(own, own)[0]
-                    extra[0].extend(int(pair(min(own, k), max(own, k))[0]) for k in others)
-                    extra[1].extend(0 if own < k else 1 for k in others)
-                    extra[2].extend([i] * len(others))
-                cell = np.concatenate([cell, np.array(extra[0], np.uint64)])
-                side = np.concatenate([side, np.array(extra[1], np.int64)])
-                place = np.concatenate([place, np.array(extra[2], np.int64)])
-                for to, v in zip(out, (cell.view(np.int64), side, np.full(len(cell), label), np.full(len(cell), len(hashes)), place), strict=True):
-                    to.append(v)
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32())
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([np.zeros(0, np.int64), *v]), k) for v, k in zip(out, kinds, strict=True)], ["cell", "side", "label", "size", "place"])
-
-    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in whole_cells(batches, 1):
-            cell, side, label, size, place = (rows.column(c).to_numpy().astype(np.int64) for c in range(5))
-            found = [np.zeros((0, 2), np.int64)]
-            at, step = np.arange(len(cell)), 1
-            while True:
-                at = at[at + step < len(cell)]
-                at = at[cell[at + step] == cell[at]]
-                if not len(at):
-                    break
-                for start in range(0, len(at), 65_536):
-                    i = at[start:start + 65_536]
-                    i = i[(label[i] != label[i + step]) & ((side[i] < 0) | (side[i] != side[i + step]))]
-                    j = i + step
-                    room = np.minimum(size[i] - place[i], size[j] - place[j])
-                    enough = room * (1 + similarity) >= similarity * (size[i] + size[j]) - 1e-6
-                    i, j = i[enough], j[enough]
-                    if len(i):
-                        found.append(np.unique(np.stack([np.minimum(label[i], label[j]), np.maximum(label[i], label[j])], 1), axis=0))
-                step += 1
-                if len(found) > 256:
-                    found = [np.unique(np.concatenate(found), axis=0)]
-            every_pair = np.unique(np.concatenate(found), axis=0)
-            yield pa.RecordBatch.from_arrays([pa.array(every_pair[:, 0]), pa.array(every_pair[:, 1])], ["a", "b"])
-
-    posted = texts.select("label", "text").mapInArrow(post, "cell long, side int, label long, size int, place int")
-    return posted.repartition("cell").sortWithinPartitions("cell").mapInArrow(pairs, "a long, b long").distinct()
-
-
-def drop_near_duplicates(docs: DataFrame, id: str = "doc_id", text: str = "text", shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """The rows of `docs` (a table's scan, whose row numbers stay the same when it is read again), one of each group of near-duplicates.
-
-    Near-duplicates have shingle sets of Jaccard similarity `similarity` or more. Fingerprints of 384 bits give candidates: the
-    index posts them under pairs of bytes out of three neighbours, tallies and verifies bits. Prefix filtering on rare shingles then
-    joins what of that belongs together and was missed, so no pair is lost; what hangs together so is compared by its exact sets,
-    in blocks. The smallest id of a group stays (null ids last, then the first row). Texts without words are one
-    group of exact copies.
+    Rows are written with numbers of their own before anything is decided, so a number means the same row when a task is run again.
+    Texts without words are one group of exact copies; an empty table stays empty.
     """
-    numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))]).withColumn("row", F.monotonically_increasing_id())
-    key, value = (f"c{docs.columns.index(c)}" for c in (id, text))
-    prints = written(fingerprints(numbered, ("row", key), value, shingle, WIDE_LANES, distinct=True), "fingerprints")
-    n_bytes = 8 * WIDE_LANES
-    nodes = written(prints.where(F.col("fp") != F.lit(bytes(n_bytes))).groupBy("fp").agg(F.min("row").alias("row")), "nodes")
-    sets = [(*pair,) for start in range(0, n_bytes, WIDE_GROUP) for pair in itertools.combinations(range(start, start + WIDE_GROUP), 2)]
-    near = reach(nodes, links(nodes, sets, WIDE_SHARED, int(WIDE_BITS * 8 * n_bytes)))
-    near = nodes.join(near, "fp", "left").select("fp", "row", F.xxhash64(F.coalesce("root", "fp")).alias("label"), F.col("root").isNotNull().alias("linked"))
-    near = written(near, "near")
-    named = numbered.select("row", F.col(value).alias("text"))
-    common = common_shingles(named, prints.count(), shingle)
-    more = written(prefix_links(named.join(small_or_not(near.select("row", "label")), "row"), common, shingle, similarity), "prefix-links")
-    joined = written(components(more), "prefix-roots")
-    joined = joined.select(F.col("node").alias("label"), "root").union(joined.select(F.col("root").alias("label"), "root").distinct())
-    coarse = near.join(joined, "label", "left").where("linked or root is not null").select("row", "fp", F.coalesce("root", "label").alias("root"))
-    coarse = written(coarse, "coarse")
-    texts = numbered.select("row", value).join(small_or_not(coarse), "row").select("root", "fp", F.col(value).alias("text"))
-
-    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in blocks(batches):
-            found = [np.unique(shingle_hashes(t, shingle)).tobytes() for t in part.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(found, pa.binary())], ["root", "fp", "hashes"])
-
-    hashes = written(texts.mapInArrow(hashed, "root long, fp binary, hashes binary"), "shingle-sets")
-    groups = written(reach(nodes, set_links(hashes, similarity)).withColumnRenamed("root", "group"), "groups")
-    members = prints.join(groups, "fp", "left").select("row", key, F.coalesce("group", "fp").alias("group"))
-    members = written(members, "members")
-    first = members.groupBy("group").agg(F.min(F.struct(F.isnull(key).alias("n"), F.col(key), F.col("row"))).alias("first"))
-    first = written(first.select("group", F.col("first.row").alias("kept")), "first")
-    dropped = written(members.join(first, "group").where("row <> kept").select("row"), "dropped")
-    return numbered.join(small_or_not(dropped), "row", "left_anti").drop("row").toDF(*docs.columns)
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    key, value = (names[docs.columns.index(c)] for c in (id, text))
+    numbered = written(docs.toDF(*names).withColumn("row", F.monotonically_increasing_id()), "numbered")
+    ordered = numbered.select("row", F.struct(F.isnull(key).alias("n"), F.col(key).alias("id"), F.col("row")).alias("own"), F.col(value).alias("text"))
+    found = near_duplicates(ordered, "own", "text", shingle, max_bits)
+    dropped = written(found.where("own.row <> component.row").select("own.row"), "dropped")
+    return numbered.join(dropped, "row", "left_anti").select(*names).toDF(*docs.columns)
 
 
 def op1_simhash_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,25 +1,11 @@
-import pytest
-from pyspark.sql import types as T
-
-DOCS = T.StructType([
-    T.StructField("doc_id", T.LongType()), T.StructField("text", T.StringType()), T.StructField("lang", T.StringType()),
-    T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
-])
-#: Extra columns whose names the operators use themselves.
-CLASHING = ("score", "fp", "row", "spans", "pii_spans", "items", "size", "n_words", "batch", "held_out", "label", "bucket", "features", "component", "t", "id")
-
-
-def clash(df):
-    from pyspark.sql import functions as F
-
-    return df.select("*", *[F.lit("x").alias(c) for c in CLASHING])
+import os
+import sys
 
+import pytest
 
-def prose(seed: int, n: int) -> str:
-    import random
+sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
-    r = random.Random(seed)
-    return " ".join("".join(r.choice("aeinrst") for _ in range(r.randint(2, 8))) for _ in range(n))
+from texts import DOCS, clash, prose  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from texts import prose
 
 from regrove.llm import elias_fano, lm, mixing, toxicity
 from regrove.llm.common import crc_of, words_of
@@ -131,8 +132,6 @@ def test_mix_of_messy_rows(messy, nothing):
 # Toxicity
 
 def test_toxicity_learns_planted_words_and_leaves_held_out_labels_alone(spark):
-    from conftest import prose
-
     insults = ["blarg", "grumf", "zwosh"]
     rows, labels = [], []
     for i in range(600):

@@ -2,6 +2,7 @@
 
 import pytest
 from check_results import connect, duck_rows, spark_rows
+from texts import DOCS, clash, prose
 
 import corpus_pipeline
 from regrove.llm import registered
@@ -36,8 +37,6 @@ def test_query(spark, sf, name):
 
 
 def test_pipeline_stages_take_effect(spark, messy_rows, tmp_path):
-    from conftest import DOCS, clash, prose
-
     passage = prose(500, 30)
     rows = [*messy_rows, (60, f"{prose(60, 20)} {passage} {prose(61, 20)}", "en", "a", 1), (61, f"{prose(62, 30)} bob@mail.example.org end", "en", "b", 1)]
     insults = [(200 + i, f"{prose(200 + i, 20)} blarg {prose(900 + i, 20)} blarg grumf", "en", "a", 1) for i in range(30)]

@@ -3,6 +3,7 @@
 import gzip
 
 import pytest
+from texts import clash
 
 from regrove.llm import html_text, warc
 from regrove.session import scratch_path
@@ -96,8 +97,6 @@ def test_odd_pages(page, text):
 
 
 def pages(spark, rows):
-    from conftest import clash
-
     return clash(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
 
 
