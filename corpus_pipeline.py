@@ -24,26 +24,35 @@ def plain(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below the threshold of the toxicity model."""
+    """Documents that score below the threshold of the toxicity model.
+
+    Null and empty texts are scored like any other (they have no toxic words); repeated rows share one score; an empty table stays empty.
+    """
     rows, name = plain(docs)
     scored = score_toxicity(rows, table(spark, sf_dir, "labels"), keep=tuple(rows.columns), id=name["doc_id"], text=name["text"])
     return scored.where("predicted = 0").select(*rows.columns).toDF(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document (the smallest id) of each group linked by a similarity of 0.8 or more over five-word shingles."""
+    """One document (the smallest id, null ids last) of each group whose fingerprints over four-word shingles hang together by 4 bits or fewer.
+
+    Null and wordless texts are one group; repeated rows leave one; an empty table stays empty.
+    """
     return drop_near_duplicates(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in which no window of ten benchmark words occurs."""
+    """Documents in which no window of ten benchmark words occurs (null, empty and wordless texts among them); an empty table stays empty."""
     rows, name = plain(docs)
     found = find_contamination(rows, table(spark, sf_dir, "benchmark"), keep=tuple(rows.columns), text=name["text"])
     return found.where("n_hit = 0").select(*rows.columns).toDF(*docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, each span of personal data replaced by its kind; n_chars follows the text where it had counted it."""
+    """All documents, each span of personal data replaced by its kind; n_chars follows the text where it had counted it.
+
+    Null and empty texts stay as they are; repeated rows are masked alike; an empty table stays empty.
+    """
     rows, name = plain(docs)
     found = find_pii(rows, keep=tuple(rows.columns), text=name["text"])
     # a column of its own: inside its lambdas the text's name must not mean the new text
@@ -55,7 +64,7 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies and words that the mix takes of each document."""
+    """Copies and words that the mix takes of each document: null texts have size 0, repeated rows a row each; an empty table gives an empty mix."""
     return mix(docs)
 
 
