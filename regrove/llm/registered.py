@@ -13,6 +13,7 @@ from regrove.llm.lm import op4_lm_score
 from regrove.llm.mixing import op3_source_mix
 from regrove.llm.order_minhash import op7_order_minhash
 from regrove.llm.pii import op9_pii
+from regrove.llm.resample import OP11_SQL, op11_resample
 from regrove.llm.secrets import op6_secrets
 from regrove.llm.simhash import op1_simhash_dedup
 from regrove.llm.toxicity import op2_toxicity
@@ -31,10 +32,11 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_warc": op8_warc,
         "op9_pii": op9_pii,
         "op10_html_text": op10_html_text,
+        "op11_resample": op11_resample,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    sql = {"op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL}
+    sql = {"op5_decontaminate": OP5_SQL, "op8_warc": OP8_SQL, "op11_resample": OP11_SQL}
     return sql | ({"pipeline": corpus_pipeline.ORACLE_SQL} if corpus_pipeline.ORACLE_SQL else {})
