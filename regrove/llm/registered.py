@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
 from regrove.llm.decontaminate import OP5_SQL, op5_decontaminate
+from regrove.llm.embedding_dedup import op12_embedding_dedup
 from regrove.llm.html_text import op10_html_text
 from regrove.llm.lm import op4_lm_score
 from regrove.llm.mixing import op3_source_mix
@@ -16,6 +17,7 @@ from regrove.llm.pii import op9_pii
 from regrove.llm.resample import OP11_SQL, op11_resample
 from regrove.llm.secrets import op6_secrets
 from regrove.llm.simhash import op1_simhash_dedup
+from regrove.llm.token_alignment import op13_token_alignment
 from regrove.llm.toxicity import op2_toxicity
 from regrove.llm.warc import OP8_SQL, op8_warc
 
@@ -33,6 +35,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_pii": op9_pii,
         "op10_html_text": op10_html_text,
         "op11_resample": op11_resample,
+        "op12_embedding_dedup": op12_embedding_dedup,
+        "op13_token_alignment": op13_token_alignment,
         "pipeline": corpus_pipeline.run,
     }
 
