@@ -321,6 +321,81 @@ def _stack() -> str:
     FROM stepped x JOIN stump s ON s.high = x.high JOIN tree t ON t.high = x.high AND t.low = x.low, w"""
 
 
+def _gain(settings, g: str, h: str) -> str:
+    return f"coalesce(power(greatest(abs({g}) - {settings.reg_alpha!r}, 0), 2) / nullif({h} + {settings.reg_lambda!r}, 0), 0)"
+
+
+def _splits(name: str, source: str, features, settings) -> str:
+    """CTEs: `<name>_gains` has each node's gain at each value of each feature; rows of `source` have node, w (weight) and e (what is to explain)."""
+    cells = " UNION ALL ".join(f"SELECT node, '{f}' AS feature, CAST({f} AS DOUBLE) AS v, sum(w * e) AS g, sum(w) AS h, count(*) AS n FROM {source} GROUP BY ALL" for f in features)
+    gain = f"0.5 * ({_gain(settings, 'gl', 'hl')} + {_gain(settings, 'g - gl', 'h - hl')} - {_gain(settings, 'g', 'h')})"
+    small = f"least(hl, h - hl) < {settings.min_child_weight!r} OR least(nl, n - nl) < {max(1, settings.min_child_samples)}"
+    return f"""
+    {name}_cells AS ({cells}),
+    {name}_at AS (SELECT DISTINCT feature, v FROM {name}_cells),
+    {name}_sums AS (
+      SELECT c.node, a.feature, a.v, sum(g) AS g, sum(h) AS h, sum(n) AS n, coalesce(sum(g) FILTER (c.v <= a.v), 0) AS gl,
+        coalesce(sum(h) FILTER (c.v <= a.v), 0) AS hl, coalesce(sum(n) FILTER (c.v <= a.v), 0) AS nl
+      FROM {name}_at a JOIN {name}_cells c ON c.feature = a.feature GROUP BY ALL),
+    {name}_gains AS (SELECT node, feature, v, CASE WHEN {small} THEN NULL ELSE {gain} - {settings.gamma!r} END AS gain FROM {name}_sums)"""
+
+
+def _below(split: str, features) -> str:
+    return "CASE " + " ".join(f"WHEN {split}.feature = '{f}' THEN {f} <= {split}.v" for f in features) + " END"
+
+
+def _leaf_values(settings) -> str:
+    return f"sign(sum(w * e)) * greatest(abs(sum(w * e)) - {settings.reg_alpha!r}, 0) / (sum(w) + {settings.reg_lambda!r}) * {settings.learning_rate!r}"
+
+
+def _boosted_levels(settings, features_of, weight: str = "1.0") -> str:
+    """Trees of one level, one after the other: the best of all splits, then each side's shrunk mean is taken off what is to explain."""
+    ctes = [f"""WITH {STEPPED}, base AS (SELECT avg(CAST(y AS DOUBLE)) AS b FROM train),
+    t0 AS (SELECT x.*, 0 AS node, {weight} AS w, y - b AS e, b AS p FROM stepped x, base)"""]
+    for k in range(settings.trees):
+        features = features_of(k)
+        ctes.append(f"""
+    train{k} AS (SELECT * FROM t{k} WHERE split = 'train'), {_splits(f"s{k}", f"train{k}", features, settings)},
+    best{k} AS (SELECT arg_max(feature, gain) AS feature, arg_max(v, gain) AS v FROM s{k}_gains WHERE gain > 0),
+    sides{k} AS (SELECT {_below(f"best{k}", features)} AS below, {_leaf_values(settings)} AS value FROM train{k}, best{k} GROUP BY 1),
+    t{k + 1} AS (SELECT t.* EXCLUDE (e, p), e - value AS e, p + value AS p FROM t{k} t, best{k} JOIN sides{k} ON below = ({_below(f"best{k}", features)}))""")
+    return f"{','.join(ctes)} SELECT {KEY}, split, {r('p / 1000000')} AS prediction FROM t{settings.trees}"
+
+
+def _boosted_twice(settings, features, second: str) -> str:
+    """One tree of a first split and `second` ones: `chosen` has node, feature and v of what splits then."""
+    return f"""WITH {STEPPED}, base AS (SELECT avg(CAST(y AS DOUBLE)) AS b FROM train),
+    t0 AS (SELECT x.*, 0 AS node, 1.0 AS w, y - b AS e, b FROM stepped x, base),
+    train0 AS (SELECT * FROM t0 WHERE split = 'train'), {_splits("s0", "train0", features, settings)},
+    best0 AS (SELECT arg_max(feature, gain) AS feature, arg_max(v, gain) AS v FROM s0_gains WHERE gain > 0),
+    t1 AS (SELECT t.* EXCLUDE (node), CAST({_below("best0", features)} AS INTEGER) AS node FROM t0 t, best0),
+    train1 AS (SELECT * FROM t1 WHERE split = 'train'), {_splits("s1", "train1", features, settings)},
+    chosen AS ({second}),
+    t2 AS (SELECT t.* EXCLUDE (node), t.node * 10 + CASE WHEN c.node IS NULL THEN 5 ELSE CAST({_below("c", features)} AS INTEGER) END AS node FROM t1 t LEFT JOIN chosen c ON c.node = t.node),
+    leaves AS (SELECT node, {_leaf_values(settings)} AS value FROM t2 WHERE split = 'train' GROUP BY node)
+    SELECT {KEY}, split, {r('(b + value) / 1000000')} AS prediction FROM t2 JOIN leaves USING (node)"""
+
+
+def _boosted() -> dict[str, str]:
+    from regrove.plans.boosting import tree_features
+    from regrove.plans.registered import BOOSTED, STEPS
+
+    every = lambda _: STEPS
+    bagged, columns = BOOSTED["boost_bagged"], BOOSTED["boost_columns"]
+    draw = f"(CAST('0x' || substr(md5({_hash(str(bagged.seed))} || '|0'), 1, 8) AS BIGINT) + 0.5) / 4294967296"
+    one_leaf = "SELECT arg_max(node, gain) AS node, arg_max(feature, gain) AS feature, arg_max(v, gain) AS v FROM s1_gains WHERE gain > 0"
+    # one split for both sides: the sum of their gains, where a side that it leaves whole adds nothing
+    both = """SELECT n.node, feature, v FROM (SELECT arg_max(feature, total) AS feature, arg_max(v, total) AS v
+      FROM (SELECT feature, v, sum(coalesce(gain, 0)) AS total FROM s1_gains GROUP BY ALL)), (SELECT DISTINCT node FROM s1_gains) n"""
+    return {
+        "boost_regularised": _boosted_levels(BOOSTED["boost_regularised"], every),
+        "boost_bagged": _boosted_levels(bagged, every, f"-ln({draw})"),
+        "boost_columns": _boosted_levels(columns, lambda k: [STEPS[i] for i in tree_features(STEPS, columns.column_share, columns.seed, k)]),
+        "boost_leaves": _boosted_twice(BOOSTED["boost_leaves"], STEPS, one_leaf),
+        "boost_symmetric": _boosted_twice(BOOSTED["boost_symmetric"], STEPS, both),
+    }
+
+
 def _alpha() -> str:
     """The same seeded draws as literals; one-column ridge in closed form on four folds, judged on the fifth."""
     rng = random.Random(42)
@@ -337,7 +412,7 @@ def _alpha() -> str:
 
 
 def oracle_sql() -> dict[str, str]:
-    sql: dict[str, str] = {}
+    sql: dict[str, str] = _boosted()
     in_millions = r("p / 1000000") + " AS prediction"
     sql["tree_exact"] = f"WITH {STEPPED} SELECT {KEY}, split, {in_millions} FROM stepped JOIN stump USING (high)"
     sql["forest_exact"] = f"WITH {STEPPED} SELECT {KEY}, split, {in_millions} FROM stepped JOIN tree USING (high, low)"

@@ -13,7 +13,7 @@ from regrove.functions.nulls import nan_to_null
 from regrove.operators import explore, features, history, prep, profile, split
 from regrove.operators.metrics import fold_summary, regression_metrics, ridge
 from regrove.operators.selection import quantile_label
-from regrove.plans import learners, modelling, registry, trials as trial_analysis
+from regrove.plans import boosting, learners, modelling, registry, trials as trial_analysis
 from regrove.session import scratch_path
 from regrove.sources.feature_table import ROUTE, feature_table
 from regrove.sources.tables import load
@@ -310,6 +310,28 @@ def _champion_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _millions(models.score("dev.ml_models.stepped", rows))
 
 
+#: Small boosted models over the stepped target: every split and leaf value of theirs is a few lines of SQL.
+BOOSTED = {
+    "boost_regularised": boosting.settings("boost_regularised", {
+        "n_estimators": 2, "max_depth": 1, "learning_rate": 0.5, "min_child_weight": 7, "gamma": 0.5, "reg_alpha": 1e10, "reg_lambda": 100.0}),
+    "boost_leaves": boosting.settings("boost_leaves", {"n_estimators": 1, "num_leaves": 3, "learning_rate": 0.3, "min_child_samples": 20, "reg_lambda": 1.0}),
+    "boost_symmetric": boosting.settings("boost_symmetric", {"iterations": 1, "depth": 2, "learning_rate": 0.3, "l2_leaf_reg": 3.0, "border_count": 254}),
+    "boost_bagged": boosting.Boosting(trees=1, max_depth=1, learning_rate=0.5, bagging_temperature=1.0),
+    "boost_columns": boosting.Boosting(trees=2, max_depth=1, learning_rate=0.5, column_share=0.5, seed=1),
+}
+
+
+def _boosted(name: str) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = modelling.spread(_stepped(spark, sf_dir).select(*TRIP_KEY, *STEPS[:1], STEPPED, "split"), TRIP_KEY)
+        try:
+            model = boosting.fit_boosting(_side(rows, "train"), STEPS, STEPPED, TRIP_KEY, BOOSTED[name])
+        finally:
+            rows.unpersist()
+        return _millions(model.transform(rows))
+    return run
+
+
 def _search_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     """25 seeded draws of a ridge penalty, each judged on a held-out fold of the training rows."""
     train = _side(_split(spark, sf_dir, "distance_km"), "train")
@@ -413,4 +435,5 @@ def queries() -> dict[str, Query]:
         "stack_exact": _stack_exact,
         "champion_exact": _champion_exact,
         "search_alpha": _search_alpha,
+        **{name: _boosted(name) for name in BOOSTED},
     }
