@@ -4,7 +4,8 @@ A byte-level tokenizer (A, a tokenizers JSON file) encodes a space and the text;
 and adds that space itself. Tokens are spans of the same bytes, so both sequences are walked at once. The walk is lockstep and
 vectorised: one state vector holds, for every text of a batch, the numbers of the A and B token that come next and of those that
 began the open group. A step compares the two tokens' last bytes for all texts, advances the token that ends first, or both where
-they end together; there a cut is emitted with its group, and finished texts leave the state vector. Groups become links in bulk.
+they end together; there a cut is emitted with its group, and finished lanes leave the state vector. A long text is dealt to several
+lanes, parted where tokens of both are known to end, so no step is made for a single text. Groups become links in bulk.
 
 How many texts of the corpus hold a pair of ids linked is counted per batch first: a batch emits each of its pairs once with the
 number of its texts that hold it, and keeps, per text, the numbers of its pairs in the batch's list. Corpus counts go back to the
@@ -34,10 +35,14 @@ from regrove.llm.common import blocks, pick, table, written
 
 VOCABULARIES = "/opt/tokenizers"
 A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
-#: Characters of text that are aligned together; a longer text is a batch of its own.
-BATCH_CHARS = 6_000_000
+#: Characters of text (about 200 bytes of memory each) that are aligned together; a longer text is a batch of its own.
+BATCH_CHARS = 2_500_000
+#: A tokens of a lane, and how many further ones are looked at for a place to part it.
+LANE, LOOK = 512, 64
 #: Bits of a pair's number that hold the B id.
-B_BITS = 24
+B_BITS = 20
+#: Bits of a pair's number; above them stands the text's number in its batch.
+PAIR_BITS = 40
 #: Products of a group's A and B tokens up to which links are listed one by one.
 PLAIN_LINKS = 1 << 12
 
@@ -74,13 +79,27 @@ class Pair:
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """A and B ids of each text; none where the bytes of either are not a space and the text."""
         spaced = [f" {t}" for t in texts]
+        raw = [t.encode() for t in spaced]
+        a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        b = [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
+        same = np.array([len(x) > 1 for x in raw], bool) & _same(self.a_bytes, self.a_sizes, a, raw) & _same(self.b_bytes, self.b_sizes, b, raw)
         none = np.zeros(0, np.int64)
-        out = []
-        for text, a, b in zip(spaced, self.a.encode_batch_fast(spaced, add_special_tokens=False), self.b.encode(texts, num_threads=1), strict=True):
-            raw, a = text.encode(), a.ids
-            same = len(raw) > 1 and b"".join(map(self.a_bytes.__getitem__, a)) == raw and b"".join(map(self.b_bytes.__getitem__, b)) == raw
-            out.append((np.array(a, np.int64), np.array(b, np.int64)) if same else (none, none))
-        return out
+        return [(x, y) if good else (none, none) for x, y, good in zip(a, b, same.tolist(), strict=True)]
+
+
+def _same(table: list[bytes], sizes: np.ndarray, ids: list[np.ndarray], raw: list[bytes]) -> np.ndarray:
+    """Whether each text's tokens joined are its bytes: lengths first, then all bytes of those at once."""
+    found = np.array([int(sizes[x].sum()) == len(r) for x, r in zip(ids, raw, strict=True)], bool)
+    some = np.flatnonzero(found).tolist()
+    if some:
+        starts = np.cumsum(sizes) - sizes
+        every = np.concatenate([ids[k] for k in some])
+        ends = np.cumsum(sizes[every])
+        place = np.repeat(starts[every] - ends + sizes[every], sizes[every]) + np.arange(int(ends[-1]))
+        wrong = np.flatnonzero(np.frombuffer(b"".join(table), np.uint8)[place] != np.frombuffer(b"".join([raw[k] for k in some]), np.uint8))
+        last = np.cumsum([len(raw[k]) for k in some])
+        found[np.array(some)[np.unique(np.searchsorted(last, wrong, side="right"))]] = False
+    return found
 
 
 @lru_cache(maxsize=2)
@@ -88,16 +107,40 @@ def _loaded(a_json: str, b_model: bytes) -> Pair:
     return Pair(a_json, b_model)
 
 
-def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, a_stop: np.ndarray) -> np.ndarray:
+def lanes(a_ends: np.ndarray, b_ends: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, a_stop: np.ndarray, lane: int = LANE) -> tuple[np.ndarray, ...]:
+    """Texts parted into pieces of about `lane` A tokens where an A and a B token end together: first A and B token, last A token, text."""
+    size = a_stop - a_first
+    n = np.maximum(size // lane, 1)
+    text = np.repeat(np.arange(len(size)), n)
+    part = np.arange(len(text)) - np.repeat(np.cumsum(n) - n, n)
+    inner = part > 0
+    at = (a_first[text] + part * lane)[inner]
+    near = at[:, None] + np.arange(LOOK)[None, :]  # tokens after which the parting may be
+    near = np.minimum(near, a_stop[text[inner], None] - 1)
+    place = np.searchsorted(b_ends, a_ends[near])
+    both = (b_ends[np.minimum(place, max(len(b_ends) - 1, 0))] == a_ends[near]) & (near < a_stop[text[inner], None] - 1)
+    found, which = both.any(1), both.argmax(1)
+    rows = np.arange(len(at))[found]
+    first_a = np.concatenate([a_first[size > 0], near[rows, which[found]] + 1])
+    first_b = np.concatenate([b_first[size > 0], place[rows, which[found]] + 1])
+    owner = np.concatenate([np.flatnonzero(size > 0), text[inner][found]])
+    order = np.argsort(first_a, kind="stable")
+    first_a, first_b, owner = first_a[order], first_b[order], owner[order]
+    own = np.concatenate((first_a[1:] != first_a[:-1], [True])) if len(first_a) else np.zeros(0, bool)
+    first_a, first_b, owner = first_a[own], first_b[own], owner[own]
+    stop = np.minimum(np.concatenate((first_a[1:], a_stop[-1:])), a_stop[owner]) if len(first_a) else first_a
+    return first_a, first_b, stop, owner
+
+
+def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, a_stop: np.ndarray, lane: int = LANE) -> np.ndarray:
     """Groups of many texts at once, a row each: text, first and last A token, first and last B token (ends exclusive), by text and place.
 
     `a_ends`, `b_ends` are the tokens' last bytes, text after text and counted on from text to text; text k has the A tokens from
     a_first[k] to a_stop[k] and the B tokens from b_first[k] on, over the same bytes.
     """
-    text = np.flatnonzero(a_stop > a_first)
-    a, b, stop = a_first[text], b_first[text], a_stop[text]
+    a, b, stop, text = lanes(a_ends, b_ends, a_first, b_first, a_stop, lane)
     group_a, group_b = a.copy(), b.copy()
-    cuts: list[np.ndarray] = []
+    cuts: list[list[np.ndarray]] = [[], [], [], [], []]
     while len(text):
         last_a, last_b = a_ends[a], b_ends[b]
         on_a, on_b = last_a <= last_b, last_b <= last_a
@@ -105,39 +148,51 @@ def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, a_first: np.ndarray, b_firs
         cut = np.flatnonzero(on_a & on_b)
         if len(cut):
             at_a, at_b = a[cut], b[cut]
-            cuts.append(np.stack([text[cut], group_a[cut], at_a, group_b[cut], at_b]))
+            for to, x in zip(cuts, (text[cut], group_a[cut], at_a, group_b[cut], at_b), strict=True):
+                to.append(x)
             group_a[cut], group_b[cut] = at_a, at_b
-            if (at_a == stop[cut]).any():  # texts whose last tokens these were leave
+            if (at_a == stop[cut]).any():  # lanes whose last tokens these were leave
                 live = a < stop
                 text, a, b, stop, group_a, group_b = (x[live] for x in (text, a, b, stop, group_a, group_b))
-    if not cuts:
+    if not cuts[0]:
         return np.zeros((0, 5), np.int64)
-    groups = np.concatenate(cuts, axis=1)
-    return groups[:, np.argsort(groups[1], kind="stable")].T  # A tokens are numbered text after text
+    columns = [np.concatenate(x) for x in cuts]
+    order = np.argsort(columns[1])  # A tokens are numbered text after text
+    return np.stack([x[order] for x in columns], axis=1)
 
 
-def link_pairs(groups: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """(text, pair of ids, times): all links, possibly repeated, in pieces."""
+def link_pairs(groups: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
+    """(text and pair of ids in one number, times): all links, possibly repeated, in pieces; no times where each is one."""
     n_a, n_b = groups[:, 2] - groups[:, 1], groups[:, 4] - groups[:, 3]
     plain = n_a * n_b <= PLAIN_LINKS
     small = groups[plain]
-    edges = np.searchsorted(np.cumsum(n_a[plain] * n_b[plain]), np.arange(0, int((n_a[plain] * n_b[plain]).sum()) + 1, 4_000_000)[1:])
+    edges = np.searchsorted(np.cumsum(n_a[plain] * n_b[plain]), np.arange(0, int((n_a[plain] * n_b[plain]).sum()) + 1, 2_000_000)[1:])
     for part in np.split(small, edges):
         if len(part):
-            n_a_, n_b_ = part[:, 2] - part[:, 1], part[:, 4] - part[:, 3]
-            sizes = n_a_ * n_b_
+            wide, sizes = part[:, 4] - part[:, 3], (part[:, 2] - part[:, 1]) * (part[:, 4] - part[:, 3])
             within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            wide = np.repeat(n_b_, sizes)
-            a = np.repeat(part[:, 1], sizes) + within // wide
-            b = np.repeat(part[:, 3], sizes) + within % wide
-            yield np.repeat(part[:, 0], sizes), a_ids[a] << B_BITS | b_ids[b], np.ones(len(a), np.int64)
+            down, across = np.divmod(within, np.repeat(wide, sizes))
+            a, b = np.repeat(part[:, 1], sizes) + down, np.repeat(part[:, 3], sizes) + across
+            yield np.repeat(part[:, 0] << PAIR_BITS, sizes) | a_ids[a] << B_BITS | b_ids[b], None
     for text, a0, a1, b0, b1 in groups[~plain].tolist():  # long stretches without a cut: distinct ids with their counts
         a, times_a = np.unique(a_ids[a0:a1], return_counts=True)
         b, times_b = np.unique(b_ids[b0:b1], return_counts=True)
-        for i in range(0, len(a), max(1, 4_000_000 // len(b))):
-            some = slice(i, i + max(1, 4_000_000 // len(b)))
-            pairs = (a[some, None] << B_BITS | b[None, :]).ravel()
-            yield np.full(len(pairs), text), pairs, (times_a[some, None] * times_b[None, :]).ravel()
+        step = max(1, 2_000_000 // len(b))
+        for i in range(0, len(a), step):
+            yield (text << PAIR_BITS | a[i:i + step, None] << B_BITS | b[None, :]).ravel(), (times_a[i:i + step, None] * times_b[None, :]).ravel()
+
+
+def _summed(keys: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Each key once, in order, with its times."""
+    if not len(keys):
+        return keys, np.zeros(0, np.int64)
+    if times is None:
+        keys = np.sort(keys)
+    else:
+        order = np.argsort(keys)
+        keys, times = keys[order], times[order]
+    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+    return keys[first], np.diff(np.append(first, len(keys))) if times is None else np.add.reduceat(times, first)
 
 
 def shown_groups(pair: Pair, groups: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, a_stop: np.ndarray, b_stop: np.ndarray) -> Iterator[bytes]:
@@ -176,12 +231,11 @@ class Batch:
         self.n_links = np.zeros(len(tokens), np.int64)
         np.add.at(self.n_links, self.groups[:, 0], links)
         self.sha = ["" if not n else hashlib.sha256(line).hexdigest() for n, line in zip(self.n_a.tolist(), shown_groups(pair, self.groups, a_ids, b_ids, a_first, b_first, a_stop, b_stop), strict=True)]
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for text, pairs, times in link_pairs(self.groups, a_ids, b_ids):
-            held.append(_summed(text, pairs, times))
-        # pieces end between groups, not texts: a text's pair may stand in two
-        text, pairs, times = (np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]) for k in range(3))
-        text, pairs, times = _summed(text, pairs, times) if len(held) > 1 else (text, pairs, times)
+        held = [_summed(keys, times) for keys, times in link_pairs(self.groups, a_ids, b_ids)]
+        keys, times = (np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]) for k in range(2))
+        if len(held) > 1:  # pieces end between groups, not texts: a text's pair may stand in two
+            keys, times = _summed(keys, times)
+        text, pairs = keys >> PAIR_BITS, keys & ((1 << PAIR_BITS) - 1)
         listed, place, texts = np.unique(pairs, return_inverse=True, return_counts=True)
         often = np.argsort(-texts, kind="stable")  # frequent pairs get small numbers, which pack well
         rank = np.empty_like(often)
@@ -196,14 +250,6 @@ class Batch:
         return pa.compress(self.place[own].astype("<u4").tobytes(), "zstd", asbytes=True), pa.compress(self.times[own].astype("<u4").tobytes(), "zstd", asbytes=True)
 
 
-def _summed(text: np.ndarray, pairs: np.ndarray, times: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each pair of a text once, in order of texts and pairs."""
-    order = np.lexsort((pairs, text))
-    text, pairs, times = text[order], pairs[order], times[order]
-    first = np.flatnonzero(np.concatenate(([True], (text[1:] != text[:-1]) | (pairs[1:] != pairs[:-1])))) if len(text) else np.zeros(0, np.int64)
-    return text[first], pairs[first], np.add.reduceat(times, first) if len(first) else times
-
-
 def _vocabularies(a_file: str, b_file: str) -> tuple[str, bytes]:
     with open(a_file, encoding="utf-8") as a, open(b_file, "rb") as b:
         return a.read(), b.read()
@@ -214,7 +260,7 @@ def gathered(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iter
     held, size = [], 0
     for part in blocks(batches):
         held.append(part)
-        size += part.column(column).nbytes
+        size += part.column(column).nbytes + 64 * part.num_rows  # empty texts count too
         if size >= chars:
             yield held
             held, size = [], 0
