@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from typing import NamedTuple
 
@@ -132,10 +133,15 @@ class Element(NamedTuple):
 
 
 def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
-    """The page's blocks: path, text, link (characters inside links), state (-1 boilerplate, 0 unmarked, 1 inside an article) and
-    element (the number of the block-level one around it); and its block-level elements, parents first, the page itself as 0."""
+    """The page's blocks: path (its number), text, link (characters inside links), state (-1 boilerplate, 0 unmarked, 1 inside an article)
+    and element (the number of the block-level one around it); and its block-level elements, parents first, the page itself as 0.
+
+    Time and memory are linear in the page, however deep it is nested: a path is a number, one for each (parent's path, name).
+    """
     stack: list[tuple[str, int, int]] = []  # block and inline elements with the state inside them and the block-level element
+    opened: Counter[str] = Counter()  # names on the stack
     elements = [Element(-1, "", "", 0, False)]
+    path_of, numbers = [0], {}  # of an element; of (parent's path, name)
     found: list[dict] = []
     buffer: list[str] = []
     linked = 0
@@ -144,8 +150,8 @@ def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
         nonlocal linked
         text = " ".join("".join(buffer).split())
         if text:
-            path = "/".join(name for name, *_ in stack if name not in _INLINE)
-            found.append({"path": path, "text": text, "link": linked, "state": stack[-1][1] if stack else 0, "element": stack[-1][2] if stack else 0})
+            element = stack[-1][2] if stack else 0
+            found.append({"path": path_of[element], "text": text, "link": linked, "state": stack[-1][1] if stack else 0, "element": element})
         buffer.clear()
         linked = 0
 
@@ -154,12 +160,13 @@ def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
         if piece:
             text = html_lib.unescape(piece)
             buffer.append(text)
-            if any(name == "a" for name, *_ in stack):
+            if opened["a"]:
                 linked += len(text)
 
     def close(down_to: int) -> None:
         if any(name not in _INLINE for name, *_ in stack[down_to:]):
             flush()
+        opened.subtract(name for name, *_ in stack[down_to:])
         del stack[down_to:]
 
     at = 0
@@ -174,10 +181,8 @@ def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
             continue
         name = name.lower()
         if ending:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == name:
-                    close(k)
-                    break
+            if opened[name]:
+                close(next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == name))
             continue
         if name == "br":
             buffer.append(" ")
@@ -185,8 +190,8 @@ def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
         if name in _RAW:
             if name not in _INLINE:
                 flush()
-            end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
             if not attributes.rstrip().endswith("/"):
+                end = re.compile(rf"</{name}\b[^>]*>", re.I).search(page, at)
                 at = end.end() if end else len(page)
             continue
         if name in _VOID:
@@ -194,8 +199,9 @@ def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
                 flush()
             continue
         if name not in _INLINE:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == "p" or stack[k][0] in _CLOSES.get(name, ()):
+            ended = _CLOSES.get(name, ())
+            for k in range(len(stack) - 1, -1, -1) if opened["p"] or any(opened[x] for x in ended) else ():
+                if stack[k][0] == "p" or stack[k][0] in ended:
                     close(k)
                     if name not in _CLOSES:
                         break
@@ -209,8 +215,10 @@ def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
             group = next(("".join(m).lower() for m in _CLASS.findall(attributes)), "")
             hints = " ".join(a or b or c for a, b, c in _ATTRIBUTE.findall(attributes))
             elements.append(Element(element, name, group, state, prior == 1 or bool(_ROOT_HINT.search(hints) and name not in _PARTS | {"html", "body"}), doubt))
+            path_of.append(numbers.setdefault((path_of[element], name), len(numbers) + 1))
             element = len(elements) - 1
         stack.append((name, state, element))
+        opened[name] += 1
     take(page[at:])
     flush()
     return found, elements
@@ -218,7 +226,7 @@ def page_blocks(page: str) -> tuple[list[dict], list[Element]]:
 
 def scores(found: list[dict]) -> list[float]:
     """Fused value of each block: smoothed path ratio times the prior of its state."""
-    totals: dict[tuple[str, int], list[float]] = {}
+    totals: dict[tuple[int, int], list[float]] = {}
     for b in found:
         t = totals.setdefault((b["path"], b["state"]), [0, 0, 0, 0])
         t[0] += len(b["text"])

@@ -152,12 +152,82 @@ def test_base_secrets_match_brute_force():
         assert sorted(secrets.base_spans(text)) == sorted(brute_secrets(text)), text
 
 
-def test_battery_tells_keys_from_words():
+ALPHABETS = {
+    "hex": "0123456789abcdef", "base32": "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "base36": "0123456789abcdefghijklmnopqrstuvwxyz",
+    "base62": "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789",
+}
+
+
+def drawn(r, name, n):
+    return "".join(r.choice(ALPHABETS[name]) for _ in range(n))
+
+
+@pytest.mark.parametrize("name", list(ALPHABETS))
+@pytest.mark.parametrize("n", [20, 24, 40, 80])
+def test_p_values_of_evenly_drawn_tokens_are_even(name, n):
+    r = random.Random(n)
+    p = sorted(secrets.battery(drawn(r, name, n))[1] for _ in range(1500))
+    distance = max(max((i + 1) / len(p) - x, x - i / len(p)) for i, x in enumerate(p))
+    assert distance * len(p) ** 0.5 < 1.95  # Kolmogorov, 0.1 %
+
+
+def test_battery_knows_encodings_and_tells_keys_from_words():
     r = random.Random(5)
-    alphabet = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
-    keys = ["".join(r.choice(alphabet) for _ in range(40)) for _ in range(50)]
-    words = ["internationalizationally", "Verkehrsinfrastrukturfinanzierung", "counterrevolutionaries-and-others", "thisisaverylongidentifiername2", "a" * 40, "=" * 30, "ab" * 20]
-    assert min(secrets.battery(k)[1] for k in keys) > max(secrets.battery(w)[1] for w in words)
+    keys = [drawn(r, "base62", 40) for _ in range(50)]
+    words = ["Verkehrsinfrastrukturfinanzierung", "counterrevolutionaries-and-others", "com/example/Service2/Impl3/V4Handler", "SomeCamelCaseClassNameFactoryBean",
+             "20240105T100000-20240106T110000", "a" * 40, "=" * 30, "ab" * 20, "550e8400-e29b-41d4-a716-446655440000"]
+    assert min(secrets.battery(k)[1] for k in keys) > 10 * max(secrets.battery(w)[1] for w in words)
+    # the same counts of characters: evenly used for 16 characters, not for 32
+    even, odd = "0123456789abcdef" * 3, "ABCDEFGHIJKLMNO2" * 3
+    assert secrets.encoding_of(even) == "hex" and secrets.encoding_of(odd) == "base32"
+    p = [secrets._pairs_p(t, Counter(map(secrets._cell, t)), e) for t, e in ((even, "hex"), (odd, "base32"))]
+    assert p[0] == pytest.approx(1, abs=1e-3) and p[1] < p[0] / 10
+
+
+def test_alphabet_tail_is_chi_squared():
+    # 95 % points of chi-squared with 1, 10 and 40 degrees of freedom
+    for freedom, point in ((1, 3.841), (10, 18.307), (40, 55.758)):
+        assert secrets._upper_gamma(freedom / 2, point / 2) == pytest.approx(0.05, abs=1e-4)
+
+
+def test_moments_of_equal_pairs_and_changes_by_simulation():
+    r = np.random.default_rng(4)
+    n, size = 12, 26
+    counts = np.array([np.bincount(x, minlength=size) for x in r.integers(0, size, (40_000, n))])
+    pairs = (counts * (counts - 1) // 2).sum(1)
+    mean, variance, third = secrets._pair_moments(((n, size),))
+    assert pairs.mean() == pytest.approx(mean, rel=0.02) and pairs.var() == pytest.approx(variance, rel=0.05)
+    classes = [0] * 9 + [1] * 4 + [2] * 3
+    z = [secrets._changes_z(r.permutation(classes).tolist(), float(r.random())) for _ in range(20_000)]
+    assert np.mean(z) == pytest.approx(0, abs=0.03) and np.std(z) == pytest.approx(1, abs=0.02)
+    assert secrets._runs_p("abcdefgh12345678") < 1e-3 and secrets._serial_p("banabanabanabana") < 1e-3
+    assert 0 < secrets._runs_p("abcdefgh") < 1 and 0 < secrets._serial_p("01234567") < 1
+
+
+def test_names_and_paths_of_a_corpus_are_no_keys_and_planted_keys_are_found(spark):
+    r = random.Random(11)
+    words = [prose(i, 1) + prose(i + 7000, 1) for i in range(3000)] + "service handler factory bean example implementation request context manager stream buffer reader".split() * 50
+    word = lambda: r.choice(words)
+    rows = []
+    for i in range(400):
+        names = ["".join(word().capitalize() for _ in range(5)), f"com/{word()}/{word().capitalize()}{i % 9}/{word().capitalize()}Impl{i % 7}", "_".join(word() for _ in range(5)), f"2024{i:04}T100000-2024{i:04}T110000"]
+        rows.append((i, " ".join(x for n in names for x in (*[word() for _ in range(40)], n))))
+    planted = {1000 + i: drawn(r, name, n) for i, (name, n) in enumerate((k, n) for k in ("base62", "base36", "base62") for n in (24, 28, 32, 40, 64) for _ in range(4))}
+    rows += [(i, f"{word()} {word()} {key} {word()}") for i, key in planted.items()]
+    got = {r["doc_id"]: r["spans"] for r in secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    wrong = sum(s["kind"] == "random" for i in range(400) for s in got[i])
+    found = sum(any(s["kind"] == "random" for s in got[i]) for i in planted)
+    assert found >= 0.9 * len(planted) and wrong <= 2, (found, wrong)
+
+
+def test_secrets_in_long_dense_texts_take_linear_time():
+    import time
+
+    r = random.Random(3)
+    text = " ".join(f"token={drawn(r, 'base36', 9)} {drawn(r, 'base62', 22)}" for _ in range(20_000))
+    began = time.perf_counter()
+    spans = secrets.text_spans(text)
+    assert len(spans) == 40_000 and time.perf_counter() - began < 20
 
 
 def test_secrets_of_messy_rows(spark, messy, nothing):
@@ -171,11 +241,29 @@ def test_secrets_of_messy_rows(spark, messy, nothing):
     assert secrets.find_secrets(nothing).count() == 0
 
 
-def test_step_up_is_benjamini_hochberg():
-    counts = {0: 900, 5: 60, 20: 10, 40: 20, 60: 10}
-    p = sorted(10 ** (-b / 10) for b, n in counts.items() for _ in range(n))
-    most = max((i for i, x in enumerate(p, 1) if x <= 0.01 * i / len(p)), default=0)
-    assert sum(n for b, n in counts.items() if b >= secrets.step_up(counts, 0.01)) == most
+def test_added_secrets_match_a_plain_run_of_the_method(spark, messy, messy_rows):
+    """Counts, fit, weights and step-up in plain Python over all rows at once."""
+    r = random.Random(9)
+    rows = [(row[0], row[1]) for row in messy_rows] + [(900 + i, f"see {drawn(r, 'base62', 22 + i)} or {'Word' * (6 + i)} now") for i in range(20)]
+    codes = Counter(c for _, t in rows for c in secrets.text_codes(t))
+    chances = secrets.text_p_values(codes)
+    tokens = [(i, s) for i, t in rows for s in secrets.text_spans(t) if s["kind"] == "random"]
+    weights = [secrets.LENGTHS[secrets.length_group(s["length"])] for _, s in tokens]
+    mean = sum(weights) / len(weights)
+    p = [chances[s["bin"] // 1000][s["bin"] % 1000] * mean / w for (_, s), w in zip(tokens, weights)]
+    most = max((x for k, x in enumerate(sorted(p), 1) if x <= secrets.FDR * k / len(p)), default=-1)
+    expected = sorted((i or 0, s["start"], s["end"]) for (i, s), x in zip(tokens, p) if x <= most)
+    got = secrets.find_secrets(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x["doc_id"] or 0, s["start"], s["end"]) for x in got for s in x["spans"] if s["kind"] == "random") == expected and expected
+
+
+def test_step_up_is_weighted_benjamini_hochberg():
+    tests = [(0.5, 1.0, 900, "a"), (0.01, 2.0, 60, "b"), (1e-4, 1.0, 10, "c"), (1e-5, 0.5, 20, "d"), (1e-6, 1.0, 10, "e")]
+    mean = sum(w * n for _, w, n, _ in tests) / 1000
+    p = sorted((x * mean / w, key) for x, w, n, key in tests for _ in range(n))
+    most = max((i for i, (x, _) in enumerate(p, 1) if x <= 0.01 * i / len(p)), default=0)
+    assert secrets.step_up(tests, 0.01) == {key for _, key in p[:most]} == {"c", "d", "e"}
+    assert secrets.step_up([], 0.01) == set() and secrets.step_up([(0.9, 1.0, 5, "x")], 0.01) == set()
 
 
 # Order MinHash

@@ -96,6 +96,43 @@ def test_odd_pages(page, text):
     assert html_text.main_text(page)[0] == text
 
 
+@pytest.mark.parametrize("page", ["<div>x " * 100_000, "<x>y " * 100_000, "<a>" * 100_000 + "t", "<div>" * 100_000 + "</p>" * 100_000, "<p><b>" * 100_000 + "z", "<svg/>" * 100_000])
+def test_deep_nesting_takes_linear_time(page):
+    import time
+
+    began = time.perf_counter()
+    html_text.main_text(page)
+    assert time.perf_counter() - began < 5
+
+
+def brute_scores(found):
+    """Ratios per path (its names, as the elements around a block have them), by the formula, block by block."""
+    same = lambda a, b: (a["names"], a["state"]) == (b["names"], b["state"])
+    marks = lambda t: sum(c in ".,;:!?…。、，；：！？" for c in t)
+    ratio = []
+    for b in found:
+        own = [x for x in found if same(x, b)]
+        length, n = sum(len(x["text"]) for x in own), len(own)
+        ratio.append(length / n * (1 + sum(marks(x["text"]) for x in own) / n) * (1 - min(1.0, sum(x["link"] for x in own) / length)))
+    out = []
+    for i, b in enumerate(found):
+        near = 0.25 * ratio[max(i - 1, 0)] + 0.5 * ratio[i] + 0.25 * ratio[min(i + 1, len(found) - 1)]
+        out.append((near * ratio[i]) ** 0.5 * {-1: 0.0, 0: 1.0, 1: html_text.ARTICLE}[b["state"]])
+    return out
+
+
+def test_path_ratios_match_brute_force(spark, sf):
+    for row in spark.read.parquet(f"{sf}/pages.parquet").select("html").collect():
+        found, elements = html_text.page_blocks(row["html"])
+        for b in found:
+            names, e = [], b["element"]
+            while e > 0:
+                names.append(elements[e].name)
+                e = elements[e].parent
+            b["names"] = tuple(names)
+        assert html_text.scores(found) == pytest.approx(brute_scores(found))
+
+
 def pages(spark, rows):
     return clash(spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3))
 
