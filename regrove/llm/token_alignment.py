@@ -21,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import json
 import os
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -47,6 +48,32 @@ PAIR_BITS = 40
 PLAIN_LINKS = 1 << 12
 
 
+# Fixed value: how a byte-level vocabulary of this kind parts a text before its merges.
+SPLIT = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: Texts of these characters (whose kinds no edition of Unicode tells apart) and lengths are merged by rank, which is faster.
+_PLAIN = re.compile(r"[\x00-\u024f]{0,65536}\Z")
+
+
+def by_rank(a_json: str, tokens: list[bytes]):
+    """An encoder by ranks with the same results as the file's merges, or None if the file doesn't allow one.
+
+    A merge made of two tokens is the only one that can come to its bytes if ids are in the order of the merges: then the lowest rank
+    among neighbours is the next merge, and no other pair of neighbours spells the same token.
+    """
+    import tiktoken
+
+    file = json.loads(a_json)
+    model, split = file["model"], file.get("pre_tokenizer") or {}
+    plain = not file.get("normalizer") and model.get("type") == "BPE" and not any(model.get(k) for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "ignore_merges"))
+    if not plain or split.get("type") != "ByteLevel" or split.get("add_prefix_space") or not split.get("use_regex", True):
+        return None
+    merged = [model["vocab"]["".join(m) if isinstance(m, list) else m.replace(" ", "", 1)] for m in model["merges"]]
+    if any(x >= y for x, y in zip(merged, merged[1:])):
+        return None
+    added = {x["id"] for x in file.get("added_tokens", [])}
+    return tiktoken.Encoding("ranks", pat_str=SPLIT, mergeable_ranks={t: i for i, t in enumerate(tokens) if i not in added}, special_tokens={})
+
+
 def _byte_alphabet() -> dict[str, int]:
     """The byte that each character of a byte-level vocabulary stands for: printable ones for themselves, the others from 256 up."""
     shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -70,17 +97,23 @@ class Pair:
         added = {x["content"] for x in json.loads(a_json).get("added_tokens", [])}
         for token, i in self.a.get_vocab(with_added_tokens=True).items():
             self.a_bytes[i] = token.encode() if token in added else bytes(alphabet[c] for c in token)
+        self.ranks = by_rank(a_json, self.a_bytes)
         ids = range(self.b.get_piece_size())
         self.b_bytes = [bytes([int(self.b.id_to_piece(i)[3:5], 16)]) if self.b.is_byte(i) else self.b.id_to_piece(i).replace("▁", " ").encode() for i in ids]
         self.a_sizes, self.b_sizes = (np.array(list(map(len, x)), np.int64) for x in (self.a_bytes, self.b_bytes))
         #: Decimal ids with each mark that can follow them.
         self.shown = [np.array([f"{i}{mark}".encode() for i in range(max(len(self.a_bytes), len(self.b_bytes)))], object) for mark in (",", "|", ";", "")]
 
+    def encode_a(self, spaced: list[str]) -> list[np.ndarray]:
+        plain = [self.ranks is not None and bool(_PLAIN.match(t)) for t in spaced]
+        others = iter(self.a.encode_batch_fast([t for t, p in zip(spaced, plain, strict=True) if not p], add_special_tokens=False))
+        return [np.array(self.ranks.encode_ordinary(t) if p else next(others).ids, np.int64) for t, p in zip(spaced, plain, strict=True)]
+
     def encode(self, texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
         """A and B ids of each text; none where the bytes of either are not a space and the text."""
         spaced = [f" {t}" for t in texts]
         raw = [t.encode() for t in spaced]
-        a = [np.array(x.ids, np.int64) for x in self.a.encode_batch_fast(spaced, add_special_tokens=False)]
+        a = self.encode_a(spaced)
         b = [np.array(x, np.int64) for x in self.b.encode(texts, num_threads=1)]
         same = np.array([len(x) > 1 for x in raw], bool) & _same(self.a_bytes, self.a_sizes, a, raw) & _same(self.b_bytes, self.b_sizes, b, raw)
         none = np.zeros(0, np.int64)
@@ -133,7 +166,7 @@ def lanes(a_ends: np.ndarray, b_ends: np.ndarray, a_first: np.ndarray, b_first:
 
 
 def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, a_stop: np.ndarray, lane: int = LANE) -> np.ndarray:
-    """Groups of many texts at once, a row each: text, first and last A token, first and last B token (ends exclusive), by text and place.
+    """Groups of many texts at once, a column each: text, first and last A token, first and last B token (ends exclusive), by text and place.
 
     `a_ends`, `b_ends` are the tokens' last bytes, text after text and counted on from text to text; text k has the A tokens from
     a_first[k] to a_stop[k] and the B tokens from b_first[k] on, over the same bytes.
@@ -155,26 +188,28 @@ def lockstep(a_ends: np.ndarray, b_ends: np.ndarray, a_first: np.ndarray, b_firs
                 live = a < stop
                 text, a, b, stop, group_a, group_b = (x[live] for x in (text, a, b, stop, group_a, group_b))
     if not cuts[0]:
-        return np.zeros((0, 5), np.int64)
+        return np.zeros((5, 0), np.int64)
     columns = [np.concatenate(x) for x in cuts]
-    order = np.argsort(columns[1])  # A tokens are numbered text after text
-    return np.stack([x[order] for x in columns], axis=1)
+    # A tokens are numbered text after text: a group's place is the number of cuts at or before its last one
+    ends = np.zeros(len(a_ends) + 1, np.int64)
+    ends[columns[2]] = 1
+    place = np.cumsum(ends)[columns[2]] - 1
+    groups = np.empty((5, len(place)), np.int64)
+    for to, x in zip(groups, columns, strict=True):
+        to[place] = x
+    return groups
 
 
 def link_pairs(groups: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray | None]]:
     """(text and pair of ids in one number, times): all links, possibly repeated, in pieces; no times where each is one."""
-    n_a, n_b = groups[:, 2] - groups[:, 1], groups[:, 4] - groups[:, 3]
+    n_a, n_b = groups[2] - groups[1], groups[4] - groups[3]
     plain = n_a * n_b <= PLAIN_LINKS
-    small = groups[plain]
+    small = groups if plain.all() else groups[:, plain]
     edges = np.searchsorted(np.cumsum(n_a[plain] * n_b[plain]), np.arange(0, int((n_a[plain] * n_b[plain]).sum()) + 1, 2_000_000)[1:])
-    for part in np.split(small, edges):
-        if len(part):
-            wide, sizes = part[:, 4] - part[:, 3], (part[:, 2] - part[:, 1]) * (part[:, 4] - part[:, 3])
-            within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            down, across = np.divmod(within, np.repeat(wide, sizes))
-            a, b = np.repeat(part[:, 1], sizes) + down, np.repeat(part[:, 3], sizes) + across
-            yield np.repeat(part[:, 0] << PAIR_BITS, sizes) | a_ids[a] << B_BITS | b_ids[b], None
-    for text, a0, a1, b0, b1 in groups[~plain].tolist():  # long stretches without a cut: distinct ids with their counts
+    for text, a0, a1, b0, b1 in np.split(small, edges, axis=1):
+        if len(text):
+            yield _plain_links(text, a0, a1, b0, b1, a_ids, b_ids), None
+    for text, a0, a1, b0, b1 in groups[:, ~plain].T.tolist():  # long stretches without a cut: distinct ids with their counts
         a, times_a = np.unique(a_ids[a0:a1], return_counts=True)
         b, times_b = np.unique(b_ids[b0:b1], return_counts=True)
         step = max(1, 2_000_000 // len(b))
@@ -182,6 +217,18 @@ def link_pairs(groups: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> Iter
             yield (text << PAIR_BITS | a[i:i + step, None] << B_BITS | b[None, :]).ravel(), (times_a[i:i + step, None] * times_b[None, :]).ravel()
 
 
+def _plain_links(text: np.ndarray, a0: np.ndarray, a1: np.ndarray, b0: np.ndarray, b1: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray) -> np.ndarray:
+    """All links of groups, one by one; most groups are one token each, which need no counting out."""
+    single = (a1 - a0 == 1) & (b1 - b0 == 1)
+    ones = text[single] << PAIR_BITS | a_ids[a0[single]] << B_BITS | b_ids[b0[single]]
+    text, a0, a1, b0, b1 = (x[~single] for x in (text, a0, a1, b0, b1))
+    wide, sizes = b1 - b0, (a1 - a0) * (b1 - b0)
+    within = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+    down, across = np.divmod(within, np.repeat(wide, sizes))
+    a, b = np.repeat(a0, sizes) + down, np.repeat(b0, sizes) + across
+    return np.concatenate([ones, np.repeat(text << PAIR_BITS, sizes) | a_ids[a] << B_BITS | b_ids[b]])
+
+
 def _summed(keys: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
     """Each key once, in order, with its times."""
     if not len(keys):
@@ -198,8 +245,8 @@ def _summed(keys: np.ndarray, times: np.ndarray | None) -> tuple[np.ndarray, np.
 def shown_groups(pair: Pair, groups: np.ndarray, a_ids: np.ndarray, b_ids: np.ndarray, a_first: np.ndarray, b_first: np.ndarray, a_stop: np.ndarray, b_stop: np.ndarray) -> Iterator[bytes]:
     """Per text: its groups as `a1,a2|b1;a3|b2,b3`."""
     a_mark, b_mark = np.zeros(len(a_ids), np.int64), np.zeros(len(b_ids), np.int64)
-    a_mark[groups[:, 2] - 1] = 1
-    b_mark[groups[:, 4] - 1] = 2
+    a_mark[groups[2] - 1] = 1
+    b_mark[groups[4] - 1] = 2
     b_mark[b_stop[b_stop > b_first] - 1] = 3
     words_a = pair.shown[0][a_ids]
     words_a[a_mark == 1] = pair.shown[1][a_ids[a_mark == 1]]
@@ -207,10 +254,10 @@ def shown_groups(pair: Pair, groups: np.ndarray, a_ids: np.ndarray, b_ids: np.nd
     for mark in (2, 3):
         words_b[b_mark == mark] = pair.shown[mark][b_ids[b_mark == mark]]
     # an A token stands after the B tokens of earlier groups, a B token after the A tokens of its own and earlier ones
-    n_a, n_b = groups[:, 2] - groups[:, 1], groups[:, 4] - groups[:, 3]
+    n_a, n_b = groups[2] - groups[1], groups[4] - groups[3]
     order = np.empty(len(a_ids) + len(b_ids), object)
-    order[np.arange(len(a_ids)) + np.repeat(groups[:, 3], n_a)] = words_a
-    order[np.arange(len(b_ids)) + np.repeat(groups[:, 2], n_b)] = words_b
+    order[np.arange(len(a_ids)) + np.repeat(groups[3], n_a)] = words_a
+    order[np.arange(len(b_ids)) + np.repeat(groups[2], n_b)] = words_b
     for lo, hi in zip((a_first + b_first).tolist(), (a_stop + b_stop).tolist(), strict=True):
         yield b"".join(order[lo:hi].tolist())
 
@@ -226,10 +273,10 @@ class Batch:
         a_first, b_first = a_stop - self.n_a, b_stop - self.n_b
         self.a_ends, self.b_ends = np.cumsum(pair.a_sizes[a_ids]), np.cumsum(pair.b_sizes[b_ids])
         self.groups = lockstep(self.a_ends, self.b_ends, a_first, b_first, a_stop)
-        self.n_groups = np.bincount(self.groups[:, 0], minlength=len(tokens))
-        links = (self.groups[:, 2] - self.groups[:, 1]) * (self.groups[:, 4] - self.groups[:, 3])
+        self.n_groups = np.bincount(self.groups[0], minlength=len(tokens))
+        links = (self.groups[2] - self.groups[1]) * (self.groups[4] - self.groups[3])
         self.n_links = np.zeros(len(tokens), np.int64)
-        np.add.at(self.n_links, self.groups[:, 0], links)
+        np.add.at(self.n_links, self.groups[0], links)
         self.sha = ["" if not n else hashlib.sha256(line).hexdigest() for n, line in zip(self.n_a.tolist(), shown_groups(pair, self.groups, a_ids, b_ids, a_first, b_first, a_stop, b_stop), strict=True)]
         held = [_summed(keys, times) for keys, times in link_pairs(self.groups, a_ids, b_ids)]
         keys, times = (np.concatenate([np.zeros(0, np.int64), *(h[k] for h in held)]) for k in range(2))
@@ -367,7 +414,7 @@ def cuts(docs: DataFrame, id: str = "doc_id", text: str = "text", a_file: str =
                     ends = np.cumsum(pair.a_sizes[a])
                     zero = np.zeros(1, np.int64)
                     groups = lockstep(ends, np.cumsum(pair.b_sizes[b]), zero, zero, np.array([len(a)]))
-                    for to, x in zip(out, (a, b, groups[:, 2], groups[:, 4], ends[groups[:, 2] - 1]), strict=True):
+                    for to, x in zip(out, (a, b, groups[2], groups[4], ends[groups[2] - 1]), strict=True):
                         to.append(x.tolist())
                 yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(x, pa.list_(pa.int64())) for x in out)], ["id", "a_ids", "b_ids", "a_stop", "b_stop", "byte"])
 
