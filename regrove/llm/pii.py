@@ -16,6 +16,10 @@ over its trusted patterns; seeds stay at 1. Unseen instances are neutral. Patter
 context). After `rounds` rounds instances of `instance_score` or more become
 spans of kind `context`. Patterns and instances are grouped with partial sums; nothing is gathered.
 
+Long texts are parted into pieces of some thousand characters, at line ends and before words, where no pattern or identifier can
+reach across; positions are worked out inside a piece and moved by the lengths before it, so time is linear in a text's length (a
+text without a line end or a word is one piece). A piece knows the characters on either side of it, so contexts reach across.
+
 Defined cases: null text counts as empty; texts and tables without a seed give base spans alone; repeated rows count once in the
 graph and each get their spans.
 """
@@ -45,8 +49,34 @@ GROUPED = "(?<=[0-9][A-Za-z0-9)-]{0,20})[ ](?=[A-Z(]{0,8}[0-9]|[A-Z]{1,4} [A-Z]{
 _PART = "0*+(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9]|)"
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _PLACES = "array<struct<start:int,end:int,value:string>>"
+_SEEN = "array<struct<start:int,end:int,value:string,seed:boolean,left:string,right:string>>"
 #: Characters of context that are looked at on either side.
 REACH = 48
+#: Pieces of a text: at least so many characters, up to a line end or a space before a word (a letter and a small one).
+PIECE = 2_000
+PIECES = f"(?s).{{{PIECE},}}?(?:\\n| (?=\\p{{L}}\\p{{Ll}}))|.+"
+
+
+def _let(value: Column, body) -> Column:
+    """`body` of a value that is worked out once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def pieces(text: Column) -> Column:
+    """Pieces of a text: their text t, offset `at`, and the characters `before` and `after` them."""
+
+    def placed(parts: Column) -> Column:
+        sizes = F.transform(parts, F.length)
+
+        def piece(t: Column, i: Column) -> Column:
+            before = F.when(i > 0, F.element_at(parts, i)).otherwise(F.lit(""))  # element_at counts from 1
+            after = F.when(i + 1 < F.size(parts), F.element_at(parts, i + 2)).otherwise(F.lit(""))
+            at = F.aggregate(F.slice(sizes, F.lit(1), i), F.lit(0), lambda a, x: a + x)
+            return F.struct(t.alias("t"), at.alias("at"), F.substring(before, -REACH, REACH).alias("before"), F.substring(after, 1, REACH).alias("after"))
+
+        return F.transform(parts, piece)
+
+    return _let(F.regexp_extract_all(text, F.lit(PIECES), F.lit(0)), placed)
 
 
 def places(text: Column, pattern: str, test=None) -> Column:
@@ -91,13 +121,13 @@ def base_spans(text: Column) -> Column:
     dotted = F.regexp_replace(plain, "(?<=[A-Za-z0-9-])\\.(?=[A-Za-z0-9-])", DOT)
     gapped = F.regexp_replace(plain, "(?<=[0-9])[ -](?=[0-9])", GAP)
     between = lambda low, high: lambda v: F.length(_digits(v)).between(low, high)
-    email = F.when(F.contains(text, F.lit("@")), _spans("email", places(dotted, EMAIL))).otherwise(none)
-    ip = F.when(text.rlike("[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]"), _spans("ip", places(plain, IP, lambda v: v.rlike(f"^{_PART}\\.{_PART}\\.{_PART}\\.{_PART}$")))).otherwise(none)
+    email = F.when(F.contains(text, F.lit("@")), _let(dotted, lambda t: _spans("email", places(t, EMAIL)))).otherwise(none)
+    ip = F.when(text.rlike("[0-9]\\.[0-9]++\\.[0-9]++\\.[0-9]"), _let(plain, lambda t: _spans("ip", places(t, IP, lambda v: v.rlike(f"^{_PART}\\.{_PART}\\.{_PART}\\.{_PART}$"))))).otherwise(none)
     card = F.when(
         text.rlike("(?:[0-9][ -]?){15}[0-9]"),
-        _spans("card", places(gapped, CARD, lambda v: F.when(between(16, 19)(v), luhn(_digits(v))).otherwise(False))),
+        _let(gapped, lambda t: _spans("card", places(t, CARD, lambda v: F.when(between(16, 19)(v), luhn(_digits(v))).otherwise(False)))),
     ).otherwise(none)
-    phone = F.when(text.rlike("\\+[0-9]"), _spans("phone", places(plain, PHONE, between(8, 15)))).otherwise(none)
+    phone = F.when(text.rlike("\\+[0-9]"), _let(plain, lambda t: _spans("phone", places(t, PHONE, between(8, 15))))).otherwise(none)
     return F.concat(email, ip, card, phone)
 
 
@@ -110,7 +140,7 @@ def _candidates(text: Column, spans: Column) -> Column:
         spans, plain, lambda a, s: F.concat(F.substring(a, F.lit(1), s["start"]), F.repeat(F.lit("\n"), s["end"] - s["start"]), F.substring(a, s["end"] + 1, F.length(a))),
     )).otherwise(plain)
     grouped = F.regexp_replace(plain, GROUPED, GAP)
-    tokens = F.when(text.rlike("[0-9@]"), places(grouped, IDENTIFIER)).otherwise(F.array().cast(_PLACES))
+    tokens = F.when(text.rlike("[0-9@]"), _let(grouped, lambda t: places(t, IDENTIFIER))).otherwise(F.array().cast(_PLACES))
 
     def trimmed(p: Column) -> Column:
         unlabelled = F.regexp_replace(p["value"], "^[^\\s\\p{L}0-9@]{0,4}[\\p{L}_-]{1,40}[:=](?!//)", "")
@@ -126,24 +156,45 @@ def _candidates(text: Column, spans: Column) -> Column:
     return F.filter(F.transform(tokens, trimmed), fits)
 
 
-def _occurrences(text: Column, found: Column, seed: bool) -> Column:
+def _occurrences(piece: Column, found: Column, seed: bool) -> Column:
     """Places with their value and the words left and right of them (lower-case, digits as 0; null at the text's ends)."""
 
-    def word(piece: Column, pattern: str) -> Column:
-        got = F.regexp_replace(F.regexp_extract(piece, pattern, 1), "[^\\p{L}0-9]", "")
+    def word(part: Column, pattern: str) -> Column:
+        got = F.regexp_replace(F.regexp_extract(part, pattern, 1), "[^\\p{L}0-9]", "")
         got = F.regexp_replace(F.lower(got), "[0-9]+", "0")
         return F.when(got != "", got)
 
     def row(p: Column) -> Column:
-        before = F.substring(text, F.greatest(p["start"] + 1 - REACH, F.lit(1)), F.least(p["start"], F.lit(REACH)))
-        after = F.substring(text, p["end"] + 1, F.lit(REACH))
+        first, last = p["start"] + F.length(piece["before"]), p["end"] + F.length(piece["before"])
+        around = F.concat(piece["before"], piece["t"], piece["after"])
+        left = F.substring(around, F.greatest(first + 1 - REACH, F.lit(1)), F.least(first, F.lit(REACH)))
+        right = F.substring(around, last + 1, F.lit(REACH))
         return F.struct(
-            p["start"].alias("start"), p["end"].alias("end"), F.lower(F.substring(text, p["start"] + 1, p["end"] - p["start"])).alias("value"), F.lit(seed).alias("seed"),
-            word(before, "(?:^|\\s)([^\\s]{1,40})(?:\\s{1,4}|(?<=[:=]))[^\\s\\p{L}0-9]{0,4}$").alias("left"), word(after, "^[^\\s\\p{L}0-9]{0,4}\\s{1,4}([^\\s]{1,40})(?:\\s|$)").alias("right"))
+            (piece["at"] + p["start"]).alias("start"), (piece["at"] + p["end"]).alias("end"), F.lower(F.substring(piece["t"], p["start"] + 1, p["end"] - p["start"])).alias("value"), F.lit(seed).alias("seed"),
+            word(left, "(?:^|\\s)([^\\s]{1,40})(?:\\s{1,4}|(?<=[:=]))[^\\s\\p{L}0-9]{0,4}$").alias("left"), word(right, "^[^\\s\\p{L}0-9]{0,4}\\s{1,4}([^\\s]{1,40})(?:\\s|$)").alias("right"))
 
     return F.transform(found, row)
 
 
+def scanned(text: Column) -> Column:
+    """Base spans of a text (by kind and start) and `seen`: seeds and other identifiers with their contexts."""
+    none = F.struct(F.array().cast(SPANS).alias("base"), F.array().cast(_SEEN).alias("seen"))
+
+    def scan(piece: Column) -> Column:
+        def with_base(base: Column) -> Column:
+            moved = F.transform(base, lambda s: F.struct(s["kind"].alias("kind"), (piece["at"] + s["start"]).alias("start"), (piece["at"] + s["end"]).alias("end")))
+            seen = F.concat(_occurrences(piece, base, True), _let(_candidates(piece["t"], base), lambda c: _occurrences(piece, c, False)))
+            return F.struct(moved.alias("base"), seen.cast(_SEEN).alias("seen"))
+
+        return F.when(piece["t"].rlike("[0-9@]"), _let(base_spans(piece["t"]), with_base)).otherwise(none)
+
+    def joined(done: Column) -> Column:
+        of = lambda kind: F.flatten(F.transform(done, lambda d: F.filter(d["base"], lambda s: s["kind"] == kind)))
+        return F.struct(F.concat(*map(of, KINDS[:4])).alias("base"), F.flatten(F.transform(done, lambda d: d["seen"])).alias("seen"))
+
+    return F.when(text.rlike("[0-9@]"), _let(F.transform(pieces(text), scan), joined)).otherwise(none)
+
+
 def discovered(occurrences: DataFrame, rounds: int = 3, support: float = 5.0, pattern_score: float = 0.8, instance_score: float = 0.8, rlogf: float = 0.4) -> DataFrame:
     """(value): unseen instances that the trusted patterns vouch for. `occurrences` has value, seed, left, right."""
     side = F.explode(F.array(F.concat(F.lit("L "), "left"), F.concat(F.lit("R "), "right")))
@@ -169,12 +220,7 @@ def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "
     names = [f"k{i}" for i in range(len(keep))]
     rows = pick(docs, *dict.fromkeys((*keep, text)))
     rows = rows.select(*[F.col(c).alias(n) for c, n in zip(keep, names, strict=True)], F.coalesce(text, F.lit("")).alias("t"), F.monotonically_increasing_id().alias("row"))
-    rows = rows.withColumn("base", base_spans(F.col("t")))
-    digits = F.col("t").rlike("[0-9@]")
-    seeds = _occurrences(F.col("t"), F.col("base"), True)
-    others = _occurrences(F.col("t"), _candidates(F.col("t"), F.col("base")), False)
-    rows = rows.withColumn("seen", F.when(digits, F.concat(seeds, others)))
-    found = written(rows.select(*names, "row", "base", "seen"), "pii-rows")
+    found = written(rows.select(*names, "row", scanned(F.col("t")).alias("x")), "pii-rows").select(*names, "row", "x.base", "x.seen")
     seen = found.where("size(seen) > 0").select("row", F.explode("seen").alias("o")).select("row", "o.*")
     values = discovered(seen, **graph)
     more = seen.where("not seed").join(values, "value").groupBy("row").agg(
@@ -184,19 +230,44 @@ def find_pii(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "
     return joined.select(*[F.col(n).alias(c) for c, n in zip(keep, names, strict=True)], spans.alias("pii_spans"))
 
 
+def _first_from(spans: Column, place: Column) -> Column:
+    """How many spans (sorted by start) start before a place, by halving."""
+    start = F.struct(F.lit(0).alias("lo"), F.size(spans).alias("hi"))
+
+    def step(a: Column, _: Column) -> Column:
+        middle = F.floor((a["lo"] + a["hi"]) / 2).cast("int")
+        before = F.element_at(spans, middle + 1)["start"] < place
+        halved = F.when(before, F.struct((middle + 1).alias("lo"), a["hi"].alias("hi"))).otherwise(F.struct(a["lo"].alias("lo"), middle.alias("hi")))
+        return F.when(a["lo"] >= a["hi"], a).otherwise(halved)
+
+    return F.aggregate(F.sequence(F.lit(1), F.lit(31)), start, step)["lo"]
+
+
 def redacted(text: Column, spans: Column) -> Column:
-    """The text with every span replaced by its kind in brackets; spans that touch or overlap become one, named by the first."""
-    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+    """The text with every span replaced by its kind in brackets; spans that overlap become one, named by the first.
 
-    def step(a: Column, s: Column) -> Column:
-        gap = F.substring(text, a["at"] + 1, s["start"] - a["at"])
-        put = F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
-        over = (s["start"] < a["at"])
-        return F.struct(F.greatest(a["at"], s["end"]).alias("at"), F.when(over, a["out"]).otherwise(put).alias("out"))
+    Spans are those of `find_pii`: none reaches from one of the text's pieces into the next.
+    """
 
-    done = F.aggregate(by_start, start, step, lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.length(text))))
-    return F.when(F.size(spans) > 0, done).otherwise(text)
+    def masked(t: Column, own: Column, at: Column) -> Column:
+        start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
+
+        def step(a: Column, s: Column) -> Column:
+            first, last = s["start"] - at, s["end"] - at
+            gap = F.substring(t, a["at"] + 1, first - a["at"])
+            put = F.concat(a["out"], gap, F.lit("["), F.upper(s["kind"]), F.lit("]"))
+            return F.struct(F.greatest(a["at"], last).alias("at"), F.when(first < a["at"], a["out"]).otherwise(put).alias("out"))
+
+        return F.aggregate(own, start, step, lambda a: F.concat(a["out"], F.substring(t, a["at"] + 1, F.length(t))))
+
+    def whole(ordered: Column) -> Column:
+        def piece(p: Column) -> Column:
+            return _let(_first_from(ordered, p["at"]), lambda lo: masked(p["t"], F.slice(ordered, lo + 1, _first_from(ordered, p["at"] + F.length(p["t"])) - lo), p["at"]))
+
+        return F.array_join(F.transform(pieces(text), piece), "")
+
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
+    return F.when(F.size(spans) > 0, _let(by_start, whole)).otherwise(text)
 
 
 def joined_text(kinds: tuple[str, ...]) -> Column:

@@ -369,6 +369,90 @@ def test_identifiers_in_groups_and_behind_labels_are_found_whole(spark):
     assert cut[300] == cut[301] == ["77123456"] and cut[302] == ["a@b.org", "123 45"]
 
 
+def test_pieces_part_long_texts_where_nothing_reaches_across(spark):
+    """Long texts of many identifiers: base spans as brute force, contexts and masks as in pieces of one."""
+    r = random.Random(13)
+    parts = [lambda: f"u{r.randint(1, 99)}@mail.example.org", lambda: f"10.{r.randint(0, 300)}.0.7", lambda: f"+1 ({r.randint(200, 999)}) 555-{r.randint(1000, 9999)}",
+             lambda: "4035 0659 4308 8454", lambda: prose(r.randint(0, 999), r.randint(1, 9)), lambda: "12 34", lambda: "\n", lambda: "Ab1 (030) 123 4567", lambda: "é漢😀"]
+    texts = [" ".join(r.choice(parts)() for _ in range(n)) for n in (400, 1500, 3000) for _ in range(3)]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    found = {x["doc_id"]: x["pii_spans"] for x in pii.find_pii(frame.repartition(3)).collect()}
+    whole = lambda t: [p["t"] for p in frame.sparkSession.createDataFrame([(t,)], "t string").select(F.explode(pii.pieces(F.col("t"))).alias("p")).select("p.*").collect()]
+    assert len(whole(texts[-1])) > 10 and "".join(whole(texts[-1])) == texts[-1]
+    for i, text in enumerate(texts):
+        assert [tuple(s) for s in found[i] if s["kind"] != "context"] == brute_pii(text)
+    spans = spark.createDataFrame([(i, texts[i], [tuple(s) for s in found[i]]) for i in found], f"i long, t string, s {pii.SPANS}")
+    for x in spans.select("i", pii.redacted(F.col("t"), F.col("s")).alias("m")).collect():
+        out, at = "", 0
+        for s in sorted(found[x["i"]], key=lambda s: (s["start"], s["end"], s["kind"])):
+            if s["start"] >= at:
+                out += texts[x["i"]][at:s["start"]] + f"[{s['kind'].upper()}]"
+            at = max(at, s["end"])
+        assert x["m"] == out + texts[x["i"]][at:]
+
+
+def test_contexts_reach_across_pieces(spark):
+    """Every identifier is the first or last word of a piece somewhere."""
+    long = [" ".join([*["ab"] * k, *["word"] * 380, "Kontakt:", f"user{k}@mail{k}.example.org", *["word"] * 30]) for k in range(60)]
+    rows = [*enumerate(long), (100, f"{prose(1, 300)} Kontakt: 77123-456-X {prose(2, 300)}"), (101, f"{prose(1, 300)} other 77123-999-X {prose(2, 300)}")]
+    got = {r["doc_id"]: [s["kind"] for s in r["pii_spans"]] for r in pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[100] == ["context"] and got[101] == [] and all(got[k] == ["email"] for k in range(60))
+
+
+def test_long_dense_texts_take_linear_time(spark):
+    import time
+
+    text = " ".join(f"word u{i}@mail.example.org or +1 (553) 555-{1000 + i % 9000}" for i in range(20_000))
+    frame = spark.createDataFrame([(1, text)], "doc_id long, text string")
+    pii.find_pii(frame.select("doc_id", F.lit("a@b.org").alias("text"))).collect()
+    began = time.perf_counter()
+    row = pii.find_pii(frame).first()
+    assert len(row["pii_spans"]) == 40_000 and time.perf_counter() - began < 20
+    spans = spark.createDataFrame([(text, [tuple(s) for s in row["pii_spans"]])], f"t string, s {pii.SPANS}")
+    began = time.perf_counter()
+    assert spans.select(pii.redacted(F.col("t"), F.col("s"))).first()[0].startswith("word [EMAIL] or [PHONE] word [EMAIL]")
+    assert time.perf_counter() - began < 20
+
+
+def brute_discovered(rows, rounds=3, support=5.0, pattern_score=0.8, instance_score=0.8, rlogf=0.4):
+    """The graph in plain Python: patterns and instances by turns."""
+    edges = {}
+    for value, seed, *words in rows:
+        for side, word in zip("LR", words):
+            if word is not None:
+                edges[f"{side} {word}", value] = edges.get((f"{side} {word}", value), False) or seed
+    other = {e: not seed and bool(re.match(pii.SOMETHING_ELSE.replace("++", "+"), e[1])) for e, seed in edges.items()}
+    score = {e: float(seed) for e, seed in edges.items()}
+    now = {}
+    for _ in range(rounds):
+        trusted = {}
+        for pattern in {p for p, _ in edges}:
+            own = [e for e in edges if e[0] == pattern]
+            mass = sum(score[e] for e in own)
+            trust = mass / (mass + sum(other[e] for e in own) + 1)
+            if mass >= support and trust >= pattern_score and mass / len(own) * np.log2(mass) >= rlogf:
+                trusted[pattern] = trust
+        now = {}
+        for e, seed in edges.items():
+            if not seed and not other[e] and e[0] in trusted:
+                now[e[1]] = now.get(e[1], 1.0) * (1 - min(trusted[e[0]], 0.999))
+        now = {v: 1 - x for v, x in now.items()}
+        if not now:
+            break
+        score = {e: 1.0 if seed else now.get(e[1], 0.0) for e, seed in edges.items()}
+    return sorted(v for v, x in now.items() if x >= instance_score)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_graph_scores_match_brute_force(spark, seed):
+    r = random.Random(seed)
+    words, values = ["kontakt", "tel", "am", "the", None], [f"v{i}" for i in range(40)] + ["2024-01-05", "12:30", "3.50"]
+    known = set(r.sample(values[:40], 22))
+    rows = [(v, v in known, r.choice(words), r.choice(words)) for v in r.choices(values, k=160)]
+    got = pii.discovered(spark.createDataFrame(rows, "value string, seed boolean, left string, right string"))
+    assert sorted(x["value"] for x in got.collect()) == brute_discovered(rows)
+
+
 def test_pii_of_messy_rows(messy, nothing):
     found = pii.find_pii(messy, keep=tuple(c for c in messy.columns if c != "pii_spans"))
     assert found.count() == messy.count() and found.where("size(pii_spans) > 0").select("doc_id").distinct().count() == 1
