@@ -152,8 +152,11 @@ def route_history(df: DataFrame, route: Sequence[str], key: Sequence[str], ts: s
     )
 
 
-def fleet_ratio(df: DataFrame, energy: str = "target_energy_consumption", distance: str = "distance_km",
-                column: str = "vehicle_avg_efficiency_last30") -> DataFrame:
-    """Adds the vehicle's recent efficiency over the fleet's mean efficiency (one number, one job)."""
-    fleet = df.agg(F.avg(efficiency(df, energy, distance))).first()[0]
+def fleet_efficiency(df: DataFrame, energy: str = "target_energy_consumption", distance: str = "distance_km") -> float | None:
+    """The fleet's mean efficiency. Take it from the plainest frame of the trips there is: no history changes it."""
+    return df.agg(F.avg(efficiency(df, energy, distance))).first()[0]
+
+
+def fleet_ratio(df: DataFrame, fleet: float | None, column: str = "vehicle_avg_efficiency_last30") -> DataFrame:
+    """Adds the vehicle's recent efficiency over the fleet's."""
     return df.withColumn("vehicle_efficiency_vs_fleet", F.try_divide(clean(df, column), F.lit(fleet).cast("double")))

@@ -124,12 +124,23 @@ def in_threads(spark: SparkSession, tasks: list[Callable[[], object]], paralleli
         return pool.map(lambda task: task(), own, chunksize=1)
 
 
+def draws_of(space: Mapping[str, Int | Float | LogFloat], n: int, seed: int) -> list[dict[str, float]]:
+    rng = random.Random(seed)
+    return [{p: dim.draw(rng) for p, dim in space.items()} for _ in range(n)]
+
+
+def search_together(spark: SparkSession, name: str, space: Mapping[str, Int | Float | LogFloat],
+                    evaluate: Callable[[list[dict[str, float]]], list[float]], n: int = 25, seed: int = 42) -> Study:
+    """The same draws as `search`, judged all at once: for objectives that share their scans of the rows."""
+    draws = draws_of(space, n, seed)
+    return Study(name, tuple((i, float(v), d) for i, (v, d) in enumerate(zip(evaluate(draws), draws, strict=True))))
+
+
 def search(spark: SparkSession, name: str, space: Mapping[str, Int | Float | LogFloat],
            evaluate: Callable[[dict[str, float]], float], n: int = 25, seed: int = 42,
            parallelism: int = 4) -> Study:
     """Seeded random search. All draws are made first, so trials are the same at any parallelism."""
     ensure_checkpoint_dir(spark)
-    rng = random.Random(seed)
-    draws = [{p: dim.draw(rng) for p, dim in space.items()} for _ in range(n)]
+    draws = draws_of(space, n, seed)
     values = in_threads(spark, [lambda d=d: evaluate(d) for d in draws], parallelism)
     return Study(name, tuple((i, float(v), d) for i, (v, d) in enumerate(zip(values, draws))))

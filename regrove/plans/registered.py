@@ -11,7 +11,7 @@ from pyspark.sql import types as T
 from regrove.catalog import FEATURE_GROUPS, FEATURES
 from regrove.functions.nulls import nan_to_null
 from regrove.operators import explore, features, history, prep, profile, split
-from regrove.operators.metrics import fold_summary, regression_metrics, ridge
+from regrove.operators.metrics import cross_validate_ridge, fold_summary, linear_prediction, moments, no_moments, regression_metrics, ridge
 from regrove.operators.selection import quantile_label
 from regrove.plans import boosting, learners, modelling, registry, trials as trial_analysis
 from regrove.session import scratch_path
@@ -89,7 +89,7 @@ def _prep_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _line(train: DataFrame, other: DataFrame) -> DataFrame:
     """Least-squares line on distance: ridge without penalty."""
     fit = ridge(train, ["distance_km"], TARGET, alpha=0.0)
-    return other.withColumn("prediction", F.lit(fit.intercept) + F.col("distance_km") * F.lit(fit.coefficients[0]))
+    return other.withColumn("prediction", linear_prediction(fit))
 
 
 def _baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -99,12 +99,13 @@ def _baseline_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cross_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base = modelling.spread(trips(spark, sf_dir, [*TRIP_KEY, TARGET, "distance_km"]), TRIP_KEY)
+    train = modelling.spread(_side(_split(spark, sf_dir, "distance_km"), "train").drop("label", "split"), TRIP_KEY)
     try:
-        train = _side(_stratified(profile.with_target(base, TARGET), TARGET), "train")
-        return modelling.cross_validate(train, TRIP_KEY, TARGET, _line, parallelism=5)
+        folded = split.kfold(train, TRIP_KEY, 5).select("fold", "distance_km", TARGET)
+        folds = cross_validate_ridge(folded, ["distance_km"], TARGET, alpha=0.0)
+        return spark.createDataFrame(folds.collect(), folds.schema)
     finally:
-        base.unpersist()
+        train.unpersist()
 
 
 def _ridge(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -162,8 +163,9 @@ def _vehicle_history(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _fleet_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = history.vehicle_history(_scaled(spark, sf_dir, "VehId", "distance_km"), energy="energy")
-    return rounded(history.fleet_ratio(frame, energy="energy").select(*TRIP_KEY, "vehicle_efficiency_vs_fleet"), 6)
+    scaled = _scaled(spark, sf_dir, "VehId", "distance_km")
+    frame = history.vehicle_history(scaled, energy="energy")
+    return rounded(history.fleet_ratio(frame, history.fleet_efficiency(scaled, "energy")).select(*TRIP_KEY, "vehicle_efficiency_vs_fleet"), 6)
 
 
 def _route_history(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -338,12 +340,16 @@ def _search_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = split.kfold(train, TRIP_KEY, 5, "validation-42", "v").select("v", "distance_km", TARGET).persist()
     fitting, held = folded.where("v <> 0"), folded.where("v = 0")
 
-    def evaluate(params: dict[str, float]) -> float:
-        fit = ridge(fitting, ["distance_km"], TARGET, params["alpha"])
-        return modelling.rmse(held.withColumn("prediction", F.lit(fit.intercept) + F.col("distance_km") * F.lit(fit.coefficients[0])), TARGET)
+    fitted = moments(fitting, ["distance_km", TARGET]).get(0, no_moments(2))
+
+    def evaluate(draws: list[dict[str, float]]) -> list[float]:
+        """One scan for all fits, one for all scores."""
+        fits = [fitted.ridge(["distance_km"], d["alpha"]) for d in draws]
+        errors = [F.col(TARGET) - linear_prediction(fit) for fit in fits]
+        return list(held.agg(*[F.sqrt(F.avg(e * e)).alias(f"e{i}") for i, e in enumerate(errors)]).first())
 
     try:
-        study = learners.search(spark, "alpha", {"alpha": learners.LogFloat(1.0, 10_000_000.0)}, evaluate, 25, 42, 5)
+        study = learners.search_together(spark, "alpha", {"alpha": learners.LogFloat(1.0, 10_000_000.0)}, evaluate, 25, 42)
     finally:
         folded.unpersist()
     history = trial_analysis.trial_history(study.frame(spark))
@@ -351,13 +357,9 @@ def _search_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Correlations among the twelve columns that the ranking puts first; the table with its windows is made once."""
-    path = scratch_path(spark, "features")
-    numeric = feature_table(spark, sf_dir)
-    kept = [*explore.numeric_features(numeric, NOT_FEATURES), TARGET]
-    numeric.select(*kept).write.parquet(path)
-    frame = spark.read.parquet(path)
-    ranked = explore.target_correlation(profile.with_target(frame, TARGET), TARGET, kept[:-1])
+    """Correlations among the twelve columns that the ranking puts first."""
+    frame = feature_table(spark, sf_dir)
+    ranked = explore.target_correlation(profile.with_target(frame, TARGET), TARGET, explore.numeric_features(frame, NOT_FEATURES))
     top = [r["feature"] for r in explore.top_correlations(ranked, 12).collect()]
     return rounded(explore.correlation_matrix(frame, top))
 

@@ -1,4 +1,8 @@
-"""The complete feature table over the trip frame: row-wise groups plus both histories."""
+"""The complete feature table over the trip frame: row-wise groups plus both histories.
+
+Whoever asks for it shares one written table: it is built at the first call for the given files, with their sizes and times, and read
+by name afterwards, so every query reads just the columns it asks for and no history is worked out twice.
+"""
 
 from __future__ import annotations
 
@@ -6,18 +10,51 @@ from pyspark.sql import DataFrame, SparkSession
 
 from regrove.functions.nulls import nan_to_null
 from regrove.operators.features import row_features
-from regrove.operators.history import fleet_ratio, route_history, vehicle_history
-from regrove.sources.trips import TRIP_KEY, trips
+from regrove.operators.history import fleet_efficiency, fleet_ratio, route_history, vehicle_history
+from regrove.session import scratch_path
+from regrove.sources.trips import TARGET, TRIP_KEY, trips
 
 ROUTE = ["origin_nation", "dest_nation"]
+TABLES = ["lineitem", "orders", "customer", "supplier"]
+
+#: Written tables of this process: (application, input files) to (path, schema).
+_BUILT: dict[tuple, tuple[str, object]] = {}
 
 
-def build_features(df: DataFrame) -> DataFrame:
+def build_features(df: DataFrame, fleet: float | None = None) -> DataFrame:
+    """All features of a trip frame; `fleet` is its mean efficiency, worked out here if it isn't given."""
+    fleet = fleet_efficiency(df) if fleet is None else fleet
     out = row_features(nan_to_null(df))
     out = vehicle_history(out)
     out = route_history(out, ROUTE, TRIP_KEY)
-    return fleet_ratio(out)
-
-
-def feature_table(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return build_features(trips(spark, sf_dir))
+    return fleet_ratio(out, fleet)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> tuple:
+    """Path, size and time of every input file, from the file system that holds it."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    found = []
+    for name in TABLES:
+        path = hadoop.Path(f"{sf_dir}/{name}.parquet")
+        system = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+        for status in system.listStatus(path):
+            found.append((status.getPath().toString(), status.getLen(), status.getModificationTime()))
+    return tuple(sorted(found))
+
+
+def _there(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
+
+
+def feature_table(spark: SparkSession, sf_dir: str, columns: list[str] | None = None) -> DataFrame:
+    """The feature table of those order tables, all columns or `columns`."""
+    key = (spark.sparkContext.applicationId, _files(spark, sf_dir))
+    if key not in _BUILT or not _there(spark, _BUILT[key][0]):
+        fleet = fleet_efficiency(trips(spark, sf_dir, [TARGET, "distance_km"]))
+        built, path = build_features(trips(spark, sf_dir), fleet), scratch_path(spark, "features")
+        built.write.parquet(path)
+        _BUILT[key] = (path, built.schema)
+    path, schema = _BUILT[key]
+    table = spark.read.schema(schema).parquet(path)
+    return table.select(*columns) if columns else table

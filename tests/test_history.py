@@ -100,7 +100,7 @@ def test_one_busy_vehicle(spark):
 
 def test_fleet_ratio(spark):
     df = spark.createDataFrame([(10.0, 2.0, 5.0), (30.0, 2.0, None)], "e double, d double, vehicle_avg_efficiency_last30 double")
-    rows = history.fleet_ratio(df, "e", "d").collect()
+    rows = history.fleet_ratio(df, history.fleet_efficiency(df, "e", "d")).collect()
     assert rows[0].vehicle_efficiency_vs_fleet == 0.5 and rows[1].vehicle_efficiency_vs_fleet is None
 
 
@@ -132,3 +132,20 @@ def test_whole_feature_table(spark, sf):
     table = feature_table(spark, sf)
     assert [c for c in [*FEATURES, TARGET] if c not in table.columns] == []
     assert table.select(F.count("*"), F.count("route_trip_count"), F.count("vehicle_trip_count_last30")).first() == (6000, 6000, 6000)
+
+
+def test_feature_table_is_written_once_and_read_by_column(spark, sf):
+    from regrove.sources.feature_table import feature_table
+
+    feature_table(spark, sf)
+    tracker, group = spark.sparkContext.statusTracker(), "feature-table-plan"
+    spark.sparkContext.setJobGroup(group, group)
+    try:
+        narrow = feature_table(spark, sf, ["VehId", "speed_squared"])
+    finally:
+        jobs = tracker.getJobIdsForGroup(group)
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+    assert list(jobs) == [] and narrow.columns == ["VehId", "speed_squared"]
+    plan = narrow.agg(F.sum("speed_squared"))._jdf.queryExecution().executedPlan().toString()
+    read = plan[plan.index("ReadSchema"):]
+    assert "speed_squared" in read and "VehId" not in read and "Window" not in plan
