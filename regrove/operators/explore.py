@@ -85,14 +85,18 @@ def scatter_bins(df: DataFrame, x: str, y: str, bins: int = 50) -> DataFrame:
     )
 
 
-def scatter_points(df: DataFrame, x: str, y: str, fraction: float = 1.0, key: Sequence[str] = (), seed: int = 42) -> DataFrame:
+def scatter_points(df: DataFrame, x: str, y: str, fraction: float = 1.0, key: Sequence[str] = (), seed: int = 42,
+                   max_points: int | None = None) -> DataFrame:
     """Complete (x, y) pairs. `fraction` thins them for a plot: rows stay whose hashed `key` falls below it, however
-    they are partitioned."""
+    they are partitioned. `max_points` keeps the rows of the lowest hashes, exactly so many where there are more: each
+    task keeps as many and theirs are merged, so the sample of all is that of the parts' samples."""
     points = df.where(_all_present(df, (x, y)))
+    if (fraction < 1.0 or max_points is not None) and not key:
+        raise ValueError("a sample needs the columns that identify a row")
     if fraction < 1.0:
-        if not key:
-            raise ValueError("a sample needs the columns that identify a row")
         points = points.where(F.substring(row_hash(key, seed), 1, 6) < f"{int(fraction * 16 ** 6):06x}")
+    if max_points is not None:
+        points = points.select(row_hash(key, seed).alias("__hash"), col(x), col(y)).orderBy("__hash", col(x), col(y)).limit(max_points)
     return points.select(col(x), col(y))
 
 

@@ -51,14 +51,27 @@ def _tiled(keyed: DataFrame, vehicle: str, span: int, energy: str, distance: str
        and both parts are running sums - additions only, linear time, one shuffle.
     3. The sums go back to the trips by an equi-join, which AQE may broadcast or split.
     """
+    past = _past(_second_sums(keyed, vehicle, energy, distance).withColumn("fresh", F.lit(True)), span)
+    return _with_past(keyed, vehicle, past)
+
+
+SUMS_SCHEMA = ["v", "t", "trips", "n_eff", "s_eff", "n_dist", "s_dist", "n_e", "m_e", "q_e"]
+
+
+def _second_sums(keyed: DataFrame, vehicle: str, energy: str, distance: str) -> DataFrame:
+    """Counts, sums and moments per (vehicle, second)."""
     eff, dist, e = efficiency(keyed, energy, distance), clean(keyed, distance), clean(keyed, energy)
     known = keyed.where(col(vehicle).isNotNull() & F.col("__t").isNotNull())
-    sums = known.groupBy(col(vehicle).alias("v"), F.col("__t").alias("t")).agg(
+    return known.groupBy(col(vehicle).alias("v"), F.col("__t").alias("t")).agg(
         F.count(F.lit(1)).alias("trips"),
         F.count(eff).alias("n_eff"), F.sum(eff).alias("s_eff"),
         F.count(dist).alias("n_dist"), F.sum(dist).alias("s_dist"),
         F.count(e).alias("n_e"), F.avg(e).alias("m_e"), (F.var_pop(e) * F.count(e)).alias("q_e"),
     )
+
+
+def _past(sums: DataFrame, span: int) -> DataFrame:
+    """What the `fresh` (vehicle, second) pairs have behind them; a pair may stand in several rows."""
     tile = F.floor(F.col("t") / span)
     tiled = sums.withColumn("placed", F.explode(F.array(
         F.struct(tile.alias("tile"), F.col("t").alias("at"), F.lit(True).alias("own")),
@@ -76,20 +89,23 @@ def _tiled(keyed: DataFrame, vehicle: str, span: int, energy: str, distance: str
     parts = ["trips", "n_eff", "s_eff", "n_dist", "s_dist", "n_e", "d_e", "dd_e"]
     started = {f"{p}_0": F.sum(F.when(F.col("own"), F.col(p))).over(before) for p in parts}
     rest = {f"{p}_1": F.sum(F.when(~F.col("own"), F.col(p))).over(since) for p in parts}
-    windowed = tiled.withColumns(started).withColumns(rest).where("own")
+    windowed = tiled.withColumns(started).withColumns(rest).where("own and fresh")
     total = {p: F.coalesce(f"{p}_0", F.lit(0)) + F.coalesce(f"{p}_1", F.lit(0)) for p in parts}
     totals = windowed.select("v", "t", "base", *[c.alias(p) for p, c in total.items()])
     variance = F.try_divide(
         F.greatest(F.col("dd_e") - F.try_divide(F.col("d_e") * F.col("d_e"), F.col("n_e")), F.lit(0.0)),
         F.when(F.col("n_e") > 1, F.col("n_e") - 1),
     )
-    past = totals.select(
+    return totals.select(
         F.col("v").alias("__v"), F.col("t").alias("__s"),
         *[c.alias(name) for name, c in zip(VEHICLE_COLUMNS, (
             F.try_divide("s_eff", "n_eff"), F.col("base") + F.try_divide("d_e", "n_e"), F.sqrt(variance),
             F.try_divide("s_dist", "n_dist"), F.col("trips"),
         ))],
     )
+
+
+def _with_past(keyed: DataFrame, vehicle: str, past: DataFrame) -> DataFrame:
     return keyed.join(past, (col(vehicle) == F.col("__v")) & (F.col("__t") == F.col("__s")), "left").drop("__v", "__s")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from regrove.functions.nulls import clean, col, present
-from regrove.operators.selection import exact_quantiles
+from regrove.operators.selection import SKETCH_ACCURACY, exact_quantiles
 
 # Columns counted in one aggregate. Wider frames are read in column groups: the scan is
 # columnar, so the bytes read stay the same and generated code stays small.
@@ -64,8 +64,11 @@ def missing_profile(df: DataFrame, columns: Sequence[str] | None = None) -> Data
     )
 
 
-def describe_target(df: DataFrame, target: str) -> DataFrame:
-    """Non-missing count, mean, exact median, sample std, min, max; `all_null` marks an empty target."""
+def describe_target(df: DataFrame, target: str, approx: bool = False) -> DataFrame:
+    """Non-missing count, mean, exact median, sample std, min, max; `all_null` marks an empty target.
+
+    `approx` takes the median from a sketch in the same read.
+    """
     value = clean(df, target)
     stats = df.agg(
         F.count(value).alias("n_present"),
@@ -73,10 +76,11 @@ def describe_target(df: DataFrame, target: str) -> DataFrame:
         F.stddev_samp(value).alias("std"),
         F.min(value).cast("double").alias("min"),
         F.max(value).cast("double").alias("max"),
+        *([F.percentile_approx(value.cast("double"), 0.5, SKETCH_ACCURACY).alias("median")] if approx else []),
     )
-    median = exact_quantiles(df, target, [0.5])[0]
+    median = F.col("median") if approx else F.lit(exact_quantiles(df, target, [0.5])[0]).cast("double")
     return stats.select(
-        "n_present", "mean", F.lit(median).cast("double").alias("median"), "std", "min", "max",
+        "n_present", "mean", median.alias("median"), "std", "min", "max",
         (F.col("n_present") == 0).alias("all_null"),
     )
 

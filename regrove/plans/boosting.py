@@ -33,7 +33,8 @@ from pyspark.sql import functions as F
 
 from regrove.functions.nulls import clean
 from regrove.operators.split import row_hash
-from regrove.plans.learners import Float, Int, LogFloat
+from regrove.operators.metrics import regression_metrics
+from regrove.plans.learners import Float, Int, LogFloat, Study, search
 from regrove.session import let_workers_import, scratch_path
 
 #: Trees whose predictions are worked out in every pass before they are written into the rows.
@@ -596,3 +597,14 @@ def fit_boosting(train: DataFrame, features: Sequence[str], target: str, key: Se
         used = tree_features(features, settings.column_share, settings.seed, number)
         rows.add(_GROW[settings.growth](rows, splits, used, number))
     return BoostedTrees(tuple(features), tuple(tuple(map(float, b)) for b in rows.borders), rows.base, tuple(rows.trees))
+
+
+def tune_boosting(fitting: DataFrame, held: DataFrame, features: Sequence[str], target: str, key: Sequence[str], profile: str,
+                  trials: int = 25, seed: int = 42, space: Mapping[str, Int | Float | LogFloat] | None = None, parallelism: int = 1) -> Study:
+    """Seeded search over a profile's ranges (or `space`), each draw judged by the error on the held-out rows."""
+
+    def evaluate(params: dict[str, float]) -> float:
+        model = fit_boosting(fitting, features, target, key, settings(profile, params, seed))
+        return regression_metrics(model.transform(held), target, by=None).first()["rmse"]
+
+    return search(fitting.sparkSession, profile, SPACES[profile] if space is None else space, evaluate, trials, seed, parallelism)

@@ -43,6 +43,16 @@ class LogFloat:
         return exp(rng.uniform(log(self.low), log(self.high)))
 
 
+@dataclass(frozen=True)
+class Fixed:
+    """A parameter that isn't searched."""
+
+    value: float | bool
+
+    def draw(self, rng: random.Random) -> float | bool:
+        return self.value
+
+
 # Ranges searched per learner. `minInfoGain` is per row here, hence the
 # narrower range; parameters Spark's trees do not have are left out.
 SPACES: dict[str, dict[str, Int | Float | LogFloat]] = {
@@ -144,3 +154,40 @@ def search(spark: SparkSession, name: str, space: Mapping[str, Int | Float | Log
     draws = draws_of(space, n, seed)
     values = in_threads(spark, [lambda d=d: evaluate(d) for d in draws], parallelism)
     return Study(name, tuple((i, float(v), d) for i, (v, d) in enumerate(zip(values, draws))))
+
+
+@dataclass(frozen=True)
+class Halving:
+    """A finished successive halving: per rung the trials that reached it with their values."""
+
+    name: str
+    draws: tuple[dict[str, float], ...]
+    rungs: tuple[tuple[tuple[int, float], ...], ...]
+
+    @property
+    def best(self) -> tuple[int, float, dict[str, float]]:
+        number, value = min(self.rungs[-1], key=lambda t: (t[1], t[0]))
+        return number, value, self.draws[number]
+
+    def rows(self) -> list[tuple[int, int, float]]:
+        """Trial, the last rung it reached, its value there."""
+        last = {number: (rung, value) for rung, trials in enumerate(self.rungs) for number, value in trials}
+        return [(number, rung, float(value)) for number, (rung, value) in sorted(last.items())]
+
+
+def halving(name: str, space: Mapping[str, Int | Float | LogFloat], evaluate: Callable[[list[dict[str, float]], float], list[float]],
+            n: int = 25, seed: int = 42, shares: tuple[float, ...] = (1 / 9, 1 / 3, 1.0), keep: int = 3) -> Halving:
+    """The draws of `search`, pruned: every rung judges its trials on a share of the rows and passes the best one in `keep` on.
+
+    `evaluate(draws, share)` judges several draws on the rows whose hash lies below the share, so a rung's rows hold those of the
+    rung before; the last rung sees all rows.
+    """
+    draws = draws_of(space, n, seed)
+    alive, rungs = list(range(n)), []
+    for rung, share in enumerate(shares):
+        values = evaluate([draws[i] for i in alive], share)
+        ranked = sorted(zip(alive, map(float, values), strict=True), key=lambda t: (t[1], t[0]))
+        rungs.append(tuple(ranked))
+        if rung + 1 < len(shares):
+            alive = [i for i, _ in ranked[:-(-len(ranked) // keep)]]
+    return Halving(name, tuple(draws), tuple(rungs))

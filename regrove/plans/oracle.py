@@ -411,8 +411,64 @@ def _alpha() -> str:
       row_number() OVER (ORDER BY scores.value, number) = 1 AS is_best FROM scores"""
 
 
+def _halving() -> str:
+    """Rung by rung on nested samples: the best third, by value and number, goes on."""
+    rng = random.Random(42)
+    draws = [math.exp(rng.uniform(math.log(1.0), math.log(10_000_000.0))) for _ in range(25)]
+    ctes = [f"""WITH {SPLIT}, train AS (SELECT * FROM split_rows WHERE split = 'train'), {_fold("train", "validation-42", 5)},
+    alive0 AS (SELECT * FROM (VALUES {", ".join(f"({i}, {d!r})" for i, d in enumerate(draws))}) d(number, alpha))"""]
+    sizes = [25, 9, 3]
+    for k, share in enumerate((1 / 9, 1 / 3, 1.0)):
+        kept = f"substr({_hash('halving-42')}, 1, 6) < '{int(share * 16 ** 6):06x}'" if share < 1 else "TRUE"
+        ctes.append(f"""
+    rows{k} AS (SELECT * FROM folded WHERE {kept}),
+    m{k} AS (SELECT var_pop(distance_km) * count(*) AS xx, covar_pop(distance_km, {Y}) * count(*) AS xy, avg(distance_km) AS mx, avg({Y}) AS my
+      FROM rows{k} WHERE fold <> 0),
+    scores{k} AS (SELECT number, any_value(alpha) AS alpha, {k} AS rung, sqrt(avg(power({Y} - (my + (distance_km - mx) * xy / (xx + alpha)), 2))) AS value
+      FROM rows{k}, m{k}, alive{k} WHERE fold = 0 GROUP BY number),
+    alive{k + 1} AS (SELECT number, alpha FROM scores{k} ORDER BY value, number LIMIT {sizes[k + 1] if k < 2 else 1})""")
+    return f"""{",".join(ctes)}, every AS (SELECT * FROM scores0 UNION ALL SELECT * FROM scores1 UNION ALL SELECT * FROM scores2)
+    SELECT CAST(number AS INTEGER) AS number, CAST(max(rung) AS INTEGER) AS rung, {r("arg_max(value, rung)")} AS value, number = (SELECT number FROM alive3) AS is_best
+    FROM every GROUP BY number"""
+
+
+def _tune() -> str:
+    rng = random.Random(42)
+    depths = [rng.randint(1, 2) for _ in range(4)]
+    return f"""WITH {STEPPED}, {_fold("train", "validation-42", 5)},
+    stumps AS (SELECT high, avg(y) AS p FROM folded WHERE fold <> 0 GROUP BY ALL), trees AS (SELECT high, low, avg(y) AS p FROM folded WHERE fold <> 0 GROUP BY ALL),
+    errors AS (SELECT sqrt(avg(power(f.y - s.p, 2))) AS one, sqrt(avg(power(f.y - t.p, 2))) AS two
+      FROM folded f JOIN stumps s USING (high) JOIN trees t ON t.high = f.high AND t.low = f.low WHERE fold = 0),
+    trials AS (SELECT * FROM (VALUES {", ".join(f"({i}, {d})" for i, d in enumerate(depths))}) t(number, depth))
+    SELECT CAST(number AS INTEGER) AS number, CAST(depth AS INTEGER) AS depth, {r("CASE WHEN depth = 1 THEN one ELSE two END / 1000000")} AS value FROM trials, errors"""
+
+
+def _described(sql: str) -> str:
+    return f"(SELECT column_name, lower(CASE column_type WHEN 'VARCHAR' THEN 'string' WHEN 'INTEGER' THEN 'int' WHEN 'TIMESTAMP' THEN 'timestamp_ntz' ELSE column_type END) AS kind FROM (DESCRIBE {sql}))"
+
+
+def _small() -> dict[str, str]:
+    from regrove.plans.registered import PRESENCE
+
+    columns = [Y, "distance_km", "avg_speed_kmh", "elevation_gain_m", "price_cents"]
+    sketched = " UNION ALL ".join(f"""SELECT '{c}' AS "column", count(*) AS n_total, count({c}) AS n_present, {r(f"CAST(min({c}) AS DOUBLE)")} AS low,
+        {r(f"CAST(max({c}) AS DOUBLE)")} AS high, TRUE AS quantiles_within, TRUE AS distinct_within FROM trips""" for c in columns)
+    listed = ", ".join(f"({i}, '{c}')" for i, c in enumerate(PRESENCE))
+    status = " UNION ALL ".join(f"SELECT '{c}' AS target, CASE WHEN count({c}) > 0 THEN 'ok' ELSE 'all_null' END AS status FROM guarded" for c in (Y, "elevation_gain_m", "nothing"))
+    return {
+        "scatter_bottom_k": f"""WITH {TRIPS} SELECT avg_speed_kmh, {Y} FROM (SELECT avg_speed_kmh, {Y}, {_hash("42")} AS h FROM trips
+          WHERE avg_speed_kmh IS NOT NULL AND {Y} IS NOT NULL) ORDER BY h, avg_speed_kmh, {Y} LIMIT 500""",
+        "sketch_profile": f"WITH {TRIPS} {sketched}",
+        "dtype_counts": f"SELECT kind AS data_type, count(*) AS n_columns FROM {_described('SELECT * FROM lineitem')} GROUP BY 1",
+        "feature_presence": f"""SELECT CAST(ordinal AS INTEGER) AS ordinal, "column", "column" IN (SELECT column_name FROM {_described('SELECT * FROM lineitem')}) AS present
+          FROM (VALUES {listed}) p(ordinal, "column")""",
+        "target_guards": f"WITH {TRIPS}, guarded AS (SELECT *, CAST(NULL AS DOUBLE) AS nothing FROM trips) {status} UNION ALL SELECT 'no_such_column', 'no_column'",
+    }
+
+
 def oracle_sql() -> dict[str, str]:
-    sql: dict[str, str] = _boosted()
+    sql: dict[str, str] = _boosted() | _small()
+    sql["search_halving"], sql["tune_exact"] = _halving(), _tune()
     in_millions = r("p / 1000000") + " AS prediction"
     sql["tree_exact"] = f"WITH {STEPPED} SELECT {KEY}, split, {in_millions} FROM stepped JOIN stump USING (high)"
     sql["forest_exact"] = f"WITH {STEPPED} SELECT {KEY}, split, {in_millions} FROM stepped JOIN tree USING (high, low)"
@@ -499,6 +555,7 @@ def oracle_sql() -> dict[str, str]:
         SELECT {KEY}, {r('eff / f', 6)} AS vehicle_efficiency_vs_fleet FROM history, fleet"""
     sql["route_history"] = f"""WITH {ROUTES} SELECT {KEY}, {r('e10')} AS route_avg_energy_last10, {r('d10')} AS route_avg_duration_last10,
         {r('s10')} AS route_avg_speed_last10, before AS route_trip_count FROM routes"""
+    sql["vehicle_batches"], sql["route_batches"] = sql["vehicle_history"], sql["route_history"]
     sql["time_features"] = f"""WITH parts AS (SELECT event_id, {_parts('ts')} FROM events), patterns AS (SELECT *, {PATTERNS} FROM parts)
         SELECT event_id, trip_year, trip_month, trip_dayofweek, trip_hour, is_rush_hour, is_weekend,
         {r('hour_sin', 6)} AS hour_sin, {r('hour_cos', 6)} AS hour_cos FROM patterns"""

@@ -10,10 +10,10 @@ from pyspark.sql import types as T
 
 from regrove.catalog import FEATURE_GROUPS, FEATURES
 from regrove.functions.nulls import nan_to_null
-from regrove.operators import explore, features, history, prep, profile, split
+from regrove.operators import explore, features, history, increments, prep, profile, sketches, split
 from regrove.operators.metrics import cross_validate_ridge, fold_summary, linear_prediction, moments, no_moments, regression_metrics, ridge
 from regrove.operators.selection import quantile_label
-from regrove.plans import boosting, learners, modelling, registry, trials as trial_analysis
+from regrove.plans import boosting, learners, modelling, registry, training, trials as trial_analysis
 from regrove.session import scratch_path
 from regrove.sources.feature_table import ROUTE, feature_table
 from regrove.sources.tables import load
@@ -47,6 +47,7 @@ NOT_FEATURES = [*TRIP_KEY, "DayNum", "VehId", "Trip", "start_timestamp_ms", "ori
                 "dest_lat", "dest_lon", TARGET, "planted_target"]
 PREP_COLUMNS = ["distance_km", "avg_speed_kmh", "max_speed_kmh", "elevation_gain_m"]
 RIDGE_COLUMNS = PREP_COLUMNS[:3]
+PRESENCE = ["l_orderkey", "l_quantity", "distance_km", "l_shipdate", "avg_speed_kmh"]
 
 
 def _ranked(spark: SparkSession, sf_dir: str, target: str = TARGET) -> DataFrame:
@@ -169,15 +170,67 @@ def _fleet_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _route_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = _scaled(spark, sf_dir, *ROUTE, "duration_minutes", "avg_speed_kmh").withColumns({
+    frame = _route_frame(spark, sf_dir)
+    return _route_columns(history.route_history(frame, ROUTE, TRIP_KEY, energy="energy", duration="duration", speed="speed"))
+
+
+#: Where the trips are cut into batches that follow each other in time.
+BATCH_DAYS = ["1997-04-01", "1999-07-01"]
+
+
+def _in_batches(frame: DataFrame, merge: Callable[[DataFrame, str, int], DataFrame]) -> DataFrame:
+    """The rows of a frame, stretch of time by stretch of time, with what `merge(batch, root, number)` adds to each."""
+    root, day = scratch_path(frame.sparkSession, "increments"), F.to_date("feature_timestamp")
+    bounds = [None, *BATCH_DAYS, None]
+    out = None
+    for number, (low, high) in enumerate(zip(bounds, bounds[1:])):
+        batch = frame
+        if low:
+            batch = batch.where(day >= F.lit(low).cast("date"))
+        if high:
+            batch = batch.where(day < F.lit(high).cast("date"))
+        done = merge(batch, root, number)
+        out = done if out is None else out.unionByName(done)
+    return out
+
+
+def _vehicle_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = _scaled(spark, sf_dir, "VehId", "distance_km")
+    out = _in_batches(frame, lambda batch, root, number: increments.vehicle_batch(batch, root, number, energy="energy"))
+    return rounded(out.drop("feature_timestamp", "VehId", "distance_km", "energy"))
+
+
+def _route_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scaled(spark, sf_dir, *ROUTE, "duration_minutes", "avg_speed_kmh").withColumns({
         "duration": F.col("duration_minutes") / F.lit(9.973), "speed": F.round("avg_speed_kmh"),
     })
-    out = history.route_history(frame, ROUTE, TRIP_KEY, energy="energy", duration="duration", speed="speed")
+
+
+def _route_columns(out: DataFrame) -> DataFrame:
     return rounded(out.select(
         *TRIP_KEY, "route_avg_energy_last10", "route_avg_duration_last10", "route_avg_speed_last10", "route_trip_count",
     ))
 
 
+def _route_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _route_columns(_in_batches(_route_frame(spark, sf_dir), lambda batch, root, number: increments.route_batch(
+        batch, root, number, ROUTE, TRIP_KEY, energy="energy", duration="duration", speed="speed")))
+
+
+def _sketch_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches per year, written and merged; the estimates are held against the rows themselves."""
+    columns = [TARGET, "distance_km", "avg_speed_kmh", "elevation_gain_m", "price_cents"]
+    frame = trips(spark, sf_dir, [*columns, "feature_timestamp"]).withColumn("year", F.year("feature_timestamp"))
+    path = scratch_path(spark, "sketches")
+    sketches.sketch_parts(frame, columns, "year").write.parquet(path)
+    found = sketches.sketch_profile(sketches.merge_parts(spark.read.parquet(path)))
+    errors = sketches.rank_errors(frame, found)
+    exact = frame.agg(*[F.count_distinct(c).alias(c) for c in columns]).first()
+    rows = [(r["column"], r["n_total"], r["n_present"], r["low"], r["high"], errors[r["column"]] <= 0.01,
+             abs(r["n_distinct"] - exact[r["column"]]) <= 0.05 * exact[r["column"]]) for r in found.collect()]
+    return rounded(spark.createDataFrame(rows, "column string, n_total long, n_present long, low double, high double, quantiles_within boolean, distinct_within boolean"))
+
+
 def _time_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = spark.read.parquet(f"{sf_dir}/events.parquet").select("event_id", "ts")
     return rounded(features.time_patterns(features.time_parts(events, "ts")).drop("ts"), 6)
@@ -356,6 +409,43 @@ def _search_alpha(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rounded(history.select("number", "value", "best_value", "is_best"))
 
 
+def _search_halving(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same draws, pruned: a ninth and a third of the rows judge the first rungs, all rows the last."""
+    train = _side(_split(spark, sf_dir, "distance_km"), "train")
+    folded = split.kfold(train, TRIP_KEY, 5, "validation-42", "v").select("v", "distance_km", TARGET, split.row_hash(TRIP_KEY, "halving-42").alias("hash")).persist()
+
+    def evaluate(draws: list[dict[str, float]], share: float) -> list[float]:
+        rows = folded.where(F.substring("hash", 1, 6) < f"{int(share * 16 ** 6):06x}") if share < 1 else folded
+        fitted = moments(rows.where("v <> 0"), ["distance_km", TARGET]).get(0, no_moments(2))
+        errors = [F.col(TARGET) - linear_prediction(fitted.ridge(["distance_km"], d["alpha"])) for d in draws]
+        return list(rows.where("v = 0").agg(*[F.sqrt(F.avg(e * e)).alias(f"e{i}") for i, e in enumerate(errors)]).first())
+
+    try:
+        found = learners.halving("alpha", {"alpha": learners.LogFloat(1.0, 10_000_000.0)}, evaluate, 25, 42)
+    finally:
+        folded.unpersist()
+    best = found.best[0]
+    rows = [(number, rung, value, number == best) for number, rung, value in found.rows()]
+    return rounded(spark.createDataFrame(rows, "number int, rung int, value double, is_best boolean"))
+
+
+def _tune_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tree objective over depths 1 and 2 of one tree, judged on a held-out fold of the training rows."""
+    rows = _stepped(spark, sf_dir)
+    settings = training.Settings(
+        root="", key=TRIP_KEY, target=STEPPED, trials=4, parallelism=2, profiles=("forest",),
+        spaces={"forest": {"maxDepth": learners.Int(1, 2), **{k: learners.Fixed(v) for k, v in ONE_TREE.items()}}})
+    study = training.tune(_side(rows, "train"), _side(rows, "test"), STEPS, settings)["forest"]
+    trials = [(number, int(params["maxDepth"]), value / 1_000_000) for number, value, params in study.trials]
+    return rounded(spark.createDataFrame(trials, "number int, depth int, value double"))
+
+
+def _target_guards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = trips(spark, sf_dir).withColumn("nothing", F.lit(None).cast("double"))
+    rows = [(c, explore.target_status(frame, c)) for c in (TARGET, "elevation_gain_m", "nothing", "no_such_column")]
+    return spark.createDataFrame(rows, "target string, status string")
+
+
 def _matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Correlations among the twelve columns that the ranking puts first."""
     frame = feature_table(spark, sf_dir)
@@ -437,5 +527,15 @@ def queries() -> dict[str, Query]:
         "stack_exact": _stack_exact,
         "champion_exact": _champion_exact,
         "search_alpha": _search_alpha,
+        "search_halving": _search_halving,
+        "tune_exact": _tune_exact,
+        "scatter_bottom_k": lambda s, d: explore.scatter_points(
+            trips(s, d, [*TRIP_KEY, "avg_speed_kmh", TARGET]), "avg_speed_kmh", TARGET, key=TRIP_KEY, max_points=500),
+        "sketch_profile": _sketch_profile,
+        "vehicle_batches": _vehicle_batches,
+        "route_batches": _route_batches,
+        "dtype_counts": lambda s, d: profile.dtype_counts(load(s, f"{d}/lineitem.parquet")),
+        "feature_presence": lambda s, d: profile.feature_presence(load(s, f"{d}/lineitem.parquet"), PRESENCE),
+        "target_guards": _target_guards,
         **{name: _boosted(name) for name in BOOSTED},
     }

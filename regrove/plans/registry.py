@@ -1,6 +1,8 @@
 """Run log, model selection and model registry, kept as append-only Parquet tables.
 
-One writer at a time is assumed: a version is the highest one plus one.
+Any number of writers may work at a time. Every record goes into a folder of its own, so no writer's commit touches another's. A
+version and an alias event are claimed first, by a file that only one writer can create: who finds it there takes the next number.
+(Object stores need conditional writes for that; HDFS and local disks have exclusive creation.)
 """
 
 from __future__ import annotations
@@ -9,7 +11,9 @@ import uuid
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from datetime import datetime, timezone
+from urllib.parse import quote
 
+from py4j.protocol import Py4JJavaError
 from pyspark.errors import AnalysisException
 from pyspark.ml import PipelineModel
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -22,7 +26,7 @@ RUNS_SCHEMA = (
 MODELS_SCHEMA = (
     "name string, version int, run_id string, tags map<string,string>, model_path string, registered_at timestamp"
 )
-ALIASES_SCHEMA = "name string, alias string, version int, moved_at timestamp"
+ALIASES_SCHEMA = "name string, alias string, version int, moved_at timestamp, number int"
 CHAMPION = "champion"
 
 
@@ -43,13 +47,43 @@ def _now() -> datetime:
 
 def _read(spark: SparkSession, path: str, schema: str) -> DataFrame:
     try:
-        return spark.read.schema(schema).parquet(path)
+        return spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(path)
     except AnalysisException as e:
         if e.getCondition() != "PATH_NOT_FOUND":
             raise
         return spark.createDataFrame([], schema)
 
 
+def _append(spark: SparkSession, path: str, row: tuple, schema: str) -> None:
+    spark.createDataFrame([row], schema).coalesce(1).write.parquet(f"{path}/{uuid.uuid4().hex}")
+
+
+def claim(spark: SparkSession, path: str) -> bool:
+    """Create an empty file that must not exist; False if another writer has it."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    system = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    system.mkdirs(at.getParent())
+    whole = at.makeQualified(system.getUri(), system.getWorkingDirectory())
+    try:
+        if whole.toUri().getScheme() == "file":  # Hadoop's local file system looks before it creates; the operating system does both at once
+            return jvm.java.io.File(whole.toUri().getPath()).createNewFile()
+        system.create(whole, False).close()
+        return True
+    except Py4JJavaError as e:
+        if "FileAlreadyExists" in e.java_exception.getClass().getName():
+            return False
+        raise
+
+
+def claim_next(spark: SparkSession, folder: str, least: int) -> int:
+    """The first free number from `least` on, claimed in `folder`."""
+    number = least
+    while not claim(spark, f"{folder}/{number}"):
+        number += 1
+    return number
+
+
 def log_run(spark: SparkSession, path: str, run: Run) -> str:
     """Append one run record; returns its id."""
     row = (
@@ -57,7 +91,7 @@ def log_run(spark: SparkSession, path: str, run: Run) -> str:
         {k: None if v is None else float(v) for k, v in run.metrics.items()}, dict(run.tags), list(run.features),
         run.model_path,
     )
-    spark.createDataFrame([row], RUNS_SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    _append(spark, path, row, RUNS_SCHEMA)
     return run.run_id
 
 
@@ -104,30 +138,35 @@ class Registry:
         self.spark = spark
         self.models_path = f"{root.rstrip('/')}/models"
         self.aliases_path = f"{root.rstrip('/')}/aliases"
+        self.claims_path = f"{root.rstrip('/')}/claims"
 
     def models(self) -> DataFrame:
         return _read(self.spark, self.models_path, MODELS_SCHEMA)
 
     def aliases(self) -> DataFrame:
-        """The current holder of every alias: the latest event wins."""
-        events = _read(self.spark, self.aliases_path, ALIASES_SCHEMA)
-        return events.groupBy("name", "alias").agg(F.max_by("version", F.struct("moved_at", "version")).alias("version"))
+        """The current holder of every alias: the event of the highest number wins, whatever the writers' clocks say."""
+        events = self.alias_events()
+        return events.groupBy("name", "alias").agg(F.max_by("version", F.struct(F.coalesce("number", F.lit(0)), "moved_at", "version")).alias("version"))
+
+    def alias_events(self) -> DataFrame:
+        return _read(self.spark, self.aliases_path, ALIASES_SCHEMA)
 
     def register(self, name: str, run_id: str, model_path: str, tags: Mapping[str, str] | None = None) -> int:
-        """Add the next version of `name`. The model must be loadable."""
+        """Add the next version of `name`. The model must be loadable. A writer that fails after its claim leaves a gap in the versions."""
         PipelineModel.load(model_path)
         last = self.models().where(F.col("name") == name).agg(F.max("version")).first()[0]
-        version = (last or 0) + 1
-        row = (name, version, run_id, dict(tags or {}), model_path, _now())
-        self.spark.createDataFrame([row], MODELS_SCHEMA).coalesce(1).write.mode("append").parquet(self.models_path)
+        version = claim_next(self.spark, f"{self.claims_path}/versions/{quote(name, safe='')}", (last or 0) + 1)
+        _append(self.spark, self.models_path, (name, version, run_id, dict(tags or {}), model_path, _now()), MODELS_SCHEMA)
         return version
 
     def set_alias(self, name: str, alias: str, version: int) -> None:
         known = self.models().where((F.col("name") == name) & (F.col("version") == version)).limit(1).count()
         if not known:
             raise ValueError(f"{name} has no version {version}")
-        row = (name, alias, version, _now())
-        self.spark.createDataFrame([row], ALIASES_SCHEMA).coalesce(1).write.mode("append").parquet(self.aliases_path)
+        own = (F.col("name") == name) & (F.col("alias") == alias)
+        last = self.alias_events().where(own).agg(F.max("number")).first()[0]
+        number = claim_next(self.spark, f"{self.claims_path}/aliases/{quote(name, safe='')}/{quote(alias, safe='')}", (last or 0) + 1)
+        _append(self.spark, self.aliases_path, (name, alias, version, _now(), number), ALIASES_SCHEMA)
 
     def promote(self, name: str, run: Mapping, tags: Mapping[str, str] | None = None) -> Registration:
         """Register a run's model and make it champion; a failure is reported, not raised."""

@@ -27,7 +27,7 @@ from regrove.plans.learners import PROFILES, SPACES, Study, search
 from regrove.plans.modelling import VECTOR, Base, cross_validate, fit_single, fit_stack, importance, rmse, spread, vectors
 from regrove.plans.trials import param_importance, trial_history, trial_points, trial_summary
 from regrove.session import ensure_checkpoint_dir
-from regrove.sources.tables import DEFAULT_CATALOG, MODEL_SCHEMA
+from regrove.sources.tables import DEFAULT_CATALOG, MODEL_SCHEMA, ensure_schema
 
 # Names the runs are logged and the model is registered under.
 ENSEMBLE_RUN = "Ensemble_Stacking_CV"
@@ -168,6 +168,8 @@ def run_training(df: DataFrame, s: Settings) -> Outcome:
     finally:
         kept.unpersist()
 
+    if s.catalog == "spark_catalog" or spark.conf.get(f"spark.sql.catalog.{s.catalog}", None):
+        ensure_schema(spark, f"{s.catalog}.{MODEL_SCHEMA}")  # where the session has no such catalog, the registry's files are all there is
     best = registry.best_run(registry.read_runs(spark, f"{s.root.rstrip('/')}/log")).first()
     out.best = best.asDict()
     out.registration = registry.Registry(spark, s.root).promote(f"{s.catalog}.{MODEL_SCHEMA}.{s.model_name}", out.best, {

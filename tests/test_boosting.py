@@ -131,3 +131,11 @@ def test_reference_ranges_have_their_settings():
     for name, space in boosting.SPACES.items():
         low = boosting.settings(name, {k: v.low for k, v in space.items()})
         assert low.trees == 100
+
+
+def test_search_over_a_profile(table):
+    from regrove.plans.learners import Fixed, Int
+
+    space = {"n_estimators": Fixed(6), "num_leaves": Int(2, 8), "learning_rate": Fixed(0.5)}
+    study = boosting.tune_boosting(table.where("id % 4 > 0"), table.where("id % 4 = 0"), NAMES, "y", ["id"], "boost_leaves", 3, 1, space)
+    assert len(study.trials) == 3 and study.best[1] < 2

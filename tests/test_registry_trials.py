@@ -5,7 +5,7 @@ import pytest
 from pyspark.ml import PipelineModel
 from pyspark.ml.feature import SQLTransformer
 
-from regrove.plans import registry, trials
+from regrove.plans import learners, registry, trials
 from regrove.plans.registry import Run
 from regrove.session import scratch_path, shared_dir
 
@@ -58,6 +58,30 @@ def test_versions_alias_and_scoring(spark, tmp_path):
     assert models.register("other", "r3", str(tmp_path / "one")) == 1
 
 
+def test_several_writers_get_versions_of_their_own_and_one_alias_holder(spark, tmp_path):
+    path = save(str(tmp_path / "model"), 1)
+    tasks = [lambda i=i: registry.Registry(spark, str(tmp_path)).promote("a.b/c", {"run_id": f"r{i}", "model_path": path}) for i in range(8)]
+    done = learners.in_threads(spark, tasks, 8)
+    assert sorted(d.version for d in done) == list(range(1, 9)) and not any(d.error for d in done)
+    models = registry.Registry(spark, str(tmp_path))
+    assert sorted((r.version, r.run_id) for r in models.models().select("version", "run_id").collect()) == sorted((d.version, f"r{i}") for i, d in enumerate(done))
+    events = {r.number: r.version for r in models.alias_events().collect()}
+    assert sorted(events) == list(range(1, 9))
+    assert [tuple(r) for r in models.aliases().collect()] == [("a.b/c", "champion", events[8])]
+    assert models.register("a.b/c", "next", path) == 9
+
+
+def test_a_claim_is_held_by_one_writer(spark, tmp_path):
+    taken = learners.in_threads(spark, [lambda: registry.claim(spark, f"{tmp_path}/claims/1") for _ in range(16)], 16)
+    assert sum(taken) == 1
+    assert registry.claim_next(spark, f"{tmp_path}/claims", 1) == 2
+
+
+def test_runs_of_several_writers_are_all_logged(spark, tmp_path):
+    ids = learners.in_threads(spark, [lambda i=i: registry.log_run(spark, f"{tmp_path}/log", Run(f"n{i}")) for i in range(8)], 8)
+    assert sorted(r.run_id for r in registry.read_runs(spark, f"{tmp_path}/log").collect()) == sorted(ids)
+
+
 def test_failures_are_reported(spark, tmp_path):
     models = registry.Registry(spark, str(tmp_path))
     lost = models.promote("m", {"run_id": "r", "model_path": str(tmp_path / "missing")})
