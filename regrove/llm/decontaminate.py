@@ -11,6 +11,7 @@ no windows; repeated items or rows each keep their own result; an empty benchmar
 from __future__ import annotations
 
 import re
+import uuid
 from bisect import bisect_left
 from collections.abc import Iterator
 
@@ -24,7 +25,7 @@ from pyspark.sql import types as T
 from regrove.llm.common import UPPER, blocks, lower_sql, pick, table, written
 
 WINDOW = 10
-#: Windows in one automaton (about 0.5 kB each in memory). A larger benchmark is scanned in blocks of so many.
+#: Windows in one automaton (about 0.5 kB each in memory, their patterns alone are broadcast). A larger benchmark is scanned in blocks of so many.
 BLOCK_WINDOWS = 200_000
 
 _SEPARATORS = bytes(c for c in range(128) if not chr(c).isalnum())
@@ -37,7 +38,7 @@ SPAN = T.StructType([
 ])
 HITS = [
     T.StructField("n_words", T.LongType()), T.StructField("n_hit", T.LongType()),
-    T.StructField("items", T.ArrayType(T.StringType())), T.StructField("spans", T.ArrayType(SPAN)),
+    T.StructField("seen", T.ArrayType(T.LongType())), T.StructField("spans", T.ArrayType(SPAN)),
 ]
 
 
@@ -46,7 +47,7 @@ def normal_words(text: str | None) -> list[bytes]:
 
 
 def windows(benchmark: DataFrame, text: str = "text", item: str = "item_id", window: int = WINDOW) -> DataFrame:
-    """(pattern, items): each distinct window once, with the ids of the items that hold it."""
+    """(pattern, item): the distinct windows of every item."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in blocks(batches):
@@ -59,18 +60,29 @@ def windows(benchmark: DataFrame, text: str = "text", item: str = "item_id", win
             yield pa.record_batch({"item": pa.array(ids, pa.string()), "pattern": pa.array(patterns, pa.string())})
 
     named = pick(benchmark, item, text).select(F.coalesce(F.col(item).cast("string"), F.lit("null")).alias("item"), F.col(text).alias("text"))
-    return named.mapInArrow(cut, "item string, pattern string").groupBy("pattern").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    return named.mapInArrow(cut, "item string, pattern string").select("pattern", "item").distinct()
 
 
-def automaton(patterns: list[str]) -> ahocorasick.Automaton:
-    """Over UTF-8 bytes, each shown as one character, so its positions are byte positions."""
+def automaton(patterns: list[tuple[int, str]]) -> ahocorasick.Automaton:
+    """Of numbered patterns, over UTF-8 bytes, each shown as one character, so its positions are byte positions."""
     found = ahocorasick.Automaton()
-    for number, pattern in enumerate(patterns):
+    for number, pattern in patterns:
         found.add_word(f" {pattern.encode().decode('latin-1')} ", (number, len(pattern.encode()) + 2))
     found.make_automaton()
     return found
 
 
+#: The automaton that this worker has built last, with the scan it belongs to: one is built per worker, not per task.
+_BUILT: dict[str, ahocorasick.Automaton] = {}
+
+
+def _kept_automaton(scan: str, patterns: list[tuple[int, str]]) -> ahocorasick.Automaton | None:
+    if scan not in _BUILT:
+        _BUILT.clear()
+        _BUILT[scan] = automaton(patterns) if patterns else None
+    return _BUILT[scan]
+
+
 def hits_of(text: str | None, machine: ahocorasick.Automaton | None) -> tuple[int, np.ndarray, set[int]]:
     """Number of words, which of them are hit, and the numbers of the patterns that occur."""
     words = normal_words(text)
@@ -95,55 +107,35 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
     return [{"first_word": a, "last_word": b - 1, "start": places[a][0], "end": places[b - 1][1]} for a, b in edges.reshape(-1, 2).tolist()]
 
 
-def _scan(docs: DataFrame, keep: tuple[str, ...], text: str, patterns: list[str], items: list[list[str]]) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast((patterns, items))
+def _scan(docs: DataFrame, keep: tuple[str, ...], text: str, patterns: list[tuple[int, str]]) -> DataFrame:
+    shared, name = docs.sparkSession.sparkContext.broadcast(patterns), uuid.uuid4().hex
     renamed = [f"k{i}" for i in range(len(keep))]
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        patterns, items = shared.value
-        machine = automaton(patterns) if patterns else None
+        from regrove.llm.decontaminate import _kept_automaton  # the worker's own module, whose memory outlives the task
+
+        machine = _kept_automaton(name, shared.value)
         for part in blocks(batches):
             out: dict[str, list] = {f.name: [] for f in HITS}
             for value in part.column(len(keep)).to_pylist():
                 n, hit, seen = hits_of(value, machine)
                 out["n_words"].append(n)
                 out["n_hit"].append(int(hit.sum()))
-                out["items"].append(sorted({x for number in seen for x in items[number]}))
+                out["seen"].append(sorted(seen))
                 out["spans"].append(spans_of(value, hit) if seen else [])
-            kinds = (pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.struct([(f.name, pa.int64()) for f in SPAN])))
+            kinds = (pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.struct([(f.name, pa.int64()) for f in SPAN])))
             yield pa.RecordBatch.from_arrays([*part.columns[:len(keep)], *(pa.array(v, k) for v, k in zip(out.values(), kinds, strict=True))], [*renamed, *out])
 
     picked = pick(docs, *keep, text)
     fields = [T.StructField(n, picked.schema.fields[i].dataType) for i, n in enumerate(renamed)]
     picked = picked.toDF(*renamed, "scanned")
-    return picked.mapInArrow(scan, T.StructType([*fields, *HITS])).toDF(*keep, *[f.name for f in HITS])
-
+    return picked.mapInArrow(scan, T.StructType([*fields, *HITS]))
 
-def find_contamination(
-    docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", bench_text: str = "text", bench_id: str = "item_id",
-    window: int = WINDOW, block_windows: int = BLOCK_WINDOWS,
-) -> DataFrame:
-    """Per document: the columns `keep`, n_words, n_hit, items (ids as text, sorted), spans (runs of hit words).
 
-    The windows are counted first. Up to `block_windows` go to every task; a larger set is dealt into blocks by hash, the
-    documents are scanned once per block, and the blocks' spans are merged per document.
-    """
-    found = written(windows(benchmark, bench_text, bench_id, window), "windows")
-    n_blocks = max(1, -(-found.count() // block_windows))
-    if n_blocks == 1:
-        rows = found.collect()
-        return _scan(docs, keep, text, [r["pattern"] for r in rows], [r["items"] for r in rows])
-    plain = pick(docs, *keep, text)
-    names = [f"k{i}" for i in range(len(keep))]
-    named = written(plain.toDF(*names, "scanned").withColumn("row", F.monotonically_increasing_id()), "numbered")
-    every = None
-    for k in range(n_blocks):
-        rows = found.where(F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)) == k).collect()
-        part = _scan(named, ("row",), "scanned", [r["pattern"] for r in rows], [r["items"] for r in rows])
-        every = part if every is None else every.union(part)
-    # the blocks' spans, sorted, laid over each other: words that two blocks hit count once
-    merged = every.groupBy("row").agg(
-        F.max("n_words").alias("n_words"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"),
+def _merged(parts: DataFrame) -> DataFrame:
+    """(row, hits) over the blocks of windows: the blocks' spans, sorted, laid over each other, so words that two blocks hit count once."""
+    return parts.groupBy("k0").agg(
+        F.max("n_words").alias("n_words"), F.array_sort(F.flatten(F.collect_list("seen"))).alias("seen"),
         F.array_sort(F.flatten(F.collect_list("spans"))).alias("spans"),
     ).withColumn("spans", F.expr(
         "aggregate(spans, cast(array() as array<struct<first_word:bigint,last_word:bigint,start:bigint,end:bigint>>), (a, s) -> "
@@ -151,7 +143,44 @@ def find_contamination(
         "'first_word', element_at(a, -1).first_word, 'last_word', greatest(element_at(a, -1).last_word, s.last_word), "
         "'start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, s.end)))) else concat(a, array(s)) end)",
     )).withColumn("n_hit", F.expr("aggregate(spans, 0L, (a, s) -> a + s.last_word - s.first_word + 1)"))
-    return named.select("row", *names).join(merged, "row").select(*names, *[f.name for f in HITS]).toDF(*keep, *[f.name for f in HITS])
+
+
+def find_contamination(
+    docs: DataFrame, benchmark: DataFrame, keep: tuple[str, ...] = ("doc_id",), text: str = "text", bench_text: str = "text", bench_id: str = "item_id",
+    window: int = WINDOW, block_windows: int = BLOCK_WINDOWS, items: bool = True,
+) -> DataFrame:
+    """Per document: the columns `keep`, n_words, n_hit, spans (runs of hit words) and, if asked for, items (ids as text, sorted).
+
+    The windows are counted first. Up to `block_windows` go to every task; a larger set is dealt into blocks by hash, the
+    documents are scanned once per block, and the blocks' spans are merged per document. Tasks know windows by number. Which items
+    hold a window is joined afterwards, once for each distinct set of windows that some document holds.
+    """
+    pairs = written(windows(benchmark, bench_text, bench_id, window), "windows")
+    numbered = written(pairs.select("pattern").distinct().withColumn("number", F.monotonically_increasing_id()), "patterns")
+    n_blocks = max(1, -(-numbered.count() // block_windows))
+    names = [f"k{i}" for i in range(len(keep))]
+    if n_blocks == 1:
+        scanned = _scan(docs, keep, text, [(r["number"], r["pattern"]) for r in numbered.collect()])
+    else:
+        plain = pick(docs, *keep, text)
+        rows = written(plain.toDF(*names, "scanned").withColumn("row", F.monotonically_increasing_id()), "numbered")
+        every = None
+        for k in range(n_blocks):
+            block = numbered.where(F.pmod(F.xxhash64("pattern"), F.lit(n_blocks)) == k).collect()
+            part = _scan(rows, ("row",), "scanned", [(r["number"], r["pattern"]) for r in block])
+            every = part if every is None else every.union(part)
+        merged = _merged(every).withColumnRenamed("k0", "row")
+        scanned = rows.select("row", *names).join(merged, "row").select(*names, "n_words", "n_hit", "seen", "spans")
+    if not items:
+        return scanned.select(*names, "n_words", "n_hit", "spans").toDF(*keep, "n_words", "n_hit", "spans")
+    scanned = written(scanned, "scanned")
+    held = numbered.join(pairs, "pattern").select("number", "item")
+    sets = scanned.where("size(seen) > 0").select("seen").distinct()
+    named = sets.select("seen", F.explode("seen").alias("number")).join(held, "number").groupBy("seen").agg(F.array_sort(F.collect_set("item")).alias("items"))
+    named = written(named, "item-sets")
+    hit = scanned.where("size(seen) > 0").join(named, "seen").select(*names, "n_words", "n_hit", "items", "spans")
+    clean = scanned.where("size(seen) = 0").select(*names, "n_words", "n_hit", F.array().cast("array<string>").alias("items"), "spans")
+    return hit.union(clean).toDF(*keep, "n_words", "n_hit", "items", "spans")
 
 
 def op5_decontaminate(spark, sf_dir: str) -> DataFrame:

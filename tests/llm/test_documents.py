@@ -128,6 +128,17 @@ def test_contamination_matches_brute_force(spark, messy_rows, block):
     assert decontaminate.normal_words(text[spans[0]["start"]:spans[0]["end"]]) == decontaminate.normal_words(prose(1, 40))
 
 
+def test_a_window_that_very_many_items_hold(spark):
+    """Item ids stay in Spark: neither the driver nor a broadcast gets them."""
+    passage = prose(77, 14)
+    bench = spark.range(100_000).select(F.col("id").alias("item_id"), F.lit(passage).alias("text"))
+    docs = spark.createDataFrame([(1, f"{prose(1, 9)} {passage}"), (2, passage), (3, prose(2, 40))], "doc_id long, text string")
+    found = {r["doc_id"]: r["items"] for r in decontaminate.find_contamination(docs, bench).collect()}
+    assert found[1] == found[2] == sorted(str(i) for i in range(100_000)) and found[3] == []
+    plain = decontaminate.find_contamination(docs, bench, items=False)
+    assert sorted((r["doc_id"], r["n_hit"]) for r in plain.collect()) == [(1, 14), (2, 14), (3, 0)] and "items" not in plain.columns
+
+
 def test_contamination_of_nothing(spark, messy, nothing):
     none = spark.createDataFrame([], "item_id int, text string")
     assert decontaminate.find_contamination(nothing, none).count() == 0
