@@ -44,7 +44,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents in which no window of ten benchmark words occurs (null, empty and wordless texts among them); an empty table stays empty."""
     rows, name = plain(docs)
-    found = find_contamination(rows, table(spark, sf_dir, "benchmark"), keep=tuple(rows.columns), text=name["text"])
+    found = find_contamination(rows, table(spark, sf_dir, "benchmark"), keep=tuple(rows.columns), text=name["text"], items=False)
     return found.where("n_hit = 0").select(*rows.columns).toDF(*docs.columns)
 
 
