@@ -113,23 +113,27 @@ def fingerprint(docs: DataFrame, id: str = "doc_id", text: str = "text", k: int
 def with_next(docs: DataFrame, id: str, text: str, pieces: int) -> DataFrame:
     """Rows dealt into buckets of neighbouring ids, each with the first row of the following bucket as its sentinel, sorted by descending id.
 
-    Bucket bounds are approximate percentiles of the (numeric) ids; null ids are the last bucket. Only one row per bucket comes to the driver.
+    Bucket bounds are approximate percentiles of the (numeric) ids; null ids come last, dealt to as many buckets by ranges of the text's
+    hash, which orders them. Only one narrow row per bucket comes to the driver.
     """
-    named = pick(docs, id, text).select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text"))
+    named = pick(docs, id, text).select(F.col(id).alias("id"), F.coalesce(text, F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
     shares = [i / pieces for i in range(1, pieces)]
     bounds = sorted(set(named.agg(F.percentile_approx("id", shares, 100 * pieces)).first()[0] or [])) if shares else []
     kind = named.schema["id"].dataType
     listed = F.array(*[F.lit(b).cast(kind) for b in bounds]) if bounds else F.array().cast(T.ArrayType(kind))
-    bucket = F.when(F.col("id").isNull(), -1).otherwise(F.size(F.filter(listed, lambda b: b < F.col("id"))))
-    named = named.withColumn("bucket", bucket)
-    heads = {r["bucket"]: r["head"] for r in named.groupBy("bucket").agg(F.max("id").alias("head")).collect()}
+    part = F.shiftright("hash", 32) + (1 << 31)  # 0 to 2^32, growing with the hash
+    unnamed = -1 - F.shiftright(part * pieces, 32).cast("int")
+    named = named.withColumn("bucket", F.when(F.col("id").isNull(), unnamed).otherwise(F.size(F.filter(listed, lambda b: b < F.col("id")))))
+    # a bucket's first row: the highest id, then the lowest hash
+    heads = {r["bucket"]: r["head"] for r in named.groupBy("bucket").agg(F.max(F.struct("id", F.bitwise_not("hash").alias("turned"))).alias("head")).collect()}
     order = sorted(heads, reverse=True)
-    rows = [(b, heads[b], order[i - 1]) for i, b in enumerate(order)]  # order[-1]: the last bucket is followed by the first
-    small = docs.sparkSession.createDataFrame(rows, T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("head", kind), T.StructField("before", T.IntegerType())]))
+    rows = [(b, heads[b]["id"], ~heads[b]["turned"], order[i - 1]) for i, b in enumerate(order)]  # order[-1]: the last bucket is followed by the first
+    small = docs.sparkSession.createDataFrame(rows, T.StructType([
+        T.StructField("bucket", T.IntegerType()), T.StructField("head", kind), T.StructField("head_hash", T.LongType()), T.StructField("before", T.IntegerType())]))
     named = named.join(F.broadcast(small), "bucket")
     own = F.struct(F.col("bucket").alias("bucket"), F.lit(0).alias("sentinel"))
     sent = F.struct(F.col("before").alias("bucket"), F.lit(1).alias("sentinel"))
-    places = F.when(F.col("id").eqNullSafe(F.col("head")), F.array(own, sent)).otherwise(F.array(own))
+    places = F.when(F.col("id").eqNullSafe(F.col("head")) & (F.col("hash") == F.col("head_hash")), F.array(own, sent)).otherwise(F.array(own))
     dealt = named.select(F.explode(places).alias("place"), "id", "text").select("place.bucket", "place.sentinel", "id", "text")
     count = max(1, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     return dealt.repartition(count, "bucket").sortWithinPartitions("bucket", "sentinel", F.desc_nulls_last("id"), F.xxhash64("text"), "text")
@@ -153,7 +157,7 @@ def edited_fingerprints(docs: DataFrame, id: str = "doc_id", text: str = "text",
             out = []
             for bucket, sentinel, key, value in zip(*(c.to_pylist() for c in part.columns), strict=True):
                 if sentinel and held is None:
-                    continue  # further rows that share the head's id
+                    continue  # further rows that equal the head
                 print_ = signature(value, k, size, picks)
                 if held is not None:
                     out.append(row(held, value, print_))

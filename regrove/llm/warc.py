@@ -7,8 +7,8 @@ end writes valid archives to any file system with its usual commit (files are gz
 Of records with equal payloads of at least `min_bytes` bytes, that with the smallest page id is the response (null ids last, then
 the first row); the others are revisits that refer to it. Smaller payloads are always responses. Equality is that of the SHA-1.
 
-Reading: archives come as whole files (one per write task), are parsed by Content-Length, and transactions are assembled by
-one grouping on the capture that each record belongs to: its own id for responses and revisits, else the id behind
+Files hold `FILE_RECORDS` records at most. Reading: each comes as one compressed value, is unpacked and parsed by Content-Length as a
+stream, a record at a time, and transactions are assembled by one grouping on the capture that each record belongs to: its own id for responses and revisits, else the id behind
 WARC-Concurrent-To, followed over one request if need be.
 
 Defined cases: null html is the empty payload; null urls become about:blank in the archive; null page ids come back as null;
@@ -21,7 +21,9 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -31,6 +33,8 @@ from regrove.llm.common import pick, table, written
 from regrove.session import scratch_path
 
 END = "\r\n"
+#: Records of one archive: what a reading task holds in compressed form.
+FILE_RECORDS = 6_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
@@ -91,23 +95,27 @@ def write_archives(pages: DataFrame, path: str, id: str = "page_id", url: str =
     request = _record(F.lit("request"), F.col("request"), F.col("uri"), "application/http;msgtype=request", asked, date, ("WARC-Concurrent-To", F.col("id")))
     facts = F.concat(F.coalesce(F.concat(F.lit("page-id: "), "page", F.lit(END)), F.lit("")), F.lit(f"via: table{END}"))
     metadata = _record(F.lit("metadata"), F.col("metadata"), F.col("uri"), "application/warc-fields", facts, date, ("WARC-Concurrent-To", F.col("id")))
-    rows.select(F.explode(F.array(request, capture, metadata)).alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").text(path)
-
-
-def parse(archive: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(headers with lower-case names, block) of each record; ValueError where the bytes are no WARC record."""
-    at = 0
-    while at < len(archive):
-        stop = archive.find(b"\r\n\r\n", at)
-        if stop < 0 or not archive.startswith(b"WARC/", at):
-            raise ValueError(f"no WARC record at byte {at}")
-        lines = archive[at:stop].decode().split("\r\n")[1:]
-        headers = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        start, size = stop + 4, int(headers["content-length"])
-        if archive[start + size:start + size + 4] != b"\r\n\r\n":
-            raise ValueError(f"record at byte {at} doesn't end after its {size} bytes")
-        yield headers, archive[start:start + size]
-        at = start + size + 4
+    rows.select(F.explode(F.array(request, capture, metadata)).alias("value")).write.option("lineSep", END * 2).option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
+
+
+def parse(archive: bytes | BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(headers with lower-case names, block) of each record, one held at a time; ValueError where the bytes are no WARC record."""
+    stream = io.BytesIO(archive) if isinstance(archive, bytes) else archive
+    number = 0
+    while line := stream.readline():
+        number += 1
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record at record {number}")
+        headers = {}
+        while (line := stream.readline()) != b"\r\n":
+            if not line:
+                raise ValueError(f"record {number} ends in its headers")
+            name, _, value = line.decode().partition(":")
+            headers[name.strip().lower()] = value.strip()
+        block = stream.read(int(headers["content-length"]))
+        if stream.read(4) != b"\r\n\r\n":
+            raise ValueError(f"record {number} doesn't end after its {headers['content-length']} bytes")
+        yield headers, block
 
 
 def _row(headers: dict[str, str], block: bytes, with_payload: bool) -> tuple:
@@ -142,7 +150,7 @@ def read_archives(spark: SparkSession, path: str, with_payload: bool = True, ste
         for part in batches:
             for content in part.column(0):
                 rows = []
-                for headers, block in parse(gzip.decompress(content.as_py())):
+                for headers, block in parse(gzip.GzipFile(fileobj=io.BytesIO(content.as_py()))):
                     rows.append(_row(headers, block, with_payload))
                     if len(rows) == step:
                         yield batch(rows)
@@ -185,7 +193,9 @@ def op8_warc(spark, sf_dir: str) -> DataFrame:
         F.col("response.kind").alias("record_type"), F.col("response.refers_to").alias("of"))
     captures = written(captures, "captures")
     first = captures.where("record_type = 'response'").select(F.col("record_id").alias("of"), F.col("page_id").alias("refers_to"))
-    return captures.join(first, "of", "left").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    again = captures.where("of is not null").join(first, "of", "left").select(*columns)  # most rows refer to none and meet nobody
+    return again.union(captures.where("of is null").select("page_id", "payload_bytes", "payload_digest", "record_type", F.lit(None).cast(kind).alias("refers_to")))
 
 
 _SHA_DIGITS = ", ".join(f"(('0x' || substr(sha, {5 * g + 1}, 5))::INTEGER >> {s}) & 31" for g in range(8) for s in (15, 10, 5, 0))

@@ -316,6 +316,20 @@ def test_edited_texts_match_brute_force(messy, messy_rows, nothing):
     assert order_minhash.edited_fingerprints(messy.where("doc_id = 10")).first()["near_next"] == 1.0
 
 
+def test_texts_without_ids_are_dealt_by_their_hash(spark):
+    rows = [(None, prose(i % 150, 6)) for i in range(200)] + [(7, "x"), (7, "x"), (7, "y")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    dealt = order_minhash.with_next(frame, "doc_id", "text", 8).where("sentinel = 0 and id is null")
+    assert dealt.select("bucket").distinct().count() >= 6
+    hashed = {r["text"]: r["h"] for r in frame.select("text", F.xxhash64("text").alias("h")).collect()}
+    ordered = sorted(rows, key=lambda r: (r[0] is None, -(r[0] or 0), hashed[r[1]], r[1]))
+    expected = Counter()
+    for (i, text), (_, after) in zip(ordered, ordered[1:] + ordered[:1]):
+        cut = len(text) // 2
+        expected[i, hashlib.sha256((text[:len(text) - cut] + after[:cut]).encode()).hexdigest()] += 1
+    assert Counter((r["doc_id"], r["edited_sha256"]) for r in order_minhash.edited_fingerprints(frame).collect()) == expected
+
+
 def test_plain_fingerprints(messy):
     prints = {r["doc_id"]: r["fingerprint"] for r in order_minhash.fingerprint(messy).collect()}
     assert prints[1] == prints[2] != prints[3] and prints[4] == prints[5]
