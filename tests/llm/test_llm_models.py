@@ -1,11 +1,13 @@
 """Toxicity, mixing, the language model and its Elias-Fano tries."""
 
 import math
+import struct
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from texts import prose
 
@@ -107,6 +109,97 @@ def test_mix_meets_targets_and_reruns_agree(spark):
     assert sorted(map(tuple, mixing.mix(frame).collect()), key=by) == sorted(first, key=by)
 
 
+def spark_hash(*values, seed=42):
+    """Spark's xxhash64 of strings, longs and (as bytes) ints, nulls left out, as a signed number."""
+    for v in values:
+        if v is not None:
+            seed = xxhash.xxh64_intdigest(v.encode() if isinstance(v, str) else v if isinstance(v, bytes) else struct.pack("<q", v), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+def brute_mix(rows, seed=7):
+    """The reduction tree of duels in plain Python, from the same hashes: id, source, size, target, copies."""
+    one, chunk = mixing.ONE, mixing.CHUNK
+    sizes = [(id, source, len(words_of(text))) for id, source, text in rows]
+    source_size = Counter()
+    for _, source, size in sizes:
+        source_size[source] += size
+    names = sorted(source_size, key=lambda s: (s is None, (s or "").encode()))
+    weights = {s: mixing.WEIGHTS[i % 3] for i, s in enumerate(names)}
+    full = set()
+    while True:
+        left = 1.5 * sum(source_size.values()) - 2 * sum(source_size[s] for s in full)
+        share = left / max(1, sum(weights[s] for s in names if s not in full))
+        more = {s for s in names if s not in full and 2 * source_size[s] < share * weights[s]}
+        if not more:
+            break
+        full |= more
+    target = {s: 2.0 * source_size[s] if s in full else share * weights[s] for s in names}
+    f = {s: round(min(2.0, target[s] / source_size[s]) * one) if source_size[s] else 0 for s in names}
+    units, settled = [], []
+    for (id, source, size), m in Counter(sizes).items():
+        h = spark_hash(None if id is None else str(id), source, size, struct.pack("<i", seed))
+        unit = [size, h, id, m, m * (f[source] % one) // one, m * (f[source] % one) % one]
+        (settled if not unit[5] or not size else units).append((source, math.floor(math.log2(max(size, 1)) * 4), unit))
+    for _, _, unit in settled:
+        unit[5] = 0
+    count = Counter((s, band) for s, band, _ in units)
+    chunks = {k: -(-n // chunk) for k, n in count.items()}
+    level = defaultdict(list)
+    for s, band, unit in units:
+        level[s, band, unit[1] % chunks[s, band]].append(unit)
+    most, depth, out = max(chunks.values(), default=0), 0, [(s, u) for s, _, u in settled]
+    while True:
+        rest = {}
+        for place, own in level.items():
+            carry = None
+            for x in sorted(own, key=lambda u: (u[0], u[1], u[2] is not None, u[2] or 0), reverse=True):
+                if carry is None:
+                    carry = x
+                    continue
+                draw, both = spark_hash(carry[1], x[1], seed + depth) % one, carry[5] + x[5]
+                if both < one:
+                    stays = draw * both < carry[5] * one
+                    kept, done, p, q = (carry, x, both, 0) if stays else (x, carry, both, 0)
+                elif both == one:
+                    kept, done, p, q = (carry, x, one, 0) if draw < carry[5] else (x, carry, one, 0)
+                else:
+                    first = draw * (2 * one - both) < (one - x[5]) * one
+                    kept, done, p, q = (x, carry, both - one, one) if first else (carry, x, both - one, one)
+                out.append((place[0], [*done[:5], q]))
+                kept = [*kept[:5], p]
+                if both == one:
+                    out.append((place[0], kept))
+                    kept = None
+                carry = kept
+            if carry is not None:
+                rest[place] = carry
+        level = defaultdict(list)
+        if most > 1:
+            most = -(-most // chunk)
+            for (s, band, slot), unit in rest.items():
+                level[s, band, slot // chunk].append(unit)
+        elif most >= 0:
+            most = -1
+            for (s, _, _), unit in rest.items():
+                level[s, 0, 0].append(unit)
+        else:
+            out += [(s, [*u[:5], one if spark_hash(u[1], struct.pack("<i", seed - 1)) % one < u[5] else 0]) for (s, _, _), u in rest.items()]
+            break
+        depth += 1
+    found = []
+    for s, (size, _, id, m, k, p) in out:
+        extra = k + p // one
+        found += [(id, s, size, f[s] // one + (i < extra)) for i in range(m)]
+    return found
+
+
+def test_mix_matches_the_duels_in_plain_python(spark):
+    rows = [(i, "big" if i % 3 else f"s{i % 7}", "w " * (1 + i * i % 60)) for i in range(1500)] + [(None, None, None), (5, "z", ""), (6, None, "a b"), (6, None, "a b")]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)).collect()
+    assert Counter((r["doc_id"], r["source"], r["size"], r["copies"]) for r in got) == Counter(brute_mix(rows))
+
+
 def test_mix_of_repeated_rows(spark):
     got = check_mix(spark, [(1, "a", "w w w")] * 500 + [(2, "b", "w")] * 3 + [(3, "c", "w w")] * 900)
     assert len(got) == 1403
