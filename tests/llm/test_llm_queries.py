@@ -18,6 +18,8 @@ COLUMNS = {
     "op7_order_minhash": ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"],
     "op9_pii": ["doc_id", "n_email", "n_ip", "n_card", "n_phone", "base_sha256", "spans"],
     "op10_html_text": ["page_id", "url", "text", "n_chars"],
+    "op12_embedding_dedup": ["vec_id", "n_links", "component_id", "kept"],
+    "op13_token_alignment": ["doc_id", "n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum", "groups_sha256"],
     "pipeline": ["doc_id", "source", "size", "source_size", "target", "copies", "taken"],
 }
 
@@ -30,8 +32,7 @@ def test_query(spark, sf, name):
         return
     assert set(COLUMNS[name]) <= set(found.columns)
     if name != "pipeline":
-        key = "page_id" if name == "op10_html_text" else "doc_id"
-        table = "pages" if key == "page_id" else "documents"
+        key, table = {"op10_html_text": ("page_id", "pages"), "op12_embedding_dedup": ("vec_id", "embeddings")}.get(name, ("doc_id", "documents"))
         given = spark.read.parquet(f"{sf}/{table}.parquet").select(key)
         assert sorted(r[0] for r in found.select(key).collect()) == sorted(r[0] for r in given.collect())
 
@@ -60,3 +61,10 @@ def test_pipeline_stages_take_effect(spark, messy_rows, tmp_path):
     assert seen["personal_data"][61]["text"].endswith("[EMAIL] end") and seen["personal_data"][61]["n_chars"] == len(seen["personal_data"][61]["text"])
     assert all(seen["personal_data"][i]["text"] == seen["decontamination"][i]["text"] for i in seen["personal_data"] if i not in (12, 61))
     assert normal_words(passage)[0].decode() in passage
+
+
+def test_pipeline_on_an_empty_table(spark, tmp_path):
+    spark.createDataFrame([], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
