@@ -11,9 +11,13 @@ _SELECT = np.array([[next((p for p in range(8) if i >> p & 1 and bin(i & ((1 <<
 _ALL = np.uint64(2**64 - 1)
 
 
+#: Words between two entries of a directory: both directories take an eighth of what they index.
+STRIDE = 8
+
+
 def _words(bits: np.ndarray) -> np.ndarray:
-    """Bits (0 or 1) as little-endian words with one spare word."""
-    out = np.zeros(len(bits) // 64 + 2, np.uint64)
+    """Bits (0 or 1) as little-endian words with one spare word at least, in whole strides."""
+    out = np.zeros(-(-(len(bits) // 64 + 2) // STRIDE) * STRIDE, np.uint64)
     packed = np.packbits(bits, bitorder="little")
     out.view(np.uint8)[:len(packed)] = packed
     return out
@@ -38,25 +42,32 @@ class EliasFano:
         self._directories()
 
     def _directories(self) -> None:
-        ones = _BITS[self.high.view(np.uint8)].reshape(-1, 8).sum(1, dtype=np.int64)
-        self.ones = np.concatenate(([0], np.cumsum(ones)[:-1]))
-        self.zeros = np.arange(len(self.ones)) * 64 - self.ones
+        """Ones and zeros before every stride of words."""
+        ones = np.bitwise_count(self.high).reshape(-1, STRIDE).sum(1, dtype=np.int64)
+        before = np.cumsum(ones) - ones
+        kind = np.uint32 if len(self.high) < 1 << 26 else np.int64
+        self.ones, self.zeros = before.astype(kind), (np.arange(len(ones)) * 64 * STRIDE - before).astype(kind)
 
     def arrays(self) -> list[str]:
         return ["high", "low", "ones", "zeros"]
 
     def _select(self, rank: np.ndarray, ones: bool) -> np.ndarray:
-        """Place of the rank-th one (or zero), ranks from 0."""
+        """Place of the rank-th one (or zero), ranks from 0: its stride, its word there, its byte, its bit."""
         directory = self.ones if ones else self.zeros
-        word = np.searchsorted(directory, rank, "right") - 1
-        left = (rank - directory[word]).astype(np.int64)
-        bits = self.high[word] if ones else self.high[word] ^ _ALL
-        by = np.ascontiguousarray(bits).view(np.uint8).reshape(-1, 8)
+        stride = np.searchsorted(directory, rank, "right") - 1
+        left = rank.astype(np.int64) - directory[stride].astype(np.int64)
+        row = np.arange(len(stride))
+        words = self.high.reshape(-1, STRIDE)[stride]
+        if not ones:
+            words = words ^ _ALL
+        sums = np.cumsum(np.bitwise_count(words), axis=1, dtype=np.int64)
+        word = np.minimum((sums <= left[:, None]).sum(1), STRIDE - 1)
+        left -= np.where(word > 0, sums[row, word - 1], 0)
+        by = np.ascontiguousarray(words[row, word]).view(np.uint8).reshape(-1, 8)
         sums = np.cumsum(_BITS[by], axis=1, dtype=np.int64)
         byte = np.minimum((sums <= left[:, None]).sum(1), 7)
-        row = np.arange(len(word))
         left -= np.where(byte > 0, sums[row, byte - 1], 0)
-        return word * 64 + byte * 8 + _SELECT[by[row, byte], np.minimum(left, 7)]
+        return (stride * STRIDE + word) * 64 + byte * 8 + _SELECT[by[row, byte], np.minimum(left, 7)]
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.low_bits:

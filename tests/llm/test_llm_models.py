@@ -29,6 +29,15 @@ def test_sequences_hold_and_find_their_values():
     assert elias_fano.EliasFano(np.zeros(0, np.uint64), 1).find(np.array([0, 5], np.uint64)).tolist() == [-1, -1]
 
 
+def test_directories_take_an_eighth_of_what_they_index():
+    r = np.random.default_rng(3)
+    keys = np.unique(r.integers(0, 3000, 200_000).astype(np.uint64) << np.uint64(32) | r.integers(0, 20_000, 200_000).astype(np.uint64))
+    trie = elias_fano.Trie(keys, r.uniform(1e-5, 1, len(keys)))
+    held = trie.successors
+    assert held.ones.nbytes + held.zeros.nbytes <= held.high.nbytes / 8
+    assert trie.bytes <= 2.5 * len(keys)  # the keys alone are 8 bytes each, their numbers as many
+
+
 def test_trie_looks_up_numbers_within_a_code_step():
     r = np.random.default_rng(2)
     keys = np.unique(r.integers(0, 300, 20_000).astype(np.uint64) << np.uint64(32) | r.integers(0, 1000, 20_000).astype(np.uint64))
