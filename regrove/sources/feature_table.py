@@ -24,10 +24,10 @@ _BUILT: dict[tuple, tuple[str, object]] = {}
 def build_features(df: DataFrame, fleet: float | None = None) -> DataFrame:
     """All features of a trip frame; `fleet` is its mean efficiency, worked out here if it isn't given."""
     fleet = fleet_efficiency(df) if fleet is None else fleet
-    out = row_features(nan_to_null(df))
-    out = vehicle_history(out)
+    # row-wise columns come last: the shuffles of the histories carry the trips' own columns alone
+    out = vehicle_history(nan_to_null(df))
     out = route_history(out, ROUTE, TRIP_KEY)
-    return fleet_ratio(out, fleet)
+    return fleet_ratio(row_features(out), fleet)
 
 
 def _files(spark: SparkSession, sf_dir: str) -> tuple:
