@@ -25,6 +25,8 @@ from regrove.llm.common import pick, table, written
 
 WEIGHTS = (5, 2, 1)
 CHUNK = 64
+#: Equal rows that are handed their copies at a time.
+STRETCH = 1 << 16
 ONE = 1 << 30
 WORD = "[^\\x20\\x09-\\x0D]+"
 
@@ -146,7 +148,11 @@ def mix(docs: DataFrame, id: str = "doc_id", source: str = "source", text: str =
         every = every.union(part)
     rows = every.select("key", "unit.*").join(keyed.select("key", "source", "source_size", "target", F.round(rate * ONE).cast("long").alias("f")), "key")
     extra = F.col("k") + F.expr(f"p div {ONE}L")
-    each = rows.select("id", "source", "size", "source_size", "target", F.expr(f"f div {ONE}L").alias("base"), extra.alias("extra"), F.explode(F.sequence(F.lit(1).cast("long"), "m")).alias("i"))
+    counted = rows.select("id", "source", "size", "source_size", "target", F.expr(f"f div {ONE}L").alias("base"), extra.alias("extra"), "m", F.hash("h").alias("h"))
+    # units of very many equal rows are told off in stretches, dealt over the tasks; no array holds more than a stretch
+    long = counted.where(F.col("m") > STRETCH).withColumn("first", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m") - 1, F.lit(STRETCH).cast("long")))).repartition("h", "first")
+    counted = counted.where(F.col("m") <= STRETCH).withColumn("first", F.lit(0).cast("long")).union(long)
+    each = counted.withColumn("i", F.explode(F.sequence(F.col("first") + 1, F.least(F.col("first") + STRETCH, "m"))))
     copies = F.col("base") + (F.col("i") <= F.col("extra")).cast("long")
     return each.select(F.col("id").alias(id), F.col("source").alias(source), "size", "source_size", "target", copies.alias("copies"), (copies * F.col("size")).alias("taken"))
 

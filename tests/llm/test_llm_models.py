@@ -214,6 +214,13 @@ def test_mix_of_repeated_rows(spark):
     assert len(got) == 1403
 
 
+def test_very_many_equal_rows_are_told_off_in_stretches(spark, monkeypatch):
+    rows = [(1, "a", "w w w")] * 500 + [(2, "b", "w")] * 3 + [(3, "c", "w w")] * 900
+    whole = Counter(check_mix(spark, rows))
+    monkeypatch.setattr(mixing, "STRETCH", 64)
+    assert Counter(check_mix(spark, rows)) == whole
+
+
 def test_fractions_are_kept_in_expectation(spark):
     rows = [(i, "abc"[i % 3], "w " * 10) for i in range(300)]
     frame = spark.createDataFrame(rows, "doc_id long, source string, text string").cache()
