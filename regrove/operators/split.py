@@ -17,11 +17,12 @@ from math import ceil
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regrove.functions.nulls import clean, col
 
 _DIGITS = 3          # hex digits counted per pass
-MAX_STRATA = 1_000   # classes; 4,096 counts each come to the driver
+MAX_STRATA = 1_000   # classes; 4,096 counts each are summed up in Spark
 
 
 def row_hash(key: Sequence[str], seed: int | str) -> Column:
@@ -62,53 +63,52 @@ class _Cut:
         return self.rank < self.before + self.equal
 
 
-_Counts = dict[tuple, list[tuple[str, int, str, str]]]
+def _counts(rows: DataFrame, depth: int) -> DataFrame:
+    """Rows, least and greatest hash per longer prefix, under the prefix already fixed: map-side sums."""
+    fixed, prefix = F.substring("h", 1, depth).alias("under"), F.substring("h", 1, depth + _DIGITS).alias("p")
+    return rows.groupBy("stratum", fixed, prefix).agg(F.count(F.lit(1)).alias("n"), F.min("h").alias("least"), F.max("h").alias("greatest"))
 
 
-def _tally(rows: DataFrame, depth: int) -> _Counts:
-    """Rows, least and greatest hash per longer prefix, grouped by stratum and the prefix already fixed: map-side sums, few rows out."""
-    prefix = F.substring("h", 1, depth + _DIGITS).alias("p")
-    counted = rows.groupBy("stratum", prefix).agg(F.count(F.lit(1)), F.min("h"), F.max("h"))
-    limit = MAX_STRATA * 16 ** _DIGITS
-    found = counted.limit(limit + 1).collect()
-    if len(found) > limit:
+def _sizes(counts: DataFrame) -> dict[object, int]:
+    found = counts.groupBy("stratum").agg(F.sum("n").alias("n")).limit(MAX_STRATA + 1).collect()
+    if len(found) > MAX_STRATA:
         raise ValueError(f"more than {MAX_STRATA} strata: a split needs a label of few classes")
-    tallies: _Counts = {}
-    for stratum, p, *counts in sorted(found, key=lambda r: r[1]):
-        tallies.setdefault((stratum, p[:depth]), []).append((p, *counts))
-    return tallies
+    return {r["stratum"]: r["n"] for r in found}
 
 
-def _find_cuts(rows: DataFrame, first: _Counts, wanted: Sequence[tuple[object, int]]) -> list[_Cut]:
-    """Locate each (stratum, rank >= 1) in the frame `stratum, h`."""
+def _narrow(counts: DataFrame, cuts: list[_Cut]) -> None:
+    """Move each cut on to the longer prefix that holds its rank. The counts are summed up in Spark; a row per cut comes back."""
+    schema = T.StructType([
+        T.StructField("cut", T.IntegerType()), T.StructField("s", counts.schema["stratum"].dataType), T.StructField("u", T.StringType()), T.StructField("need", T.LongType())])
+    wanted = counts.sparkSession.createDataFrame([(i, c.stratum, c.hash, c.rank - c.before) for i, c in enumerate(cuts)], schema)
+    summed = counts.withColumn("upto", F.sum("n").over(Window.partitionBy("stratum", "under").orderBy("p")))
+    here = F.col("stratum").eqNullSafe(F.col("s")) & (F.col("under") == F.col("u")) & (F.col("need") <= F.col("upto")) & (F.col("need") > F.col("upto") - F.col("n"))
+    for r in summed.join(F.broadcast(wanted), here).select("cut", "p", "n", "least", "greatest", "upto").collect():
+        c = cuts[r["cut"]]
+        c.hash, c.before = r["p"], c.before + r["upto"] - r["n"]
+        if r["least"] == r["greatest"]:
+            c.hash, c.equal = r["least"], r["n"]
+
+
+def _find_cuts(rows: DataFrame, first: DataFrame, wanted: Sequence[tuple[object, int]]) -> list[_Cut]:
+    """Locate each (stratum, rank >= 1) in the frame `stratum, h`, whose counts at depth 0 are given."""
     cuts = [_Cut(s, r) for s, r in wanted]
-    done: list[_Cut] = []
-    depth, tallies, kept = 0, first, None
+    open_, depth, counts, kept = cuts, 0, first, None
     try:
-        while True:
-            open_ = []
-            for c in cuts:
-                for p, count, least, greatest in tallies[(c.stratum, c.hash)]:
-                    if c.rank <= c.before + count:
-                        c.hash = p
-                        if least == greatest:
-                            c.hash, c.equal = least, count
-                            done.append(c)
-                        else:
-                            open_.append(c)
-                        break
-                    c.before += count
-            cuts, depth = open_, depth + _DIGITS
-            if not cuts:
-                return done
+        while open_:
+            _narrow(counts, open_)
+            open_, depth = [c for c in open_ if not c.equal], depth + _DIGITS
+            if not open_:
+                break
             # one hash per row; rows of other strata under the same prefix do no harm
-            under = (rows if kept is None else kept).where(F.substring("h", 1, depth).isin(sorted({c.hash for c in cuts})))
+            under = (rows if kept is None else kept).where(F.substring("h", 1, depth).isin(sorted({c.hash for c in open_})))
             if kept is None:
                 kept = under = under.persist(StorageLevel.MEMORY_AND_DISK)
-            tallies = _tally(under, depth)
+            counts = _counts(under, depth)
     finally:
         if kept is not None:
             kept.unpersist()
+    return cuts
 
 
 Sizes = dict[object, int]
@@ -127,13 +127,16 @@ def assign_parts(df: DataFrame, key: Sequence[str], plan: Callable[[Sizes], Mapp
 
     def locate(order: Column) -> tuple[list[_Cut], Mapping[object, Sequence[int]]]:
         rows = df.select(stratum.alias("stratum"), order.alias("h"))
-        first = _tally(rows, 0)
-        sizes = plan({s: sum(p[1] for p in prefixes) for (s, _), prefixes in first.items()})
-        wanted = []
-        for s, parts in sizes.items():
-            ends = dict.fromkeys(sum(parts[:i]) for i in range(1, len(parts)))
-            wanted += [(s, e) for e in ends if e > 0]
-        return _find_cuts(rows, first, wanted), sizes
+        first = _counts(rows, 0).persist(StorageLevel.MEMORY_AND_DISK)
+        try:
+            sizes = plan(_sizes(first))
+            wanted = []
+            for s, parts in sizes.items():
+                ends = dict.fromkeys(sum(parts[:i]) for i in range(1, len(parts)))
+                wanted += [(s, e) for e in ends if e > 0]
+            return _find_cuts(rows, first, wanted), sizes
+        finally:
+            first.unpersist()
 
     order = row_hash(key, seed)
     cuts, sizes = locate(order)

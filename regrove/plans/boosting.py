@@ -306,6 +306,9 @@ class _Rows:
         wanted = known.select(id.alias("id"), "__y", *[clean(known, c).cast("double").alias(f"c{i}") for i, c in enumerate(features)])
         self.trees: list[Tree | Symmetric] = []
         self.pending: list[Tree | Symmetric] = []
+        # dealt evenly once: every pass of every tree reads these rows
+        parts = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        wanted = wanted.withColumn("__at", F.xxhash64(*[c for c in wanted.columns if c != "id"])).repartition(parts, "__at").drop("__at")
         self.rows = self._written(wanted.mapInArrow(bin_rows, "id string, y double, p double, bins binary"))
 
     def _written(self, rows: DataFrame) -> DataFrame:
