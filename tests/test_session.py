@@ -37,3 +37,16 @@ def test_a_cluster_must_name_its_shared_folder(master):
 def test_a_local_master_gets_a_folder(master):
     one = Session(spark_master=master)
     assert session.shared_dir(one) == one.sparkContext.folder == session.shared_dir(one)
+
+
+def test_scratch_tables_of_a_session_are_removed_on_request(spark, monkeypatch):
+    monkeypatch.setattr(session, "_GIVEN", {})
+    paths = [session.scratch_path(spark, name) for name in ("one", "two", "never")]
+    for path in paths[:2]:
+        spark.range(3).write.parquet(path)
+    kept = f"{session.shared_dir(spark)}/kept-by-others"
+    spark.range(1).write.mode("overwrite").parquet(kept)
+    assert session.clean(spark) == 2 and session.clean(spark) == 0
+    assert spark.read.parquet(kept).count() == 1
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        spark.read.parquet(paths[0])
