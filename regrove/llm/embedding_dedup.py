@@ -43,7 +43,7 @@ RECALL = 0.995
 #: Passes whose rows are shuffled at a time; their shuffle files go before the next ones are written.
 TOGETHER = 3
 #: Vectors of a component that are compared in one piece, and least rows of a sorted partition.
-BLOCK, LEAST_ROWS = 512, 2048
+BLOCK, LEAST_ROWS = 512, 8192
 
 
 @contextmanager
