@@ -53,6 +53,27 @@ def test_resampling_matches_brute_force(spark, messy, messy_rows, options):
     assert got == brute_resample([(r[0], r[1]) for r in messy_rows], target, **{brute[k]: v for k, v in options.items() if k in brute})
 
 
+def test_a_gain_is_the_targets_share_over_the_sources(spark, messy_rows, tmp_path):
+    """By the contract: floor(1000 * ln((t + 1) * (S + 10000) / ((s + 1) * (T + 10000)))), S and s of documents, T and t of the benchmark."""
+    assert rs.gains(np.array([3, 0, 1]), np.array([0, 2, 0])).tolist() == [math.floor(1000 * math.log(x)) for x in (1 * 7 / (4 * 5), 3 * 7 / (1 * 5), 1 * 7 / (2 * 5))]
+    target = [prose(1, 50), prose(3, 40), None, "", "word WORD"]
+    spark.createDataFrame(messy_rows, DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(list(enumerate(target)), "item_id int, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    s, t = (Counter(zlib.crc32(w.encode()) % 10_000 for text in texts for w in words(text)) for texts in ([r[1] for r in messy_rows], target))
+    S, T = s.total(), t.total()
+    expected = []
+    for id, text, *_ in messy_rows:
+        buckets = [zlib.crc32(w.encode()) % 10_000 for w in words(text)]
+        weight = sum(math.floor(1000 * math.log((t[b] + 1) * (S + 10_000) / ((s[b] + 1) * (T + 10_000)))) for b in buckets)
+        h = int(hashlib.sha256(f"2024:{'' if id is None else id}".encode()).hexdigest()[:8], 16)
+        expected.append([id, len(buckets), weight, weight + math.floor(-1000 * math.log(-math.log((h + 0.5) / 4294967296))), None])
+    long = sorted((r for r in expected if r[1] >= 20), key=lambda r: (-r[3], r[0] is None, r[0] or 0))
+    for rank, r in enumerate(long[:len(long) // 10], 1):
+        r[4] = rank
+    got = rs.op11_resample(spark, str(tmp_path)).collect()
+    assert sorted((list(r) for r in got), key=str) == sorted(expected, key=str)
+
+
 def test_resampling_of_nothing(spark, messy, nothing):
     empty = messy.select("text").limit(0)
     assert rs.resample(nothing, messy).count() == 0
