@@ -1,22 +1,26 @@
 """Features from earlier trips: rolling 30 days per vehicle, last 10 trips per route, fleet ratio.
 
 Neither history lets one busy vehicle or route decide the size of a task. The rolling window
-runs over per-second sums cut into window-long tiles, the last-n window over blocks of fixed
-row count cut from one sort by ranges.
+runs over per-second sums cut into window-long tiles, the last-n means over one sort by ranges,
+read a fixed number of rows at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, GroupedData, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regrove.functions.nulls import clean, col
 from regrove.functions.times import wall_seconds
-from regrove.session import scratch_path
+from regrove.session import let_workers_import, scratch_path
 
-# Rows of a group that one window partition holds, besides the few repeated ahead of them.
+# Sorted rows that a task holds at a time, besides the few carried over from those before.
 BLOCK_ROWS = 100_000
 
 VEHICLE_COLUMNS = [
@@ -31,38 +35,50 @@ def efficiency(df: DataFrame, energy: str, distance: str) -> Column:
 
 def vehicle_history(df: DataFrame, vehicle: str = "VehId", ts: str = "feature_timestamp",
                     energy: str = "target_energy_consumption", distance: str = "distance_km",
-                    days: int = 30) -> DataFrame:
+                    days: int = 30, plain: DataFrame | None = None) -> DataFrame:
     """Adds the vehicle's mean efficiency, energy, distance, energy std and trip count of the
     `days` days before the trip; trips of the same second do not count. A trip of unknown
-    vehicle or time has no history.
+    vehicle or time has no history. `plain` has the same trips with these four columns alone:
+    where `df` is the outcome of joins, its sums need none of them.
     """
     span = days * 86400
     keyed = df.withColumn("__t", wall_seconds(col(ts)))
-    return _tiled(keyed, vehicle, span, energy, distance).drop("__t")
+    source = keyed if plain is None else plain.withColumn("__t", wall_seconds(col(ts)))
+    return _tiled(keyed, source, vehicle, span, energy, distance).drop("__t")
 
 
-def _tiled(keyed: DataFrame, vehicle: str, span: int, energy: str, distance: str) -> DataFrame:
+def _tiled(keyed: DataFrame, source: DataFrame, vehicle: str, span: int, energy: str, distance: str) -> DataFrame:
     """Window sums without a bound on a vehicle's trips.
 
-    1. Trips are summed per (vehicle, second), map-side first: a window over these rows is
-       bounded by time, not by trips.
+    1. Trips, as four columns, are dealt by vehicle and stretch of STRETCH windows and summed per
+       (vehicle, second) there: what a task holds is bounded by time, not by trips.
     2. The time axis is cut into tiles as long as the window, so a window is the rest of
        the previous tile plus the start of its own. Each sum is copied to the next tile,
-       and both parts are running sums - additions only, linear time, one shuffle.
+       and both parts are running sums - additions only, linear time. Tiles stay inside their stretch,
+       where their sums are already; only a stretch's last tile is dealt to the next one as well.
     3. The sums go back to the trips by an equi-join, which AQE may broadcast or split.
     """
-    past = _past(_second_sums(keyed, vehicle, energy, distance).withColumn("fresh", F.lit(True)), span)
-    return _with_past(keyed, vehicle, past)
+    e, dist = clean(source, energy), clean(source, distance)
+    known = source.where(col(vehicle).isNotNull() & F.col("__t").isNotNull())
+    narrow = known.select(col(vehicle).alias("v"), F.col("__t").alias("t"), e.alias("e"), dist.alias("d"))
+    sums = _sums(_dealt(narrow, span).groupBy("v", "stretch_of", "t"), F.try_divide("e", "d"), F.col("d"), F.col("e"))
+    return _with_past(keyed, vehicle, _past_dealt(sums.withColumn("fresh", F.lit(True)), span))
 
 
+#: Windows in a stretch of time whose trips of a vehicle meet in one task.
+STRETCH = 8
+
 SUMS_SCHEMA = ["v", "t", "trips", "n_eff", "s_eff", "n_dist", "s_dist", "n_e", "m_e", "q_e"]
 
 
 def _second_sums(keyed: DataFrame, vehicle: str, energy: str, distance: str) -> DataFrame:
     """Counts, sums and moments per (vehicle, second)."""
-    eff, dist, e = efficiency(keyed, energy, distance), clean(keyed, distance), clean(keyed, energy)
     known = keyed.where(col(vehicle).isNotNull() & F.col("__t").isNotNull())
-    return known.groupBy(col(vehicle).alias("v"), F.col("__t").alias("t")).agg(
+    return _sums(known.groupBy(col(vehicle).alias("v"), F.col("__t").alias("t")), efficiency(keyed, energy, distance), clean(keyed, distance), clean(keyed, energy))
+
+
+def _sums(grouped: GroupedData, eff: Column, dist: Column, e: Column) -> DataFrame:
+    return grouped.agg(
         F.count(F.lit(1)).alias("trips"),
         F.count(eff).alias("n_eff"), F.sum(eff).alias("s_eff"),
         F.count(dist).alias("n_dist"), F.sum(dist).alias("s_dist"),
@@ -70,15 +86,30 @@ def _second_sums(keyed: DataFrame, vehicle: str, energy: str, distance: str) ->
     )
 
 
+def _dealt(rows: DataFrame, span: int) -> DataFrame:
+    """Rows with `v` and `t` dealt by vehicle and stretch; those of a stretch's last tile go to the next stretch, too."""
+    tile = F.floor(F.col("t") / span)
+    own = F.floor(tile / STRETCH)
+    to = F.when(F.pmod(tile, F.lit(STRETCH)) == STRETCH - 1, F.array(own, own + 1)).otherwise(F.array(own))
+    # sums, sorts and both running sums meet in these tasks: more of them than of other shuffles, so each stays small
+    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return rows.withColumn("stretch_of", F.explode(to)).repartition(tasks, "v", "stretch_of")
+
+
 def _past(sums: DataFrame, span: int) -> DataFrame:
     """What the `fresh` (vehicle, second) pairs have behind them; a pair may stand in several rows."""
+    return _past_dealt(_dealt(sums, span), span)
+
+
+def _past_dealt(sums: DataFrame, span: int) -> DataFrame:
+    """`_past` of sums that are dealt by vehicle and stretch."""
     tile = F.floor(F.col("t") / span)
     tiled = sums.withColumn("placed", F.explode(F.array(
         F.struct(tile.alias("tile"), F.col("t").alias("at"), F.lit(True).alias("own")),
         F.struct((tile + 1).alias("tile"), (F.col("t") + span).alias("at"), F.lit(False).alias("own")),
-    ))).select("*", "placed.*").drop("placed")
+    ))).select("*", "placed.*").drop("placed").where(F.floor(F.col("tile") / STRETCH) == F.col("stretch_of"))
 
-    group = Window.partitionBy("v", "tile")
+    group = Window.partitionBy("v", "stretch_of", "tile")
     # deviations from a mean taken inside the tile keep the variance free of cancellation
     tiled = tiled.withColumn("base", F.avg("m_e").over(group)).withColumns({
         "d_e": F.col("n_e") * (F.col("m_e") - F.col("base")),
@@ -109,62 +140,132 @@ def _with_past(keyed: DataFrame, vehicle: str, past: DataFrame) -> DataFrame:
     return keyed.join(past, (col(vehicle) == F.col("__v")) & (F.col("__t") == F.col("__s")), "left").drop("__v", "__s")
 
 
-def last_rows(df: DataFrame, group: Sequence[str], order: Sequence[str], aggregates: Mapping[str, Column],
-              rows: int, position: str, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """Adds each aggregate over the `rows` rows before the current one in its group, and the
-    number of all earlier rows as `position`. `order` must end in a key.
+def _differs(column: pa.Array) -> np.ndarray:
+    """Whether each value but the first is another than the one before; nulls are equal, so are NaNs."""
+    here, before = column.slice(1), column.slice(0, max(len(column) - 1, 0))
+    same = np.asarray(pc.fill_null(pc.equal(here, before), False)) | (np.asarray(pc.is_null(here)) & np.asarray(pc.is_null(before)))
+    if pa.types.is_floating(column.type):
+        same |= np.asarray(pc.fill_null(pc.is_nan(here), False)) & np.asarray(pc.fill_null(pc.is_nan(before), False))
+    return ~same
+
+
+def _rolled(group: Sequence[str], values: Sequence[str], keep: Sequence[str], names: Sequence[str], rows: int, step: int):
+    """Batch function over sorted rows: place in the group and means of the `rows` rows before, as far as this partition knows them.
 
-    Rows are sorted once by ranges of group and order together, so a busy group, a busy
-    instant or a constant tie-break is cut wherever its rows differ. The sorted rows are
-    written to the shared folder, which fixes their places.
+    It carries the last `rows` values from batch to batch, whatever a group's size.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last: list[pa.Array] | None = None  # the group of the row before
+        seen, head = 0, True                # its rows so far; whether it is the partition's first group
+        held = [(np.zeros(rows), np.zeros(rows, bool)) for _ in values]
+        for batch in (b.slice(start, step) for b in batches for start in range(0, b.num_rows, step)):
+            n = batch.num_rows
+            keys = [batch.column(c) for c in group]
+            new = np.zeros(n, bool)
+            for key, was in zip(keys, last or [k.slice(0, 0) for k in keys]):
+                differs = _differs(pa.concat_arrays([was, key]))
+                new[n - len(differs):] |= differs
+            new[0] |= last is None
+            place = np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), -seen))
+            first = (np.cumsum(new) == (1 if last is None else 0)) & head
+            means = []
+            for k, c in enumerate(values):
+                column = batch.column(c)
+                known = np.concatenate([held[k][1], ~np.asarray(column.is_null())])
+                value = np.concatenate([held[k][0], np.asarray(column.fill_null(0.0))])
+                total, count = np.zeros(n), np.zeros(n, np.int64)
+                for back in range(rows, 0, -1):  # in the order of the rows
+                    use = (place >= back) & known[rows - back:rows - back + n]
+                    total += np.where(use, value[rows - back:rows - back + n], 0.0)
+                    count += use
+                means.append(pa.array(total / np.maximum(count, 1), mask=count == 0))
+                held[k] = value[n:], known[n:]
+            last, seen, head = [k.slice(n - 1, 1) for k in keys], int(place[-1]) + 1, bool(first[-1])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in keep), pa.array(place.astype(np.int64)), pa.array(first), *means], list(names))
+
+    return run
+
+
+def last_rows(df: DataFrame, group: Sequence[str], order: Sequence[str | Column], averages: Mapping[str, Column], rows: int, position: str,
+              block_rows: int = BLOCK_ROWS, finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """Adds each column's mean (as double) over the `rows` rows before the current one in its group, and the
+    number of all earlier rows as `position`. `order` (columns or expressions) must end in a key.
+
+    Rows are sorted once by ranges of group and order together, so a busy group, a busy instant or a constant
+    tie-break is cut wherever its rows differ. One pass over each sorted partition, `block_rows` rows at a time, works
+    out places and means, and its rows are written to the shared folder, which fixes their places. Only the first
+    group of a partition can go on from earlier ones: its offset, and the means of its first `rows` rows, are
+    made from the partitions' edges and laid over the written rows, so these move but once.
+
+    `finish` adds or drops columns row by row before the rows are written; it keeps `group` and what `averages` reads.
+    """
+    spark = df.sparkSession
+    let_workers_import(spark)
     by = [col(c) for c in group]
-    sorting = [col(c) for c in order]
-
-    # 1. the position of every row: its place in its sorted partition, less the place of its
-    #    group's first row there, plus the group's rows in earlier partitions
-    path = scratch_path(df.sparkSession, "sorted")
-    placed = df.repartitionByRange(*by, *sorting).sortWithinPartitions(*by, *sorting)
-    placed.withColumn("__at", F.monotonically_increasing_id()).write.parquet(path)
-    placed = df.sparkSession.read.parquet(path).withColumns({
-        "__part": F.shiftright("__at", 33), "__i": F.col("__at").bitwiseAND((1 << 33) - 1),
-    })
+    values = [f"__v{k}" for k in range(len(averages))]
+
+    # 1. sorted partitions, each with what it knows by itself
+    sorting = [col(c) if isinstance(c, str) else c for c in order]
+    ordered = df.repartitionByRange(*by, *sorting).sortWithinPartitions(*by, *sorting)
+    valued = ordered.withColumns({v: c.cast("double") for v, c in zip(values, averages.values())})
+    schema = T.StructType([
+        *df.schema.fields, T.StructField(position, T.LongType()), T.StructField("__head", T.BooleanType()),
+        *[T.StructField(name, T.DoubleType()) for name in averages]])
+    placed = valued.mapInArrow(_rolled(group, values, df.columns, schema.names, rows, block_rows), schema)
+    placed = placed if finish is None else finish(placed)
+    path = scratch_path(spark, "sorted")
+    placed = placed.withColumn("__at", F.monotonically_increasing_id())
+    placed.write.option("compression", "zstd").parquet(path)
+    placed = spark.read.schema(placed.schema).parquet(path).withColumn("__part", F.shiftright("__at", 33))
+
+    # 2. the rows that a partition's first group has in earlier partitions: at most one row per partition
     named = [f"__g{i}" for i in range(len(group))]
     earlier = Window.partitionBy(*named).orderBy("__op").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        placed.groupBy(*[c.alias(n) for n, c in zip(named, by)], F.col("__part").alias("__op"))
-        .agg(F.count(F.lit(1)).alias("n"), F.min("__i").alias("__first"))
-        .withColumn("__offset", F.coalesce(F.sum("n").over(earlier), F.lit(0))).drop("n")
-    )
-    match = F.col("__part") == F.col("__op")
-    for n, c in zip(named, by):
-        match = match & c.eqNullSafe(F.col(n))
-    placed = placed.join(offsets, match).withColumn(position, F.col("__offset") + F.col("__i") - F.col("__first"))
-    placed = placed.select(*[col(c) for c in df.columns], position)
-
-    # 2. blocks of fixed size; the last rows of a block are repeated ahead of the next one
-    block = F.floor(F.col(position) / block_rows)
-    spill = F.pmod(F.col(position), F.lit(block_rows)) >= block_rows - rows
-    copies = F.when(spill, F.array(block, block + 1)).otherwise(F.array(block))
-    blocks = placed.withColumn("__b", F.explode(copies)).withColumn("__own", F.col("__b") == block)
-    recent = Window.partitionBy(*by, "__b").orderBy(position).rowsBetween(-rows, -1)
-    return blocks.withColumns({name: agg.over(recent) for name, agg in aggregates.items()}).where("__own").drop("__b", "__own")
-
-
-def route_history(df: DataFrame, route: Sequence[str], key: Sequence[str], ts: str = "feature_timestamp",
+    offsets = _kept(
+        placed.groupBy(*[c.alias(n) for n, c in zip(named, by)], F.col("__part").alias("__op")).agg(F.count(F.lit(1)).alias("n"))
+        .select("__op", F.sum("n").over(earlier).alias("__offset")).where("__offset > 0"), "offsets")
+
+    # 3. means of the first rows of such groups, from the first and last rows of every partition
+    ends = placed.groupBy(F.col("__part").alias("__op")).agg(F.max("__at").alias("__end"))
+    edges = placed.select(*[c.alias(n) for n, c in zip(named, by)], "__part", "__at", "__head", *[c.cast("double").alias(v) for v, c in zip(values, averages.values())])
+    edges = edges.join(F.broadcast(ends), F.col("__part") == F.col("__op")).where(
+        (F.col("__at").bitwiseAND((1 << 33) - 1) < rows) | (F.col("__at") > F.col("__end") - rows))
+    before = Window.partitionBy(*named).orderBy("__at").rowsBetween(-rows, -1)
+    means = {f"__m{k}": F.avg(v).over(before) for k, v in enumerate(values)}
+    fixed = edges.withColumns(means).where(F.col("__head") & (F.col("__at").bitwiseAND((1 << 33) - 1) < rows))
+    fixed = _kept(fixed.select(F.col("__at").alias("__fixed"), *means), "edges")
+
+    out = placed.join(F.broadcast(offsets), F.col("__head") & (F.col("__part") == F.col("__op")), "left")
+    out = out.join(F.broadcast(fixed), F.col("__at") == F.col("__fixed"), "left")
+    laid = {name: F.when(F.col("__fixed").isNull(), F.col(name)).otherwise(F.col(f"__m{k}")) for k, name in enumerate(averages)}
+    laid[position] = F.col(position) + F.coalesce("__offset", F.lit(0).cast("long"))
+    names = [c for c in placed.columns if c not in ("__head", "__at", "__part")]
+    return out.select(*[laid[c].alias(c) if c in laid else col(c) for c in names])
+
+
+def _kept(few: DataFrame, name: str) -> DataFrame:
+    """A table of a few rows per partition, written."""
+    path = scratch_path(few.sparkSession, name)
+    few.coalesce(1).write.parquet(path)
+    return few.sparkSession.read.schema(few.schema).parquet(path)
+
+
+def route_history(df: DataFrame, route: Sequence[str], key: Sequence[str | Column], ts: str = "feature_timestamp",
                   energy: str = "target_energy_consumption", duration: str = "duration_minutes",
-                  speed: str = "avg_speed_kmh", trips: int = 10, block_rows: int = BLOCK_ROWS) -> DataFrame:
+                  speed: str = "avg_speed_kmh", trips: int = 10, block_rows: int = BLOCK_ROWS,
+                  finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds the route's mean energy, duration and speed over its previous `trips` trips and the
     number of all previous trips. Trips of the same instant are ordered by `key`.
     """
     return last_rows(
         df, route, [ts, *key],
         {
-            "route_avg_energy_last10": F.avg(clean(df, energy)),
-            "route_avg_duration_last10": F.avg(clean(df, duration)),
-            "route_avg_speed_last10": F.avg(clean(df, speed)),
+            "route_avg_energy_last10": clean(df, energy),
+            "route_avg_duration_last10": clean(df, duration),
+            "route_avg_speed_last10": clean(df, speed),
         },
-        trips, "route_trip_count", block_rows,
+        trips, "route_trip_count", block_rows, finish,
     )
 
 

@@ -57,7 +57,7 @@ def route_batch(batch: DataFrame, root: str, number: int, route: Sequence[str],
     every = rows.unionByName(ring, allowMissingColumns=True)
     placed = last_rows(
         every, names, ["__seq", ts, *key],
-        {"route_avg_energy_last10": F.avg("__e"), "route_avg_duration_last10": F.avg("__d"), "route_avg_speed_last10": F.avg("__s")},
+        {"route_avg_energy_last10": F.col("__e"), "route_avg_duration_last10": F.col("__d"), "route_avg_speed_last10": F.col("__s")},
         trips, "__place", block_rows,
     )
     path = f"{root.rstrip('/')}/routes/batch={number}"

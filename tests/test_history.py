@@ -149,3 +149,41 @@ def test_feature_table_is_written_once_and_read_by_column(spark, sf):
     plan = narrow.agg(F.sum("speed_squared"))._jdf.queryExecution().executedPlan().toString()
     read = plan[plan.index("ReadSchema"):]
     assert "speed_squared" in read and "VehId" not in read and "Window" not in plan
+
+
+@pytest.mark.parametrize("block_rows", [100_000, 3])
+def test_routes_over_many_small_partitions(spark, block_rows):
+    """Routes that go on through partitions of fewer rows than the window, null and NaN routes; the sorted rows aren't moved again."""
+    rng = np.random.default_rng(5)
+    routes = [None, math.nan, 0.5, 0.5, 0.5, 2.0]
+    rows = [(i, routes[int(rng.integers(0, 6))], START + timedelta(seconds=int(rng.integers(0, 9))), float(rng.integers(0, 99)) if i % 5 else None) for i in range(150)]
+    df = spark.createDataFrame(rows, "id int, route double, ts timestamp, energy double").withColumns({"duration": F.col("energy"), "speed": F.col("energy") * 2})
+    settings = {"spark.sql.shuffle.partitions": "40", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        out = history.route_history(df, ["route"], ["id"], "ts", "energy", "duration", "speed", block_rows=block_rows)
+        got = {r.id: r for r in out.collect()}
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert "Window" not in plan and "hashpartitioning" not in plan
+    assert len(got) == len(rows)
+    for name in {str(r[1]) for r in rows}:
+        past = []
+        for i, _, _, energy in sorted((r for r in rows if str(r[1]) == name), key=lambda r: (r[2], r[0])):
+            last = [e for e in past[-10:] if e is not None]
+            assert got[i].route_trip_count == len(past)
+            assert close(got[i].route_avg_energy_last10, sum(last) / len(last) if last else None)
+            assert close(got[i].route_avg_speed_last10, 2 * sum(last) / len(last) if last else None)
+            past.append(energy)
+
+
+def test_a_vehicles_sums_are_dealt_once(spark, journeys):
+    """Sums, tiles and running sums share one shuffle of four columns; the trips and their history meet by two more."""
+    df = spark.createDataFrame(journeys)
+    plan = history.vehicle_history(df, ts="ts", energy="energy")._jdf.queryExecution().executedPlan().toString()
+    initial = plan[plan.rindex("== Initial Plan ==") :] if "== Initial Plan ==" in plan else plan
+    assert initial.count("Exchange hashpartitioning") + initial.count("BroadcastExchange") <= 3
