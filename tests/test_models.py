@@ -131,3 +131,13 @@ def test_whole_training_job(spark, sf, tmp_path, selection):
         assert fitted.getNumTrees == float(logged[name][trees])
     scored = registry.Registry(spark, str(tmp_path)).score(f"dev.ml_models.{settings.model_name}", frame)
     assert scored.where("prediction is null").count() == 0 and scored.count() == 6000
+
+
+def test_nodes_are_kept_for_large_trees_alone():
+    from regrove.plans.learners import learner
+
+    def kept(profile, **params):
+        return learner(profile, params, "y").getCacheNodeIds()
+
+    assert not kept("boost_deep", maxIter=500, maxDepth=4) and not kept("forest", numTrees=5, maxDepth=5)
+    assert kept("forest", numTrees=1000, maxDepth=6) and kept("boost_deep", maxIter=5, maxDepth=12)
