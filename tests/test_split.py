@@ -151,3 +151,10 @@ def test_split_summary(spark):
     rows = {r.split: r for r in split.split_summary(df, "y").collect()}
     assert rows["train"].n == 3 and rows["train"].pct == 75.0 and rows["train"].target_mean == 2.0
     assert rows["test"].target_std is None
+
+
+def test_first_count_of_all_rows_does_not_sort_them(spark):
+    rows = spark.range(5000).select(F.lit(0).alias("stratum"), split.row_hash(["id"], 42).alias("h"))
+    counts = split._counts(rows, 0)
+    assert "Sort" not in counts._jdf.queryExecution().executedPlan().toString()
+    assert sum(r.n for r in counts.collect()) == 5000
