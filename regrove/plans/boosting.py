@@ -498,6 +498,11 @@ def _children(rows: _Rows, tree: Tree, parents: Sequence[int], held: dict[int, n
         del held[node]
 
 
+def _halves(sums: np.ndarray, feature: int, bin: int) -> tuple[np.ndarray, np.ndarray]:
+    """A node's sums over one feature, parted at a bin: the same totals that its children's own sums have."""
+    return sums[feature:feature + 1, :bin + 1], sums[feature:feature + 1, bin + 1:]
+
+
 def _grow_levels(rows: _Rows, splits: _Splits, used: list[int], number: int) -> Tree:
     own, tree = rows.settings, Tree()
     first, spread = rows.sums(tree, [0], used)
@@ -515,9 +520,13 @@ def _grow_levels(rows: _Rows, splits: _Splits, used: list[int], number: int) ->
         frontier = [child for node in parents for child in (tree.left[node], tree.right[node])]
         if not parents:
             break
-        _children(rows, tree, parents, held, used)
-    for node in frontier:
-        tree.value[node] = splits.value(held[node])
+        if depth + 1 < own.max_depth:
+            _children(rows, tree, parents, held, used)
+    if not own.max_depth:
+        tree.value[0] = splits.value(held[0])
+    for node in parents if own.max_depth else ():  # no pass for leaves: their totals stand in the sums of the nodes they come from
+        for child, part in zip((tree.left[node], tree.right[node]), _halves(held[node], used.index(tree.feature[node]), tree.bin[node])):
+            tree.value[child] = splits.value(part)
     return tree
 
 
@@ -575,6 +584,11 @@ def _grow_symmetric(rows: _Rows, splits: _Splits, used: list[int], number: int)
         tree.feature.append(used[f])
         tree.bin.append(b)
         tree.gain.append(float(gain[f, b]))
+        if level + 1 == own.max_depth:
+            tree.value = [0.0] * (2 << level)
+            for leaf, sums in held.items():  # no pass for the last leaves
+                tree.value[leaf], tree.value[leaf | 1 << level] = map(splits.value, _halves(sums, f, b))
+            return tree
         low = {leaf: int(sums[f, :b + 1, 2].sum()) for leaf, sums in held.items()}
         small = [leaf if 2 * low[leaf] <= int(held[leaf][f, :, 2].sum()) else leaf | 1 << level for leaf in held]
         found = rows.all_sums(tree, small, used)

@@ -139,3 +139,15 @@ def test_search_over_a_profile(table):
     space = {"n_estimators": Fixed(6), "num_leaves": Int(2, 8), "learning_rate": Fixed(0.5)}
     study = boosting.tune_boosting(table.where("id % 4 > 0"), table.where("id % 4 = 0"), NAMES, "y", ["id"], "boost_leaves", 3, 1, space)
     assert len(study.trials) == 3 and study.best[1] < 2
+
+
+@pytest.mark.parametrize("growth", ["depth", "symmetric"])
+def test_leaves_need_no_pass_of_their_own(spark, monkeypatch, growth):
+    table = spark.createDataFrame([(i, float(i % 8), float(i % 3), float((i % 8 > 3) * 10 + (i % 3))) for i in range(400)], "id long, a double, b double, y double")
+    passes, sums = [], boosting._Rows.sums
+    monkeypatch.setattr(boosting._Rows, "sums", lambda *args: passes.append(1) or sums(*args))
+    model = boosting.fit_boosting(table, ["a", "b"], "y", ["id"], boosting.Boosting(growth, trees=1, learning_rate=1.0, max_depth=2, reg_lambda=0.0))
+    assert len(passes) == 2
+    means = {(r.high, r.one): r.m for r in table.groupBy((F.col("a") > 3).alias("high"), (F.col("b") > 0).alias("one")).agg(F.avg("y").alias("m")).collect()}
+    for r in model.transform(table).collect():
+        assert abs(r.prediction - means[r.a > 3, r.b > 0]) < 1e-6
