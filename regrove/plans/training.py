@@ -23,8 +23,10 @@ from regrove.operators.profile import select_features, with_target
 from regrove.operators.selection import quantile_label
 from regrove.operators.split import kfold, stratified_split
 from regrove.plans import registry
-from regrove.plans.learners import PROFILES, SPACES, Study, search
-from regrove.plans.modelling import VECTOR, Base, cross_validate, fit_single, fit_stack, importance, rmse, spread, vectors
+from regrove.plans.learners import PROFILES, SPACES, Study, draws_of, search
+from regrove.plans.modelling import (
+    VECTOR, WEIGHT, Base, condensed, cross_validate, fit_single, fit_stack, importance, repeated, rmse, spread, vectors,
+)
 from regrove.plans.trials import param_importance, trial_history, trial_points, trial_summary
 from regrove.session import ensure_checkpoint_dir
 from regrove.sources.tables import DEFAULT_CATALOG, MODEL_SCHEMA, ensure_schema
@@ -80,27 +82,33 @@ def prepare(df: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, list[str]
 def tune(train: DataFrame, test: DataFrame, features: Sequence[str], s: Settings) -> dict[str, Study]:
     """One seeded study per profile; preparation is fitted on the rows the trials are fitted on."""
     spark = train.sparkSession
+    folded = None
     if s.selection == "validation":
-        folded = kfold(train, s.key, 5, f"validation-{s.seed}", "__v")
+        # kept narrow, so that no row is hashed again by what reads a side of it
+        folded = kfold(train, s.key, 5, f"validation-{s.seed}", "__v").select(*dict.fromkeys([*features, s.target]), "__v").persist(StorageLevel.MEMORY_AND_DISK)
         fitting, held = folded.where(F.col("__v") != 0), folded.where(F.col("__v") == 0)
     elif s.selection == "test":
         fitting, held = train, test
     else:
         raise ValueError(f"selection must be 'validation' or 'test', not {s.selection!r}")
     prep = fit_prep(fitting, features)
-    fitting = vectors(fitting, prep, [s.target]).persist(StorageLevel.MEMORY_AND_DISK)
+    drawn = [Base(p, d) for p in s.profiles for d in draws_of(s.spaces[p], s.trials, s.seed)]
+    weight = WEIGHT if all(b.plain for b in drawn) and repeated(fitting, prep.columns) else None
+    fitting = condensed(fitting, prep, s.target) if weight else vectors(fitting, prep, [s.target])
+    fitting = fitting.persist(StorageLevel.MEMORY_AND_DISK)
     held = vectors(held, prep, [s.target]).persist(StorageLevel.MEMORY_AND_DISK)
     try:
         def evaluate(profile: str):
             def run(params: dict[str, float]) -> float:
-                model = Base(profile, params).estimator(s.target).fit(fitting)
+                model = Base(profile, params).estimator(s.target, weight=weight).fit(fitting)
                 return rmse(model.transform(held).drop(VECTOR), s.target)
             return run
 
         return {p: search(spark, p, s.spaces[p], evaluate(p), s.trials, s.seed, s.parallelism) for p in s.profiles}
     finally:
-        fitting.unpersist()
-        held.unpersist()
+        for kept in (fitting, held, folded):
+            if kept is not None:
+                kept.unpersist()
 
 
 def _side_metrics(model: PipelineModel, rows: DataFrame, target: str) -> tuple[dict[str, float | None], dict[str, int]]:

@@ -141,3 +141,65 @@ def test_nodes_are_kept_for_large_trees_alone():
 
     assert not kept("boost_deep", maxIter=500, maxDepth=4) and not kept("forest", numTrees=5, maxDepth=5)
     assert kept("forest", numTrees=1000, maxDepth=6) and kept("boost_deep", maxIter=5, maxDepth=12)
+
+
+FEW = {"stump": modelling.Base("boost_shallow", {"maxIter": 3, "maxDepth": 2, "maxBins": 64}),
+       "tree": modelling.Base("forest", {"numTrees": 1, "bootstrap": False, "subsamplingRate": 1.0, "featureSubset": 1.0, "maxDepth": 2})}
+
+
+@pytest.fixture()
+def few_vectors(spark):
+    """2,000 rows of 21 vectors, some with a missing input; targets vary within a vector."""
+    return spark.range(2000).select("id", F.when(F.col("id") % 7 > 0, (F.col("id") % 7).cast("double")).alias("a"), (F.col("id") % 3).cast("int").alias("b"),
+                                    (F.col("id") % 7 * 10 + F.col("id") % 3 * 100 + F.col("id") % 11).alias("y"))
+
+
+def test_fits_on_condensed_rows_equal_fits_on_all_rows(few_vectors, monkeypatch):
+    seen, made = [], modelling.Base.estimator
+
+    def spy(base, label, prediction="prediction", weight=None):
+        seen.append(weight)
+        return made(base, label, prediction, weight)
+
+    def predictions():
+        models = [modelling.fit_single(few_vectors, ["a", "b"], "y", b) for b in FEW.values()]
+        models.append(modelling.fit_stack(few_vectors, ["a", "b"], "y", ["id"], FEW, 3, parallelism=2))
+        return [[r["prediction"] for r in m.transform(few_vectors).orderBy("id").collect()] for m in models]
+
+    monkeypatch.setattr(modelling.Base, "estimator", spy)
+    condensed = predictions()
+    assert seen == [modelling.WEIGHT] * 10
+    monkeypatch.setattr(modelling, "REPEATS", 10 ** 9)
+    for few, every in zip(condensed, predictions()):
+        assert few == pytest.approx(every, rel=1e-9)
+    assert seen[10:] == [None] * 10
+
+
+def test_condensed_rows_keep_number_and_mean_and_missing_targets(few_vectors):
+    prep = modelling.fit_prep(few_vectors, ["a", "b"])
+    rows = modelling.condensed(few_vectors, prep, "y").collect()
+    assert len(rows) == 21 and sum(r[modelling.WEIGHT] for r in rows) == 2000
+    total = few_vectors.agg(F.sum("y")).first()[0]
+    assert sum(r[modelling.WEIGHT] * r["y"] for r in rows) == pytest.approx(total)
+    holed = few_vectors.withColumn("y", F.when(F.col("id") != 5, F.col("y")))
+    for base in FEW.values():
+        with pytest.raises(Exception, match="(?i)null"):
+            modelling.fit_single(holed, ["a", "b"], "y", base)
+
+
+def test_only_fits_that_count_every_row_once_are_plain():
+    assert all(b.plain for b in FEW.values())
+    for params in ({"subsamplingRate": 0.8}, {"minInstancesPerNode": 5}):
+        assert not any(modelling.Base(b.profile, b.params | params).plain for b in FEW.values())
+    assert not modelling.Base("forest", {"numTrees": 5}).plain
+
+
+def test_weighted_moments_are_those_of_the_rows(spark):
+    from regrove.operators.metrics import moments, weighted_moments
+
+    df = spark.createDataFrame([(1.0, 2.0, 3.0), (4.0, 1.0, 2.0), (2.5, 7.0, 1.0), (None, 5.0, 4.0)], "x double, y double, w double")
+    got = weighted_moments(df, ["x", "y"], "w")
+    every = moments(df.select("x", "y", F.explode(F.sequence(F.lit(1), F.col("w").cast("int")))), ["x", "y"])[0]
+    assert got.n == every.n == 6 and got.means == pytest.approx(every.means)
+    assert got.products.ravel() == pytest.approx(every.products.ravel())
+    assert weighted_moments(df.where("w > 9"), ["x", "y"], "w").n == 0

@@ -158,3 +158,25 @@ def test_first_count_of_all_rows_does_not_sort_them(spark):
     counts = split._counts(rows, 0)
     assert "Sort" not in counts._jdf.queryExecution().executedPlan().toString()
     assert sum(r.n for r in counts.collect()) == 5000
+
+
+@pytest.mark.parametrize("n", [300, 20_000])
+def test_even_hashes_are_cut_without_counting_prefixes(spark, monkeypatch, n):
+    """One pass hashes the rows; only cuts that aren't where even hashes have them need the prefixes."""
+    asked = []
+    find = split._find_cuts
+    monkeypatch.setattr(split, "_find_cuts", lambda rows, first, wanted: asked.append(len(wanted)) or find(rows, first, wanted))
+    df = spark.range(n).withColumn("label", F.when(F.col("id") % 4 > 0, F.col("id") % 4).cast("int"))
+    tested = split.stratified_split(df, "label", ["id"]).where("split = 'test'").groupBy("label").count().collect()
+    assert {r["label"]: r["count"] for r in tested} == {k: n // 20 for k in (None, 1, 2, 3)}
+    assert sorted(r["count"] for r in split.kfold(df, ["id"]).groupBy("fold").count().collect()) == [n // 5] * 5
+    assert not asked
+    lumpy = df.withColumn("id", F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")))
+    assert sorted(r["count"] for r in split.kfold(lumpy, ["id"]).groupBy("fold").count().collect()) == [n // 5] * 5
+    assert asked or n == 300  # there the windows hold every hash
+
+
+def test_a_row_is_hashed_once_per_pass(spark):
+    rows = spark.range(50).select(F.lit(0).alias("stratum"), split.row_hash(["id"], 42).alias("h"))
+    plan = split._near(rows, split._windows([(0, 10), (0, 40)], {0: 50}))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("md5") == 1
