@@ -71,10 +71,21 @@ STRETCH = 8
 SUMS_SCHEMA = ["v", "t", "trips", "n_eff", "s_eff", "n_dist", "s_dist", "n_e", "m_e", "q_e"]
 
 
-def _second_sums(keyed: DataFrame, vehicle: str, energy: str, distance: str) -> DataFrame:
-    """Counts, sums and moments per (vehicle, second)."""
+def _second_sums(keyed: DataFrame, vehicle: str, energy: str, distance: str, span: int) -> DataFrame:
+    """Counts, sums and moments per (vehicle, second) and the `stretch` of `span` seconds it lies in.
+
+    Trips are dealt by ranges of stretch, vehicle and second, so tasks are even whatever is busy, and each has few stretches to write.
+    """
     known = keyed.where(col(vehicle).isNotNull() & F.col("__t").isNotNull())
-    return _sums(known.groupBy(col(vehicle).alias("v"), F.col("__t").alias("t")), efficiency(keyed, energy, distance), clean(keyed, distance), clean(keyed, energy))
+    narrow = known.select(F.floor(F.col("__t") / span).alias("stretch"), col(vehicle).alias("v"), F.col("__t").alias("t"),
+                          clean(keyed, energy).alias("e"), clean(keyed, distance).alias("d"))
+    dealt = narrow.repartitionByRange(_tasks(keyed), "stretch", "v", "t")
+    return _sums(dealt.groupBy("stretch", "v", "t"), F.try_divide("e", "d"), F.col("d"), F.col("e"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks where sums, sorts or running sums meet: more of them than of other shuffles, so each stays small."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def _sums(grouped: GroupedData, eff: Column, dist: Column, e: Column) -> DataFrame:
@@ -91,9 +102,7 @@ def _dealt(rows: DataFrame, span: int) -> DataFrame:
     tile = F.floor(F.col("t") / span)
     own = F.floor(tile / STRETCH)
     to = F.when(F.pmod(tile, F.lit(STRETCH)) == STRETCH - 1, F.array(own, own + 1)).otherwise(F.array(own))
-    # sums, sorts and both running sums meet in these tasks: more of them than of other shuffles, so each stays small
-    tasks = 4 * int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.withColumn("stretch_of", F.explode(to)).repartition(tasks, "v", "stretch_of")
+    return rows.withColumn("stretch_of", F.explode(to)).repartition(_tasks(rows), "v", "stretch_of")
 
 
 def _past(sums: DataFrame, span: int) -> DataFrame:

@@ -28,7 +28,7 @@ def vehicle_batch(batch: DataFrame, root: str, number: int, vehicle: str = "VehI
     spark, span = batch.sparkSession, days * 86400
     keyed = batch.withColumn("__t", wall_seconds(col(ts)))
     own_path = f"{root.rstrip('/')}/sums/batch={number}"
-    sums = _second_sums(keyed, vehicle, energy, distance).withColumn("stretch", F.floor(F.col("t") / span))
+    sums = _second_sums(keyed, vehicle, energy, distance, span)
     sums.write.mode("overwrite").partitionBy("stretch").parquet(own_path)
     fresh = spark.read.schema(sums.schema).parquet(own_path)
     first = fresh.agg(F.min("stretch")).first()[0]

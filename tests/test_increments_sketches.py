@@ -76,6 +76,16 @@ def test_old_trips_are_not_read_again(trips, tmp_path):
     assert any("stretch" in f and "batch" in f for f in filters)
 
 
+def test_sums_of_a_batch_are_dealt_evenly_to_many_tasks(spark):
+    """What a task holds of a batch doesn't follow from how few bytes its shuffle has, nor from one busy vehicle."""
+    rows = spark.range(20_000).select(F.when(F.col("id") % 4 == 0, F.col("id")).otherwise(0).alias("v"), (F.col("id") * 300).alias("__t"),
+                                      (F.col("id") % 5).cast("double").alias("e"), F.lit(2.0).alias("d"))
+    sums = history._second_sums(rows, "v", "e", "d", 30 * 86400).select("stretch", "trips", F.spark_partition_id().alias("task"))
+    tasks = sums.groupBy("task").agg(F.sum("trips").alias("n"), F.count_distinct("stretch").alias("stretches")).collect()
+    assert sum(r["n"] for r in tasks) == 20_000
+    assert len(tasks) > 8 and max(r["n"] for r in tasks) < 4_000 and max(r["stretches"] for r in tasks) <= 2
+
+
 # Sketches
 
 def test_merged_sketches_equal_whole_ones(spark):
