@@ -203,3 +203,15 @@ def test_weighted_moments_are_those_of_the_rows(spark):
     assert got.n == every.n == 6 and got.means == pytest.approx(every.means)
     assert got.products.ravel() == pytest.approx(every.products.ravel())
     assert weighted_moments(df.where("w > 9"), ["x", "y"], "w").n == 0
+
+
+def test_tuning_fits_distinct_vectors_and_judges_all_held_rows(few_vectors, monkeypatch):
+    settings = training.Settings(root="", key=["id"], target="y", trials=2, parallelism=2, profiles=("forest",), spaces={
+        "forest": {k: learners.Fixed(v) for k, v in FEW["tree"].params.items()}})
+    made, asked = modelling.condensed, []
+    monkeypatch.setattr(training, "condensed", lambda *a: asked.append(1) or made(*a), raising=False)
+    few = training.tune(few_vectors, few_vectors, ["a", "b"], settings)["forest"].trials
+    assert asked == [1]
+    monkeypatch.setattr(modelling, "REPEATS", 10 ** 9)
+    every = training.tune(few_vectors, few_vectors, ["a", "b"], settings)["forest"].trials
+    assert [t[1] for t in few] == pytest.approx([t[1] for t in every], rel=1e-9)
