@@ -215,3 +215,43 @@ def test_tuning_fits_distinct_vectors_and_judges_all_held_rows(few_vectors, monk
     monkeypatch.setattr(modelling, "REPEATS", 10 ** 9)
     every = training.tune(few_vectors, few_vectors, ["a", "b"], settings)["forest"].trials
     assert [t[1] for t in few] == pytest.approx([t[1] for t in every], rel=1e-9)
+
+
+def test_learners_fitted_together_equal_those_fitted_alone(few_vectors, monkeypatch):
+    """One preparation for all; those that see distinct vectors and those that sample rows each get their own kind of rows."""
+    bases = FEW | {"bagged": modelling.Base("forest", {"numTrees": 2, "maxDepth": 2})}
+    alone = {n: modelling.fit_single(few_vectors, ["a", "b"], "y", b) for n, b in bases.items()}
+    made, asked = modelling.fit_prep, []
+    monkeypatch.setattr(modelling, "fit_prep", lambda *a: asked.append(1) or made(*a))
+    together = modelling.fit_each(few_vectors, ["a", "b"], "y", bases)
+    assert asked == [1] and list(together) == list(bases)
+    for n, model in together.items():
+        got, expected = ([r["prediction"] for r in m.transform(few_vectors).orderBy("id").collect()] for m in (model, alone[n]))
+        assert got == pytest.approx(expected, rel=1e-9)
+
+
+def counted(df):
+    """The frame, and the rows of it that tasks have read so far."""
+    reads = df.sparkSession.sparkContext.accumulator(0)
+
+    def read(batches):
+        for batch in batches:
+            reads.add(batch.num_rows)
+            yield batch
+
+    return df.mapInArrow(read, df.schema), reads
+
+
+def test_champion_reads_the_trips_four_times(spark, monkeypatch):
+    """Twice for the quantiles, once for the sizes of the classes, once to hash and write them: not once more for the cuts."""
+    from regrove.plans import registered
+
+    trip = spark.range(3000).select(
+        F.col("id").alias("l_orderkey"), (F.col("id") % 7 + 1).cast("int").alias("l_linenumber"), (F.col("id") % 50).alias("l_partkey"),
+        (F.col("id") % 9).alias("l_suppkey"), (F.col("id") * 37 + 100).alias("price_cents"), (F.col("id") * 0.37 + 1).alias(registered.TARGET),
+        (F.col("id") % 50 + 1).cast("double").alias("distance_km"))
+    found, reads = counted(trip)
+    monkeypatch.setattr(registered, "trips", lambda spark, sf_dir, columns: found.select(*columns))
+    out = registered.queries()["champion_exact"](spark, "").groupBy("split").count().collect()
+    assert {r["split"]: r["count"] for r in out} == {"test": 600, "train": 2400}
+    assert reads.value == 4 * 3000

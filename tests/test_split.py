@@ -180,3 +180,44 @@ def test_a_row_is_hashed_once_per_pass(spark):
     rows = spark.range(50).select(F.lit(0).alias("stratum"), split.row_hash(["id"], 42).alias("h"))
     plan = split._near(rows, split._windows([(0, 10), (0, 40)], {0: 50}))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("md5") == 1
+
+
+@pytest.mark.parametrize("n", [400, 40_000])
+def test_kept_rows_are_hashed_on_their_way_alone(spark, n):
+    """One read for the sizes, one for the rows that are kept; the parts are those that unkept rows get."""
+    expected = {r["id"]: r["fold"] for r in split.kfold(spark.range(n), ["id"], 5, 42).collect()}
+    df, reads = counted(spark, n)
+    kept = []
+
+    def store(rows):
+        kept.append(rows.persist())
+        return kept[-1]
+
+    folded = split.kfold(df, ["id"], 5, 42, store=store)
+    assert {r["id"]: r["fold"] for r in folded.collect()} == expected
+    assert reads.value == 2 * n and len(kept) == 1 and folded.columns == ["id", "fold"]
+    kept[0].unpersist()
+
+
+@pytest.mark.parametrize("frame", ["copies", "one_key", "few", "none", "classes"])
+def test_kept_rows_get_the_parts_of_unkept_rows(spark, tmp_path, frame):
+    """Torn cuts, cuts outside their windows, few rows and none, null classes; a column that is dropped on the way still orders equal keys."""
+    df = {
+        "copies": spark.range(900).select((F.col("id") % 7).alias("id"), F.lit("x").alias("v"), F.lit(0).alias("label")),
+        "one_key": spark.range(20_000).select(F.when(F.col("id") % 3 > 0, F.col("id")).otherwise(0).alias("id"), F.col("id").cast("string").alias("v"), F.lit(1).alias("label")),
+        "few": spark.createDataFrame([(1, "a", 0), (2, None, None)], "id long, v string, label int"),
+        "none": spark.createDataFrame([], "id long, v string, label int"),
+        "classes": spark.range(3000).select("id", F.lit("x").alias("v"), F.when(F.col("id") % 4 > 0, F.col("id") % 4).cast("int").alias("label")),
+    }[frame]
+    written = []
+
+    def store(rows):
+        written.append(f"{tmp_path}/{len(written)}")
+        rows.drop("v", "label").write.parquet(written[-1])
+        return spark.read.schema(rows.drop("v", "label").schema).parquet(written[-1])
+
+    rows = split.stratified_split(df, "label", ["id"], store=store)
+    assert rows.columns == ["id", "split"]
+    expected = split.stratified_split(df, "label", ["id"]).select("id", "split")
+    assert Counter(map(tuple, rows.collect())) == Counter(map(tuple, expected.collect()))
+    assert len(written) == (2 if frame in ("copies", "one_key") else 1)
