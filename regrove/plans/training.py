@@ -82,10 +82,15 @@ def prepare(df: DataFrame, s: Settings) -> tuple[DataFrame, DataFrame, list[str]
 def tune(train: DataFrame, test: DataFrame, features: Sequence[str], s: Settings) -> dict[str, Study]:
     """One seeded study per profile; preparation is fitted on the rows the trials are fitted on."""
     spark = train.sparkSession
-    folded = None
+    unread, folds = [c for c in train.columns if c not in {*features, s.target}], []
+
+    def narrow(rows: DataFrame) -> DataFrame:
+        """Kept narrow, so that no row is hashed again by the search for the cuts or by what reads a side of them."""
+        folds.append(rows.drop(*unread).persist(StorageLevel.MEMORY_AND_DISK))
+        return folds[-1]
+
     if s.selection == "validation":
-        # kept narrow, so that no row is hashed again by what reads a side of it
-        folded = kfold(train, s.key, 5, f"validation-{s.seed}", "__v").select(*dict.fromkeys([*features, s.target]), "__v").persist(StorageLevel.MEMORY_AND_DISK)
+        folded = kfold(train, s.key, 5, f"validation-{s.seed}", "__v", narrow)
         fitting, held = folded.where(F.col("__v") != 0), folded.where(F.col("__v") == 0)
     elif s.selection == "test":
         fitting, held = train, test
@@ -106,9 +111,8 @@ def tune(train: DataFrame, test: DataFrame, features: Sequence[str], s: Settings
 
         return {p: search(spark, p, s.spaces[p], evaluate(p), s.trials, s.seed, s.parallelism) for p in s.profiles}
     finally:
-        for kept in (fitting, held, folded):
-            if kept is not None:
-                kept.unpersist()
+        for kept in (fitting, held, *folds):
+            kept.unpersist()
 
 
 def _side_metrics(model: PipelineModel, rows: DataFrame, target: str) -> tuple[dict[str, float | None], dict[str, int]]:

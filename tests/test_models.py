@@ -255,3 +255,13 @@ def test_champion_reads_the_trips_four_times(spark, monkeypatch):
     out = registered.queries()["champion_exact"](spark, "").groupBy("split").count().collect()
     assert {r["split"]: r["count"] for r in out} == {"test": 600, "train": 2400}
     assert reads.value == 4 * 3000
+
+
+def test_tuning_reads_its_rows_twice(few_vectors):
+    """Once for their number, once to hash and keep them; the search for the cuts reads what is kept."""
+    found, reads = counted(few_vectors)
+    settings = training.Settings(root="", key=["id"], target="y", trials=2, parallelism=2, profiles=("forest",), spaces={
+        "forest": {k: learners.Fixed(v) for k, v in FEW["tree"].params.items()}})
+    got = training.tune(found, found, ["a", "b"], settings)["forest"].trials
+    assert reads.value == 2 * 2000
+    assert [t[1] for t in got] == [t[1] for t in training.tune(few_vectors, few_vectors, ["a", "b"], settings)["forest"].trials]
