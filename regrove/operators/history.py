@@ -1,7 +1,7 @@
 """Features from earlier trips: rolling 30 days per vehicle, last 10 trips per route, fleet ratio.
 
 Neither history lets one busy vehicle or route decide the size of a task. The rolling window
-runs over per-second sums cut into window-long tiles, the last-n means over one sort by ranges,
+runs over window-long tiles, dealt by vehicle and stretch of time, the last-n means over one sort by ranges,
 read a fixed number of rows at a time.
 """
 
@@ -35,34 +35,65 @@ def efficiency(df: DataFrame, energy: str, distance: str) -> Column:
 
 def vehicle_history(df: DataFrame, vehicle: str = "VehId", ts: str = "feature_timestamp",
                     energy: str = "target_energy_consumption", distance: str = "distance_km",
-                    days: int = 30, plain: DataFrame | None = None) -> DataFrame:
+                    days: int = 30) -> DataFrame:
     """Adds the vehicle's mean efficiency, energy, distance, energy std and trip count of the
     `days` days before the trip; trips of the same second do not count. A trip of unknown
-    vehicle or time has no history. `plain` has the same trips with these four columns alone:
-    where `df` is the outcome of joins, its sums need none of them.
-    """
-    span = days * 86400
-    keyed = df.withColumn("__t", wall_seconds(col(ts)))
-    source = keyed if plain is None else plain.withColumn("__t", wall_seconds(col(ts)))
-    return _tiled(keyed, source, vehicle, span, energy, distance).drop("__t")
-
+    vehicle or time has no history.
 
-def _tiled(keyed: DataFrame, source: DataFrame, vehicle: str, span: int, energy: str, distance: str) -> DataFrame:
-    """Window sums without a bound on a vehicle's trips.
-
-    1. Trips, as four columns, are dealt by vehicle and stretch of STRETCH windows and summed per
-       (vehicle, second) there: what a task holds is bounded by time, not by trips.
+    1. Trips are dealt once, by vehicle and stretch of STRETCH windows, so a vehicle's trips are cut by time. Those of a stretch's
+       last window go to the next stretch, too, with nothing but what the sums need. Trips without history are dealt by all they hold.
     2. The time axis is cut into tiles as long as the window, so a window is the rest of
-       the previous tile plus the start of its own. Each sum is copied to the next tile,
-       and both parts are running sums - additions only, linear time. Tiles stay inside their stretch,
-       where their sums are already; only a stretch's last tile is dealt to the next one as well.
-    3. The sums go back to the trips by an equi-join, which AQE may broadcast or split.
+       the previous tile plus the start of its own. Each trip is copied to the next tile,
+       and both parts are running sums - additions only, linear time. Trips keep their columns meanwhile, so nothing is joined back.
     """
-    e, dist = clean(source, energy), clean(source, distance)
-    known = source.where(col(vehicle).isNotNull() & F.col("__t").isNotNull())
-    narrow = known.select(col(vehicle).alias("v"), F.col("__t").alias("t"), e.alias("e"), dist.alias("d"))
-    sums = _sums(_dealt(narrow, span).groupBy("v", "stretch_of", "t"), F.try_divide("e", "d"), F.col("d"), F.col("e"))
-    return _with_past(keyed, vehicle, _past_dealt(sums.withColumn("fresh", F.lit(True)), span))
+    span = days * 86400
+    keyed = df.select(
+        col(vehicle).alias("__v"), wall_seconds(col(ts)).alias("__t"), clean(df, energy).alias("__e"), clean(df, distance).alias("__d"),
+        F.struct(*[col(c) for c in df.columns]).alias("__trip"),
+        F.xxhash64(*[col(f.name) for f in df.schema.fields if isinstance(f.dataType, T.AtomicType)]).alias("__any"))
+    known = F.col("__v").isNotNull() & F.col("__t").isNotNull()
+    tile = F.floor(F.col("__t") / span)
+    own = F.when(known, F.floor(tile / STRETCH)).otherwise(F.col("__any"))
+    last = known & (F.pmod(tile, F.lit(STRETCH)) == STRETCH - 1)
+    spots = [F.struct(own.alias("__stretch"), F.col("__trip")), F.struct((own + 1).alias("__stretch"), F.lit(None).alias("__trip"))]
+    dealt = keyed.select("__v", "__t", "__e", "__d", F.inline(F.when(last, F.array(*spots)).otherwise(F.array(spots[0])))).repartition(_tasks(df), "__v", "__stretch")
+
+    tiled = dealt.select("__v", "__t", "__e", "__d", "__stretch", F.inline(F.array(
+        F.struct(tile.alias("__tile"), F.col("__t").alias("__at"), F.lit(True).alias("__own"), F.col("__trip")),
+        F.struct((tile + 1).alias("__tile"), (F.col("__t") + span).alias("__at"), F.lit(False).alias("__own"), F.lit(None).alias("__trip")),
+    )))
+    here = F.floor(F.col("__tile") / STRETCH) == F.col("__stretch")
+    tiled = tiled.where(F.when(known, here).otherwise(F.col("__own")))
+
+    group = Window.partitionBy("__v", "__stretch", "__tile")
+    before = group.orderBy("__at").rangeBetween(Window.unboundedPreceding, -1)
+    since = group.orderBy(F.desc("__at")).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    # deviations from a mean taken inside the tile keep the variance free of cancellation
+    whole = group.orderBy("__at").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    tiled = tiled.withColumn("__base", F.avg("__e").over(whole))
+    e, d, off = F.col("__e"), F.col("__d"), F.col("__e") - F.col("__base")
+    parts = {
+        "trips": (F.count, F.lit(1)), "n_eff": (F.count, F.try_divide(e, d)), "s_eff": (F.sum, F.try_divide(e, d)),
+        "n_dist": (F.count, d), "s_dist": (F.sum, d), "n_e": (F.count, e), "d_e": (F.sum, off), "dd_e": (F.sum, off * off),
+    }
+    started = {f"__{p}_0": add(F.when(F.col("__own"), x)).over(before) for p, (add, x) in parts.items()}
+    rest = {f"__{p}_1": add(F.when(~F.col("__own"), x)).over(since) for p, (add, x) in parts.items()}
+    windowed = tiled.withColumns(started).withColumns(rest).where("__trip is not null")
+    total = {p: F.coalesce(f"__{p}_0", F.lit(0)) + F.coalesce(f"__{p}_1", F.lit(0)) for p in parts}
+    means = _means(total, F.col("__base"))
+    return windowed.select("__trip.*", *[F.when(known, c).alias(name) for name, c in means.items()])
+
+
+def _means(total: Mapping[str, Column], base: Column) -> dict[str, Column]:
+    """What the counts and sums of a window amount to; those of the energy are of deviations from `base`."""
+    variance = F.try_divide(
+        F.greatest(total["dd_e"] - F.try_divide(total["d_e"] * total["d_e"], total["n_e"]), F.lit(0.0)),
+        F.when(total["n_e"] > 1, total["n_e"] - 1),
+    )
+    return dict(zip(VEHICLE_COLUMNS, (
+        F.try_divide(total["s_eff"], total["n_eff"]), base + F.try_divide(total["d_e"], total["n_e"]), F.sqrt(variance),
+        F.try_divide(total["s_dist"], total["n_dist"]), total["trips"],
+    )))
 
 
 #: Windows in a stretch of time whose trips of a vehicle meet in one task.
@@ -131,17 +162,8 @@ def _past_dealt(sums: DataFrame, span: int) -> DataFrame:
     rest = {f"{p}_1": F.sum(F.when(~F.col("own"), F.col(p))).over(since) for p in parts}
     windowed = tiled.withColumns(started).withColumns(rest).where("own and fresh")
     total = {p: F.coalesce(f"{p}_0", F.lit(0)) + F.coalesce(f"{p}_1", F.lit(0)) for p in parts}
-    totals = windowed.select("v", "t", "base", *[c.alias(p) for p, c in total.items()])
-    variance = F.try_divide(
-        F.greatest(F.col("dd_e") - F.try_divide(F.col("d_e") * F.col("d_e"), F.col("n_e")), F.lit(0.0)),
-        F.when(F.col("n_e") > 1, F.col("n_e") - 1),
-    )
-    return totals.select(
-        F.col("v").alias("__v"), F.col("t").alias("__s"),
-        *[c.alias(name) for name, c in zip(VEHICLE_COLUMNS, (
-            F.try_divide("s_eff", "n_eff"), F.col("base") + F.try_divide("d_e", "n_e"), F.sqrt(variance),
-            F.try_divide("s_dist", "n_dist"), F.col("trips"),
-        ))],
+    return windowed.select(
+        F.col("v").alias("__v"), F.col("t").alias("__s"), *[c.alias(name) for name, c in _means(total, F.col("base")).items()],
     )
 
 
@@ -262,17 +284,17 @@ def _kept(few: DataFrame, name: str) -> DataFrame:
 
 def route_history(df: DataFrame, route: Sequence[str], key: Sequence[str | Column], ts: str = "feature_timestamp",
                   energy: str = "target_energy_consumption", duration: str = "duration_minutes",
-                  speed: str = "avg_speed_kmh", trips: int = 10, block_rows: int = BLOCK_ROWS,
+                  speed: str | Column = "avg_speed_kmh", trips: int = 10, block_rows: int = BLOCK_ROWS,
                   finish: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Adds the route's mean energy, duration and speed over its previous `trips` trips and the
-    number of all previous trips. Trips of the same instant are ordered by `key`.
+    number of all previous trips. Trips of the same instant are ordered by `key`. `speed` is a column or an expression without NaN.
     """
     return last_rows(
         df, route, [ts, *key],
         {
             "route_avg_energy_last10": clean(df, energy),
             "route_avg_duration_last10": clean(df, duration),
-            "route_avg_speed_last10": clean(df, speed),
+            "route_avg_speed_last10": clean(df, speed) if isinstance(speed, str) else speed,
         },
         trips, "route_trip_count", block_rows, finish,
     )

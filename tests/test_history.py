@@ -203,3 +203,31 @@ def test_a_repeated_order_makes_trips_that_count(spark, sf, tmp_path):
     expected = history.vehicle_history(nan_to_null(trips(spark, str(tmp_path))))
     rows = lambda df: sorted(map(str, df.select(*TRIP_KEY, count).collect()))
     assert rows(feature_table(spark, str(tmp_path))) == rows(expected)
+
+
+def test_trips_move_once_for_their_vehicles_past(spark, journeys):
+    """The trips keep their columns through the one shuffle by vehicle and time, and nothing is joined back."""
+    plan = history.vehicle_history(spark.createDataFrame(journeys), ts="ts", energy="energy")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1 and "Join" not in plan
+
+
+def test_trips_of_unknown_vehicle_or_time_are_spread(spark):
+    rows = spark.range(4000).select(
+        "id", F.when(F.col("id") % 2 == 0, 1).alias("v"), F.when(F.col("id") % 2 == 1, F.lit(START)).alias("ts"), F.lit(1.0).alias("e"), F.lit(2.0).alias("d"))
+    out = history.vehicle_history(rows.repartition(3), "v", "ts", "e", "d")
+    known = [F.count(c) for c in history.VEHICLE_COLUMNS]
+    assert tuple(out.agg(F.count("*"), F.count_distinct("id"), *known).first()) == (4000, 4000, 0, 0, 0, 0, 0)
+    assert out.groupBy(F.spark_partition_id()).count().agg(F.max("count")).first()[0] < 1000
+
+
+def test_features_of_several_columns_are_not_written(spark, sf):
+    """They are worked out as the table is read, from the written columns, with the values of the row-wise functions."""
+    from regrove.operators.features import row_features
+    from regrove.sources.feature_table import MIXED, feature_table
+    from regrove.sources.trips import TRIP_KEY, trips
+
+    mixed = feature_table(spark, sf, [*TRIP_KEY, *MIXED])
+    plan = mixed._jdf.queryExecution().executedPlan().toString()
+    assert not [c for c in MIXED if c in plan[plan.index("ReadSchema"):]]
+    expected = row_features(trips(spark, sf)).select(*mixed.columns)
+    assert mixed.exceptAll(expected).count() == expected.exceptAll(mixed).count() == 0
